@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, minhash
+from . import bpe, decontam, minhash, toxicity
 from .shared import read
 
 
@@ -25,9 +25,16 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    got = toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+    return got.select("doc_id", toxicity.holds_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op8_decontam": op8_decontam,
+    "op9_toxicity": op9_toxicity,
     "op10_minhash": op10_minhash,
 }
 
