@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, minhash, sharding, toxicity, urls
+from . import bpe, decontam, html, licenses, minhash, sharding, toxicity, urls
 from .shared import read
 
 
@@ -40,6 +40,15 @@ def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, urls.rules(spark, URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = licenses.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = sharding.assign(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return got.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -48,6 +57,8 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_urls": op2_urls,
+    "op4_licenses": op4_licenses,
+    "op5_html": op5_html,
     "op7_shards": op7_shards,
     "op8_decontam": op8_decontam,
     "op9_toxicity": op9_toxicity,
