@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html, licenses, minhash, sharding, toxicity, urls
+from . import bpe, decontam, embeddings, html, licenses, minhash, sharding, toxicity, urls
 from .shared import read
 
 
@@ -40,6 +40,10 @@ def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, urls.rules(spark, URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.link(read(spark, sf_dir, "embeddings"))
+
+
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = licenses.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return got.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -57,6 +61,7 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_urls": op2_urls,
+    "op3_embeddings": op3_embeddings,
     "op4_licenses": op4_licenses,
     "op5_html": op5_html,
     "op7_shards": op7_shards,
@@ -76,6 +81,15 @@ r AS (SELECT *, CASE
   WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
   WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM s)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM r
+""",
+    "op3_embeddings": r"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+n AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS s FROM v WHERE list_dot_product(e, e) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_dot_product(a.e, b.e) / (a.s * b.s) >= 0.93),
+f AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, f.b FROM r JOIN f ON r.b = f.a),
+m AS (SELECT a, min(b) AS component_id FROM r GROUP BY a), d AS (SELECT a, count(*) AS n_links FROM f GROUP BY a)
+SELECT m.a AS vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, m.a = component_id AS kept FROM m LEFT JOIN d USING (a)
 """,
     "op8_decontam": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
