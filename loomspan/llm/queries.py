@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, embeddings, html, licenses, minhash, sharding, toxicity, urls
+from . import bpe, decontam, embeddings, html, licenses, lm, minhash, sharding, toxicity, urls
 from .shared import read
 
 
@@ -53,6 +53,12 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target is what labels call good; the background is every document."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm.score(docs, lm.train(docs, read(spark, sf_dir, "labels").where("quality = 1").select("doc_id")))
+
+
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = sharding.assign(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return got.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -64,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_embeddings": op3_embeddings,
     "op4_licenses": op4_licenses,
     "op5_html": op5_html,
+    "op6_lm": op6_lm,
     "op7_shards": op7_shards,
     "op8_decontam": op8_decontam,
     "op9_toxicity": op9_toxicity,
