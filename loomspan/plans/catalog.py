@@ -1,10 +1,8 @@
-"""The registered queries and the SQL that each must agree with."""
+"""All registered queries and their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import logs, scalar_queries, sessions, spans  # noqa: F401  each registers its queries
+from .registry import QUERIES, SQL
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
