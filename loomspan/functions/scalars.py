@@ -197,3 +197,24 @@ def pi_usage(fresh: Column, read: Column, written: Column, written_hour: Column,
     fresh, read, written, written_hour, output, reasoning = (F.coalesce(c, zero) for c in (fresh, read, written, written_hour, output, reasoning))
     prompt = fresh + read + written + written_hour
     return {"prompt_tokens": prompt, "completion_tokens": output, "reasoning_tokens": reasoning, "tokens": F.coalesce(total, prompt + output + reasoning), "prompt_cached_tokens": read, "prompt_cache_creation_tokens": written + written_hour}
+
+
+def json_at(doc: Column, path: str) -> Column:
+    """The JSON text of the value at a dotted path."""
+    return F.to_json(F.try_variant_get(F.try_parse_json(doc), f"$.{path}", "variant"))
+
+
+def whole_at(doc: Column, path: str) -> Column:
+    """A JSON whole number at a dotted path."""
+    v = F.try_variant_get(F.try_parse_json(doc), f"$.{path}", "variant")
+    return F.when(F.schema_of_variant(v) == "BIGINT", F.try_variant_get(v, "$", "long"))
+
+
+def quoted(text: Column) -> Column:
+    """Text as a JSON string."""
+    return F.regexp_replace(F.to_json(F.struct(text.alias("v"))), r'^\{"v":(.*)\}$', "$1")
+
+
+def known_entries(**values: Column) -> Column:
+    """A map of JSON texts without the null ones."""
+    return F.map_filter(F.create_map(*(x for k, v in values.items() for x in (F.lit(k), v))), lambda k, v: v.isNotNull())

@@ -2,20 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import turns as T
 from ..sources.stand_ins import ENV, TRX, envelopes, table, transcripts
 from .registry import query
 
-PROMPT, STOP = F.col("event") == "UserPromptSubmit", F.col("event") == "Stop"
-STARTS, STOPS = F.col("event") == "PreToolUse", F.col("event").isin("PostToolUse", "PostToolUseFailure")
 CALL = ["session_id", "call_id"]
 
 
+def prompt() -> Column:
+    return F.col("event") == "UserPromptSubmit"
+
+
+def stop() -> Column:
+    return F.col("event") == "Stop"
+
+
+def starts() -> Column:
+    return F.col("event") == "PreToolUse"
+
+
+def stops() -> Column:
+    return F.col("event").isin("PostToolUse", "PostToolUseFailure")
+
+
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.open_turns(T.number_turns(envelopes(spark, sf_dir), PROMPT), PROMPT, STOP)
+    return T.open_turns(T.number_turns(envelopes(spark, sf_dir), prompt()), prompt(), stop())
 
 
 TURNS = """t AS (SELECT *, sum(CASE WHEN event = 'UserPromptSubmit' THEN 1 ELSE 0 END) OVER w AS turn FROM env WINDOW w AS (PARTITION BY session_id ORDER BY seq)),
@@ -40,7 +54,7 @@ p AS (SELECT a.session_id, a.call_id, start_ms, arg_min(e.ts_ms, e.seq) FILTER (
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = envelopes(spark, sf_dir)
-    return T.pair_tools(e.where(STARTS), e.where(STOPS), CALL)
+    return T.pair_tools(e.where(starts()), e.where(stops()), CALL)
 
 
 @query(f"WITH {ENV}, {PAIRS} SELECT session_id, call_id, start_ms, end_ms, stop, end_ms - start_ms AS duration_ms FROM p")
@@ -53,7 +67,7 @@ b AS (SELECT session_id, call_id, arg_min(ts_ms, seq) AS end_ms, arg_min(floor(v
 SELECT session_id, call_id, end_ms, coalesce(pre_ms, greatest(0, end_ms - d)) AS start_ms FROM a FULL JOIN b USING (session_id, call_id)""")
 def tool_outer_pairing(spark, sf_dir):
     e = envelopes(spark, sf_dir)
-    return T.outer_pair_tools(e.where(STARTS), e.where(STOPS), CALL, F.floor("value").cast("long"))
+    return T.outer_pair_tools(e.where(starts()), e.where(stops()), CALL, F.floor("value").cast("long"))
 
 
 @query(f"""WITH {ENV}, {PAIRS}, l AS (SELECT session_id, max(ts_ms) AS last_ms FROM env GROUP BY 1)
@@ -75,14 +89,14 @@ def denied_anti(spark, sf_dir):
 @query(f"""WITH {ENV}, {TURNS} SELECT session_id, count(*) FILTER (event = 'UserPromptSubmit') AS total_turns, count(*) FILTER (event IN ('PostToolUse', 'PostToolUseFailure') AND open_turn IS NOT NULL) AS total_tool_calls,
 min(ts_ms) AS start_ms, max(ts_ms) AS end_ms FROM turns GROUP BY session_id""")
 def root_totals(spark, sf_dir):
-    return _turns(spark, sf_dir).groupBy("session_id").agg(F.count_if(PROMPT).alias("total_turns"), F.count_if(STOPS & F.col("open_turn").isNotNull()).alias("total_tool_calls"), F.min("ts_ms").alias("start_ms"), F.max("ts_ms").alias("end_ms"))
+    return _turns(spark, sf_dir).groupBy("session_id").agg(F.count_if(prompt()).alias("total_turns"), F.count_if(stops() & F.col("open_turn").isNotNull()).alias("total_tool_calls"), F.min("ts_ms").alias("start_ms"), F.max("ts_ms").alias("end_ms"))
 
 
 @query(f"""WITH {ENV} SELECT DISTINCT session_id, call_id, true AS recovered FROM env e WHERE event = 'PostToolUse' AND NOT EXISTS (SELECT 1 FROM env d WHERE d.event = 'PreToolUse' AND d.session_id = e.session_id AND d.call_id = e.call_id)""")
 def recovered_tools(spark, sf_dir):
     """Calls that only the transcript knows."""
     e = envelopes(spark, sf_dir)
-    return e.where("event = 'PostToolUse'").select(*CALL).distinct().join(e.where(STARTS), CALL, "left_anti").withColumn("recovered", F.lit(True))
+    return e.where("event = 'PostToolUse'").select(*CALL).distinct().join(e.where(starts()), CALL, "left_anti").withColumn("recovered", F.lit(True))
 
 
 @query(f"""WITH {ENV}, live AS (SELECT session_id, count(*) AS events, max(ts_ms) AS last_ms, arg_max(event, seq) FILTER (event = 'PostToolUseFailure') AS last_error FROM env WHERE event <> 'Stop' GROUP BY 1),
@@ -90,15 +104,15 @@ failed AS (SELECT DISTINCT 'u' || user_id AS session_id FROM events WHERE event_
 SELECT session_id, events, last_ms, last_error, true AS live FROM live UNION ALL SELECT session_id, 0, NULL, 'not authorised', false FROM failed WHERE session_id NOT IN (SELECT session_id FROM live)""")
 def status_view(spark, sf_dir):
     e = envelopes(spark, sf_dir)
-    live = e.where(~STOP).groupBy("session_id").agg(F.count("*").alias("events"), F.max("ts_ms").alias("last_ms"), F.max_by("event", F.when(F.col("event") == "PostToolUseFailure", F.col("seq"))).alias("last_error"), F.lit(True).alias("live"))
-    failed = e.where(STOP).select("session_id").distinct().join(live, "session_id", "left_anti")
+    live = e.where(~stop()).groupBy("session_id").agg(F.count("*").alias("events"), F.max("ts_ms").alias("last_ms"), F.max_by("event", F.when(F.col("event") == "PostToolUseFailure", F.col("seq"))).alias("last_error"), F.lit(True).alias("live"))
+    failed = e.where(stop()).select("session_id").distinct().join(live, "session_id", "left_anti")
     return live.unionByName(failed.select("session_id", F.lit(0).cast("long").alias("events"), F.lit(None).cast("long").alias("last_ms"), F.lit("not authorised").alias("last_error"), F.lit(False).alias("live")))
 
 
 @query(f"""WITH {ENV}, {TURNS} SELECT session_id, open_turn::BIGINT AS turn, min(ts_ms) FILTER (event = 'UserPromptSubmit') AS start_ms, min(ts_ms) FILTER (event = 'PreToolUse') AS first_ms,
 round((min(ts_ms) FILTER (event = 'PreToolUse') - min(ts_ms) FILTER (event = 'UserPromptSubmit')) / 1000.0, 3) AS seconds FROM turns WHERE open_turn IS NOT NULL GROUP BY 1, 2""")
 def first_token(spark, sf_dir):
-    t = _turns(spark, sf_dir).where("open_turn is not null").groupBy("session_id", F.col("open_turn").alias("turn")).agg(F.min(F.when(PROMPT, F.col("ts_ms"))).alias("start_ms"), F.min(F.when(STARTS, F.col("ts_ms"))).alias("first_ms"))
+    t = _turns(spark, sf_dir).where("open_turn is not null").groupBy("session_id", F.col("open_turn").alias("turn")).agg(F.min(F.when(prompt(), F.col("ts_ms"))).alias("start_ms"), F.min(F.when(starts(), F.col("ts_ms"))).alias("first_ms"))
     return t.withColumn("seconds", F.round((F.col("first_ms") - F.col("start_ms")) / 1000, 3))
 
 
@@ -108,9 +122,9 @@ SELECT session_id, turn::BIGINT AS turn, seq, coalesce(last_end, turn_ms) AS sta
 def child_end_running_max(spark, sf_dir):
     """A call starts when the child before it ended, or with its turn."""
     t = _turns(spark, sf_dir).where("open_turn is not null")
-    last = F.max(F.when(STOPS, F.col("ts_ms"))).over(T.before("seq", "session_id", "open_turn"))
-    turn = F.min(F.when(PROMPT, F.col("ts_ms"))).over(Window.partitionBy("session_id", "open_turn"))
-    c = t.withColumn("start_ms", F.coalesce(last, turn)).where(STARTS)
+    last = F.max(F.when(stops(), F.col("ts_ms"))).over(T.before("seq", "session_id", "open_turn"))
+    turn = F.min(F.when(prompt(), F.col("ts_ms"))).over(Window.partitionBy("session_id", "open_turn"))
+    c = t.withColumn("start_ms", F.coalesce(last, turn)).where(starts())
     return c.select("session_id", F.col("open_turn").alias("turn"), "seq", "start_ms", F.row_number().over(T.ordered("seq", "session_id", "open_turn")).cast("long").alias("llm"))
 
 
@@ -185,7 +199,7 @@ def checkpoints(spark, sf_dir):
     """Times of stops strictly inside a session, each once."""
     e = envelopes(spark, sf_dir)
     b = e.groupBy("session_id").agg(F.min("ts_ms").alias("lo"), F.max("ts_ms").alias("hi"))
-    return e.where(STOP).join(b, "session_id").where("ts_ms > lo and ts_ms < hi").select("session_id", "ts_ms").distinct()
+    return e.where(stop()).join(b, "session_id").where("ts_ms > lo and ts_ms < hi").select("session_id", "ts_ms").distinct()
 
 
 @query(f"""WITH {ENV}, s AS (SELECT session_id, call_id, seq, row_number() OVER (PARTITION BY session_id, call_id ORDER BY seq) AS n FROM env WHERE event = 'PreToolUse'),
@@ -195,7 +209,7 @@ def fifo_pairing(spark, sf_dir):
     """The n-th open request belongs to the n-th answer."""
     e = envelopes(spark, sf_dir)
     n = F.row_number().over(Window.partitionBy(*CALL).orderBy("seq")).cast("long")
-    a = e.where(STARTS).select(*CALL, "seq", n.alias("n"))
+    a = e.where(starts()).select(*CALL, "seq", n.alias("n"))
     b = e.where("event = 'PostToolUse'").select(*CALL, F.col("seq").alias("end_seq"), n.alias("n"))
     return a.join(b, [*CALL, "n"], "full").select(*CALL, "n", "seq", "end_seq")
 
@@ -206,7 +220,7 @@ SELECT session_id, agent_id, coalesce('turn:' || turn, 'root') AS parent FROM ch
 def spawn_chain(spark, sf_dir):
     """A subagent hangs below the turn whose call spawned it, else below the root."""
     t = _turns(spark, sf_dir)
-    spawn = t.where(STARTS & F.col("open_turn").isNotNull()).groupBy(*CALL).agg(F.min_by("open_turn", "seq").alias("turn"))
+    spawn = t.where(starts() & F.col("open_turn").isNotNull()).groupBy(*CALL).agg(F.min_by("open_turn", "seq").alias("turn"))
     child = t.where("event = 'PostToolUse'").groupBy(*CALL).agg(F.concat(F.lit("agent-"), F.min("seq").cast("string")).alias("agent_id"))
     return child.join(spawn, CALL, "left").select("session_id", "agent_id", F.coalesce(F.concat(F.lit("turn:"), F.col("turn").cast("string")), F.lit("root")).alias("parent"))
 
@@ -244,7 +258,7 @@ def retention(spark, sf_dir):
 @query(f"""WITH {ENV} SELECT DISTINCT call_id FROM env WHERE event = 'PreToolUse' EXCEPT SELECT call_id FROM env WHERE event = 'PostToolUseFailure' AND value > 150""")
 def id_difference(spark, sf_dir):
     e = envelopes(spark, sf_dir)
-    return e.where(STARTS).select("call_id").distinct().join(e.where("event = 'PostToolUseFailure' and value > 150"), "call_id", "left_anti")
+    return e.where(starts()).select("call_id").distinct().join(e.where("event = 'PostToolUseFailure' and value > 150"), "call_id", "left_anti")
 
 
 @query(f"""WITH {ENV} SELECT DISTINCT session_id, json_object('project', 'p' || (length(session_id) % 3))::VARCHAR AS route FROM env""")
@@ -259,7 +273,7 @@ SELECT t.session_id, t.seq, coalesce(own, open_turn)::BIGINT AS turn FROM turns
 def turn_correlation(spark, sf_dir):
     """A late completion finds the turn of its id; without one it belongs to the latest open turn."""
     t = _turns(spark, sf_dir)
-    own = t.where(STARTS).groupBy(*CALL).agg(F.min_by("turn", "seq").alias("own"))
+    own = t.where(starts()).groupBy(*CALL).agg(F.min_by("turn", "seq").alias("own"))
     return t.where("event = 'PostToolUse'").join(own, CALL, "left").select("session_id", "seq", F.coalesce("own", "open_turn").alias("turn"))
 
 
