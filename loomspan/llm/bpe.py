@@ -67,7 +67,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, digests: bool) -> Ite
             ids.append(hashlib.sha256(joined.encode()).hexdigest() if digests else joined)
             raw.append(hashlib.sha256(decoded).hexdigest() if digests else decoded)
         kept = [(batch.schema.field(i), batch.column(i)) for i in range(batch.num_columns - 1)]
-        new = [(pa.field("n_tokens", pa.int64()), pa.array(n, pa.int64())), (pa.field("ids", pa.string()), pa.array(ids, pa.string())), (pa.field("raw", kind), pa.array(raw, kind))]
+        new = [(pa.field("n_tokens", pa.int64()), pa.array(n, pa.int64())), (pa.field("ids_sha256" if digests else "ids", pa.string()), pa.array(ids, pa.string())), (pa.field("decoded_sha256" if digests else "raw", kind), pa.array(raw, kind))]
         yield pa.RecordBatch.from_arrays([a for _, a in kept + new], schema=pa.schema([f for f, _ in kept + new]))
 
 
@@ -134,19 +134,19 @@ def pieces(texts: DataFrame, chunk: int = CHUNK, overlap: int = OVERLAP) -> Data
 
 
 def encode_table(docs: DataFrame, text: str = "text", path: str = RANKS, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """All columns of docs but the text, and n_tokens, ids_sha256, decoded_sha256 of its ids and decoded bytes."""
+    """All columns of docs but the text, and n_tokens, ids_sha256, decoded_sha256 of its ids and decoded bytes; columns of docs with these names are replaced."""
+    docs = docs.drop("n_tokens", "ids_sha256", "decoded_sha256")
     digest, = unused(docs, "digest")
     others = [c for c in docs.columns if c != text]
     whole = docs.select(*others, F.coalesce(F.col(text), F.lit("")).alias(text))
     short = whole.where(F.length(text) <= chunk)
-    short = short.mapInArrow(lambda b: _encoded(b, path, True), short.select(*others, F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids"), F.lit("").alias("raw")).schema)
+    short = short.mapInArrow(lambda b: _encoded(b, path, True), short.select(*others, F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256")).schema)
     long = whole.where(F.length(text) > chunk).withColumn(digest, F.sha2(text, 256))
     done = (
         pieces(long.select(F.col(digest).alias("digest"), F.col(text).alias("text")), chunk, overlap)
         .mapInArrow(lambda b: _encoded(b, path, False), "digest string, piece long, n_tokens long, ids string, raw binary")
         .groupBy("digest")
         .agg(F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("i"), F.array_sort(F.collect_list(F.struct("piece", "raw"))).alias("r"))
-        .select(F.col("digest").alias(digest), "n_tokens", F.sha2(F.array_join(F.filter(F.col("i.ids"), lambda x: x != ""), " "), 256).alias("ids"), F.sha2(F.aggregate(F.col("r.raw"), F.lit(b""), lambda a, x: F.concat(a, x)), 256).alias("raw"))
+        .select(F.col("digest").alias(digest), "n_tokens", F.sha2(F.array_join(F.filter(F.col("i.ids"), lambda x: x != ""), " "), 256).alias("ids_sha256"), F.sha2(F.aggregate(F.col("r.raw"), F.lit(b""), lambda a, x: F.concat(a, x)), 256).alias("decoded_sha256"))
     )
-    out = short.unionByName(long.select(*others, digest).join(done, digest).drop(digest))
-    return out.withColumnsRenamed({"ids": "ids_sha256", "raw": "decoded_sha256"})
+    return short.unionByName(long.select(*others, digest).join(done, digest).drop(digest))

@@ -137,7 +137,8 @@ def key(text: str) -> list[Column]:
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", **more) -> DataFrame:
-    """Columns of docs but the text, and n_words, n_hit, items (sorted ids as strings)."""
+    """Columns of docs but the text, and n_words, n_hit, items (sorted ids as strings); columns of docs with these names are replaced."""
+    docs = docs.drop("n_words", "n_hit", "items")
     found = stored(hits(docs, benchmark, text, **more))
     one, two, n_hit, items = unused(docs, "k1", "k2", "n_hit", "items")
     found = small(found, found.count(), BROADCAST_ROWS).toDF(one, two, n_hit, items)

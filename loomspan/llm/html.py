@@ -235,7 +235,7 @@ def main_text(html: str | None) -> str:
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
-    """pages with, in place of the html, the main text and n_chars, its characters."""
+    """pages with, in place of the html, the main text and n_chars, its characters; columns of pages with these names are replaced."""
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,6 +243,7 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
             new = [pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=[*batch.schema.names[:-1], "text", "n_chars"])
 
+    pages = pages.drop(*({"text", "n_chars"} - {html}))
     others = pages.drop(html)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others.schema), "text string, n_chars long"])
     return pages.select(*others.columns, html).mapInArrow(extracted, schema)

@@ -189,7 +189,7 @@ SCHEMA = f"n_words long, n_base long, first_word long, last_word long, base_labe
 
 
 def scan(docs: DataFrame, text: str = "text", phrases: dict[str, str] | None = None, notices: dict[str, list[str]] | None = None, covered: float = COVERED) -> DataFrame:
-    """docs with, in place of the text: n_words, places of base phrases, labels, score (largest coverage of a template) and the covered spans."""
+    """docs with, in place of the text: n_words, places of base phrases, labels, score (largest coverage of a template) and the covered spans; columns of docs with these names are replaced."""
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(phrases, notices)
@@ -208,6 +208,7 @@ def scan(docs: DataFrame, text: str = "text", phrases: dict[str, str] | None = N
             new = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=[*batch.schema.names[:-1], *names])
 
+    docs = docs.drop(*(part.split()[0] for part in SCHEMA.replace(SPANS, "spans").split(", ")))
     others = docs.drop(text)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others.schema), SCHEMA])
     return docs.select(*others.columns, text).mapInArrow(scanned, schema)

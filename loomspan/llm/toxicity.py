@@ -12,7 +12,7 @@ the hash of their ids; all rows are scored, over their whole text. Labels, langu
 and ids are never inputs of a score.
 
 Defined cases: a null or empty text fires nothing and gets the score of a text
-without hits (below 0.5 unless most training rows are toxic); without labels the lexicon and marks alone are fitted; of
+without hits (below 0.5 unless most training rows are toxic); without labels the lexicon alone decides, at an assumed accuracy; of
 several labels of one id the largest counts; rows with a null id have no label and aren't held out; repeated rows and further
 columns stay; an empty table gives an empty table.
 """
@@ -236,7 +236,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     weights = np.zeros(len(patterns))
     weights[[i for i in unheard if patterns[i] not in _MARKS]] = 2.0 if len(heard) else 4.0
     bias = -2.0
-    if len(heard):
+    if not (marks >= 0).any():
+        weights[heard] = [0.0 if patterns[i] in _MARKS else 4.0 for i in heard]  # nothing to estimate accuracies by
+    elif len(heard):
         weights[heard], bias = _logistic(fires[:, heard].astype(float), label_model(fires[:, heard].astype(float), marks))
     return Model(patterns, weights, bias)
 
@@ -258,7 +260,8 @@ def _votes(rows: DataFrame, patterns: list[bytes]) -> tuple[np.ndarray, np.ndarr
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
-    """docs with their score in place of the text."""
+    """docs with their score in place of the text; a column of docs with its name is replaced."""
+    docs = docs.drop(*({name} - {text}))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         used = [i for i, w in enumerate(model.weights) if w]

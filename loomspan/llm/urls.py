@@ -62,13 +62,15 @@ def bloom(listed: DataFrame, entries: int) -> tuple[DataFrame, int]:
 def judge(pages: DataFrame, listed: DataFrame, url: str = "url") -> DataFrame:
     """pages with host, path, rule (the longest entry that fits, else null) and verdict (that entry's, else allow).
 
-    listed: rows (host, path, verdict), canonical: host in lower case.
+    listed: rows (host, path, verdict), canonical: host in lower case. Columns of pages with the new names are replaced.
     """
+    pages = pages.drop("host", "path", "rule", "verdict")
     rules = listed.where("host is not null and path is not null").groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
     rules = stored(rules)
     size = rules.count()
     lengths = sorted(r.n for r in rules.select(F.length("path").alias("n")).distinct().collect())  # no more than a URL's longest path
-    host, path, rule, verdict = unused(pages, "host", "path", "rule", "verdict")
+    host, path, rule, verdict = "host", "path", "rule", "verdict"
+    h, p = unused(pages, "_host_key", "_path_key")
     out = pages.withColumns({host: host_of(F.col(url)), path: path_of(F.col(url))})
     seen = out.select(F.col(host).alias("h"), F.col(path).alias("p")).distinct()
     labels = F.split("h", r"\.")
@@ -82,8 +84,8 @@ def judge(pages: DataFrame, listed: DataFrame, url: str = "url") -> DataFrame:
         probe = probe.where(F.col(f"f{w}").bitwiseAND(F.col(f"w{w}")) == F.col(f"w{w}"))
     hits = probe.select("h", "p", "host", "path").join(small(rules, size, BROADCAST_ROWS), ["host", "path"])
     longest = F.struct(F.length("host") + F.length("path"), F.length("host"), F.concat("host", "path").alias("rule"), "verdict")
-    best = hits.groupBy("h", "p").agg(F.max(longest).alias("best")).select("h", "p", "best.rule", "best.verdict").toDF("h", "p", rule, verdict)
-    out = out.join(best, (out[host] == best["h"]) & (out[path] == best["p"]), "left").drop("h", "p")
+    best = hits.groupBy("h", "p").agg(F.max(longest).alias("best")).select("h", "p", "best.rule", "best.verdict").toDF(h, p, rule, verdict)
+    out = out.join(best, (out[host] == best[h]) & (out[path] == best[p]), "left").drop(h, p)
     return out.withColumn(verdict, F.coalesce(verdict, F.lit("allow")))
 
 
