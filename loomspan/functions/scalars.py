@@ -142,7 +142,7 @@ def tool_name(tool: Column, args: Column) -> Column:
     path = F.coalesce(text_or_number_at(args, "file_path"), text_or_number_at(args, "path"))
     return (
         F.when(tool == "Skill", F.coalesce(F.concat(F.lit("skill: "), skill), F.lit("skill")))
-        .when(tool.isin("Read", "Write", "Edit", "MultiEdit"), F.coalesce(F.concat(tool, F.lit(": "), workspace_name(path)), tool))
+        .when(tool.isin("Read", "Write", "Edit", "MultiEdit"), F.coalesce(F.when(path.isNotNull(), F.concat(tool, F.lit(": "), workspace_name(path))), tool))
         .when(tool.isin("Bash", "Terminal"), F.concat(F.lit("Terminal: "), F.substring(F.coalesce(text_or_number_at(args, "command"), F.lit("command")), 1, 50)))
         .when(F.startswith(tool, F.lit("mcp__")), F.concat(F.lit("MCP: "), F.replace(F.regexp_replace(tool, "^(mcp__)+", ""), F.lit("__"), F.lit(" - "))))
         .otherwise(tool)
