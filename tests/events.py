@@ -15,4 +15,4 @@ def table(spark, source, session, events):
 
 
 def folded(ops):
-    return {r.span_id: r for r in fold(ops).collect()}
+    return {r.span_id: r for r in fold(ops.cache()).collect()}

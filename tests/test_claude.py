@@ -41,7 +41,7 @@ def test_hooks_and_transcripts_become_a_tree(spark):
         (32, record("assistant", 32, {"id": "r3", "model": "opus", "content": [{"type": "text", "text": "late"}]}, isApiErrorMessage=True, apiErrorStatus=529)),
     ]
     records = spark.createDataFrame([("s", "main", i, ts, json.dumps(r)) for i, (ts, r) in enumerate(rows)], "session_id string, scope string, pos long, ts_ms long, rec string")
-    spans = list(folded(claude_ops(table(spark, "claude", "s", HOOKS), records).cache()).values())
+    spans = list(folded(claude_ops(table(spark, "claude", "s", HOOKS), records)).values())
     by = {r.name: r for r in spans}
     root, one, two, agent = by["Claude Code: project"], by["Turn 1"], by["Turn 2"], by["subagent: Explore"]
     assert (root.start_ms, root.end_ms, one.end_ms, one.output, two.end_ms) == (1, 40, 20, '"done"', 40)

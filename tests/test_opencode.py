@@ -19,7 +19,7 @@ SESSION = [
 
 
 def test_a_session_becomes_a_tree(spark):
-    by = {r.name: r for r in folded(opencode_ops(table(spark, "opencode", "root-session", SESSION)).cache()).values()}
+    by = {r.name: r for r in folded(opencode_ops(table(spark, "opencode", "root-session", SESSION))).values()}
     llm, tool, turn, root, denied = by["openai/gpt-5"], by["Read"], by["Turn 1"], by["OpenCode"], by["bash"]
     assert (llm.metrics["prompt_tokens"], llm.metrics["tokens"], llm.start_ms, llm.end_ms) == (12, 15, 2, 5)
     assert json.loads(llm.output)[0]["content"] == "world" and json.loads(llm.input) == [{"role": "user", "content": "hello"}]
@@ -38,7 +38,7 @@ def test_child_sessions_share_the_root_of_their_parent(spark):
         ("session.created", 4, {"properties": {"info": {"id": "grandchild", "parentID": "child", "title": "deeper"}}}),
         ("session.idle", 5, {"properties": {"sessionID": "child"}}),
     ]
-    by = {r.name: r for r in folded(opencode_ops(table(spark, "opencode", "s", events), finalize=True).cache()).values()}
+    by = {r.name: r for r in folded(opencode_ops(table(spark, "opencode", "s", events), finalize=True)).values()}
     parent, child = by["OpenCode"], by["research: find docs"]
     assert child.root_span_id == by["deeper"].root_span_id == parent.span_id
     assert child.parent_span_ids == [by["Turn 1"].span_id] and by["deeper"].parent_span_ids == []
