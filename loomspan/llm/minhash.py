@@ -6,10 +6,10 @@ kept. Bands of a signature are hashed to buckets; texts that share a bucket are
 candidates, and a link counts only after the full shingle sets have been compared.
 
 Texts with equal shingle sets form one class, found by a 128-bit digest before banding, so
-copies are never paired. Within a bucket, candidates are first paired with one pivot,
-linked texts become one component, and members that are still in other components are
-paired with further pivots. The pairs that remain between components of a bucket are then compared
-all, if their set sizes permit the similarity; pairs within a component need no test.
+copies are never paired. The members of a bucket are first paired with one pivot near
+the middle of the group, and linked texts become one component; pairs within a component need
+no test. What then remains in other components than a bucket's main one is compared with all members of the
+bucket, block by block of sets, so that links come out but pairs are never rows.
 
 With 26 bands of 5 rows, a pair at similarity 0.8 is missed with probability below
 0.00004, one at 0.9 below 1e-9.
@@ -35,8 +35,8 @@ from .decontam import key
 from .shared import small, stored, unused
 
 BANDS, ROWS = 26, 5
-#: Rounds in which a bucket's members are paired with one pivot, before all pairs between components are compared.
-PIVOTS = 3
+#: Members of a block.
+CROSS = 64
 #: Rows (some 50 bytes each) up to which a side is broadcast; beyond it, it is shuffled.
 BROADCAST_ROWS = 200_000
 #: Bytes of text that are hashed at a time.
@@ -192,6 +192,48 @@ def _links(docs: DataFrame, text: str, pairs: DataFrame, classes: DataFrame, siz
     return both.mapInArrow(lambda x: _verified(x, size, percent), "a binary, b binary")
 
 
+def _crossed(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of blocks (mine, other) of members (node, root, text) become the links (a, b) between different roots."""
+    for batch in batches:
+        found: set[tuple[bytes, bytes]] = set()
+        sides = []
+        for name in ("mine", "other"):
+            column = batch.column(name)
+            flat = column.flatten()
+            sets: list[np.ndarray] = []
+            for _, _, data, offsets in _blocks(flat.field("text")):
+                sets += shingle_sets(data, offsets, size)
+            bounds = column.offsets.to_numpy() - column.offsets[0].as_py()
+            sides.append((bounds, flat.field("node").to_pylist(), flat.field("root").to_pylist(), sets))
+        (at1, node1, root1, sets1), (at2, node2, root2, sets2) = sides
+        for i in range(len(batch)):
+            other = range(at2[i], at2[i + 1])
+            words, inverse = np.unique(np.concatenate([sets2[k] for k in other]), return_inverse=True)
+            sizes = np.array([len(sets2[k]) for k in other])
+            has = np.zeros((len(words), len(other)), np.uint8)
+            has[inverse, np.repeat(np.arange(len(other)), sizes)] = 1
+            for j in range(at1[i], at1[i + 1]):
+                place = np.searchsorted(words, sets1[j]).clip(max=len(words) - 1)
+                both = has[place[words[place] == sets1[j]]].sum(0, dtype=np.int64)
+                for k in np.flatnonzero(100 * both >= percent * (len(sets1[j]) + sizes - both)).tolist():
+                    if root1[j] != root2[other[k]]:
+                        found.add((min(node1[j], node2[other[k]]), max(node1[j], node2[other[k]])))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+
+def _cross_links(docs: DataFrame, text: str, left: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between different roots in the buckets of left (h, node, root, main): members outside the main root against all, block by block."""
+    nodes = left.select("node").distinct()
+    texts = _needed_texts(docs, text, nodes.select(F.col("node").alias("a"), F.col("node").alias("b")), classes)
+    blocks = left.groupBy("h").agg(F.ceil(F.count("*") / CROSS).alias("blocks"))
+    minor = F.col("root") != F.col("main")
+    dealt = left.join(blocks, "h").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).join(texts, "node")
+    member = F.struct("node", "root", "text")
+    dealt = stored(dealt.groupBy("h", "block").agg(F.collect_list(member).alias("other"), F.collect_list(F.when(minor, member)).alias("mine")))
+    pairs = dealt.where(F.size("mine") > 0).select("h", "mine").join(dealt.select("h", "other"), "h")
+    return pairs.select("mine", "other").mapInArrow(lambda b: _crossed(b, size, percent), "a binary, b binary").distinct()
+
+
 def _pairs(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
@@ -204,32 +246,25 @@ def classes_and_rows(docs: DataFrame, doc_id: str, text: str, size: int, percent
     documents = signed.drop("bands")
     classes = stored(signed.where("node is not null").groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("k"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
     dealt = classes.select("node", "n", F.explode("bands").alias("h"))
-    many = dealt.groupBy("h").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).where("pivot <> other").select("h", "pivot")
-    members = stored(dealt.join(many, "h").select("h", "node", "n", "pivot"))
-    tested = stored(members.where("node <> pivot").select(*_pairs("node", "pivot")).distinct())
-    links = stored(_links(docs, text, tested, classes, size, percent))
+    many = dealt.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
+    members = stored(dealt.join(many, "h"))
+    # Texts near the middle of a group share more buckets with more others.
+    middle = stored(members.groupBy("node").agg(F.sum("size").cast("double").alias("w")))
+    members = stored(members.drop("size").join(middle, "node"))
+    # Round one pairs all members of a bucket with its most central text.
+    pivot = F.max(F.struct("w", "node", "n")).alias("p")
+    pairs = members.join(members.groupBy("h").agg(pivot), "h").select("node", "n", F.col("p.node").alias("node2"), F.col("p.n").alias("n2")).where("node <> node2")
+    most = F.least("n", "n2")
+    pairs = stored(pairs.where(F.lit(100) * most >= F.lit(percent) * (F.col("n") + F.col("n2") - most)).select(*_pairs("node", "node2")).distinct())
+    links = stored(_links(docs, text, pairs, classes, size, percent))
     found = stored(components(links))
-    for turn in range(1, PIVOTS + 1):
-        # Buckets whose members are in several components; a member in none is one of its own.
-        at = members.select("h", "node", "n").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = at.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("x"), "node", "root", "n")).alias("p")).where("lo <> hi").select("h", "p")
-        left = at.join(mixed, "h")
-        ratio = F.lit(100) * F.least("n", "n2") >= F.lit(percent) * F.greatest("n", "n2")
-        if turn < PIVOTS:
-            pairs = left.select("node", "root", "n", F.col("p.node").alias("node2"), F.col("p.root").alias("root2"), F.col("p.n").alias("n2"))
-        else:
-            left = left.select("h", "node", "root", "n")
-            pairs = left.join(left.toDF("h", "node2", "root2", "n2"), "h").where("node < node2")
-        pairs = stored(pairs.where("root <> root2").where(ratio).select(*_pairs("node", "node2")).distinct().join(tested, ["a", "b"], "left_anti"))
-        if not pairs.take(1):
-            if turn < PIVOTS:
-                continue
-            break
-        new = stored(_links(docs, text, pairs, classes, size, percent))
-        tested = tested.unionByName(pairs)
-        if new.take(1):
-            links = links.unionByName(new)
-            found = stored(components(links))
+    # Round two looks at buckets whose members are in several components; a member without links is one of its own.
+    at = members.select("h", "node", "w").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = at.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.struct("w", "node", "root")).alias("p")).where("lo <> hi").select("h", F.col("p.root").alias("main"))
+    left = stored(at.join(mixed, "h").select("h", "node", "root", "main"))
+    more = stored(_cross_links(docs, text, left, classes, size, percent))
+    if more.take(1):
+        found = stored(components(links.unionByName(more)))
     return found, documents
 
 
