@@ -1,17 +1,19 @@
-"""Cross-entropy difference of two matched n-gram models.
+"""Cross-entropy difference of two matched bigram models.
 
 A target model is trained on chosen documents and a background model on all. Both
-share one vocabulary, the order (two), the smoothing and the table sizes, so that a difference of
+share one vocabulary, the order (two) and the smoothing, so that a difference of
 their losses comes from the counts alone. A document's score is the target's loss per
 token less the background's: the lower, the more it is like the target.
 
-Words are counted over all documents; the `vocabulary` most frequent ones keep their own id and the others share one.
-Counts of words and of word pairs are added up in each task and then over tasks. Pairs
-are counted in `slots` hashed slots, so a model has a fixed size (some 6 MB in all) that may be sent to all tasks.
+Every word and every pair of words is counted, in tables that grow with the corpus and stay distributed:
+nothing is cut off by frequency and pairs share no slots. Counts are added up in each task and then over tasks.
+Words go by 64-bit hashes (over a hundred million words, the chance that any two share one is below 1 in 1000). A document's
+pairs are joined to the losses of the pairs. The fewer than HOT pairs that make up more than 1 / HOT of all tokens each
+are looked up in the tasks instead of shuffled; the same share bounds the words that are broadcast.
 
-    P(w | v) = MIX * min(c(v, w), c(v)) / c(v) + (1 - MIX) * (c(w) + ADD) / (N + ADD * V)
+    P(w | v) = MIX * c(v, w) / c(v) + (1 - MIX) * (c(w) + ADD) / (N + ADD * V)
 
-Words are maximal runs of digits, letters a-z and characters from U+0080 on, after A-Z are lower-cased.
+V is the number of words, and one for all others. Words are maximal runs of digits, letters a-z and characters from U+0080 on, after A-Z are lower-cased.
 Defined cases: a null or wordless text has no tokens, losses 0 and score 0; without target documents the
 target model is uniform; of several labels of one id the largest counts; null ids, repeated rows and
 further columns stay; an empty table gives an empty table.
@@ -23,18 +25,23 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .licenses import words
-from .shared import small, stored
+from .shared import small, stored, unused
 
-VOCABULARY, SLOTS = 30_000, 1 << 19
 MIX, ADD = 0.4, 0.1
 BROADCAST_ROWS = 500_000
+HOT = 50_000
+#: Ids of the place before a text, and of words outside a vocabulary of a given size.
+START, OTHER = 0, 1
+#: Tokens that a task adds up at once.
+CHUNK = 1_000_000
 
 
 def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,92 +68,183 @@ def vocabulary(texts: DataFrame, size: int) -> list[bytes]:
 
 
 class Ids:
-    """Ids of words: 0 for those that aren't in the vocabulary; slots of pairs of ids."""
+    """Ids of words: hashes of 64 bits, or OTHER for those that aren't in the vocabulary where one is given."""
+
+    def __init__(self, known: list[bytes] | None = None):
+        self.of = {w: _hashed(w) for w in known or ()}
+        self.open = known is None
+        self._met: dict[bytes, int] = {}
+
+    def __call__(self, text: str | None) -> list[int]:
+        if not self.open:
+            return [self.of.get(w, OTHER) for w in words(text)]
+        met, out = self._met, []
+        if len(met) > 400_000:
+            met.clear()
+        for w in words(text):
+            i = met.get(w)
+            if i is None:
+                i = met[w] = _hashed(w)
+            out.append(i)
+        return out
 
-    def __init__(self, known: list[bytes], slots: int):
-        self.of = {w: i + 1 for i, w in enumerate(known)}
-        self.size, self.slots = len(known) + 1, slots
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        get = self.of.get
-        return np.array([get(w, 0) for w in words(text)], np.int64)
+def _hashed(word: bytes) -> int:
+    i = int.from_bytes(blake2b(word, digest_size=8).digest(), "little", signed=True)
+    return i if i not in (START, OTHER) else i + 2
 
-    def pairs(self, ids: np.ndarray) -> np.ndarray:
-        """The slot of each id with the one before it."""
-        x = (ids[:-1].astype(np.uint64) * np.uint64(self.size) + ids[1:].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        return ((x ^ (x >> np.uint64(29))) % np.uint64(self.slots)).astype(np.int64)
 
+def _mixed(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """A number for each pair, by which equal ones are brought together."""
+    x = v.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + w.view(np.uint64)
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], ids: Ids) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(mark, text) rows become marks, and words with the ones before them, of many texts at once: mark, v, w of each token."""
+    marks, lengths, before, after = [], [], [], []
+
+    def out() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        got = np.repeat(np.array(marks, np.int64), lengths), np.array(before, np.int64), np.array(after, np.int64)
+        for x in (marks, lengths, before, after):
+            x.clear()
+        return got
 
-def _counted(batches: Iterator[pa.RecordBatch], ids: Ids) -> Iterator[pa.RecordBatch]:
-    """(text, target) rows: how often each id, and each slot (after all ids), occurs in all and in target texts."""
-    counts = np.zeros((2, ids.size + ids.slots), np.int64)
     for batch in batches:
-        held: dict[bool, list[np.ndarray]] = {True: [], False: []}
-        for text, target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             one = ids(text)
-            held[target] += [one, ids.pairs(one) + ids.size]
-        for target, parts in held.items():
-            if parts:
-                more = np.bincount(np.concatenate(parts), minlength=counts.shape[1])
-                counts[0] += more
-                counts[1] += more * target
-    at = np.flatnonzero(counts[0])
-    for s in range(0, len(at), 100_000):
-        cut = at[s : s + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(cut), pa.array(counts[0][cut]), pa.array(counts[1][cut])], names=["at", "n", "target"])
+            if one:
+                marks.append(mark)
+                lengths.append(len(one))
+                before.append(START)
+                before += one[:-1]
+                after += one
+                if len(after) > CHUNK:
+                    yield out()
+    if after:
+        yield out()
+
+
+def _grouped(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal rows with equal keys follow one another, and where in it each run of them starts."""
+    order = np.argsort(keys)
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([c[order[1:]] != c[order[:-1]] for c in columns])
+    return order, np.flatnonzero(new)
+
+
+def _counted(batches: Iterator[pa.RecordBatch], ids: Ids) -> Iterator[pa.RecordBatch]:
+    """(target, text) rows become (v, w, n, target): how often each pair occurs in all and in target texts."""
+    for mark, v, w in _chunks(batches, ids):
+        order, starts = _grouped(_mixed(v, w), v, w)
+        n, target = np.diff(starts, append=len(order)), np.add.reduceat(mark[order], starts)
+        first = order[starts]
+        for s in range(0, len(first), 100_000):
+            cut = slice(s, s + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(x[cut]) for x in (v[first], w[first], n, target)], names=["v", "w", "n", "target"])
 
 
 @dataclass
 class Models:
     ids: Ids
-    #: Of background and target: P(w) by id, c(v) by id, c(v, w) by slot.
-    base: np.ndarray
-    before: np.ndarray
-    pair: np.ndarray
-
-    def losses(self, ids: np.ndarray) -> np.ndarray:
-        """Of background and target: the loss of each token, given the one before it."""
-        out = np.empty((2, len(ids)))
-        slots = self.ids.pairs(ids)
-        for m in (0, 1):
-            p = (1 - MIX) * self.base[m][ids]
-            seen = self.before[m][ids[:-1]]
-            p[1:] += MIX * np.minimum(self.pair[m][slots], seen) / np.maximum(seen, 1)
-            p[:1] /= 1 - MIX
-            p[1:][seen == 0] /= 1 - MIX
-            out[m] = -np.log(p)
-        return out
-
-
-def train(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = VOCABULARY, slots: int = SLOTS) -> Models:
-    """Models of all docs, and of those whose id is in target (one column)."""
-    ids = Ids(vocabulary(docs.select(text), size), slots)
+    #: (v, w, n, target): how often pairs, with START before each text, occur in all and in target documents; (id, n, target) of words.
+    pairs: DataFrame
+    words: DataFrame
+    #: Of background and target: all tokens. Words with those outside the vocabulary as one.
+    tokens: tuple[int, int]
+    size: int
+
+    def losses(self, pairs: DataFrame) -> DataFrame:
+        """(v, w, n, background, target): pairs with the losses of w after v."""
+        hot = stored(self.words.where(F.col("n") * HOT > self.tokens[0]))  # fewer than HOT rows
+
+        def counted(df: DataFrame, at: str) -> DataFrame:
+            """df with the counts n_ and t_ of the words at a column; frequent words are broadcast, and their rows dealt by other keys."""
+            df = df.join(F.broadcast(hot.select(F.col("id").alias(at), F.col("n").alias("hn"), F.col("target").alias("ht"))), at, "left")
+            df = df.withColumn("k", F.when(F.col("hn").isNull(), F.col(at)).otherwise(F.xxhash64("v", "w")))
+            df = df.join(self.words.select(F.col("id").alias("k"), F.col("n").alias("wn"), F.col("target").alias("wt")), "k", "left")
+            zero = F.lit(0).cast("long")
+            return df.withColumns({f"n_{at}": F.coalesce("hn", "wn", zero), f"t_{at}": F.coalesce("ht", "wt", zero)}).drop("k", "hn", "ht", "wn", "wt")
+
+        def loss(pair: str, seen: str, own: str, tokens: int) -> Column:
+            base = (F.col(own) + ADD) / (tokens + ADD * self.size)
+            return -F.log(F.when(F.col(seen) == 0, base).otherwise(MIX * F.col(pair) / F.col(seen) + (1 - MIX) * base))
+
+        both = counted(counted(pairs.withColumnsRenamed({"target": "t"}), "v"), "w")
+        return both.select("v", "w", "n", loss("n", "n_v", "n_w", self.tokens[0]).alias("background"), loss("t", "t_v", "t_w", self.tokens[1]).alias("target"))
+
+
+def train(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int | None = None, slots: int | None = None) -> Models:
+    """Models of all docs, and of those whose id is in target (one column).
+
+    size: None for all words, else only the most frequent ones are told apart. slots has no effect: all pairs are counted exactly.
+    """
+    ids = Ids(None if size is None else vocabulary(docs.select(text), size))
     chosen = stored(target.select(F.col(target.columns[0]).alias("id")).where("id is not null").distinct())
-    chosen = small(chosen, chosen.count(), BROADCAST_ROWS).withColumn("chosen", F.lit(True))
-    marked = docs.join(chosen, docs[doc_id] == chosen["id"], "left").select(F.col(text), F.coalesce("chosen", F.lit(False)))
-    sums = marked.mapInArrow(partial(_counted, ids=ids), "at long, n long, target long").groupBy("at").agg(F.sum("n").alias("n"), F.sum("target").alias("target")).toArrow()  # at most size + slots rows
-    counts = np.zeros((2, ids.size + slots))
-    at = sums.column("at").to_numpy()
-    counts[0, at], counts[1, at] = sums.column("n").to_numpy(), sums.column("target").to_numpy()
-    one = counts[:, : ids.size]
-    base = (one + ADD) / (one.sum(1, keepdims=True) + ADD * ids.size)
-    return Models(ids, base.astype(np.float32), one.astype(np.float32), counts[:, ids.size :].astype(np.float32))
-
-
-def _scored(batches: Iterator[pa.RecordBatch], models: Models) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for text in batch.column(batch.num_columns - 1).to_pylist():
-            ids = models.ids(text)
-            background, target = models.losses(ids).mean(1) if len(ids) else (0.0, 0.0)
-            rows.append((len(ids), float(target), float(background), float(target - background)))
-        new = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), *[pa.float64()] * 3), strict=True)] if rows else [pa.array([], k) for k in (pa.int64(), *[pa.float64()] * 3)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=[*batch.schema.names[:-1], "n_tokens", "target_loss", "background_loss", "score"])
+    chosen = small(chosen, chosen.count(), BROADCAST_ROWS).withColumn("chosen", F.lit(1))
+    marked = docs.join(chosen, docs[doc_id] == chosen["id"], "left").select(F.coalesce("chosen", F.lit(0)), F.col(text))
+    counts = [F.sum("n").alias("n"), F.sum("target").alias("target")]
+    pairs = stored(marked.mapInArrow(partial(_counted, ids=ids), "v long, w long, n long, target long").groupBy("v", "w").agg(*counts))
+    known = stored(pairs.groupBy(F.col("w").alias("id")).agg(*counts))
+    sums = known.agg(*(F.coalesce(c, F.lit(0)) for c in counts), F.count_if(F.col("id") != OTHER)).first()
+    return Models(ids, pairs, known, (sums[0], sums[1]), sums[2] + 1)
+
+
+def _parted(batches: Iterator[pa.RecordBatch], ids: Ids, hot: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """(row, text) rows become (row, v, w, c, background, target): pairs of a row, how often it has them, and for hot ones all losses together (v null)."""
+    names = ["row", "v", "w", "c", "background", "target"]
+    hot_keys = _mixed(hot["v"], hot["w"])
+    by = np.argsort(hot_keys)
+    hot_keys = hot_keys[by]
+    for row, v, w in _chunks(batches, ids):
+        key = _mixed(v, w)
+        if len(by):
+            place = by[np.minimum(np.searchsorted(hot_keys, key), len(by) - 1)]
+            common = (hot["v"][place] == v) & (hot["w"][place] == w)
+            at, place = np.flatnonzero(common), place[common]
+            if len(at):
+                starts = np.flatnonzero(np.diff(row[at], prepend=-1))  # rows are in order
+                sums = [np.add.reduceat(hot[m][place], starts) for m in ("background", "target")]
+                none = pa.nulls(len(starts), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(row[at][starts]), none, none, pa.array(np.diff(starts, append=len(at))), *map(pa.array, sums)], names=names)
+            row, v, w, key = (x[~common] for x in (row, v, w, key))
+        if not len(row):
+            continue
+        order, starts = _grouped(key ^ (row.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), row, v, w)
+        n = np.diff(starts, append=len(order))
+        first = order[starts]
+        back = np.argsort(first)  # in order of rows, which packs better
+        first, n = first[back], n[back]
+        for s in range(0, len(first), 100_000):
+            cut = slice(s, s + 100_000)
+            none = pa.nulls(len(first[cut]), pa.float64())
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[cut]) for x in (row[first], v[first], w[first], n)), none, none], names=names)
+
+
+def _summed(rows: DataFrame, models: Models, pairs: DataFrame) -> DataFrame:
+    """(row, tokens, background, target, unseen) of (row, text): sums of losses; unseen tokens are in pairs that the given ones lack."""
+    losses = models.losses(pairs)
+    frequent = models.losses(stored(pairs.where(F.col("n") * HOT > models.tokens[0]))).toArrow()  # fewer than HOT rows
+    hot = {c: frequent.column(c).to_numpy() for c in ("v", "w", "background", "target")}
+    parts = rows.mapInArrow(partial(_parted, ids=models.ids, hot=hot), "row long, v long, w long, c long, background double, target double")
+    cold = losses.where(F.col("n") * HOT <= models.tokens[0]).select("v", "w", F.col("background").alias("b"), F.col("target").alias("t"))
+    dealt = parts.withColumns({"v": F.coalesce("v", F.xxhash64("row")), "w": F.coalesce("w", F.lit(START))})  # no word is START
+    both = dealt.join(cold, ["v", "w"], "left").select("row", "c", F.coalesce("background", F.col("c") * F.col("b")).alias("background"), F.coalesce("target", F.col("c") * F.col("t")).alias("target"))
+    return stored(both.groupBy("row").agg(F.sum("c").alias("tokens"), F.sum("background").alias("background"), F.sum("target").alias("target"), F.sum(F.when(F.col("background").isNull(), F.col("c")).otherwise(0)).alias("unseen")))
 
 
 def score(docs: DataFrame, models: Models, text: str = "text") -> DataFrame:
     """docs with, in place of the text: n_tokens, target_loss, background_loss and their difference, score; columns of docs with these names are replaced."""
     docs = docs.drop("n_tokens", "target_loss", "background_loss", "score")
-    others = docs.drop(text)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others.schema), "n_tokens long, target_loss double, background_loss double, score double"])
-    return docs.select(*others.columns, text).mapInArrow(partial(_scored, models=models), schema)
+    others = docs.drop(text).columns
+    row, mine, b, t, n = unused(docs, "row", "mine", "b", "t", "n")
+    held = stored(docs.withColumn(row, F.monotonically_increasing_id()))
+    rows = held.select(F.col(row).alias("row"), F.col(text).alias("text"))
+    sums = _summed(rows, models, models.pairs)
+    if sums.where("unseen > 0").limit(1).count():  # texts that the models were not trained on: their pairs count 0
+        more = rows.select(F.lit(0), "text").mapInArrow(partial(_counted, ids=models.ids), "v long, w long, n long, target long").select("v", "w", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("target"))
+        sums = _summed(rows, models, stored(models.pairs.unionByName(more).groupBy("v", "w").agg(F.sum("n").alias("n"), F.sum("target").alias("target"))))
+    sums = sums.select(F.col("row").alias(mine), F.col("tokens").alias(n), (F.col("background") / F.col("tokens")).alias(b), (F.col("target") / F.col("tokens")).alias(t))
+    got = held.select(row, *others).join(sums, F.col(row) == F.col(mine), "left")
+    zero = F.lit(0.0)
+    return got.select(*others, F.coalesce(n, F.lit(0).cast("long")).alias("n_tokens"), F.coalesce(t, zero).alias("target_loss"), F.coalesce(b, zero).alias("background_loss"), F.coalesce(F.col(t) - F.col(b), zero).alias("score"))

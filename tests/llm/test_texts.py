@@ -202,6 +202,35 @@ def test_model_scores_follow_the_counts(spark, docs):
         assert got[i].target_loss == pytest.approx(loss(tokens[i], [tokens[1], tokens[1]]), rel=1e-4)
 
 
+def test_no_word_or_pair_shares_its_count(spark, docs):
+    rng = random.Random(8)
+    names = [f"w{i}" for i in range(40_000)]
+    texts = [(i, " ".join(names[i * 100 : i * 100 + 100])) for i in range(400)]
+    texts += [(400 + i, " ".join(rng.choices(names, k=3000))) for i in range(220)] + [(700, "x y x y x")]
+    models = lm.train(docs(texts), spark.createDataFrame([(0,), (700,)], "doc_id long"))
+    fresh = [(900, "w7 w7 unheard w8"), (901, None)]
+    got = {r.doc_id: r for r in lm.score(docs(texts + fresh), models).collect()}
+    one, two, n = [defaultdict(int), defaultdict(int)], [defaultdict(int), defaultdict(int)], [0, 0]
+    for i, t in texts:
+        for m in (0, 1) if i in (0, 700) else (0,):
+            w = plain_words(t)
+            n[m] += len(w)
+            for k, x in enumerate(w):
+                one[m][x] += 1
+                two[m][tuple(w[k - 1 : k + 1])] += k > 0
+    size = len(one[0]) + 1
+    assert size > 30_000 and len(two[0]) > 1 << 19
+    for i, t in [texts[0], texts[5], texts[450], texts[-1], fresh[0]]:
+        w = plain_words(t)
+        for m, loss in ((0, got[i].background_loss), (1, got[i].target_loss)):
+            out = []
+            for k, x in enumerate(w):
+                base, seen = (one[m][x] + lm.ADD) / (n[m] + lm.ADD * size), one[m][w[k - 1]] if k else 0
+                out.append(lm.MIX * two[m][w[k - 1], x] / seen + (1 - lm.MIX) * base if seen else base)
+            assert loss == pytest.approx(-np.log(out).mean(), rel=1e-9)
+    assert got[901].n_tokens == 0
+
+
 def test_one_more_shard_only_takes_rows(docs):
     texts = [(i % 300, f"text {i}") for i in range(600)] + [(None, None), (None, None)]
     got = sharding.assign(docs(texts)).collect()
