@@ -4,12 +4,12 @@ Vectors are compared only within a label and a dimension. Equal vectors form one
 Lists of neighbours start from buckets of random hyperplanes, small enough to compare all in them;
 then, round by round, each node's neighbours (in either direction) are compared with
 one another, and every node keeps its best `k`: neighbours of neighbours are
-likely neighbours. Rounds end when few lists change. Nodes whose whole list passes the threshold are
-saturated: their lists are enlarged and compared again.
+likely neighbours. Rounds end when few lists change.
 
-Pairs at or above the threshold are links, and links give components. Within a component,
-blocks of vectors are compared with blocks, exactly, which enlarges all its lists to
-the whole component; pairs are only counted there. A sample of nodes is then compared
+Pairs at or above the threshold are links, and links give components. Lists that are full of links hide further ones, so
+vectors of different components are then compared as well, in blocks, exactly; only pairs of blocks whose
+balls are too far apart for any link are left out. Within a component,
+blocks of vectors are compared with blocks, exactly, and pairs are only counted. A sample of nodes is then compared
 with all rows; if fewer than `recall` of its links lie within the found components, the search goes on with further
 buckets, and what the audit found is linked as well.
 
@@ -118,15 +118,13 @@ def _best(edges: DataFrame, k: int) -> DataFrame:
     return edges.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
 
 
-def _neighbours(graph: DataFrame, nodes: DataFrame, k: int, only: DataFrame | None = None) -> DataFrame:
+def _neighbours(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """Lists of the neighbours of each node, in either direction, with the node itself."""
     last = graph.groupBy("a").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(F.lit(-2.0)).alias("kth"))
     known = nodes.select("node", "vec").join(last, nodes["node"] == last["a"], "left").select("node", "vec", F.coalesce("kth", F.lit(-2.0)).alias("kth"))
     both = graph.unionByName(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")).groupBy("a", "b").agg(F.max("sim").alias("sim"))
     both = _best(both, 2 * k).select(F.col("a").alias("at"), F.col("b").alias("node"))
     both = both.unionByName(both.select("at").distinct().select("at", F.col("at").alias("node")))
-    if only is not None:
-        both = both.join(only, "at", "left_semi")
     return both.join(known, "node").groupBy("at").agg(F.collect_list(F.struct("node", "vec", "kth")).alias("members"))
 
 
@@ -145,9 +143,69 @@ def search(nodes: DataFrame, threshold: float, k: int, seed: int, size: int) ->
         graph = stored(_best(graph.unionByName(new), k))
         if changed <= CHANGES * k * size:
             break
-    full = graph.groupBy("a").agg(F.count("*").alias("n"), F.min("sim").alias("kth")).where((F.col("n") >= k) & (F.col("kth") >= threshold)).select(F.col("a").alias("at"))
-    wide = _compare(_neighbours(graph, nodes, k, stored(full)), 4 * k, threshold)
-    return stored(links.unionByName(_links(wide, threshold)).distinct())
+    return stored(links.distinct())
+
+
+def _balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of members get a center and a radius: no member is further from it, as an angle."""
+    for batch in batches:
+        starts, _, offsets, values = _members(batch.column("members"))
+        centers, radii = [], []
+        for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            x = _unit(values[offsets[s] : offsets[e]], int(offsets[s + 1] - offsets[s]))
+            c = x.sum(0)
+            c = c / np.linalg.norm(c) if np.linalg.norm(c) > 1e-9 else x[0]
+            centers.append(c)
+            radii.append(float(np.arccos(np.clip(x @ c, -1, 1)).max()))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(centers, pa.list_(pa.float64())), pa.array(radii, pa.float64())], names=[*batch.schema.names, "center", "radius"])
+
+
+def _bridged(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of blocks (mine, other) of members (node, vec, root) become the pairs of roots (a, b) that their links join, without those that others imply."""
+    for batch in batches:
+        found: list[tuple[str, str]] = []
+        (s1, f1, o1, v1), (s2, f2, o2, v2) = (_members(batch.column(i)) for i in (0, 1))
+        for i in range(len(batch)):
+            a, b, c, d = s1[i], s1[i + 1], s2[i], s2[i + 1]
+            dim = int(o1[a + 1] - o1[a])
+            at, to = np.nonzero(_unit(v1[o1[a] : o1[b]], dim) @ _unit(v2[o2[c] : o2[d]], dim).T >= threshold)
+            names, code = np.unique([*f1.field("root").slice(a, b - a).to_pylist(), *f2.field("root").slice(c, d - c).to_pylist()], return_inverse=True)
+            pairs = np.unique(np.stack([code[at], code[b - a + to]], 1), axis=0)
+            top = list(range(len(names)))
+            for x, y in pairs[pairs[:, 0] != pairs[:, 1]].tolist():
+                ends = []
+                for z in (x, y):
+                    while top[z] != z:
+                        top[z] = z = top[top[z]]
+                    ends.append(z)
+                if ends[0] != ends[1]:
+                    top[ends[0]] = ends[1]
+                    found.append((str(names[x]), str(names[y])))
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.string())], names=["a", "b"])
+
+
+def bridges(nodes: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of roots (a, b) whose components are linked: every vector is compared with all of other components.
+
+    Blocks hold one component, or several small ones. Two blocks are left uncompared only where their balls
+    are further apart than a link can reach, or where both lie in one component.
+    """
+    whole = nodes.select("node", "label", "dim", "vec").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    large = whole.groupBy("root").count().where(2 * F.col("count") >= BLOCK).select("root", F.col("root").alias("own"))
+    whole = stored(whole.join(large, "root", "left").withColumn("own", F.coalesce("own", F.lit(""))))
+    key = ["label", "dim", "own"]
+    sizes = whole.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = whole.join(sizes, key).withColumn("block", F.pmod(F.xxhash64(F.when(F.col("own") == "", F.col("root")).otherwise(F.col("node"))), F.col("blocks")))
+    blocks = dealt.groupBy(*key, "block").agg(F.collect_list(F.struct("node", "vec", "root")).alias("members"))
+    kinds = "label string, dim int, own string, block long, members array<struct<node:string,vec:array<double>,root:string>>, center array<double>, radius double"
+    blocks = stored(blocks.mapInArrow(_balls, kinds).withColumn("id", F.concat_ws(" ", "label", "dim", "own", "block")))
+    one, two = (blocks.select("label", "dim", *(F.col(c).alias(c + n) for c in ("id", "own", "center", "radius"))) for n in "12")
+    cosine = F.aggregate(F.zip_with("center1", "center2", lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y)
+    reached = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))) - F.col("radius1") - F.col("radius2") <= float(np.arccos(threshold)) + 1e-6
+    apart = (F.col("id1") < F.col("id2")) & ((F.col("own1") == "") | (F.col("own1") != F.col("own2"))) | (F.col("id1") == F.col("id2")) & (F.col("own1") == "")
+    pairs = stored(one.join(two, ["label", "dim"]).where(apart & reached).select("id1", "id2"))
+    held = pairs.join(blocks.select(F.col("id").alias("id1"), F.col("members").alias("mine")), "id1").join(blocks.select(F.col("id").alias("id2"), F.col("members").alias("other")), "id2")
+    return held.select("mine", "other").mapInArrow(partial(_bridged, threshold=threshold), "a string, b string").distinct()
 
 
 def _audited(batches: Iterator[pa.RecordBatch], sample: list[tuple[str, str, np.ndarray]], threshold: float) -> Iterator[pa.RecordBatch]:
@@ -213,6 +271,8 @@ def link(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding
         found = search(nodes, threshold, k, seed, size)
         links = found if links is None else links.unionByName(found)
         roots = components(links)
+        links = links.unionByName(stored(bridges(nodes, roots, threshold)))
+        roots = components(links)
         true = stored(audit(nodes, threshold))
         at = true.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
         have = at.agg(F.count("*").alias("n"), F.count_if(F.coalesce("ra", "a") == F.coalesce("rb", "b")).alias("found")).first()

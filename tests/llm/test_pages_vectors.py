@@ -94,3 +94,17 @@ def test_links_of_vectors_are_those_of_all_pairs(spark):
     want = sorted(repr((i, k, least.get(g))) for (i, _, _), k, g in zip(rows, n, group, strict=True))
     got = embeddings.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
     assert sorted(repr((r.vec_id, r.n_links, r.component_id)) for r in got.collect()) == want
+
+
+def test_one_link_between_two_tight_groups_is_found(spark):
+    rng = np.random.default_rng(6)
+
+    def near(degrees):
+        x = 0.002 * rng.standard_normal(16)
+        x[:2] += [np.cos(np.radians(degrees)), np.sin(np.radians(degrees))]
+        return x.tolist()
+
+    rows = [(1000 * label + i, near(at), label) for label in range(6) for i, at in enumerate([0.0] * 199 + [25.84] * 199 + [3.0, 23.84])]
+    got = embeddings.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r.component_id for r in got} == {1000 * label for label in range(6)}
+    assert all(r.n_links == 199 + (r.vec_id % 1000 >= 398) for r in got)
