@@ -9,9 +9,8 @@ likely neighbours. Rounds end when few lists change.
 Pairs at or above the threshold are links, and links give components. Lists that are full of links hide further ones, so
 vectors of different components are then compared as well, in blocks, exactly; only pairs of blocks whose
 balls are too far apart for any link are left out. Within a component,
-blocks of vectors are compared with blocks, exactly, and pairs are only counted. A sample of nodes is then compared
-with all rows; if fewer than `recall` of its links lie within the found components, the search goes on with further
-buckets, and what the audit found is linked as well.
+blocks of vectors are compared with blocks, exactly, and pairs are only counted. So no link is missed,
+whatever buckets and lists have passed over: they only decide how much is left to compare.
 
 Defined cases: a vector that is null, empty, zero or holds null or non-finite components links with nothing, nor does
 one with a null label; vectors of different dimensions don't link; repeated rows are copies; null ids and further columns
@@ -34,9 +33,7 @@ from .shared import stored
 THRESHOLD, K = 0.93, 10
 #: Tables of hyperplane buckets of a search, most bits of a bucket's code, aimed rows of a bucket and rows beyond which one is split.
 TABLES, BITS, BUCKET, SPLIT = 10, 24, 24, 64
-ROUNDS, SEARCHES, CHANGES = 4, 3, 0.01
-#: Nodes of the audit (this bounds what is sent to all tasks), and links of theirs that must be found.
-AUDITED, RECALL = 256, 0.99
+ROUNDS, CHANGES = 4, 0.01
 BLOCK = 256
 
 
@@ -208,29 +205,6 @@ def bridges(nodes: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
     return held.select("mine", "other").mapInArrow(partial(_bridged, threshold=threshold), "a string, b string").distinct()
 
 
-def _audited(batches: Iterator[pa.RecordBatch], sample: list[tuple[str, str, np.ndarray]], threshold: float) -> Iterator[pa.RecordBatch]:
-    by: dict[tuple[str, int], tuple[list[str], np.ndarray]] = {}
-    for label, dim in {(x[1], len(x[2])) for x in sample}:
-        mine = [x for x in sample if (x[1], len(x[2])) == (label, dim)]
-        by[label, dim] = [x[0] for x in mine], _unit(np.concatenate([x[2] for x in mine]), dim)
-    for batch in batches:
-        a, b = [], []
-        for node, label, vec in zip(*(batch.column(n).to_pylist() for n in ("node", "label", "vec")), strict=True):
-            if (label, len(vec)) in by:
-                names, x = by[label, len(vec)]
-                for i in np.flatnonzero(x @ _unit(np.array(vec), len(vec))[0] >= threshold).tolist():
-                    if names[i] != node:
-                        a.append(names[i])
-                        b.append(node)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["a", "b"])
-
-
-def audit(nodes: DataFrame, threshold: float) -> DataFrame:
-    """All links (a, b) of at most AUDITED nodes, by comparing them with every node."""
-    picked = [(r.node, r.label, np.array(r.vec)) for r in nodes.select("node", "label", "vec").orderBy(F.xxhash64("node"), "node").limit(AUDITED).collect()]
-    return nodes.select("node", "label", "vec").mapInArrow(partial(_audited, sample=picked, threshold=threshold), "a string, b string")
-
-
 def _counted(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """Pairs of blocks (mine, other) of members (node, vec, n) become (node, linked rows of other)."""
     for batch in batches:
@@ -258,7 +232,7 @@ def _degrees(nodes: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
     return pairs.select("mine", "other").mapInArrow(partial(_counted, threshold=threshold), "node string, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
-def link(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = THRESHOLD, k: int = K, recall: float = RECALL) -> DataFrame:
+def link(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = THRESHOLD, k: int = K) -> DataFrame:
     """A row for each vector: vec_id, n_links, component_id (smallest id reachable), kept."""
     vec = F.col(embedding).cast("array<double>")
     fine = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (F.aggregate(vec, F.lit(0.0), lambda a, x: a + x * x) > 0) & F.col(label).isNotNull()
@@ -266,21 +240,9 @@ def link(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding
     rows = stored(vectors.select(F.col(vec_id).alias("id"), F.when(F.coalesce(fine, F.lit(False)), name).alias("node"), F.col(label).cast("string").alias("label"), vec.alias("vec")))
     nodes = stored(rows.where("node is not null").groupBy("node").agg(F.first("label").alias("label"), F.first("vec").alias("vec"), F.size(F.first("vec")).alias("dim"), F.count("*").alias("n"), F.min("id").alias("least")))
     size = nodes.count()
-    links = None
-    for seed in range(SEARCHES):
-        found = search(nodes, threshold, k, seed, size)
-        links = found if links is None else links.unionByName(found)
-        roots = components(links)
-        links = links.unionByName(stored(bridges(nodes, roots, threshold)))
-        roots = components(links)
-        true = stored(audit(nodes, threshold))
-        at = true.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
-        have = at.agg(F.count("*").alias("n"), F.count_if(F.coalesce("ra", "a") == F.coalesce("rb", "b")).alias("found")).first()
-        if have.found < have.n:
-            links = links.unionByName(true)
-            roots = components(links)
-        if have.found >= recall * have.n:
-            break
+    links = search(nodes, threshold, k, 0, size)
+    links = links.unionByName(stored(bridges(nodes, components(links), threshold)))
+    roots = components(links)
     tops = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = tops.groupBy("root").agg(F.min("least").alias("component"))
     known = nodes.select("node", "n").join(tops.select("node", "root"), "node").join(least, "root").join(_degrees(nodes, roots, threshold), "node", "left")

@@ -108,3 +108,20 @@ def test_one_link_between_two_tight_groups_is_found(spark):
     got = embeddings.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
     assert {r.component_id for r in got} == {1000 * label for label in range(6)}
     assert all(r.n_links == 199 + (r.vec_id % 1000 >= 398) for r in got)
+
+
+def test_pairs_that_no_bucket_or_list_holds_are_found(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "TABLES", 1)
+    monkeypatch.setattr(embeddings, "SPLIT", 2)
+    monkeypatch.setattr(embeddings, "ROUNDS", 0)
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(700):
+        x = rng.standard_normal(16)
+        rows += [(2 * i, x.tolist(), 0), (2 * i + 1, (x + 0.02 * rng.standard_normal(16)).tolist(), 0)]
+    x = np.array([v for _, v, _ in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    over = x @ x.T >= 0.93
+    assert over.sum() == 4 * 700
+    got = embeddings.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert all(r.n_links == 1 and r.component_id == r.vec_id // 2 * 2 for r in got) and len(got) == 1400
