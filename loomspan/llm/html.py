@@ -3,8 +3,8 @@
 The page is read into a tree that forgives missing end tags. Each paragraph (a run of text
 in one block) passes points for its length and commas to its parent and half of them to
 the one above. A container's score is discounted by its share of linked text; the best
-container is kept, with those siblings that score well or are long paragraphs without links. Where that
-lies in an article or main element, the whole element is kept.
+container is kept, with its siblings and the text beside them, except what is mostly links. Where that
+lies in an article or main element, the whole element is kept, and an article's sibling articles.
 
 Left out on the way: scripts, styles, forms, menus, headers and footers of the page, sidebars,
 notices, adverts, hidden parts and reader comments, by element, role or the words
@@ -78,6 +78,8 @@ class Page:
         self._stack = [(0, "#", False)]
         self._held: list[tuple[str, bool]] = []
         self._links = self._articles = 0
+        self._aside: set[int] = set()  # articles whose names mark them, such as comments
+        self.loose = -1  # the parent of what is kept, where text beside it stays
         self._read(html)
 
     def _flush(self) -> None:
@@ -135,6 +137,8 @@ class Page:
         self.tag.append(tag)
         self.end.append(len(self.tag) - 1)
         self._stack.append((len(self.tag) - 1, tag, hidden))
+        if tag == "article" and _marked("div", attributes):
+            self._aside.add(len(self.tag) - 1)
         self._links += tag == "a"
         self._articles += tag in ("article", "main")
 
@@ -211,15 +215,16 @@ class Page:
                     break
             up = self.parent[up]
         if whole >= 0:
-            return [whole]
+            return [n for n in articles if n == whole or self.tag[n] == self.tag[whole] == "article" and self.parent[n] == self.parent[whole] and n not in self._aside]
         if self.tag[top] in ("html", "body", "#"):
             return [top]
         least = max(10.0, 0.2 * score[top])
         kept = {top}
+        self.loose = self.parent[top]
         for n in size:
             if n != top and self.parent[n] == self.parent[top]:
                 mine, linked = size[n]
-                if score.get(n, 0.0) >= least or self.tag[n] in PARAGRAPHS and (mine > 80 and linked < 0.25 * mine or self.tag[n][0] == "h"):
+                if 2 * linked < mine or score.get(n, 0.0) >= least or self.tag[n] in PARAGRAPHS and self.tag[n][0] == "h":
                     kept.add(n)
         return sorted(kept)
 
@@ -227,7 +232,7 @@ class Page:
         if not self.blocks:
             return ""
         kept = self.best()
-        return "\n".join(t for node, t, _ in self.blocks if any(root <= node <= self.end[root] for root in kept))
+        return "\n".join(t for node, t, linked in self.blocks if any(root <= node <= self.end[root] for root in kept) or node == self.loose and 2 * linked < len(t))
 
 
 def main_text(html: str | None) -> str:

@@ -125,3 +125,12 @@ def test_pairs_that_no_bucket_or_list_holds_are_found(spark, monkeypatch):
     assert over.sum() == 4 * 700
     got = embeddings.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
     assert all(r.n_links == 1 and r.component_id == r.vec_id // 2 * 2 for r in got) and len(got) == 1400
+
+
+def test_short_sections_and_further_articles_stay():
+    long = "<p>" + "Words of a long paragraph, in a section, with commas, " * 6 + "</p>"
+    page = f"<div><div>{long * 10}</div><div><p>A short section that is part of the text, too</p></div><p>Tiny.</p><div><a href=x>more</a> <a href=y>links</a></div>loose words</div>"
+    got = html.main_text(page).split("\n")
+    assert got[10:] == ["A short section that is part of the text, too", "Tiny.", "loose words"] and len(got) == 13
+    page = f"<main><article>{long * 3}</article><article><p>Second, short one.</p></article><article class=comment><p>Nice.</p></article></main>"
+    assert html.main_text(page).split("\n")[3:] == ["Second, short one."]
