@@ -177,7 +177,8 @@ class Scanner:
                     more = min(length, end - c[1], place - c[3])
                     if more > 0 and c[0] + more > best[0]:
                         best = [c[0] + more, end, c[2], place]
-                chains[n] = [*open_, best][-8:] if len(open_) > 8 else [*open_, best]
+                # A chain goes only where any run that extends it covers more when it extends the best one.
+                chains[n] = [*(c for c in open_ if best[1] > c[1] or best[0] - c[0] <= place - c[3]), best]
                 share = best[0] / sizes[n]
                 if share > spans.get(n, (0.0, 0, 0))[0]:
                     spans[n] = (share, best[2], place)

@@ -139,6 +139,14 @@ def test_the_automaton_knows_the_longest_run_of_template_words():
             assert length == longest and (not longest or set(automaton.places[state]) == ends[longest])
 
 
+def test_short_runs_do_not_evict_a_long_one():
+    repeated = [w for i in range(10) for w in ("x", "y", "z", f"s{i}")]
+    one, two = [f"a{i}" for i in range(100)], [f"b{i}" for i in range(140)]
+    scanner = licenses.Scanner({}, {"own": [" ".join(repeated + one + two)]})
+    _, spans = scanner(licenses.words(" ".join([*one, "other", "x", "y", "z", "other", *two])))
+    assert spans[0] == (240 / 280, 0, 244)
+
+
 def test_toxic_words_and_hidden_patterns_are_learned(spark, docs):
     rng = random.Random(5)
     words = [f"wo{rng.randrange(500)}" for _ in range(400)]
