@@ -8,8 +8,12 @@ only on what follows its start, so from a common boundary on both agree. The pie
 between such boundaries are encoded; ids are concatenated in order, and decoding
 concatenates the raw bytes of the ids.
 
-Where neighbours share no boundary (one pre-token longer than the overlap), the
-rest of that text is encoded as a single piece, so results stay exact.
+Where neighbours share no boundary (a pre-token as long as the overlap), the piece goes on to the
+first place of a later chunk where a space or line feed follows another character: no pre-token spans
+such a place, wherever matching began. So results stay exact, and only the run itself is held whole.
+
+Stretches of more than WHOLE characters without such a place are matched by another module first, and
+each pre-token is merged alone, so that runs of millions of characters are safe.
 
 Defined cases: a null text counts as empty and gives no ids; equal long texts are
 encoded once and given to each of their rows; repeated rows, null ids and further
@@ -20,6 +24,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,6 +38,10 @@ from .shared import unused
 #: Characters of a chunk, and characters that it shares with the next.
 CHUNK, OVERLAP = 1 << 15, 256
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+#: Characters that the library's own matcher is given at once: it keeps a stack as deep as a run is long.
+WHOLE = 20_000
+#: No pre-token spans such a place.
+_CUT = re.compile(r"(?<=\S)[ \n]")
 
 
 @lru_cache(2)
@@ -47,7 +56,25 @@ def _codec(path: str):
 
 
 def encode(text: str, path: str = RANKS) -> list[int]:
-    return _codec(path)[0].encode_ordinary(text)
+    """Ids of a text of any length; runs of any length are safe."""
+    enc = _codec(path)[0]
+    if len(text) <= WHOLE:
+        return enc.encode_ordinary(text)
+    import regex
+
+    out: list[int] = []
+    at = 0
+    while at < len(text):
+        cut = _CUT.search(text, at + WHOLE // 2)
+        to = cut.start() if cut else len(text)
+        part = text[at:to]
+        if len(part) <= WHOLE:
+            out += enc.encode_ordinary(part)
+        else:
+            for m in regex.finditer(public_tokenizers.PATTERN, part):
+                out += enc._core_bpe.encode_single_piece(m[0].encode())
+        at = to
+    return out
 
 
 def decode(ids: list[int], path: str = RANKS) -> bytes:
@@ -61,7 +88,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, digests: bool) -> Ite
     for batch in batches:
         n, ids, raw = [], [], []
         for text in batch.column(batch.num_columns - 1).to_pylist():
-            got = enc.encode_ordinary(text or "")
+            got = encode(text or "", path)
             joined, decoded = " ".join(map(names.__getitem__, got)), enc.decode_bytes(got)
             n.append(len(got))
             ids.append(hashlib.sha256(joined.encode()).hexdigest() if digests else joined)
@@ -80,8 +107,8 @@ def _split(batches: Iterator[pa.RecordBatch], chunk: int, overlap: int) -> Itera
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[at : at + 64], strict=True)], names=names)
 
 
-def boundaries(part: str, start: int, last: bool, chunk: int, overlap: int) -> tuple[list[int], list[int]]:
-    """Ends of pre-tokens of a chunk, as offsets in the text: within the overlap with the chunk before, and with the one after.
+def boundaries(part: str, start: int, last: bool, chunk: int, overlap: int) -> tuple[list[int], list[int], int | None]:
+    """Ends of pre-tokens of a chunk, as offsets in the text: within the overlap with the chunk before, and with the one after; and its first sure place beyond the former.
 
     In the second list no white space stands before a boundary, so that the piece that ends there is
     split alone as it is in the text; where boundaries before white space exist, only these count.
@@ -97,16 +124,16 @@ def boundaries(part: str, start: int, last: bool, chunk: int, overlap: int) -> t
             tail.append(e)
     if plain := [e for e in tail if part[e] in " \n\t\r"]:
         tail = plain
-    return head, [start + e for e in tail]
+    sure = _CUT.search(part, overlap + 1, chunk)
+    return head, [start + e for e in tail], start + sure.start() if sure else None
 
 
 def _bounded(batches: Iterator[pa.RecordBatch], chunk: int, overlap: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = batch.to_pydict()
         both = [boundaries(*x, chunk, overlap) for x in zip(rows["part"], rows["start"], rows["last"], strict=True)]
-        lists = pa.list_(pa.int64())
-        new = [pa.array([b[k] for b in both], lists) for k in (0, 1)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "head", "tail"])
+        new = [pa.array([b[k] for b in both], kind) for k, kind in enumerate((pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64()))]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "head", "tail", "sure"])
 
 
 def pieces(texts: DataFrame, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -116,17 +143,31 @@ def pieces(texts: DataFrame, chunk: int = CHUNK, overlap: int = OVERLAP) -> Data
     parts = (
         texts.mapInArrow(lambda b: _split(b, chunk, overlap), "digest string, idx long, start long, last boolean, part string")
         .dropDuplicates(["digest", "idx"])
-        .mapInArrow(lambda b: _bounded(b, chunk, overlap), "digest string, idx long, start long, last boolean, part string, head array<long>, tail array<long>")
+        .mapInArrow(lambda b: _bounded(b, chunk, overlap), "digest string, idx long, start long, last boolean, part string, head array<long>, tail array<long>, sure long")
     )
     order = Window.partitionBy("digest").orderBy("idx")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
+    now = order.rowsBetween(Window.unboundedPreceding, 0)
     cut = F.array_min(F.array_intersect("tail", F.lead("head").over(order)))
+    known = F.coalesce(F.max(F.when((F.col("idx") == 0) | F.col("sure").isNotNull(), F.col("idx"))).over(now), F.lit(0))
+    parts = parts.withColumn("cut", F.when(~F.col("last"), cut)).withColumn("lost", F.max(F.when(F.col("cut").isNull(), F.col("idx"))).over(before))
+    # A chunk's boundaries count from its sure place, or from where a chunk whose boundaries count was stitched to it.
+    parts = parts.withColumn("cut", F.when(F.coalesce("lost", F.lit(-1)) < known, F.col("cut")))
+    parts = parts.withColumn("came", F.lag("cut").over(order))
+    parts = parts.withColumn("begin", F.when(F.col("idx") == 0, F.lit(0)).otherwise(F.coalesce("came", "sure") - F.col("start")))
+    parts = parts.withColumn("end", F.when(F.col("last"), F.length("part")).when(F.col("cut").isNotNull(), F.col("cut") - F.col("start")).otherwise(F.lit(chunk)))
+    opens = F.when(F.col("begin").isNotNull(), F.col("idx"))
+    parts = parts.withColumns({"piece": F.max(opens).over(now), "open": F.max(opens).over(before)})
+    # What lies before a sure place, or a whole chunk without one, continues the piece that is open.
+    joins = F.when(F.col("begin").isNull(), F.col("end")).when(F.col("came").isNull() & (F.col("idx") > 0), F.col("begin"))
+    sides = F.array(
+        F.struct(F.col("open").alias("piece"), F.substring("part", F.lit(1), F.coalesce(joins, F.lit(0)).cast("int")).alias("part")),
+        F.struct("piece", F.substring("part", (F.coalesce("begin", "end") + 1).cast("int"), (F.col("end") - F.coalesce("begin", "end")).cast("int")).alias("part")),
+    )
     return (
-        parts.withColumn("cut", F.when(~F.col("last"), cut))
-        .withColumn("lost", F.min(F.when(F.col("cut").isNull() & ~F.col("last"), F.col("idx"))).over(before))
-        .withColumn("begin", F.when(F.col("lost").isNull() & (F.col("idx") > 0), F.lag("cut").over(order) - F.col("start")).otherwise(F.lit(0)).cast("int"))
-        .withColumn("end", F.when(F.col("lost").isNull() & F.col("cut").isNotNull(), F.col("cut") - F.col("start")).when(F.col("last"), F.length("part")).otherwise(F.lit(chunk)).cast("int"))
-        .select("digest", "idx", F.coalesce("lost", "idx").alias("piece"), F.substring("part", F.col("begin") + 1, F.col("end") - F.col("begin")).alias("part"))
+        parts.select("digest", "idx", F.explode(sides).alias("x"))
+        .select("digest", "idx", "x.piece", "x.part")
+        .where("part <> ''")
         .groupBy("digest", "piece")
         .agg(F.array_sort(F.collect_list(F.struct("idx", "part"))).alias("parts"))
         .select("digest", "piece", F.array_join("parts.part", "").alias("text"))

@@ -28,6 +28,38 @@ def test_chunks_are_encoded_as_whole_texts_are(docs, chunk, overlap):
     assert sorted(map(repr, ((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got.collect()))) == sorted(map(repr, want))
 
 
+def test_runs_of_millions_of_characters_are_encoded(docs):
+    import public_tokenizers
+    import regex
+
+    n = 2_000_000
+    texts = ["x" + " " * n, "\n" * n, "a" * n, "中" * 1_000_000, "word " * 30_000 + " " * 100_000 + "end. 12" * 9_000 + "é" * 70_000 + " tail" * 9_000, "x" + " " * 100_000 + "y's " * 100]
+    one = bpe._codec(bpe.RANKS)[0]._core_bpe.encode_single_piece
+    want = []
+    for i, t in enumerate(texts):
+        ids = [k for m in regex.finditer(public_tokenizers.PATTERN, t) for k in one(m[0].encode())]
+        want.append((i, len(ids), digest(" ".join(map(str, ids))), digest(t)))
+        assert bpe.encode(t) == ids
+    got = bpe.encode_table(docs(list(enumerate(texts))).repartition(3))
+    assert sorted((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got.collect()) == want
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_pieces_join_to_the_text_and_encode_alone(docs, seed):
+    rng = random.Random(seed)
+    texts = []
+    for i in range(30):
+        parts = [rng.choice([" ", "\n", "  \n ", "a", "bcd", "12", "'s", "!?", "é", "\xa0", "\x1c"]) * rng.choice([1, 1, 2, 3, 40, 90]) for _ in range(rng.randrange(1, 40))]
+        texts.append((i, "".join(parts)))
+    table = docs(texts).select(F.col("doc_id").cast("string").alias("digest"), "text")
+    joined = defaultdict(list)
+    for r in sorted(bpe.pieces(table, 64, 16).collect(), key=lambda r: (r.digest, r.piece)):
+        joined[int(r.digest)].append(r.text)
+    for i, t in texts:
+        assert "".join(joined[i]) == t
+        assert [k for x in joined[i] for k in bpe.encode(x)] == bpe.encode(t)
+
+
 def test_no_texts_give_no_rows(spark, docs):
     none = docs([])
     bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
