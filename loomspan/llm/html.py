@@ -1,23 +1,31 @@
 """Main text of web pages by tree scoring.
 
 The page is read into a tree that forgives missing end tags. Each paragraph (a run of text
-in one block) passes points for its length and commas to its parent and half of them to
-the one above. A container's score is discounted by its share of linked text; the best
-container is kept, with its siblings and the text beside them, except what is mostly links. Where that
-lies in an article or main element, the whole element is kept, and an article's sibling articles.
+in one block) gets points for its length and commas, less its share of linked text, and passes them to its ancestors:
+all to the first, half to the next and so on, LEVELS of them. A container's sum is discounted by its share of linked text.
+The container with the highest score is kept, of equal ones the outermost, and with it
 
-Left out on the way: scripts, styles, forms, menus, headers and footers of the page, sidebars,
-notices, adverts, hidden parts and reader comments, by element, role or the words
-of class and id.
+- its siblings and the text beside it, unless they are mostly links;
+- the siblings of an ancestor that are of its kind (the same tag and class), such as further sections or parts, and h1 titles;
+- within an article or main element, all siblings of its ancestors up to that element, and beyond it only further articles beside an article, and h1 titles.
+
+Scripts, styles, menus, footers, sidebars in elements of that meaning, and hidden parts are never read. Elements that their class, id, role or tag
+mark as something else (forms, headers of the page, adverts, notices, comments) neither give nor keep
+text, but a mark is only a discount: where an element so marked outweighs all that is unmarked, as LIFTED says for each mark,
+the mark is lifted (that of reader comments only where nothing else has text). So a name of the layout, or a form, around
+the whole page empties no page. Words that follow `has`, `no` or `with` in a name are no marks.
 
 Character references are decoded, white space inside a block becomes one space, and blocks are joined by line
-feeds. Defined cases: a null or empty page, and one without text, gives an empty text; markup cut off anywhere is read as
-far as it goes; null ids, repeated rows and further columns stay; an empty table gives an empty table.
+feeds. Defined cases: a null or empty page, and one without text, gives an empty text; if no paragraph has points, all unmarked text is kept; ties go to the outermost
+and then the first container; markup cut off anywhere is read as far as it goes; the time grows with the page's length, however deep it is nested;
+null ids, repeated rows and further columns stay; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -28,22 +36,32 @@ from pyspark.sql import DataFrame
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
-DROPPED = frozenset("head script style noscript template iframe svg math canvas object video audio form button select option textarea input nav menu aside footer dialog title datalist map noembed noframes".split())
+DROPPED = frozenset("head script style noscript template iframe svg math canvas object video audio button select option textarea input nav menu aside footer dialog title datalist map noembed noframes".split())
 PARAGRAPHS = frozenset("p pre td th li blockquote dd dt h1 h2 h3 h4 h5 h6 figcaption caption address summary".split())
 #: Elements that a start tag ends, and those beyond which it does not look.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"})}
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-#: Words of class and id values that mark what isn't the article.
+#: Words of class and id values that mark what isn't the article, and those of reader comments.
 MARKED = frozenset(
     """ad ads adbox adsense advert adverts advertisement advertising adslot banner banners sponsor sponsored sponsors promo promos promotion promoted affiliate
     cookie cookies consent gdpr notice notices notification alert popup modal overlay lightbox paywall newsletter subscribe subscription signup
     sidebar sidebars aside widget widgets rail related recommended recommendations share sharing social follow
-    nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager toolbar topbar masthead header footer foot copyright legal
-    comment comments commentlist disqus reply replies respond discussion form login search hidden skip""".split()
+    nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager toolbar topbar masthead footer foot copyright legal
+    form login search skip""".split()
 )
-#: Names that hold one of MARKED and still are the article's.
-KEPT = frozenset("article main html body h1 h2 h3 h4 h5 h6 p".split())
+COMMENTS = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
+HEADERS = frozenset("header".split())
+#: Words before a marked one that make a name one of the layout, those after it, and those before `header` that make it the article's.
+STATES, SWITCHES = frozenset("has have no not with without is hide show".split()), frozenset("enabled disabled".split())
+OWN = frozenset("article post entry story".split())
+#: Elements that no class marks.
+NEVER = frozenset("main html body h1 h2 h3 h4 h5 h6".split())
 LEAST, COMMA, LENGTH, MOST = 25, 1.0, 100, 3.0
+LEVELS = 4
+#: Marks of an element, the stronger the higher: none, the header of a page or an article, a form, something else, reader comments.
+FREE, HEADER, FORM, OTHER, COMMENT = range(5)
+#: A mark is lifted where what it marks has this many times the points of all that is unmarked, and so many points; and so many where nothing is unmarked.
+LIFTED = {FORM: (1, 3, 3), OTHER: (4, 10, 3), COMMENT: (float("inf"), 10, 10)}
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|$)""", re.I)
@@ -52,62 +70,73 @@ _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I) for tag in RA
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def _marked(tag: str, attributes: str) -> bool:
-    """Whether class, id, role or style say that the element isn't part of an article."""
+def _of_name(name: str) -> int:
+    """What the words of one class or id say."""
+    parts = [x.lower() for x in _PART.findall(name)]
+    for i, part in enumerate(parts):
+        if i and parts[i - 1] in STATES or i + 1 < len(parts) and parts[i + 1] in SWITCHES:
+            continue
+        if part in COMMENTS:
+            return COMMENT
+        if part in MARKED:
+            return OTHER
+        if part in HEADERS and not OWN.intersection(parts[:i]):
+            return HEADER
+    return FREE
+
+
+def _marked(tag: str, attributes: str) -> tuple[int, bool, str]:
+    """What class, id, role and tag say of an element, whether it is hidden, and its class."""
+    mark, hidden, kind = FREE, False, ""
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "role":
-            if value.lower() in ROLES:
-                return True
+            mark = mark or OTHER * (value.lower() in ROLES)
         elif name == "style":
-            if _UNSEEN.search(value):
-                return True
-        elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        elif name in ("class", "id") and tag not in KEPT and any(part.lower() in MARKED for part in _PART.findall(value)):
-            return True
-    return False
+            hidden = hidden or bool(_UNSEEN.search(value))
+        elif name == "hidden" or name == "aria-hidden":
+            hidden = hidden or name == "hidden" or value.lower() == "true"
+        elif tag not in NEVER:
+            mark = max(mark, *map(_of_name, value.split()), FREE)
+            kind = value if name == "class" else kind
+    if tag == "form":
+        mark = max(mark, FORM)
+    if tag == "header":
+        mark = max(mark, HEADER)
+    return mark, hidden, kind
 
 
 class Page:
-    """Blocks of text of a page and the elements they lie in, numbered in page order."""
+    """Blocks of text of a page and the elements they lie in, numbered in page order: a child has a higher number than its parent."""
 
     def __init__(self, html: str):
-        self.parent, self.tag, self.end = [-1], ["#"], [0]
+        self.parent, self.tag, self.mark, self.kind = [-1], ["#"], [FREE], [""]
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters of it in links
-        self._stack = [(0, "#", False)]
+        self.barred: set[int] = set()  # elements with a menu, footer or sidebar among their children
+        self._stack = [(0, "#", False, 0)]  # element, tag, hidden, nearest block
         self._held: list[tuple[str, bool]] = []
-        self._links = self._articles = 0
-        self._aside: set[int] = set()  # articles whose names mark them, such as comments
-        self.loose = -1  # the parent of what is kept, where text beside it stays
+        self._open_tags: Counter[str] = Counter()
         self._read(html)
 
     def _flush(self) -> None:
         if self._held:
             text = " ".join("".join(t for t, _ in self._held).split())
             if text:
-                node = next(n for n, tag, _ in reversed(self._stack) if tag in BLOCKS or tag == "#")
-                self.blocks.append((node, text, sum(len(" ".join(t.split())) for t, linked in self._held if linked)))
+                self.blocks.append((self._stack[-1][3], text, sum(len(" ".join(t.split())) for t, linked in self._held if linked)))
             self._held = []
 
     def _text(self, raw: str) -> None:
         if not self._stack[-1][2]:
-            self._held.append((unescape(raw) if "&" in raw else raw, self._links > 0))
-
-    def _pop(self) -> None:
-        node, tag, _ = self._stack.pop()
-        self.end[node] = len(self.tag) - 1
-        self._links -= tag == "a"
-        self._articles -= tag in ("article", "main")
+            self._held.append((unescape(raw) if "&" in raw else raw, self._open_tags["a"] > 0))
 
     def _pop_to(self, at: int) -> None:
-        if any(tag in BLOCKS for _, tag, _ in self._stack[at:]):
+        if any(entry[1] in BLOCKS for entry in self._stack[at:]):
             self._flush()
         while len(self._stack) > at:
-            self._pop()
+            self._open_tags[self._stack.pop()[1]] -= 1
 
     def _find(self, tags: set[str] | frozenset[str], stop: set[str] | frozenset[str]) -> int:
-        for at in range(len(self._stack) - 1, 0, -1):
+        for at in range(len(self._stack) - 1, 0, -1) if any(self._open_tags[tag] for tag in tags) else ():
             tag = self._stack[at][1]
             if tag in tags:
                 return at
@@ -132,15 +161,19 @@ class Page:
             self._text(" ")
         if tag in VOID:
             return
-        hidden = self._stack[-1][2] or tag in DROPPED or (tag == "header" and not self._articles) or _marked(tag, attributes)
-        self.parent.append(self._stack[-1][0])
+        mark, hidden, kind = _marked(tag, attributes)
+        up, _, unseen, block = self._stack[-1]
+        if mark == HEADER and self._open_tags["article"] + self._open_tags["main"]:
+            mark = FREE
+        if tag in ("nav", "footer", "aside") or mark == OTHER:
+            self.barred.add(up)
+        self.parent.append(up)
         self.tag.append(tag)
-        self.end.append(len(self.tag) - 1)
-        self._stack.append((len(self.tag) - 1, tag, hidden))
-        if tag == "article" and _marked("div", attributes):
-            self._aside.add(len(self.tag) - 1)
-        self._links += tag == "a"
-        self._articles += tag in ("article", "main")
+        self.mark.append(mark)
+        self.kind.append(kind)
+        node = len(self.tag) - 1
+        self._stack.append((node, tag, unseen or hidden or tag in DROPPED, node if tag in BLOCKS else block))
+        self._open_tags[tag] += 1
 
     def _close(self, tag: str) -> None:
         at = self._find({tag}, frozenset() if tag in BLOCKS else BLOCKS)
@@ -175,64 +208,127 @@ class Page:
             self._text(html[at:])
         self._pop_to(1)
         self._flush()
-        self.end[0] = len(self.tag) - 1
-
-    def _within(self, root: int) -> list[tuple[int, str, int]]:
-        return [b for b in self.blocks if root <= b[0] <= self.end[root]]
-
-    def best(self) -> list[int]:
-        """The elements to keep: the best container, or the article it lies in, and its good siblings."""
-        points: dict[int, float] = {}
-        size: dict[int, list[int]] = {}
-        for node, text, linked in self.blocks:
-            up = node
-            while up >= 0:
-                got = size.setdefault(up, [0, 0])
-                got[0] += len(text)
-                got[1] += linked
-                up = self.parent[up]
-            if len(text) < LEAST:
+
+    def points(self) -> list[float]:
+        """The points of each block."""
+        out = []
+        for _, text, linked in self.blocks:
+            own = len(text) / LENGTH if len(text) < LEAST else 1 + COMMA * (text.count(",") + text.count("，") + text.count("、")) + min(len(text) / LENGTH, MOST)
+            out.append(own * (1 - min(linked / len(text), 1.0)))
+        return out
+
+    def _headers(self) -> None:
+        """A header with an h1 or h2, in a container without menus or footers, is the article's."""
+        titled = {0}
+        for n in range(len(self.tag) - 1, 0, -1):
+            if self.tag[n] in ("h1", "h2"):
+                titled.add(n)
+            if n in titled and self.tag[n] not in ("body", "html"):
+                titled.add(self.parent[n])
+        for n, mark in enumerate(self.mark):
+            if mark == HEADER:
+                up = self.parent[n]
+                self.mark[n] = FREE if n in titled and up not in self.barred and self.tag[up] not in ("body", "html", "#") else OTHER
+
+    def unmarked(self, points: list[float]) -> list[bool]:
+        """Which elements lie in no marked one, after marks that outweigh all else have been lifted."""
+        self._headers()
+        near = [0] * len(self.tag)  # the nearest element with a mark
+        for n in range(1, len(self.tag)):
+            near[n] = n if self.mark[n] else near[self.parent[n]]
+        own = dict.fromkeys([0, *near], 0.0)
+        for (node, _, _), got in zip(self.blocks, points, strict=True):
+            own[near[node]] += got
+        inside: dict[int, list[int]] = {}
+        total = dict(own)  # with marked parts, but for comments
+        for n in sorted(own, reverse=True)[:-1]:
+            up = near[self.parent[n]]
+            inside.setdefault(up, []).append(n)
+            total[up] += total[n] * (self.mark[n] != COMMENT)
+        free, lifted, heap = own[0], {0}, []
+        last = 0
+        while True:
+            for k in inside.get(last, ()):
+                heapq.heappush(heap, (self.mark[k] == COMMENT, -total[k], k))
+            found = False
+            while heap and not found:
+                _, got, last = heapq.heappop(heap)
+                ratio, least, alone = LIFTED[self.mark[last]]
+                found = -got >= alone if not free else -got >= least and -got > ratio * free
+            if not found:
+                break
+            lifted.add(last)
+            free += own[last]
+        out = [True] * len(self.tag)
+        for n in range(1, len(self.tag)):
+            out[n] = out[self.parent[n]] and (near[n] != n or n in lifted)
+        return out
+
+    def scores(self, points: list[float], free: list[bool]) -> tuple[dict[int, float], list[int], list[int]]:
+        """Scores of containers, and characters and linked characters of all elements, without marked ones."""
+        got: dict[int, float] = {}
+        block = [0] * len(self.tag)  # the nearest block element
+        for n in range(1, len(self.tag)):
+            block[n] = n if self.tag[n] in BLOCKS else block[self.parent[n]]
+        size, linked = [0] * len(self.tag), [0] * len(self.tag)
+        for (node, text, links), own in zip(self.blocks, points, strict=True):
+            if not free[node]:
                 continue
-            own = (1 + COMMA * (text.count(",") + text.count("，") + text.count("、")) + min(len(text) / LENGTH, MOST)) * (1 - linked / max(len(text), 1))
+            size[node] += len(text)
+            linked[node] += links
             up = self.parent[node] if self.tag[node] in PARAGRAPHS else node
-            while self.tag[up] not in BLOCKS and up > 0:
-                up = self.parent[up]
-            for share in (1.0, 0.5):
+            for level in range(LEVELS if own else 0):
                 if up < 0:
                     break
-                points[up] = points.get(up, 0.0) + own * share
+                up = block[up]
+                got[up] = got.get(up, 0.0) + own / (1 << level)
                 up = self.parent[up]
-        score = {n: p * (1 - size[n][1] / max(size[n][0], 1)) for n, p in points.items()}
-        articles = [n for n, tag in enumerate(self.tag) if tag in ("article", "main") and n in size]
+        for n in range(len(self.tag) - 1, 0, -1):
+            size[self.parent[n]] += size[n]
+            linked[self.parent[n]] += linked[n]
+        return {n: own * (1 - min(linked[n] / max(size[n], 1), 1.0)) for n, own in got.items()}, size, linked
+
+    def kept(self) -> tuple[set[int], set[int], list[bool]]:
+        """The elements that are kept with all in them, those of which text that lies in no other block is, and unmarked ones."""
+        points = self.points()
+        free = self.unmarked(points)
+        score, size, linked = self.scores(points, free)
         if not score:
-            return articles[:1] or [0]
+            return {0}, set(), free
         top = max(score, key=lambda n: (score[n], -n))
-        up, whole = top, -1
-        while up >= 0:
-            if self.tag[up] in ("article", "main"):
-                whole = up
-                if self.tag[up] == "article":
-                    break
-            up = self.parent[up]
-        if whole >= 0:
-            return [n for n in articles if n == whole or self.tag[n] == self.tag[whole] == "article" and self.parent[n] == self.parent[whole] and n not in self._aside]
-        if self.tag[top] in ("html", "body", "#"):
-            return [top]
-        least = max(10.0, 0.2 * score[top])
-        kept = {top}
-        self.loose = self.parent[top]
-        for n in size:
-            if n != top and self.parent[n] == self.parent[top]:
-                mine, linked = size[n]
-                if 2 * linked < mine or score.get(n, 0.0) >= least or self.tag[n] in PARAGRAPHS and self.tag[n][0] == "h":
-                    kept.add(n)
-        return sorted(kept)
+        whole, loose = {top}, set()
+        children: dict[int, list[int]] = {}
+        chain = [top]
+        while chain[-1] > 0:
+            chain.append(self.parent[chain[-1]])
+        above = set(chain)
+        for n in range(1, len(self.tag)):
+            if self.parent[n] in above and free[n]:
+                children.setdefault(self.parent[n], []).append(n)
+        semantic = next((i for i, n in enumerate(chain) if self.tag[n] in ("article", "main")), -1)
+        for i, n in enumerate(chain[:-1]):
+            if self.tag[n] in ("body", "html"):
+                break
+            up = chain[i + 1]
+            near = i < semantic or i == 0 > semantic
+            if near:
+                loose.add(up)
+            alike = "article" if i == semantic else self.tag[n] if i > semantic < 0 else ""
+            for k in children.get(up, ()):
+                if k == n or 2 * linked[k] >= size[k] > 0:
+                    continue
+                if near and self.tag[k] in BLOCKS or self.tag[k] == "h1" or self.tag[k] == self.tag[n] == alike in BLOCKS and (i == semantic or self.kind[k] == self.kind[n]):
+                    whole.add(k)
+        return whole, loose, free
 
     def text(self) -> str:
         if not self.blocks:
             return ""
-        kept = self.best()
-        return "\n".join(t for node, t, linked in self.blocks if any(root <= node <= self.end[root] for root in kept) or node == self.loose and 2 * linked < len(t))
+        whole, loose, free = self.kept()
+        stays = [n in whole for n in range(len(self.tag))]
+        for n in range(1, len(self.tag)):
+            stays[n] = stays[n] or stays[self.parent[n]]
+        return "\n".join(t for node, t, linked in self.blocks if free[node] and (stays[node] or node in loose and 2 * linked < len(t)))
 
 
 def main_text(html: str | None) -> str:
