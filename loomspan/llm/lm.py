@@ -1,250 +1,246 @@
 """Cross-entropy difference of two matched bigram models.
 
-A target model is trained on chosen documents and a background model on all. Both
+A target model is trained on chosen documents and a background model on all others. Both
 share one vocabulary, the order (two) and the smoothing, so that a difference of
 their losses comes from the counts alone. A document's score is the target's loss per
-token less the background's: the lower, the more it is like the target.
-
-Every word and every pair of words is counted, in tables that grow with the corpus and stay distributed:
-nothing is cut off by frequency and pairs share no slots. Counts are added up in each task and then over tasks.
-Words go by 64-bit hashes (over a hundred million words, the chance that any two share one is below 1 in 1000). A document's
-pairs are joined to the losses of the pairs. The fewer than HOT pairs that make up more than 1 / HOT of all tokens each
-are looked up in the tasks instead of shuffled; the same share bounds the words that are broadcast.
+token less the background's: the lower, the more it is like the target. A document that a model was
+trained on is scored without its own counts, so that neither model knows it by heart.
 
     P(w | v) = MIX * c(v, w) / c(v) + (1 - MIX) * (c(w) + ADD) / (N + ADD * V)
 
-V is the number of words, and one for all others. Words are maximal runs of digits, letters a-z and characters from U+0080 on, after A-Z are lower-cased.
-Defined cases: a null or wordless text has no tokens, losses 0 and score 0; without target documents the
-target model is uniform; of several labels of one id the largest counts; null ids, repeated rows and
-further columns stay; an empty table gives an empty table.
+V is the number of words, and one for all others. Every word and every pair of words counts exactly: what is gathered grows with the
+corpus, is never cut off by frequency and never leaves the tasks as a whole.
+
+Counts come to the texts, not texts to the counts:
+
+1. Texts are tokenised into *chunks* of about CHUNK tokens of one model, stored as packed arrays.
+2. Each chunk gives its distinct words and pairs, as sorted hashes with counts, cut by ranges of the hash into buckets. So a
+   frequent word is one entry of a chunk, and buckets have equal shares whatever is frequent.
+3. A bucket adds up the counts of all chunks, and answers each chunk with the counts of its own entries.
+4. A chunk and its answers give the losses of its documents.
+
+The number of buckets grows with the tokens (BUCKET of them each), so that a task's memory doesn't. Words and pairs go by 64-bit
+hashes: among a hundred million, the chance that any two share one is below 1 in 1000.
+
+Words are maximal runs of digits, letters a-z and characters from U+0080 on, after A-Z are lower-cased. The first word of a text has no pair.
+Defined cases: a null or wordless text has no tokens, losses 0 and score 0; a model without tokens is uniform; ids in the target that are
+null are ignored, repeated ones count once; equal texts of different rows count each; null ids, repeated rows and further columns stay; an empty table gives an
+empty table; a text of any length is held by one task, as hashes of its words.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
 from functools import partial
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .licenses import words
+from .hashing import blocks, letters, mix64, word_hashes
 from .shared import small, stored, unused
 
 MIX, ADD = 0.4, 0.1
+#: Tokens of a chunk, and as how many each of its rows counts; tokens for each bucket, and fewest buckets.
+CHUNK, ROW, BUCKET, BUCKETS = 2_000_000, 20, 4_000_000, 24
+#: Rows of target ids (some 50 bytes each) up to which they are broadcast.
 BROADCAST_ROWS = 500_000
-HOT = 50_000
-#: Ids of the place before a text, and of words outside a vocabulary of a given size.
-START, OTHER = 0, 1
-#: Tokens that a task adds up at once.
-CHUNK = 1_000_000
+#: What a chunk is of: texts of the background, of the target, or texts that no model is trained on.
+BACKGROUND, TARGET, NEITHER = range(3)
 
+_LETTER = letters("".join(chr(c) for c in range(128) if not (0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A)))
+_SECOND = np.uint64(0xD6E8FEB86659FD93)
 
-def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: Counter[bytes] = Counter()
 
-    def out() -> pa.RecordBatch:
-        both = [pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())]
-        found.clear()
-        return pa.RecordBatch.from_arrays(both, names=["word", "n"])
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 on, byte by byte in columns, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes())
 
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            found.update(words(text))
-            if len(found) > 400_000:
-                yield out()
-    if found:
-        yield out()
 
+def unpacked(x: bytes) -> np.ndarray:
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8)
+    return np.ascontiguousarray(flat.reshape(8, -1).T).view("<u8").reshape(-1)
 
-def vocabulary(texts: DataFrame, size: int) -> list[bytes]:
-    """The most frequent words of all texts."""
-    counts = texts.mapInArrow(_tallied, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r.word) for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()]
 
+def _rising(x: np.ndarray) -> bytes:
+    return packed(np.diff(x, prepend=np.uint64(0)))
 
-class Ids:
-    """Ids of words: hashes of 64 bits, or OTHER for those that aren't in the vocabulary where one is given."""
 
-    def __init__(self, known: list[bytes] | None = None):
-        self.of = {w: _hashed(w) for w in known or ()}
-        self.open = known is None
-        self._met: dict[bytes, int] = {}
+def _risen(x: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(x), dtype=np.uint64)
 
-    def __call__(self, text: str | None) -> list[int]:
-        if not self.open:
-            return [self.of.get(w, OTHER) for w in words(text)]
-        met, out = self._met, []
-        if len(met) > 400_000:
-            met.clear()
-        for w in words(text):
-            i = met.get(w)
-            if i is None:
-                i = met[w] = _hashed(w)
-            out.append(i)
-        return out
 
+def _chunked(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """(other columns, mark, text) rows become chunks: other columns as one Arrow stream, tokens of each row, distinct words and each token's place among them."""
+    held: dict[int, list] = {}
+    sizes: dict[int, int] = {}
 
-def _hashed(word: bytes) -> int:
-    i = int.from_bytes(blake2b(word, digest_size=8).digest(), "little", signed=True)
-    return i if i not in (START, OTHER) else i + 2
+    def out(mark: int) -> pa.RecordBatch:
+        sizes.pop(mark)
+        rows, lengths, words = (list(x) for x in zip(*held.pop(mark), strict=True))
+        distinct, at = np.unique(np.concatenate(words), return_inverse=True)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows[0].schema) as stream:
+            for r in rows:
+                stream.write_batch(r)
+        return pa.RecordBatch.from_pylist([{"chunk": uuid.uuid4().hex, "mark": mark, "rows": sink.getvalue().to_pybytes(), "lengths": packed(np.concatenate(lengths)), "words": _rising(distinct), "at": packed(at), "tokens": len(at)}], schema=CHUNKS)
 
+    for batch in batches:
+        marks = batch.column("mark")
+        for mark in pc.unique(marks).to_pylist():
+            mine = batch.filter(pc.equal(marks, mark))
+            others = mine.select(list(range(mine.num_columns - 2)))
+            for at, to, data, offsets in blocks(mine.column(mine.num_columns - 1)):
+                first, words = word_hashes(data, offsets, _LETTER)
+                held.setdefault(mark, []).append((others.slice(at, to - at), np.diff(first), words))
+                sizes[mark] = sizes.get(mark, 0) + len(words) + ROW * (to - at)
+                if sizes[mark] > size:
+                    yield out(mark)
+    for mark in list(held):
+        yield out(mark)
+
+
+CHUNKS = pa.schema([("chunk", pa.string()), ("mark", pa.int32()), ("rows", pa.binary()), ("lengths", pa.binary()), ("words", pa.binary()), ("at", pa.binary()), ("tokens", pa.int64())])
+CHUNK_KINDS = "chunk string, mark int, rows binary, lengths binary, words binary, at binary, tokens long"
 
-def _mixed(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """A number for each pair, by which equal ones are brought together."""
-    x = v.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + w.view(np.uint64)
-    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
+def _tokens(lengths: np.ndarray, words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a chunk: each token's row, places of tokens that have one before them in their row, and the keys of these pairs."""
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    later = np.flatnonzero(row[1:] == row[:-1]) + 1
+    hashed = words[at]
+    return row, later, mix64(hashed[later - 1] * _SECOND + hashed[later])
 
-def _chunks(batches: Iterator[pa.RecordBatch], ids: Ids) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(mark, text) rows become marks, and words with the ones before them, of many texts at once: mark, v, w of each token."""
-    marks, lengths, before, after = [], [], [], []
 
-    def out() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        got = np.repeat(np.array(marks, np.int64), lengths), np.array(before, np.int64), np.array(after, np.int64)
-        for x in (marks, lengths, before, after):
-            x.clear()
-        return got
+def _parts(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket's range starts in sorted keys, and the end."""
+    edges = (np.arange(1, buckets, dtype=object) * (1 << 64) // buckets).astype(np.uint64)
+    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
+
+def _asked(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Chunks become (bucket, chunk, mark, pairs, keys, counts): sorted distinct words, or pairs, in each bucket's range."""
     for batch in batches:
-        for mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            one = ids(text)
-            if one:
-                marks.append(mark)
-                lengths.append(len(one))
-                before.append(START)
-                before += one[:-1]
-                after += one
-                if len(after) > CHUNK:
-                    yield out()
-    if after:
-        yield out()
-
-
-def _grouped(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order in which equal rows with equal keys follow one another, and where in it each run of them starts."""
-    order = np.argsort(keys)
-    new = np.ones(len(order), bool)
-    new[1:] = np.logical_or.reduce([c[order[1:]] != c[order[:-1]] for c in columns])
-    return order, np.flatnonzero(new)
-
-
-def _counted(batches: Iterator[pa.RecordBatch], ids: Ids) -> Iterator[pa.RecordBatch]:
-    """(target, text) rows become (v, w, n, target): how often each pair occurs in all and in target texts."""
-    for mark, v, w in _chunks(batches, ids):
-        order, starts = _grouped(_mixed(v, w), v, w)
-        n, target = np.diff(starts, append=len(order)), np.add.reduceat(mark[order], starts)
-        first = order[starts]
-        for s in range(0, len(first), 100_000):
-            cut = slice(s, s + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(x[cut]) for x in (v[first], w[first], n, target)], names=["v", "w", "n", "target"])
-
-
-@dataclass
-class Models:
-    ids: Ids
-    #: (v, w, n, target): how often pairs, with START before each text, occur in all and in target documents; (id, n, target) of words.
-    pairs: DataFrame
-    words: DataFrame
-    #: Of background and target: all tokens. Words with those outside the vocabulary as one.
-    tokens: tuple[int, int]
-    size: int
-
-    def losses(self, pairs: DataFrame) -> DataFrame:
-        """(v, w, n, background, target): pairs with the losses of w after v."""
-        hot = stored(self.words.where(F.col("n") * HOT > self.tokens[0]))  # fewer than HOT rows
-
-        def counted(df: DataFrame, at: str) -> DataFrame:
-            """df with the counts n_ and t_ of the words at a column; frequent words are broadcast, and their rows dealt by other keys."""
-            df = df.join(F.broadcast(hot.select(F.col("id").alias(at), F.col("n").alias("hn"), F.col("target").alias("ht"))), at, "left")
-            df = df.withColumn("k", F.when(F.col("hn").isNull(), F.col(at)).otherwise(F.xxhash64("v", "w")))
-            df = df.join(self.words.select(F.col("id").alias("k"), F.col("n").alias("wn"), F.col("target").alias("wt")), "k", "left")
-            zero = F.lit(0).cast("long")
-            return df.withColumns({f"n_{at}": F.coalesce("hn", "wn", zero), f"t_{at}": F.coalesce("ht", "wt", zero)}).drop("k", "hn", "ht", "wn", "wt")
-
-        def loss(pair: str, seen: str, own: str, tokens: int) -> Column:
-            base = (F.col(own) + ADD) / (tokens + ADD * self.size)
-            return -F.log(F.when(F.col(seen) == 0, base).otherwise(MIX * F.col(pair) / F.col(seen) + (1 - MIX) * base))
-
-        both = counted(counted(pairs.withColumnsRenamed({"target": "t"}), "v"), "w")
-        return both.select("v", "w", "n", loss("n", "n_v", "n_w", self.tokens[0]).alias("background"), loss("t", "t_v", "t_w", self.tokens[1]).alias("target"))
-
-
-def train(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int | None = None, slots: int | None = None) -> Models:
-    """Models of all docs, and of those whose id is in target (one column).
-
-    size: None for all words, else only the most frequent ones are told apart. slots has no effect: all pairs are counted exactly.
-    """
-    ids = Ids(None if size is None else vocabulary(docs.select(text), size))
-    chosen = stored(target.select(F.col(target.columns[0]).alias("id")).where("id is not null").distinct())
-    chosen = small(chosen, chosen.count(), BROADCAST_ROWS).withColumn("chosen", F.lit(1))
-    marked = docs.join(chosen, docs[doc_id] == chosen["id"], "left").select(F.coalesce("chosen", F.lit(0)), F.col(text))
-    counts = [F.sum("n").alias("n"), F.sum("target").alias("target")]
-    pairs = stored(marked.mapInArrow(partial(_counted, ids=ids), "v long, w long, n long, target long").groupBy("v", "w").agg(*counts))
-    known = stored(pairs.groupBy(F.col("w").alias("id")).agg(*counts))
-    sums = known.agg(*(F.coalesce(c, F.lit(0)) for c in counts), F.count_if(F.col("id") != OTHER)).first()
-    return Models(ids, pairs, known, (sums[0], sums[1]), sums[2] + 1)
-
-
-def _parted(batches: Iterator[pa.RecordBatch], ids: Ids, hot: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """(row, text) rows become (row, v, w, c, background, target): pairs of a row, how often it has them, and for hot ones all losses together (v null)."""
-    names = ["row", "v", "w", "c", "background", "target"]
-    hot_keys = _mixed(hot["v"], hot["w"])
-    by = np.argsort(hot_keys)
-    hot_keys = hot_keys[by]
-    for row, v, w in _chunks(batches, ids):
-        key = _mixed(v, w)
-        if len(by):
-            place = by[np.minimum(np.searchsorted(hot_keys, key), len(by) - 1)]
-            common = (hot["v"][place] == v) & (hot["w"][place] == w)
-            at, place = np.flatnonzero(common), place[common]
-            if len(at):
-                starts = np.flatnonzero(np.diff(row[at], prepend=-1))  # rows are in order
-                sums = [np.add.reduceat(hot[m][place], starts) for m in ("background", "target")]
-                none = pa.nulls(len(starts), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(row[at][starts]), none, none, pa.array(np.diff(starts, append=len(at))), *map(pa.array, sums)], names=names)
-            row, v, w, key = (x[~common] for x in (row, v, w, key))
-        if not len(row):
+        for chunk, mark, lengths, words, at in zip(*(batch.column(c).to_pylist() for c in ("chunk", "mark", "lengths", "words", "at")), strict=True):
+            words, at = _risen(words), unpacked(at).astype(np.int64)
+            _, _, pairs = _tokens(unpacked(lengths).astype(np.int64), words, at)
+            rows = []
+            for kind, (keys, counts) in enumerate(((words, np.bincount(at, minlength=len(words))), np.unique(pairs, return_counts=True))):
+                starts = _parts(keys, buckets)
+                rows += [(b, chunk, mark, kind == 1, _rising(keys[s:e]), packed(counts[s:e])) for b, (s, e) in enumerate(zip(starts[:-1], starts[1:], strict=True)) if e > s]
+            for s in range(0, len(rows), 256):
+                columns = zip(*rows[s : s + 256], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.string(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "chunk", "mark", "pairs", "keys", "counts"])
+
+
+def _answered(asked: pa.Table) -> pa.Table:
+    """The counts of a bucket, for each chunk and kind in the order of its keys: of the background and of the target; and a row with the bucket's number of words."""
+    out, distinct = [], 0
+    for kind in (False, True):
+        mine = asked.filter(pc.equal(asked["pairs"], kind)).to_pylist()
+        if not mine:
             continue
-        order, starts = _grouped(key ^ (row.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), row, v, w)
-        n = np.diff(starts, append=len(order))
-        first = order[starts]
-        back = np.argsort(first)  # in order of rows, which packs better
-        first, n = first[back], n[back]
-        for s in range(0, len(first), 100_000):
-            cut = slice(s, s + 100_000)
-            none = pa.nulls(len(first[cut]), pa.float64())
-            yield pa.RecordBatch.from_arrays([*(pa.array(x[cut]) for x in (row[first], v[first], w[first], n)), none, none], names=names)
-
-
-def _summed(rows: DataFrame, models: Models, pairs: DataFrame) -> DataFrame:
-    """(row, tokens, background, target, unseen) of (row, text): sums of losses; unseen tokens are in pairs that the given ones lack."""
-    losses = models.losses(pairs)
-    frequent = models.losses(stored(pairs.where(F.col("n") * HOT > models.tokens[0]))).toArrow()  # fewer than HOT rows
-    hot = {c: frequent.column(c).to_numpy() for c in ("v", "w", "background", "target")}
-    parts = rows.mapInArrow(partial(_parted, ids=models.ids, hot=hot), "row long, v long, w long, c long, background double, target double")
-    cold = losses.where(F.col("n") * HOT <= models.tokens[0]).select("v", "w", F.col("background").alias("b"), F.col("target").alias("t"))
-    dealt = parts.withColumns({"v": F.coalesce("v", F.xxhash64("row")), "w": F.coalesce("w", F.lit(START))})  # no word is START
-    both = dealt.join(cold, ["v", "w"], "left").select("row", "c", F.coalesce("background", F.col("c") * F.col("b")).alias("background"), F.coalesce("target", F.col("c") * F.col("t")).alias("target"))
-    return stored(both.groupBy("row").agg(F.sum("c").alias("tokens"), F.sum("background").alias("background"), F.sum("target").alias("target"), F.sum(F.when(F.col("background").isNull(), F.col("c")).otherwise(0)).alias("unseen")))
-
-
-def score(docs: DataFrame, models: Models, text: str = "text") -> DataFrame:
-    """docs with, in place of the text: n_tokens, target_loss, background_loss and their difference, score; columns of docs with these names are replaced."""
-    docs = docs.drop("n_tokens", "target_loss", "background_loss", "score")
-    others = docs.drop(text).columns
-    row, mine, b, t, n = unused(docs, "row", "mine", "b", "t", "n")
-    held = stored(docs.withColumn(row, F.monotonically_increasing_id()))
-    rows = held.select(F.col(row).alias("row"), F.col(text).alias("text"))
-    sums = _summed(rows, models, models.pairs)
-    if sums.where("unseen > 0").limit(1).count():  # texts that the models were not trained on: their pairs count 0
-        more = rows.select(F.lit(0), "text").mapInArrow(partial(_counted, ids=models.ids), "v long, w long, n long, target long").select("v", "w", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("target"))
-        sums = _summed(rows, models, stored(models.pairs.unionByName(more).groupBy("v", "w").agg(F.sum("n").alias("n"), F.sum("target").alias("target"))))
-    sums = sums.select(F.col("row").alias(mine), F.col("tokens").alias(n), (F.col("background") / F.col("tokens")).alias(b), (F.col("target") / F.col("tokens")).alias(t))
-    got = held.select(row, *others).join(sums, F.col(row) == F.col(mine), "left")
-    zero = F.lit(0.0)
-    return got.select(*others, F.coalesce(n, F.lit(0).cast("long")).alias("n_tokens"), F.coalesce(t, zero).alias("target_loss"), F.coalesce(b, zero).alias("background_loss"), F.coalesce(F.col(t) - F.col(b), zero).alias("score"))
+        lists = [_risen(r["keys"]) for r in mine]
+        keys = np.concatenate(lists)
+        order = np.argsort(keys)
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[order[1:]] != keys[order[:-1]]
+        starts, group = np.flatnonzero(new), np.empty(len(keys), np.int64)
+        group[order] = np.cumsum(new) - 1
+        marks = np.repeat([r["mark"] for r in mine], [len(x) for x in lists])
+        counts = np.concatenate([unpacked(r["counts"]) for r in mine]).astype(np.int64)
+        sums = [np.add.reduceat(np.where(marks == m, counts, 0)[order], starts) for m in (BACKGROUND, TARGET)]
+        distinct += 0 if kind else int((sums[0] + sums[1] > 0).sum())
+        ends = np.cumsum([len(x) for x in lists])
+        for r, e, n in zip(mine, ends, map(len, lists), strict=True):
+            out.append({"chunk": r["chunk"], "bucket": r["bucket"], "pairs": kind, "background": packed(sums[0][group[e - n : e]]), "target": packed(sums[1][group[e - n : e]]), "distinct": 0})
+    out.append({"chunk": None, "bucket": None, "pairs": False, "background": b"", "target": b"", "distinct": distinct})
+    return pa.Table.from_pylist(out, schema=pa.schema([("chunk", pa.string()), ("bucket", pa.int32()), ("pairs", pa.bool_()), ("background", pa.binary()), ("target", pa.binary()), ("distinct", pa.int64())]))
+
+
+def _own(row: np.ndarray, place: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How often each token's entry occurs in its own row. counts: how often entries occur in the chunk."""
+    out = np.ones(len(row), np.int64)
+    many = np.flatnonzero(counts[place] > 1)
+    both = row[many] * len(counts) + place[many]
+    order = np.argsort(both)
+    new = np.ones(len(both), bool)
+    new[1:] = both[order[1:]] != both[order[:-1]]
+    n = np.diff(np.flatnonzero(new), append=len(both))
+    out[many[order]] = np.repeat(n, n)
+    return out
+
+
+def _losses(chunk: dict, answers: list[dict], totals: tuple[int, int], vocabulary: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Tokens of a chunk's rows, and their losses by the background and the target."""
+    lengths, words, at = unpacked(chunk["lengths"]).astype(np.int64), _risen(chunk["words"]), unpacked(chunk["at"]).astype(np.int64)
+    row, later, keys = _tokens(lengths, words, at)
+    known = {(a["pairs"], a["bucket"]): a for a in answers}
+
+    def seen(kind: bool, model: str) -> np.ndarray:
+        parts = [unpacked(known[k][model]).astype(np.int64) for k in sorted(known) if k[0] == kind]
+        return np.concatenate(parts) if parts else np.empty(0, np.int64)
+
+    distinct, place, times = np.unique(keys, return_inverse=True, return_counts=True)
+    own_word = _own(row, at, np.bincount(at, minlength=len(words)))
+    own_pair = _own(row[later], place, times)
+    out = []
+    for mark, model in ((BACKGROUND, "background"), (TARGET, "target")):
+        mine = int(chunk["mark"] == mark)
+        word = seen(False, model)[at] - mine * own_word
+        total = totals[mark] - mine * lengths[row]
+        p = (word + ADD) / (total + ADD * vocabulary)
+        before, pair = word[later - 1], seen(True, model)[place] - mine * own_pair
+        p[later] = np.where(before > 0, MIX * pair / np.maximum(before, 1) + (1 - MIX) * p[later], p[later])
+        out.append(np.bincount(row, -np.log(p), minlength=len(lengths)))
+    return lengths, out
+
+
+def _scored(_: tuple, chunks: pa.Table, answers: pa.Table, totals: tuple[int, int], vocabulary: int) -> pa.Table:
+    tables = []
+    for chunk in chunks.to_pylist():
+        n, (background, target) = _losses(chunk, answers.to_pylist(), totals, vocabulary)
+        with pa.ipc.open_stream(chunk["rows"]) as stream:
+            rows = stream.read_all()
+        per = np.maximum(n, 1)
+        for name, x in (("n_tokens", n), ("target_loss", target / per), ("background_loss", background / per), ("score", (target - background) / per)):
+            rows = rows.append_column(name, pa.array(x))
+        tables.append(rows)
+    return pa.concat_tables(tables)
+
+
+def score(docs: DataFrame, target: DataFrame, unseen: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
+    """Rows of docs with, in place of the text: n_tokens, target_loss, background_loss and their difference, score; columns of docs with these names are replaced.
+
+    target: the ids (first column) of the docs that train the target model. unseen: further rows with the columns of docs, scored as well, that train nothing.
+    """
+    docs = docs.drop(*({"n_tokens", "target_loss", "background_loss", "score"} - {text, doc_id}))
+    others = [c for c in docs.columns if c != text]
+    chosen = stored(target.select(F.col(target.columns[0]).alias("_chosen")).where("_chosen is not null").distinct())
+    taken, = unused(docs, "chosen")
+    chosen = small(chosen.select(F.col("_chosen").alias(taken)), chosen.count(), BROADCAST_ROWS)
+    names = [f"c{i}" for i in range(len(others))]  # names of one's own, as those of the table may clash
+
+    def marked(df: DataFrame, mark) -> DataFrame:
+        return df.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(others, names, strict=True)), mark.cast("int").alias("mark"), F.col(f"`{text}`").cast("string").alias("text"))
+
+    rows = marked(docs.join(chosen, docs[doc_id] == chosen[taken], "left"), F.when(F.col(taken).isNull(), BACKGROUND).otherwise(TARGET))
+    if unseen is not None:
+        rows = rows.unionByName(marked(unseen, F.lit(NEITHER)))
+    chunks = stored(rows.mapInArrow(partial(_chunked, size=chunk), CHUNK_KINDS))
+    known = chunks.groupBy("mark").agg(F.sum("tokens").alias("n")).collect()  # three rows
+    tokens = {r.mark: r.n for r in known}
+    buckets = max(BUCKETS, sum(tokens.values()) // BUCKET)
+    asked = chunks.mapInArrow(partial(_asked, buckets=buckets), "bucket int, chunk string, mark int, pairs boolean, keys binary, counts binary")
+    answers = stored(asked.groupBy("bucket").applyInArrow(_answered, "chunk string, bucket int, pairs boolean, background binary, target binary, distinct long"))
+    vocabulary = (answers.agg(F.sum("distinct")).first()[0] or 0) + 1
+    kinds = [docs.schema[c].dataType.simpleString() for c in others]
+    schema = ", ".join([*(f"{n} {k}" for n, k in zip(names, kinds, strict=True)), "n_tokens long, target_loss double, background_loss double, score double"])
+    totals = (tokens.get(BACKGROUND, 0), tokens.get(TARGET, 0))
+    both = chunks.groupBy("chunk").cogroup(answers.where("chunk is not null").groupBy("chunk"))
+    scored = both.applyInArrow(lambda k, a, b: _scored(k, a, b, totals, vocabulary), schema)
+    return scored.toDF(*others, "n_tokens", "target_loss", "background_loss", "score")

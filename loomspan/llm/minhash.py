@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +31,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .decontam import key
+from .hashing import blocks, letters, mix64, word_hashes
 from .shared import small, stored, unused
 
 BANDS, ROWS = 26, 5
@@ -39,15 +39,8 @@ BANDS, ROWS = 26, 5
 CROSS = 64
 #: Rows (some 50 bytes each) up to which a side is broadcast; beyond it, it is shuffled.
 BROADCAST_ROWS = 200_000
-#: Bytes of text that are hashed at a time.
-BLOCK = 1 << 20
-
 _U = np.uint64
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BASE = 0x9E3779B97F4A7C15
+_LETTER = letters("\t\n\x0b\x0c\r ")
 _PLACE = [_U(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
@@ -56,12 +49,6 @@ def _place(k: int) -> np.uint64:
     return _U(int(_PLACE[k % 7]) * (k + 1) % (1 << 64))
 
 
-def _mix64(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(30))) * _PLACE[0]
-    x = (x ^ (x >> _U(27))) * _PLACE[1]
-    return x ^ (x >> _U(31))
-
-
 def _permute32(x: np.ndarray, a: int, b: int, out: np.ndarray | None = None) -> np.ndarray:
     """A permutation of the 32-bit numbers."""
     out = x.copy() if out is None else out
@@ -72,47 +59,21 @@ def _permute32(x: np.ndarray, a: int, b: int, out: np.ndarray | None = None) ->
     return out
 
 
-@lru_cache(1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2**64, and of its inverse."""
-    def powers(base: int) -> np.ndarray:
-        out = np.full(n, base, np.uint64)
-        out[0] = 1
-        return np.cumprod(out)
-
-    return powers(_BASE), powers(pow(_BASE, -1, 1 << 64))
-
-
 def shingle_sets(buffer: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
     """For each text buffer[offsets[i]:offsets[i+1]]: its distinct shingles of `size` words, as sorted 64-bit hashes."""
-    text = _LOWER[buffer]
-    letter = ~_SPACE[text]
-    edge = np.zeros(len(text) + 1, bool)
-    edge[offsets] = True
-    before, after = np.empty_like(letter), np.empty_like(letter)
-    if len(text):
-        before[0], before[1:] = True, ~letter[:-1]
-        after[-1], after[:-1] = True, ~letter[1:]
-    starts = np.flatnonzero(letter & (before | edge[:-1]))
-    ends = np.flatnonzero(letter & (after | edge[1:])) + 1
-    n = 1 << max(20, int(len(text)).bit_length())
-    power, inverse = _powers(n)
-    sums = np.zeros(len(text) + 1, np.uint64)
-    np.cumsum((text.astype(np.uint64) + _U(1)) * power[: len(text)], out=sums[1:])
-    word = _mix64((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-    first = np.searchsorted(starts, offsets)  # of each text, in words
+    first, word = word_hashes(buffer, offsets, _LETTER)
     joined = np.zeros(max(0, len(word) - size + 1), np.uint64)
     for k in range(size):
-        joined += _mix64(word[k : k + len(joined)] + _place(k))
-    joined = _mix64(joined)
+        joined += mix64(word[k : k + len(joined)] + _place(k))
+    joined = mix64(joined)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= size:
             got = np.sort(joined[a : b - size + 1])
             out.append(got[np.concatenate(([True], got[1:] != got[:-1]))])
         elif b > a:
-            whole = sum((_mix64(word[a + k : a + k + 1] + _place(k)) for k in range(b - a)), np.full(1, b - a, np.uint64))
-            out.append(_mix64(whole))
+            whole = sum((mix64(word[a + k : a + k + 1] + _place(k)) for k in range(b - a)), np.full(1, b - a, np.uint64))
+            out.append(mix64(whole))
         else:
             out.append(np.empty(0, np.uint64))
     return out
@@ -129,30 +90,14 @@ def signatures(sets: list[np.ndarray], bands: int = BANDS, rows: int = ROWS) ->
         np.add(scattered, np.uint32(k + 1), out=room)  # the circular shift
         least = np.minimum.reduceat(_permute32(room, 0x7FEB352D, 0x846CA68B, room), starts)
         band = k // rows
-        out[:, band] = _mix64(out[:, band] * _PLACE[2] + least.astype(np.uint64) + _U(band + 1))
+        out[:, band] = mix64(out[:, band] * _PLACE[2] + least.astype(np.uint64) + _U(band + 1))
     return out.view(np.int64)
 
 
-def _blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Rows at, to of a string column with their bytes and offsets, about BLOCK bytes at a time; nulls are empty."""
-    if column.null_count:
-        column = column.fill_null("")
-    wide = column.cast(pa.large_string())
-    if not len(wide):
-        return
-    offsets = np.frombuffer(wide.buffers()[1], np.int64)[wide.offset : wide.offset + len(wide) + 1]
-    data = np.frombuffer(wide.buffers()[2], np.uint8) if wide.buffers()[2] else np.empty(0, np.uint8)
-    at = 0
-    while at < len(wide):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK, "right")) - 1)
-        yield at, to, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
-        at = to
-
-
 def _signed(batches: Iterator[pa.RecordBatch], size: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     """The last column is the text; in its place n_shingles, node (digest of the set) and bands."""
     for batch in batches:
-        for at, to, data, offsets in _blocks(batch.column(batch.num_columns - 1)):
+        for at, to, data, offsets in blocks(batch.column(batch.num_columns - 1)):
             sets = shingle_sets(data, offsets, size)
             some = [s for s in sets if len(s)]
             found = iter(signatures(some, bands, rows) if some else ())
@@ -169,7 +114,7 @@ def _verified(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Ite
         sets = []
         for name in ("text_a", "text_b"):
             mine: list[np.ndarray] = []
-            for _, _, data, offsets in _blocks(batch.column(name)):
+            for _, _, data, offsets in blocks(batch.column(name)):
                 mine += shingle_sets(data, offsets, size)
             sets.append(mine)
         keep = []
@@ -201,7 +146,7 @@ def _crossed(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iter
             column = batch.column(name)
             flat = column.flatten()
             sets: list[np.ndarray] = []
-            for _, _, data, offsets in _blocks(flat.field("text")):
+            for _, _, data, offsets in blocks(flat.field("text")):
                 sets += shingle_sets(data, offsets, size)
             bounds = column.offsets.to_numpy() - column.offsets[0].as_py()
             sides.append((bounds, flat.field("node").to_pylist(), flat.field("root").to_pylist(), sets))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -211,64 +211,67 @@ def test_held_out_labels_are_never_read(spark, docs):
     assert a.patterns == b.patterns and np.allclose(a.weights, b.weights) and a.bias == b.bias
 
 
-def test_model_scores_follow_the_counts(spark, docs):
-    texts = [(1, "a b a b c"), (2, "a a A"), (3, None), (4, "?!"), (5, "d e f d e f"), (1, "a b a b c")]
-    target = spark.createDataFrame([(1,), (None,)], "doc_id long")
-    models = lm.train(docs(texts), target, size=4, slots=1 << 12)
-    got = {r.doc_id: r for r in lm.score(docs(texts), models).collect()}
-    assert (got[3].n_tokens, got[3].score) == (0, 0.0) == (got[4].n_tokens, got[4].score)
-    assert got[1].score < 0 < got[5].score
-
-    known = models.ids.of
-    tokens = {i: [known.get(w.encode(), 0) for w in plain_words(t)] for i, t in texts}
-    everything = [t for i, t in [(i, tokens[i]) for i, _ in texts]]
-
-    def loss(ids, corpus):
-        one, two = defaultdict(int), defaultdict(int)
-        for c in corpus:
-            for k, w in enumerate(c):
-                one[w] += 1
-                if k:
-                    two[c[k - 1], w] += 1
-        total, out = sum(one.values()), []
-        for k, w in enumerate(ids):
-            base = (one[w] + lm.ADD) / (total + lm.ADD * (len(known) + 1))
-            seen = one[ids[k - 1]] if k else 0
-            out.append(lm.MIX * two[ids[k - 1], w] / seen + (1 - lm.MIX) * base if seen else base)
-        return -np.log(out).mean()
-
-    for i in (1, 2, 5):
-        assert got[i].background_loss == pytest.approx(loss(tokens[i], everything), rel=1e-4)
-        assert got[i].target_loss == pytest.approx(loss(tokens[i], [tokens[1], tokens[1]]), rel=1e-4)
-
-
-def test_no_word_or_pair_shares_its_count(spark, docs):
-    rng = random.Random(8)
-    names = [f"w{i}" for i in range(40_000)]
-    texts = [(i, " ".join(names[i * 100 : i * 100 + 100])) for i in range(400)]
-    texts += [(400 + i, " ".join(rng.choices(names, k=3000))) for i in range(220)] + [(700, "x y x y x")]
-    models = lm.train(docs(texts), spark.createDataFrame([(0,), (700,)], "doc_id long"))
-    fresh = [(900, "w7 w7 unheard w8"), (901, None)]
-    got = {r.doc_id: r for r in lm.score(docs(texts + fresh), models).collect()}
-    one, two, n = [defaultdict(int), defaultdict(int)], [defaultdict(int), defaultdict(int)], [0, 0]
-    for i, t in texts:
-        for m in (0, 1) if i in (0, 700) else (0,):
-            w = plain_words(t)
+def plain_losses(texts, target, fresh):
+    """(tokens, background's and target's loss) of each row, from counts of all rows but itself."""
+    rows = [(i, plain_words(t), 0 if i is None or i not in target else 1) for i, t in texts] + [(i, plain_words(t), 2) for i, t in fresh]
+    one, two, n = [Counter(), Counter()], [Counter(), Counter()], [0, 0]
+    for _, w, m in rows:
+        if m < 2:
             n[m] += len(w)
+            one[m].update(w)
+            two[m].update(zip(w, w[1:]))
+    size = len(set(one[0]) | set(one[1])) + 1
+    for i, w, mark in rows:
+        losses = []
+        own, pairs = Counter(w), Counter(zip(w, w[1:]))
+        for m in (0, 1):
+            mine, out = int(mark == m), 0.0
             for k, x in enumerate(w):
-                one[m][x] += 1
-                two[m][tuple(w[k - 1 : k + 1])] += k > 0
-    size = len(one[0]) + 1
-    assert size > 30_000 and len(two[0]) > 1 << 19
-    for i, t in [texts[0], texts[5], texts[450], texts[-1], fresh[0]]:
-        w = plain_words(t)
-        for m, loss in ((0, got[i].background_loss), (1, got[i].target_loss)):
-            out = []
-            for k, x in enumerate(w):
-                base, seen = (one[m][x] + lm.ADD) / (n[m] + lm.ADD * size), one[m][w[k - 1]] if k else 0
-                out.append(lm.MIX * two[m][w[k - 1], x] / seen + (1 - lm.MIX) * base if seen else base)
-            assert loss == pytest.approx(-np.log(out).mean(), rel=1e-9)
-    assert got[901].n_tokens == 0
+                p = (one[m][x] - mine * own[x] + lm.ADD) / (n[m] - mine * len(w) + lm.ADD * size)
+                before = one[m][w[k - 1]] - mine * own[w[k - 1]] if k else 0
+                if before:
+                    p = lm.MIX * (two[m][w[k - 1], x] - mine * pairs[w[k - 1], x]) / before + (1 - lm.MIX) * p
+                out -= np.log(p)
+            losses.append(out / max(1, len(w)))
+        yield i, len(w), *losses
+
+
+@pytest.mark.parametrize("chunk, buckets", [(1 << 21, 24), (50, 3)])
+def test_losses_are_those_of_all_other_texts(spark, docs, monkeypatch, chunk, buckets):
+    monkeypatch.setattr(lm, "BUCKETS", buckets)
+    rng = random.Random(8)
+    texts = [(i, " ".join(rng.choices(["alpha", "Beta", "été", "x9", "中文", "w", "Z"], k=rng.randrange(30)))) for i in range(60)]
+    texts += [(1, texts[1][1]), (None, "alpha w w"), (None, None), (70, ""), (71, "?! ."), (72, "only here"), (73, "only, HERE")]
+    fresh = [(900, "alpha alpha unheard Beta"), (901, None), (902, texts[3][1])]
+    target = spark.createDataFrame([(1,), (None,), (3,), (3,), (8,), (70,), (500,)], "doc_id long")
+    got = lm.score(docs(texts), target, docs(fresh), chunk=chunk)
+    assert got.columns == ["doc_id", "k1", "n_tokens", "target_loss", "background_loss", "score"]
+    want = sorted((repr(i), n, b, t, t - b) for i, n, b, t in plain_losses(texts, {1, 3, 8, 70, 500}, fresh))
+    rows = sorted((repr(r.doc_id), r.n_tokens, r.background_loss, r.target_loss, r.score) for r in got.collect())
+    assert [r[:2] for r in rows] == [w[:2] for w in want] and np.allclose([r[2:] for r in rows], [w[2:] for w in want])
+
+
+def test_models_of_nothing(spark, docs):
+    none = spark.createDataFrame([], "doc_id long")
+    assert lm.score(docs([]), none).count() == 0
+    got = {r.doc_id: r for r in lm.score(docs([(1, "a b"), (2, "a b"), (3, None)]), none).collect()}
+    assert got[1].score == got[2].score and got[1].target_loss == pytest.approx(np.log(3)) and got[3].score == 0
+
+
+def test_words_of_any_length_and_place_are_hashed_alike():
+    from loomspan.llm import hashing
+
+    rng = random.Random(2)
+    long = "".join(rng.choices("ab Cdé", k=3_000_000)) + "X" * 2_500_000 + " tail" + "," * 1_200_000 + "End"
+    texts = ["", "One two", long, "two", "", "é" * 700_000, "ONE"]
+    raw = [t.encode() for t in texts]
+    offsets = np.cumsum([0, *map(len, raw)])
+    first, got = hashing.word_hashes(np.frombuffer(b"".join(raw), np.uint8), offsets, lm._LETTER)
+    words = [plain_words(t) for t in texts]
+    assert np.diff(first).tolist() == list(map(len, words))
+    ids = {}
+    flat = [w for ws in words for w in ws]
+    assert all(ids.setdefault(w, h) == h for w, h in zip(flat, got.tolist(), strict=True)) and len(set(ids.values())) == len(ids)
 
 
 def test_one_more_shard_only_takes_rows(docs):
