@@ -1,24 +1,30 @@
 """Near-duplicate embeddings by NN-descent.
 
 Vectors are compared only within a label and a dimension. Equal vectors form one node.
-Lists of neighbours start from buckets of random hyperplanes, small enough to compare all in them;
-then, round by round, each node's neighbours (in either direction) are compared with
-one another, and every node keeps its best `k`: neighbours of neighbours are
-likely neighbours. Rounds end when few lists change.
 
-Pairs at or above the threshold are links, and links give components. Lists that are full of links hide further ones, so
-vectors of different components are then compared as well, in blocks, exactly; only pairs of blocks whose
-balls are too far apart for any link are left out. Within a component,
-blocks of vectors are compared with blocks, exactly, and pairs are only counted. So no link is missed,
-whatever buckets and lists have passed over: they only decide how much is left to compare.
+1. Buckets of random hyperplanes, small enough to compare all in them, give first lists of neighbours. There are as many tables of
+   buckets as a pair at the threshold needs to meet in one with probability 1 - MISS.
+2. NN-descent: round by round, each node's neighbours (in either direction) are compared with one another, as
+   neighbours of neighbours are likely neighbours. Only neighbours within twice the threshold's angle are kept: two nodes linked
+   with a third lie no further apart. A list holds the best `k`; one that is full of links is saturated and is doubled, up to
+   `widest`. Rounds end when none finds a new link.
+3. Edges at or above the threshold are links and give components. Buckets that were too large to be compared whole, and whose
+   members are in different components, are then compared between these, block by block.
+4. A node's links are its edges, in components where no list was saturated to the end. In the others, pairs are never rows: blocks of the
+   component are compared with blocks and the links of each node are counted, exactly.
+5. Audit: a sample of nodes, which grows with the square root of their number, is compared with all of its label. Where it misses a link, the search
+   is repeated with other hyperplanes and its links are added; a recall below LEAST_RECALL after SEARCHES searches is an error.
+
+Shuffles carry vectors in the type they are given in; cosines are computed in double precision.
 
 Defined cases: a vector that is null, empty, zero or holds null or non-finite components links with nothing, nor does
-one with a null label; vectors of different dimensions don't link; repeated rows are copies; null ids and further columns
+one with a null label; vectors of different dimensions don't link; equal similarities are taken in the order of node names, which changes no result; repeated rows are copies; null ids and further columns
 are allowed; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -30,11 +36,14 @@ from pyspark.sql import functions as F
 from .components import components
 from .shared import stored
 
-THRESHOLD, K = 0.93, 10
-#: Tables of hyperplane buckets of a search, most bits of a bucket's code, aimed rows of a bucket and rows beyond which one is split.
-TABLES, BITS, BUCKET, SPLIT = 10, 24, 24, 64
-ROUNDS, CHANGES = 4, 0.01
-BLOCK = 256
+THRESHOLD, K, WIDEST = 0.93, 10, 40
+#: Most bits of a bucket's code, aimed rows of a bucket, rows beyond which one is split, and how often a pair at the threshold may meet in no bucket.
+BITS, BUCKET, SPLIT, MISS = 24, 24, 64, 0.05
+ROUNDS, SEARCHES, LEAST_RECALL = 8, 3, 0.9
+#: Vectors of a block, and of one of a group of more than BLOCK * BLOCK.
+BLOCK, LARGE_BLOCK = 256, 2048
+#: Copies of the audited nodes, so that one label's work is dealt over tasks.
+COPIES = 16
 
 
 def _unit(values: np.ndarray, dim: int) -> np.ndarray:
@@ -49,27 +58,33 @@ def _members(column: pa.ListArray) -> tuple[np.ndarray, pa.StructArray, np.ndarr
     return column.offsets.to_numpy(), flat, vec.offsets.to_numpy(), vec.values.to_numpy(zero_copy_only=False)
 
 
-def _coded(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
-    """(node, vec) with codes: for each table BITS signs of projections."""
+def tables_for(bits: int, threshold: float, miss: float) -> int:
+    """Tables of buckets of so many bits, for a pair at the threshold to meet in none of them with probability `miss` at most."""
+    meets = (1 - math.acos(threshold) / math.pi) ** bits
+    return 1 if meets >= 1 - miss else math.ceil(math.log(miss) / math.log(1 - meets))
+
+
+def _coded(batches: Iterator[pa.RecordBatch], seed: int, tables: int) -> Iterator[pa.RecordBatch]:
+    """(node, vec, ...) with codes: for each table BITS signs of projections."""
     for batch in batches:
         vec = batch.column("vec")
         offsets, values = vec.offsets.to_numpy(), vec.values.to_numpy(zero_copy_only=False)
         dims = np.diff(offsets)
-        codes = np.zeros((len(dims), TABLES), np.int64)
+        codes = np.zeros((len(dims), tables), np.int64)
         for dim in np.unique(dims).tolist():
             rows = np.flatnonzero(dims == dim)
             x = np.stack([values[offsets[r] : offsets[r + 1]] for r in rows]).astype(np.float64)
-            planes = np.random.default_rng([seed, dim]).standard_normal((dim, TABLES * BITS))
-            signs = ((x @ planes) > 0).reshape(len(rows), TABLES, BITS)
+            planes = np.random.default_rng([seed, dim]).standard_normal((dim, tables * BITS))
+            signs = ((x @ planes) > 0).reshape(len(rows), tables, BITS)
             codes[rows] = signs @ (1 << np.arange(BITS - 1, -1, -1))
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(codes), pa.list_(pa.int64()))], names=[*batch.schema.names, "codes"])
 
 
-def _compared(batches: Iterator[pa.RecordBatch], k: int, threshold: float) -> Iterator[pa.RecordBatch]:
-    """Lists of members (node, vec, kth) become (a, b, sim): for each member its best k that beat its list's last, and one link."""
+def _compared(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Lists of members (node, vec, kth, room) become directed edges (a, b, sim): for each member the best that beat its list's last, as many as it has room for."""
     for batch in batches:
         starts, flat, offsets, values = _members(batch.column(0))
-        kth = flat.field("kth").to_numpy(zero_copy_only=False)
+        kth, room = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("kth", "room"))
         left, right, sims = [], [], []
         for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
             m = e - s
@@ -78,83 +93,120 @@ def _compared(batches: Iterator[pa.RecordBatch], k: int, threshold: float) -> It
             x = _unit(values[offsets[s] : offsets[e]], int(offsets[s + 1] - offsets[s]))
             sim = x @ x.T
             np.fill_diagonal(sim, -2)
-            near = np.argpartition(-sim, k - 1, axis=1)[:, :k] if m - 1 > k else np.argsort(-sim, axis=1)[:, : m - 1]
-            at = np.repeat(np.arange(m), near.shape[1])
-            to = near.ravel()
+            order = np.argsort(-sim, axis=1)[:, : min(m - 1, int(room[s:e].max()))]
+            at, rank = np.repeat(np.arange(m), order.shape[1]), np.tile(np.arange(order.shape[1]), m)
+            to = order.ravel()
             got = sim[at, to]
-            keep = got > kth[s + at]
-            over = sim >= threshold
-            linked = np.flatnonzero(over.any(1))
-            left += [s + at[keep], s + linked]
-            right += [s + to[keep], s + over[linked].argmax(1)]
-            sims += [got[keep], sim[linked, over[linked].argmax(1)]]
+            keep = (got > kth[s + at]) & (rank < room[s + at])
+            left.append(s + at[keep])
+            right.append(s + to[keep])
+            sims.append(got[keep])
         if left:
             a, b = (pa.array(np.concatenate(z)) for z in (left, right))
             yield pa.RecordBatch.from_arrays([flat.field("node").take(a), flat.field("node").take(b), pa.array(np.concatenate(sims))], names=["a", "b", "sim"])
 
 
-def _compare(lists: DataFrame, k: int, threshold: float) -> DataFrame:
-    return lists.select("members").mapInArrow(partial(_compared, k=k, threshold=threshold), "a string, b string, sim double").groupBy("a", "b").agg(F.max("sim").alias("sim"))
-
-
-def _buckets(nodes: DataFrame, seed: int) -> DataFrame:
-    """Lists of nodes that share a bucket of one of the tables."""
-    bits = nodes.groupBy("label", "dim").agg(F.least(F.lit(BITS), F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / BUCKET)))).cast("int").alias("bits"))
-    coded = nodes.select("node", "label", "dim", "vec").mapInArrow(partial(_coded, seed=seed), "node string, label string, dim int, vec array<double>, codes array<long>")
-    dealt = coded.join(bits, ["label", "dim"]).select("node", "label", "dim", "vec", "bits", F.posexplode("codes").alias("t", "code"))
-    dealt = dealt.withColumn("code", F.expr(f"shiftright(code, {BITS} - bits)"))
-    key = ["label", "dim", "t", "code"]
-    parts = dealt.groupBy(*key).agg(F.ceil(F.count("*") / SPLIT).alias("parts"))
-    dealt = dealt.join(parts, key).withColumn("part", F.pmod(F.xxhash64("node", "t", F.lit(seed)), F.col("parts")))
-    return dealt.groupBy(*key, "part").agg(F.collect_list(F.struct("node", "vec", F.lit(-2.0).alias("kth"))).alias("members"))
-
-
-def _best(edges: DataFrame, k: int) -> DataFrame:
-    """The k best of each a."""
-    order = Window.partitionBy("a").orderBy(F.desc("sim"), "b")
-    return edges.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
-
-
-def _neighbours(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """Lists of the neighbours of each node, in either direction, with the node itself."""
-    last = graph.groupBy("a").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(F.lit(-2.0)).alias("kth"))
-    known = nodes.select("node", "vec").join(last, nodes["node"] == last["a"], "left").select("node", "vec", F.coalesce("kth", F.lit(-2.0)).alias("kth"))
-    both = graph.unionByName(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")).groupBy("a", "b").agg(F.max("sim").alias("sim"))
-    both = _best(both, 2 * k).select(F.col("a").alias("at"), F.col("b").alias("node"))
-    both = both.unionByName(both.select("at").distinct().select("at", F.col("at").alias("node")))
-    return both.join(known, "node").groupBy("at").agg(F.collect_list(F.struct("node", "vec", "kth")).alias("members"))
-
-
-def _links(edges: DataFrame, threshold: float) -> DataFrame:
-    return edges.where(F.col("sim") >= threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def search(nodes: DataFrame, threshold: float, k: int, seed: int, size: int) -> DataFrame:
-    """Links (a, b) that one NN-descent finds."""
-    edges = stored(_compare(_buckets(nodes, seed), k, threshold))
-    links, graph = _links(edges, threshold), stored(_best(edges, k))
-    for _ in range(ROUNDS):
-        new = stored(_compare(_neighbours(graph, nodes, k), k, threshold).join(graph.select("a", "b"), ["a", "b"], "left_anti"))
-        links = links.unionByName(_links(new, threshold))
-        changed = new.count()
-        graph = stored(_best(graph.unionByName(new), k))
-        if changed <= CHANGES * k * size:
-            break
-    return stored(links.distinct())
-
-
-def _balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of members get a center and a radius: no member is further from it, as an angle."""
-    for batch in batches:
-        starts, _, offsets, values = _members(batch.column("members"))
-        centers, radii = [], []
-        for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-            x = _unit(values[offsets[s] : offsets[e]], int(offsets[s + 1] - offsets[s]))
-            c = x.sum(0)
-            c = c / np.linalg.norm(c) if np.linalg.norm(c) > 1e-9 else x[0]
-            centers.append(c)
-            radii.append(float(np.arccos(np.clip(x @ c, -1, 1)).max()))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(centers, pa.list_(pa.float64())), pa.array(radii, pa.float64())], names=[*batch.schema.names, "center", "radius"])
+def _compare(lists: DataFrame, k: int) -> DataFrame:
+    return lists.select("members").mapInArrow(partial(_compared, k=k), "a string, b string, sim double").groupBy("a", "b").agg(F.max("sim").alias("sim"))
+
+
+class Search:
+    """The graph that one or more NN-descents build over nodes (node, label, dim, vec, n)."""
+
+    def __init__(self, nodes: DataFrame, threshold: float, k: int, widest: int, miss: float, split: int, rounds: int):
+        self.nodes, self.threshold, self.k, self.widest, self.split, self.rounds = nodes, threshold, k, widest, split, rounds
+        # As an angle, the floor is twice the threshold.
+        self.floor = max(-1.0, 2 * threshold * threshold - 1)
+        sizes = nodes.groupBy("label", "dim").agg(F.count("*").alias("rows"))
+        sizes = sizes.withColumn("bits", F.least(F.lit(BITS), F.greatest(F.lit(0), F.ceil(F.log2(F.col("rows") / BUCKET)))).cast("int"))
+        enough = [tables_for(b, threshold, miss) for b in range(BITS + 1)]
+        self.sizes = stored(sizes.withColumn("tables", F.element_at(F.array(*map(F.lit, enough)), F.col("bits") + 1)))
+        self.tables = self.sizes.agg(F.max("tables")).first()[0] or 1
+        self.graph: DataFrame | None = None
+        #: Members (key, node) of buckets that were not compared whole.
+        self.large: list[DataFrame] = []
+
+    def _best(self, edges: DataFrame) -> DataFrame:
+        """The best of each a, as many as its list holds: k, doubled while it is full of links, up to widest."""
+        rank = Window.partitionBy("a").orderBy(F.desc("sim"), "b")
+        most = edges.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= self.widest)
+        links = F.count_if(F.col("sim") >= self.threshold).over(Window.partitionBy("a"))
+        return most.withColumn("links", links).withColumn("width", self._width(F.col("links"))).where(F.col("_r") <= F.col("width")).select("a", "b", "sim", "links", "width")
+
+    def _width(self, links):
+        k = self.k
+        return F.when(links < k, F.lit(k)).otherwise(F.least(F.lit(self.widest), (F.lit(k) * F.pow(F.lit(2), F.floor(F.log2(links / k)) + 1)).cast("int"))).cast("int")
+
+    def _buckets(self, seed: int) -> DataFrame:
+        """Lists of nodes that share a bucket of one of the tables; of larger buckets, random parts."""
+        vec = self.nodes.schema["vec"].dataType.simpleString()
+        coded = self.nodes.select("node", "label", "dim", "vec").mapInArrow(partial(_coded, seed=seed, tables=self.tables), f"node string, label string, dim int, vec {vec}, codes array<long>")
+        dealt = coded.join(F.broadcast(self.sizes), ["label", "dim"])  # a row for each label and dimension
+        dealt = dealt.select("node", "label", "dim", "vec", "bits", "tables", F.posexplode("codes").alias("t", "code")).where(F.col("t") < F.col("tables"))
+        key = F.concat_ws(" ", F.lit(str(seed)), "dim", "t", F.expr(f"shiftright(code, {BITS} - bits)"), "label")
+        dealt = stored(dealt.select(F.xxhash64(key).alias("key"), "node", "vec"))
+        parts = dealt.groupBy("key").agg(F.ceil(F.count("*") / self.split).alias("parts"))
+        dealt = dealt.join(parts, "key")
+        self.large.append(dealt.where("parts > 1").select("key", "node"))
+        part = F.pmod(F.xxhash64("node", "key"), F.col("parts"))
+        return dealt.groupBy("key", part.alias("part")).agg(F.collect_list(F.struct("node", "vec", F.lit(self.floor).alias("kth"), F.lit(self.k).alias("room"))).alias("members"))
+
+    def _neighbours(self) -> DataFrame:
+        """Lists of the neighbours of each node, in either direction, with the node itself."""
+        graph = self.graph
+        state = graph.groupBy("a").agg(F.count("*").alias("have"), F.min("sim").alias("last"), F.first("links").alias("links"), F.first("width").alias("width"))
+        closed = F.col("links") >= self.widest
+        kth = F.when(closed, F.lit(2.0)).when(F.col("have") >= F.col("width"), F.col("last")).otherwise(F.lit(self.floor))
+        state = state.select(F.col("a").alias("node"), kth.alias("kth"), F.col("width").alias("room"))
+        both = graph.select("a", "b", "sim").unionByName(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")).groupBy("a", "b").agg(F.max("sim").alias("sim"))
+        rank = Window.partitionBy("a").orderBy(F.desc("sim"), "b")
+        both = both.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= self.widest + self.k)
+        at = both.select(F.col("a").alias("at"), F.col("b").alias("node")).unionByName(both.where("_r = 1").select(F.col("a").alias("at"), F.col("a").alias("node")))
+        known = self.nodes.select("node", "vec").join(state, "node", "left")
+        known = known.select("node", F.struct("node", "vec", F.coalesce("kth", F.lit(self.floor)).alias("kth"), F.coalesce("room", F.lit(self.k)).alias("room")).alias("member"))
+        return at.join(known, "node").groupBy("at").agg(F.collect_list("member").alias("members"))
+
+    def descend(self, seed: int) -> None:
+        """A search from new buckets; what it finds is added to the graph."""
+        found = _compare(self._buckets(seed), self.k)
+        if self.graph is not None:
+            found = found.unionByName(self.graph.select("a", "b", "sim")).groupBy("a", "b").agg(F.max("sim").alias("sim"))
+        self.graph = stored(self._best(found))
+        for _ in range(self.rounds):
+            new = stored(_compare(self._neighbours(), self.k).join(self.graph.select("a", "b"), ["a", "b"], "left_anti"))
+            links = new.agg(F.count_if(F.col("sim") >= self.threshold)).first()[0]
+            if not links:
+                break
+            self.graph = stored(self._best(self.graph.select("a", "b", "sim").unionByName(new)))
+
+    def links(self) -> DataFrame:
+        """Links (a, b) in both directions."""
+        over = self.graph.where(F.col("sim") >= self.threshold).select("a", "b")
+        return over.unionByName(over.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+
+    def bridges(self, roots: DataFrame) -> DataFrame:
+        """Pairs of roots (a, b) that links join between members of buckets that were not compared whole."""
+        large = self.large[0]
+        for more in self.large[1:]:
+            large = large.unionByName(more)
+        at = stored(large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+        sizes = at.groupBy("key", "root").agg(F.count("*").alias("c"))
+        main = sizes.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots"), F.sum("c").alias("rows")).where("roots > 1").drop("roots")
+        dealt = at.join(main, "key").withColumn("minor", F.col("root") != F.col("main"))
+        return _by_blocks(dealt.join(self.nodes.select("node", "vec"), "node"), "key", ["node", "vec", "root"], F.col("minor"), partial(_bridged, threshold=self.threshold), "a string, b string").distinct()
+
+
+def _by_blocks(rows: DataFrame, group: str, member: list[str], asks, compared, schema: str) -> DataFrame:
+    """Blocks of a group's rows that ask, each with all of the group's blocks: rows (mine, other), dealt by group and both blocks. rows has the group's size."""
+    size = F.when(F.col("rows") > BLOCK * BLOCK, F.lit(LARGE_BLOCK)).otherwise(F.lit(BLOCK))
+    one = F.struct(*member)
+    dealt = rows.withColumn("blocks", F.ceil(F.col("rows") / size)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    dealt = stored(dealt.groupBy(group, "block").agg(F.first("blocks").alias("blocks"), F.collect_list(one).alias("other"), F.collect_list(F.when(asks, one)).alias("mine")))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    left = dealt.where(F.size("mine") > 0).select(group, F.col("block").alias("i"), every.alias("j"), "mine")
+    asked = left.select(group, "i").distinct()
+    right = dealt.select(group, F.col("block").alias("j"), "other").join(asked, group)
+    return left.join(right, [group, "i", "j"]).select("mine", "other").mapInArrow(compared, schema)
 
 
 def _bridged(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
@@ -181,30 +233,6 @@ def _bridged(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.string())], names=["a", "b"])
 
 
-def bridges(nodes: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of roots (a, b) whose components are linked: every vector is compared with all of other components.
-
-    Blocks hold one component, or several small ones. Two blocks are left uncompared only where their balls
-    are further apart than a link can reach, or where both lie in one component.
-    """
-    whole = nodes.select("node", "label", "dim", "vec").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    large = whole.groupBy("root").count().where(2 * F.col("count") >= BLOCK).select("root", F.col("root").alias("own"))
-    whole = stored(whole.join(large, "root", "left").withColumn("own", F.coalesce("own", F.lit(""))))
-    key = ["label", "dim", "own"]
-    sizes = whole.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    dealt = whole.join(sizes, key).withColumn("block", F.pmod(F.xxhash64(F.when(F.col("own") == "", F.col("root")).otherwise(F.col("node"))), F.col("blocks")))
-    blocks = dealt.groupBy(*key, "block").agg(F.collect_list(F.struct("node", "vec", "root")).alias("members"))
-    kinds = "label string, dim int, own string, block long, members array<struct<node:string,vec:array<double>,root:string>>, center array<double>, radius double"
-    blocks = stored(blocks.mapInArrow(_balls, kinds).withColumn("id", F.concat_ws(" ", "label", "dim", "own", "block")))
-    one, two = (blocks.select("label", "dim", *(F.col(c).alias(c + n) for c in ("id", "own", "center", "radius"))) for n in "12")
-    cosine = F.aggregate(F.zip_with("center1", "center2", lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y)
-    reached = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))) - F.col("radius1") - F.col("radius2") <= float(np.arccos(threshold)) + 1e-6
-    apart = (F.col("id1") < F.col("id2")) & ((F.col("own1") == "") | (F.col("own1") != F.col("own2"))) | (F.col("id1") == F.col("id2")) & (F.col("own1") == "")
-    pairs = stored(one.join(two, ["label", "dim"]).where(apart & reached).select("id1", "id2"))
-    held = pairs.join(blocks.select(F.col("id").alias("id1"), F.col("members").alias("mine")), "id1").join(blocks.select(F.col("id").alias("id2"), F.col("members").alias("other")), "id2")
-    return held.select("mine", "other").mapInArrow(partial(_bridged, threshold=threshold), "a string, b string").distinct()
-
-
 def _counted(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """Pairs of blocks (mine, other) of members (node, vec, n) become (node, linked rows of other)."""
     for batch in batches:
@@ -222,30 +250,64 @@ def _counted(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa
             yield pa.RecordBatch.from_arrays([pa.concat_arrays(nodes), pa.array(np.concatenate(counts).astype(np.int64))], names=["node", "links"])
 
 
-def _degrees(nodes: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
-    """(node, links): linked rows of other nodes, all within its component, compared in blocks."""
+def _degrees(search: Search, links: DataFrame, roots: DataFrame, bridged: DataFrame) -> DataFrame:
+    """(node, links): linked rows of other nodes. From the graph, or counted in blocks where lists were saturated or a bridge was found."""
+    nodes = search.nodes
     whole = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    sizes = whole.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    members = nodes.select("node", "vec", "n").join(whole, "node").join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    blocks = stored(members.groupBy("root", "block").agg(F.collect_list(F.struct("node", "vec", "n")).alias("members")))
-    pairs = blocks.select("root", F.col("members").alias("mine")).join(blocks.select("root", F.col("members").alias("other")), "root")
-    return pairs.select("mine", "other").mapInArrow(partial(_counted, threshold=threshold), "node string, links long").groupBy("node").agg(F.sum("links").alias("links"))
-
-
-def link(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = THRESHOLD, k: int = K) -> DataFrame:
-    """A row for each vector: vec_id, n_links, component_id (smallest id reachable), kept."""
-    vec = F.col(embedding).cast("array<double>")
-    fine = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (F.aggregate(vec, F.lit(0.0), lambda a, x: a + x * x) > 0) & F.col(label).isNotNull()
+    full = search.graph.where(F.col("links") >= search.widest).select(F.col("a").alias("node")).unionByName(bridged.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    dense = whole.join(full, "node").select("root").distinct()
+    sizes = whole.join(dense, "root").groupBy("root").agg(F.count("*").alias("rows"))
+    members = nodes.select("node", "vec", "n").join(whole, "node").join(sizes, "root")
+    counted = _by_blocks(members, "root", ["node", "vec", "n"], F.lit(True), partial(_counted, threshold=search.threshold), "node string, links long")
+    plain = links.join(whole.join(dense, "root", "left_anti").select(F.col("node").alias("a")), "a").join(nodes.select(F.col("node").alias("b"), "n"), "b").select(F.col("a").alias("node"), F.col("n").alias("links"))
+    return counted.unionByName(plain).groupBy("node").agg(F.sum("links").alias("links"))
+
+
+def audit(search: Search, degrees: DataFrame) -> float:
+    """The share of a sampled node's links that were found, on average over sampled nodes that have links in truth."""
+    nodes = search.nodes
+    n = search.sizes.agg(F.sum("rows")).first()[0] or 0
+    step = max(1, int(n / (200 + 4 * math.sqrt(n)))) if n else 1
+    sampled = nodes.where(F.pmod(F.xxhash64("node", F.lit(5)), F.lit(step)) == 0).select("node", "label", "dim", "vec", "n")
+    key = ["label", "dim"]
+    mine = sampled.withColumn("q", F.pmod(F.xxhash64("node"), F.ceil(F.lit(n) / step / BLOCK))).groupBy(*key, "q").agg(F.collect_list(F.struct("node", "vec", "n")).alias("mine"))
+    mine = mine.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+    blocks = nodes.join(F.broadcast(search.sizes), key).withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("rows") / LARGE_BLOCK)))
+    other = blocks.groupBy(*key, "block").agg(F.collect_list(F.struct("node", "vec", "n")).alias("other")).withColumn("copy", F.pmod("block", F.lit(COPIES)).cast("int"))
+    truth = mine.join(other, [*key, "copy"]).select("mine", "other").mapInArrow(partial(_counted, threshold=search.threshold), "node string, links long").groupBy("node").agg(F.sum("links").alias("truth"))
+    share = truth.where("truth > 0").join(degrees, "node", "left").agg(F.avg(F.coalesce("links", F.lit(0)) / F.col("truth"))).first()[0]
+    return 1.0 if share is None else share
+
+
+def linked(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = THRESHOLD, k: int = K, widest: int = WIDEST, miss: float = MISS, split: int = SPLIT, rounds: int = ROUNDS) -> tuple[DataFrame, float]:
+    """A row for each vector: vec_id, n_links, component_id (smallest id reachable), kept; and the recall that was measured."""
+    kind = vectors.schema[embedding].dataType.elementType.simpleString()
+    vec = F.col(embedding) if kind in ("float", "double") else F.col(embedding).cast("array<double>")
+    fine = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (F.aggregate(vec, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")) > 0) & F.col(label).isNotNull()
     name = F.concat(F.hex(F.xxhash64(F.lit(1), F.col(label), vec)), F.hex(F.xxhash64(vec, F.col(label), F.lit(2))))
     rows = stored(vectors.select(F.col(vec_id).alias("id"), F.when(F.coalesce(fine, F.lit(False)), name).alias("node"), F.col(label).cast("string").alias("label"), vec.alias("vec")))
     nodes = stored(rows.where("node is not null").groupBy("node").agg(F.first("label").alias("label"), F.first("vec").alias("vec"), F.size(F.first("vec")).alias("dim"), F.count("*").alias("n"), F.min("id").alias("least")))
-    size = nodes.count()
-    links = search(nodes, threshold, k, 0, size)
-    links = links.unionByName(stored(bridges(nodes, components(links), threshold)))
-    roots = components(links)
+    search = Search(nodes, threshold, k, widest, miss, split, rounds)
+    for seed in range(SEARCHES):
+        search.descend(seed)
+        links = search.links()
+        bridged = stored(search.bridges(components(links)))
+        roots = stored(components(links.unionByName(bridged)))
+        degrees = stored(_degrees(search, links, roots, bridged))
+        recall = audit(search, degrees)
+        if recall == 1:
+            break
+    if recall < LEAST_RECALL:
+        raise RuntimeError(f"only {recall:.3f} of the links of sampled vectors were found in {SEARCHES} searches")
     tops = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = tops.groupBy("root").agg(F.min("least").alias("component"))
-    known = nodes.select("node", "n").join(tops.select("node", "root"), "node").join(least, "root").join(_degrees(nodes, roots, threshold), "node", "left")
+    known = nodes.select("node", "n").join(tops.select("node", "root"), "node").join(least, "root").join(degrees, "node", "left")
     known = known.select("node", "component", (F.coalesce("links", F.lit(0).cast("long")) + F.col("n") - 1).alias("links"))
     own = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component"))
-    return rows.select("id", "node").join(known, "node", "left").select(F.col("id").alias("vec_id"), F.coalesce("links", F.lit(0).cast("long")).alias("n_links"), own.alias("component_id"), F.col("id").eqNullSafe(own).alias("kept"))
+    out = rows.select("id", "node").join(known, "node", "left").select(F.col("id").alias("vec_id"), F.coalesce("links", F.lit(0).cast("long")).alias("n_links"), own.alias("component_id"), F.col("id").eqNullSafe(own).alias("kept"))
+    return out, recall
+
+
+def link(vectors: DataFrame, **more) -> DataFrame:
+    """The rows of linked()."""
+    return linked(vectors, **more)[0]

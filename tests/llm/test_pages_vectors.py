@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from loomspan.llm import embeddings, html, urls
 from loomspan.llm.components import components
@@ -110,21 +112,56 @@ def test_one_link_between_two_tight_groups_is_found(spark):
     assert all(r.n_links == 199 + (r.vec_id % 1000 >= 398) for r in got)
 
 
-def test_pairs_that_no_bucket_or_list_holds_are_found(spark, monkeypatch):
-    monkeypatch.setattr(embeddings, "TABLES", 1)
-    monkeypatch.setattr(embeddings, "SPLIT", 2)
-    monkeypatch.setattr(embeddings, "ROUNDS", 0)
+def nodes_of(spark, x):
+    return spark.createDataFrame([(f"{i:04d}", "l", v.tolist(), x.shape[1], 1) for i, v in enumerate(x)], "node string, label string, vec array<double>, dim int, n long")
+
+
+def test_saturated_lists_are_doubled_and_gain_links(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((3, 24)).repeat(30, 0) + 0.1 * rng.standard_normal((90, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    true = int((x @ x.T >= 0.93).sum()) - 90
+    assert true == 3 * 30 * 29
+    found = {}
+    for widest in (5, 40):
+        search = embeddings.Search(nodes_of(spark, x), 0.93, 5, widest, 0.05, 8, 8)
+        search.descend(0)
+        found[widest] = search.links().count()
+        lists = {r.a: r for r in search.graph.groupBy("a").agg(F.count("*").alias("n"), F.max("width").alias("width")).collect()}
+        assert all(r.n <= r.width <= widest for r in lists.values())
+    assert found[5] < 0.5 * true and found[40] == true
+
+
+def test_a_miss_is_seen_and_searched_again_or_raised(spark, monkeypatch):
     rng = np.random.default_rng(7)
     rows = []
-    for i in range(700):
+    for i in range(400):
         x = rng.standard_normal(16)
-        rows += [(2 * i, x.tolist(), 0), (2 * i + 1, (x + 0.02 * rng.standard_normal(16)).tolist(), 0)]
+        rows += [(2 * i, x.tolist(), 0), (2 * i + 1, (x + 0.3 * rng.standard_normal(16)).tolist(), 0)]
     x = np.array([v for _, v, _ in rows])
     x /= np.linalg.norm(x, axis=1)[:, None]
-    over = x @ x.T >= 0.93
-    assert over.sum() == 4 * 700
-    got = embeddings.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
-    assert all(r.n_links == 1 and r.component_id == r.vec_id // 2 * 2 for r in got) and len(got) == 1400
+    true = (x @ x.T >= 0.93).sum(1) - 1
+    assert true.sum() > 200
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got, recall = embeddings.linked(table)
+    assert recall == 1 and {r.vec_id: r.n_links for r in got.collect()} == dict(enumerate(true.tolist()))
+    monkeypatch.setattr(embeddings, "BUCKET", 1)
+    monkeypatch.setattr(embeddings, "SEARCHES", 1)
+    with pytest.raises(RuntimeError, match="of the links"):
+        embeddings.linked(table, miss=0.999, rounds=0)
+
+
+def test_tables_are_as_many_as_the_miss_rate_needs():
+    meets = 1 - np.arccos(0.93) / np.pi
+    for bits in range(1, 25):
+        t = embeddings.tables_for(bits, 0.93, 0.05)
+        assert (1 - meets**bits) ** t <= 0.05 < (1 - meets**bits) ** (t - 1)
+
+
+def test_no_vectors_give_no_rows(spark):
+    assert embeddings.link(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+    odd = spark.createDataFrame([(1, None, 0), (2, [0.0], 0), (3, [1.0], None)], "vec_id long, embedding array<float>, label int")
+    assert sorted(map(tuple, embeddings.link(odd).collect())) == [(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True)]
 
 
 def test_short_sections_and_further_articles_stay():
