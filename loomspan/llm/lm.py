@@ -236,11 +236,12 @@ def score(docs: DataFrame, target: DataFrame, unseen: DataFrame | None = None, d
     tokens = {r.mark: r.n for r in known}
     buckets = max(BUCKETS, sum(tokens.values()) // BUCKET)
     asked = chunks.mapInArrow(partial(_asked, buckets=buckets), "bucket int, chunk string, mark int, pairs boolean, keys binary, counts binary")
-    answers = stored(asked.groupBy("bucket").applyInArrow(_answered, "chunk string, bucket int, pairs boolean, background binary, target binary, distinct long"))
+    # As many partitions as buckets, and later as few chunks in each, so that tasks don't grow with the input.
+    answers = stored(asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_answered, "chunk string, bucket int, pairs boolean, background binary, target binary, distinct long"))
     vocabulary = (answers.agg(F.sum("distinct")).first()[0] or 0) + 1
     kinds = [docs.schema[c].dataType.simpleString() for c in others]
     schema = ", ".join([*(f"{n} {k}" for n, k in zip(names, kinds, strict=True)), "n_tokens long, target_loss double, background_loss double, score double"])
     totals = (tokens.get(BACKGROUND, 0), tokens.get(TARGET, 0))
-    both = chunks.groupBy("chunk").cogroup(answers.where("chunk is not null").groupBy("chunk"))
+    both = chunks.repartition(buckets, "chunk").groupBy("chunk").cogroup(answers.where("chunk is not null").repartition(buckets, "chunk").groupBy("chunk"))
     scored = both.applyInArrow(lambda k, a, b: _scored(k, a, b, totals, vocabulary), schema)
     return scored.toDF(*others, "n_tokens", "target_loss", "background_loss", "score")
