@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import spread_join, stored
 
 
-def _stars(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b) become (b, smallest of a and what a is paired with)."""
-    least = pairs.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return pairs.join(least, "a")
+#: Pairs up to which no key can hold too many of them for one task.
+FEW = 1_000_000
+
+
+def _stars(pairs: DataFrame, total: int) -> DataFrame:
+    """Pairs (a, b) get the smallest of a and what a is paired with, m. Of many pairs, an a of a large share of them is not gathered in one task."""
+    least = pairs.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("rows"))
+    return pairs.join(least.drop("rows"), "a") if total <= FEW else spread_join(pairs, least, "a", "rows", total)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -28,8 +32,10 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark = (new.n, new.x)
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _stars(both).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = _stars(both, 2 * new.n).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
-        small = _stars(large)
+        if 2 * new.n > FEW:
+            large = stored(large)
+        small = _stars(large, 2 * new.n)
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
         now = stored(small.where("a <> b").distinct())

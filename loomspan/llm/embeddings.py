@@ -30,11 +30,11 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import stored
+from .shared import by_blocks, spread_join, stored
 
 THRESHOLD, K, WIDEST = 0.93, 10, 40
 #: Most bits of a bucket's code, aimed rows of a bucket, rows beyond which one is split, and how often a pair at the threshold may meet in no bucket.
@@ -193,20 +193,11 @@ class Search:
         sizes = at.groupBy("key", "root").agg(F.count("*").alias("c"))
         main = sizes.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots"), F.sum("c").alias("rows")).where("roots > 1").drop("roots")
         dealt = at.join(main, "key").withColumn("minor", F.col("root") != F.col("main"))
-        return _by_blocks(dealt.join(self.nodes.select("node", "vec"), "node"), "key", ["node", "vec", "root"], F.col("minor"), partial(_bridged, threshold=self.threshold), "a string, b string").distinct()
+        return by_blocks(dealt.join(self.nodes.select("node", "vec"), "node"), "key", ["node", "vec", "root"], F.col("minor"), _block(), partial(_bridged, threshold=self.threshold), "a string, b string").distinct()
 
 
-def _by_blocks(rows: DataFrame, group: str, member: list[str], asks, compared, schema: str) -> DataFrame:
-    """Blocks of a group's rows that ask, each with all of the group's blocks: rows (mine, other), dealt by group and both blocks. rows has the group's size."""
-    size = F.when(F.col("rows") > BLOCK * BLOCK, F.lit(LARGE_BLOCK)).otherwise(F.lit(BLOCK))
-    one = F.struct(*member)
-    dealt = rows.withColumn("blocks", F.ceil(F.col("rows") / size)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    dealt = stored(dealt.groupBy(group, "block").agg(F.first("blocks").alias("blocks"), F.collect_list(one).alias("other"), F.collect_list(F.when(asks, one)).alias("mine")))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    left = dealt.where(F.size("mine") > 0).select(group, F.col("block").alias("i"), every.alias("j"), "mine")
-    asked = left.select(group, "i").distinct()
-    right = dealt.select(group, F.col("block").alias("j"), "other").join(asked, group)
-    return left.join(right, [group, "i", "j"]).select("mine", "other").mapInArrow(compared, schema)
+def _block() -> Column:
+    return F.when(F.col("rows") > BLOCK * BLOCK, F.lit(LARGE_BLOCK)).otherwise(F.lit(BLOCK))
 
 
 def _bridged(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
@@ -258,7 +249,7 @@ def _degrees(search: Search, links: DataFrame, roots: DataFrame, bridged: DataFr
     dense = whole.join(full, "node").select("root").distinct()
     sizes = whole.join(dense, "root").groupBy("root").agg(F.count("*").alias("rows"))
     members = nodes.select("node", "vec", "n").join(whole, "node").join(sizes, "root")
-    counted = _by_blocks(members, "root", ["node", "vec", "n"], F.lit(True), partial(_counted, threshold=search.threshold), "node string, links long")
+    counted = by_blocks(members, "root", ["node", "vec", "n"], F.lit(True), _block(), partial(_counted, threshold=search.threshold), "node string, links long")
     plain = links.join(whole.join(dense, "root", "left_anti").select(F.col("node").alias("a")), "a").join(nodes.select(F.col("node").alias("b"), "n"), "b").select(F.col("a").alias("node"), F.col("n").alias("links"))
     return counted.unionByName(plain).groupBy("node").agg(F.sum("links").alias("links"))
 
@@ -291,8 +282,10 @@ def linked(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
     for seed in range(SEARCHES):
         search.descend(seed)
         links = search.links()
-        bridged = stored(search.bridges(components(links)))
-        roots = stored(components(links.unionByName(bridged)))
+        roots = stored(components(links))
+        bridged = stored(search.bridges(roots))
+        if bridged.take(1):
+            roots = stored(components(links.unionByName(bridged)))
         degrees = stored(_degrees(search, links, roots, bridged))
         recall = audit(search, degrees)
         if recall == 1:
@@ -300,8 +293,9 @@ def linked(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
     if recall < LEAST_RECALL:
         raise RuntimeError(f"only {recall:.3f} of the links of sampled vectors were found in {SEARCHES} searches")
     tops = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = tops.groupBy("root").agg(F.min("least").alias("component"))
-    known = nodes.select("node", "n").join(tops.select("node", "root"), "node").join(least, "root").join(degrees, "node", "left")
+    tops = stored(tops)
+    least = tops.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("rows"))
+    known = nodes.select("node", "n").join(spread_join(tops.select("node", "root"), least, "root", "rows", tops.count()), "node").join(degrees, "node", "left")
     known = known.select("node", "component", (F.coalesce("links", F.lit(0).cast("long")) + F.col("n") - 1).alias("links"))
     own = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component"))
     out = rows.select("id", "node").join(known, "node", "left").select(F.col("id").alias("vec_id"), F.coalesce("links", F.lit(0).cast("long")).alias("n_links"), own.alias("component_id"), F.col("id").eqNullSafe(own).alias("kept"))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .decontam import key
 from .hashing import blocks, letters, mix64, word_hashes
-from .shared import small, stored, unused
+from .shared import by_blocks, small, spread_join, stored, unused
 
 BANDS, ROWS = 26, 5
 #: Members of a block.
@@ -137,19 +137,26 @@ def _links(docs: DataFrame, text: str, pairs: DataFrame, classes: DataFrame, siz
     return both.mapInArrow(lambda x: _verified(x, size, percent), "a binary, b binary")
 
 
-def _crossed(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of blocks (mine, other) of members (node, root, text) become the links (a, b) between different roots."""
+def _shingled(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """(node, text) become (node, set): sorted hashes of the text's shingles."""
+    for batch in batches:
+        for at, to, data, offsets in blocks(batch.column("text")):
+            sets = [s.view(np.int64) for s in shingle_sets(data, offsets, size)]
+            yield pa.RecordBatch.from_arrays([batch.column("node").slice(at, to - at), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
+
+
+def _crossed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of blocks (mine, other) of members (node, root, set) become the links (a, b) between different roots."""
     for batch in batches:
         found: set[tuple[bytes, bytes]] = set()
         sides = []
         for name in ("mine", "other"):
             column = batch.column(name)
             flat = column.flatten()
-            sets: list[np.ndarray] = []
-            for _, _, data, offsets in blocks(flat.field("text")):
-                sets += shingle_sets(data, offsets, size)
+            sets = flat.field("set")
+            ends, values = sets.offsets.to_numpy(), sets.values.to_numpy().view(np.uint64)
             bounds = column.offsets.to_numpy() - column.offsets[0].as_py()
-            sides.append((bounds, flat.field("node").to_pylist(), flat.field("root").to_pylist(), sets))
+            sides.append((bounds, flat.field("node").to_pylist(), flat.field("root").to_pylist(), [values[s:e] for s, e in zip(ends[:-1], ends[1:], strict=True)]))
         (at1, node1, root1, sets1), (at2, node2, root2, sets2) = sides
         for i in range(len(batch)):
             other = range(at2[i], at2[i + 1])
@@ -167,16 +174,11 @@ def _crossed(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iter
 
 
 def _cross_links(docs: DataFrame, text: str, left: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links between different roots in the buckets of left (h, node, root, main): members outside the main root against all, block by block."""
+    """Links between different roots in the buckets of left (h, node, root, main, rows): members outside the main root against all, block by block."""
     nodes = left.select("node").distinct()
     texts = _needed_texts(docs, text, nodes.select(F.col("node").alias("a"), F.col("node").alias("b")), classes)
-    blocks = left.groupBy("h").agg(F.ceil(F.count("*") / CROSS).alias("blocks"))
-    minor = F.col("root") != F.col("main")
-    dealt = left.join(blocks, "h").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).join(texts, "node")
-    member = F.struct("node", "root", "text")
-    dealt = stored(dealt.groupBy("h", "block").agg(F.collect_list(member).alias("other"), F.collect_list(F.when(minor, member)).alias("mine")))
-    pairs = dealt.where(F.size("mine") > 0).select("h", "mine").join(dealt.select("h", "other"), "h")
-    return pairs.select("mine", "other").mapInArrow(lambda b: _crossed(b, size, percent), "a binary, b binary").distinct()
+    sets = texts.mapInArrow(lambda b: _shingled(b, size), "node binary, set array<long>")
+    return by_blocks(left.join(sets, "node"), "h", ["node", "root", "set"], F.col("root") != F.col("main"), F.lit(CROSS), lambda b: _crossed(b, percent), "a binary, b binary").distinct()
 
 
 def _pairs(x: str, y: str) -> list:
@@ -205,8 +207,8 @@ def classes_and_rows(docs: DataFrame, doc_id: str, text: str, size: int, percent
     found = stored(components(links))
     # Round two looks at buckets whose members are in several components; a member without links is one of its own.
     at = members.select("h", "node", "w").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = at.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.struct("w", "node", "root")).alias("p")).where("lo <> hi").select("h", F.col("p.root").alias("main"))
-    left = stored(at.join(mixed, "h").select("h", "node", "root", "main"))
+    mixed = at.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.struct("w", "node", "root")).alias("p"), F.count("*").alias("rows")).where("lo <> hi").select("h", F.col("p.root").alias("main"), "rows")
+    left = stored(at.join(mixed, "h").select("h", "node", "root", "main", "rows"))
     more = stored(_cross_links(docs, text, left, classes, size, percent))
     if more.take(1):
         found = stored(components(links.unionByName(more)))
@@ -218,9 +220,9 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: in
     found, documents = classes_and_rows(docs, doc_id, text, size, percent)
     mine = F.struct("id", "k1", "k2")
     tops = documents.where("node is not null").groupBy("node").agg(F.min("id").alias("component"), F.min(F.when(F.col("id").isNotNull(), mine)).alias("first"), F.min(mine).alias("any"))
-    tops = tops.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    best = tops.groupBy("root").agg(F.min("component").alias("component"), F.coalesce(F.min("first"), F.min("any")).alias("first"))
-    by_node = tops.select("node", "root").join(best, "root").drop("root")
+    tops = stored(tops.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    best = tops.groupBy("root").agg(F.min("component").alias("component"), F.coalesce(F.min("first"), F.min("any")).alias("first"), F.count("*").alias("rows"))
+    by_node = spread_join(tops.select("node", "root"), best, "root", "rows", tops.count()).drop("root")
     return documents.join(by_node, "node", "left").select("id", "k1", "k2", "n_shingles", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"), "first")
 
 
