@@ -212,7 +212,7 @@ def whole_at(doc: Column, path: str) -> Column:
 
 def quoted(text: Column) -> Column:
     """Text as a JSON string."""
-    return F.regexp_replace(F.to_json(F.struct(text.alias("v"))), r'^\{"v":(.*)\}$', "$1")
+    return F.when(text.isNotNull(), F.regexp_replace(F.to_json(F.struct(text.alias("v"))), r'(?s)^\{"v":(.*)\}$', "$1"))
 
 
 def known_entries(**values: Column) -> Column:

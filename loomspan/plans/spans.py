@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import file_name, span_id
 from ..operators.spans import fold
+from ..operators.tables import stored
 from ..sources.stand_ins import ENV, envelopes, span_sql, table, transcripts, TRX
 from .registry import query
 
@@ -92,6 +93,24 @@ def git_enrich(spark, sf_dir):
     return c.join(F.broadcast(n), c["c_nationkey"] == n["n_nationkey"], "left").select(F.col("c_custkey").alias("session_id"), F.col("c_name").alias("cwd"), F.col("n_name").alias("repository"), F.col("n_regionkey").cast("long").alias("branch"))
 
 
+def depths(parents: DataFrame, key: list[str], node: str, parent: str) -> DataFrame:
+    """Nodes of forests (key.., node, parent or null) with depth, 1 at the top. Each round doubles how far a node looks up, so that rounds grow with the logarithm of the depth.
+
+    A node whose parent isn't there counts as a top; nodes in a circle, or below one, get no row.
+    """
+    ids = parents.select(*key, F.col(node).alias(parent), F.lit(True).alias("there"))
+    now = parents.join(ids, [*key, parent], "left").select(*key, node, F.when(F.col("there"), F.col(parent)).alias("up"), F.when(F.col("there"), 2).otherwise(1).cast("long").alias("depth"))
+    before = None
+    while True:
+        now = stored(now)
+        left = now.where("up is not null").count()
+        if not left or left == before:
+            return now.where("up is null").select(*key, node, "depth")
+        before = left
+        higher = now.select(*key, F.col(node).alias("up"), F.col("up").alias("further"), (F.col("depth") - 1).alias("more"))
+        now = now.join(higher, [*key, "up"], "left").select(*key, node, F.col("further").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
+
+
 @query(f"""WITH RECURSIVE {TRX}, n AS (SELECT session_id, pos, CASE WHEN role = 'user' THEN 1 ELSE 2 END AS own FROM trx),
 p AS (SELECT session_id, pos, own, CASE WHEN own = 1 THEN -1 ELSE coalesce((SELECT max(m.pos) FROM n m WHERE m.session_id = n.session_id AND m.pos < n.pos AND m.own = 1), -1) END AS parent FROM n),
 d(session_id, pos, depth) AS (SELECT session_id, pos, 1 FROM p WHERE parent = -1 UNION ALL SELECT p.session_id, p.pos, d.depth + 1 FROM p JOIN d ON p.session_id = d.session_id AND p.parent = d.pos)
@@ -103,12 +122,8 @@ def span_tree_depth(spark, sf_dir):
     t = transcripts(spark, sf_dir)
     user = F.col("role") == "user"
     before = Window.partitionBy("session_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    parent = F.when(user, F.lit(-1)).otherwise(F.coalesce(F.max(F.when(user, F.col("pos"))).over(before), F.lit(-1)))
-    t.select("session_id", "pos", parent.alias("parent")).createOrReplaceTempView("span_parents")
-    return spark.sql("""WITH RECURSIVE d(session_id, pos, depth) AS (
-        SELECT session_id, pos, 1L FROM span_parents WHERE parent = -1
-        UNION ALL SELECT p.session_id, p.pos, d.depth + 1 FROM span_parents p JOIN d ON p.session_id = d.session_id AND p.parent = d.pos)
-        SELECT session_id, pos, depth FROM d""")
+    parent = F.when(~user, F.max(F.when(user, F.col("pos"))).over(before))
+    return depths(t.select("session_id", "pos", parent.alias("parent")), ["session_id"], "pos", "parent")
 
 
 @query("""SELECT page_id, regexp_replace(url, '[^A-Za-z0-9_-]', '_', 'g') AS file FROM pages""")

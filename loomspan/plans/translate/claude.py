@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ...functions import scalars as S
 from ...functions.ids import span_id
+from ...operators.tables import stored
 from .debug import as_ops
 from .pi import _text
 
@@ -163,7 +164,7 @@ def _recovered(e: DataFrame, records: DataFrame) -> DataFrame:
 
 def claude_ops(events: DataFrame, records: DataFrame | None = None) -> DataFrame:
     """Span operations of Claude hooks, and of transcript records where given."""
-    e = prepared(events).persist()
+    e = stored(prepared(events))
     parts = [_roots(e), _turns(e), _agents(e), _tools(e)]
     if records is not None:
         parts += [_models(records), _recovered(e, records)]

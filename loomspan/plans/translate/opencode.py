@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ...functions import scalars as S
 from ...functions.ids import span_id
+from ...operators.tables import stored
 from .debug import as_ops
 from .pi import _text
 
@@ -86,50 +87,52 @@ def _roots(e: DataFrame) -> DataFrame:
     lives = lives.join(known, ["session_id", "sid", "at"], "left")
     found = F.col("p_life").isNotNull()
     return lives.select(
-        *KEY, "at", "ts_ms", "parent_sid", _id("session", F.col("sid")).alias("span_id"), F.when(found, _id("session", F.col("p_sid"))).alias("above"),
+        *KEY, "at", "ts_ms", "parent_sid", _id("session", F.col("sid")).alias("span_id"), F.when(found, F.col("p_sid")).alias("p_sid"), "p_life",
         F.when(found & F.col("p_turn").isNotNull(), F.array(_id("turn", F.col("p_sid"), _text(F.col("p_turn"))))).otherwise(F.array().cast("array<string>")).alias("parent_span_ids"),
         F.when(F.col("parent_sid").isNull(), F.lit("OpenCode")).when(found, S.subagent_name(F.col("title"))).otherwise("Subagent").alias("name"))
 
 
 def _tops(roots: DataFrame) -> DataFrame:
-    """(span_id, root_span_id): the top of the chain of parents above each native session."""
-    links = roots.select("span_id", "above").groupBy("span_id").agg(F.min("above").alias("above"))
-    tops = links.select("span_id", F.coalesce("above", "span_id").alias("root_span_id"))
+    """(session_id, sid, life, root_span_id): the top of the chain of parents above each life of a native session.
+
+    Each round doubles how far a life looks up. A parent's life began before its child's, so that no chain is a circle.
+    """
+    tops = roots.select(*KEY, F.coalesce("p_sid", "sid").alias("t_sid"), F.coalesce("p_life", "life").alias("t_life"), F.col("p_life").isNotNull().alias("moved"))
     while True:
-        up = links.select(F.col("span_id").alias("root_span_id"), F.col("above").alias("higher")).where("higher is not null and higher <> root_span_id")
-        more = tops.join(up, "root_span_id", "left").select("span_id", F.coalesce("higher", "root_span_id").alias("root_span_id"), F.col("higher").isNotNull().alias("moved"))
-        if not more.where("moved").take(1):
-            return tops
-        tops = more.drop("moved")
+        tops = stored(tops)
+        if not tops.where("moved").take(1):
+            return tops.select(*KEY, _id("session", F.col("t_sid")).alias("root_span_id"))
+        up = tops.select("session_id", F.col("sid").alias("t_sid"), F.col("life").alias("t_life"), F.col("t_sid").alias("u_sid"), F.col("t_life").alias("u_life"))
+        more = tops.join(up, ["session_id", "t_sid", "t_life"])
+        tops = more.select(*KEY, F.col("u_sid").alias("t_sid"), F.col("u_life").alias("t_life"), ((F.col("u_sid") != F.col("t_sid")) | (F.col("u_life") != F.col("t_life"))).alias("moved"))
 
 
 def opencode_ops(events: DataFrame, finalize: bool = False) -> DataFrame:
     """Span operations of OpenCode events; finalize closes what is still open at the last event."""
-    e = prepared(events).persist()
-    roots = _roots(e).persist()
+    e = stored(prepared(events))
+    roots = stored(_roots(e))
     parts = [_opened(roots), _turns(e), _messages(e), _calls(e), _closed(e)]
     if finalize:
         parts += _finals(e)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
-    own = _id("session", F.col("sid"))
-    return as_ops(out.withColumn("_own", own).join(_tops(roots).select(F.col("span_id").alias("_own"), "root_span_id"), "_own"))
+    return as_ops(out.join(_tops(roots), KEY))
 
 
 def _opened(roots: DataFrame) -> DataFrame:
     child = F.col("parent_sid").isNotNull()
     meta = S.known_entries(session_id=S.quoted(F.col("sid")), source=F.lit('"opencode"'), parent_session_id=F.when(child, S.quoted(F.col("parent_sid"))), is_subagent=F.when(child, F.lit("true")))
-    return roots.select("session_id", "sid", (F.col("at") * 10).alias("op_seq"), F.lit("insert").alias("op"), "span_id", "parent_span_ids", "name", F.lit("task").alias("span_type"), F.col("ts_ms").alias("start_ms"), meta.alias("metadata"))
+    return roots.select(*KEY, (F.col("at") * 10).alias("op_seq"), F.lit("insert").alias("op"), "span_id", "parent_span_ids", "name", F.lit("task").alias("span_type"), F.col("ts_ms").alias("start_ms"), meta.alias("metadata"))
 
 
 def _turns(e: DataFrame) -> DataFrame:
     p = F.col("payload")
     skills = F.to_json(F.coalesce(S.prefixed_skills(F.col("asked"), "/skills:", "/skills"), F.array().cast("array<string>")))
     model = F.coalesce(S.json_at(p, "input.model.modelID"), S.json_at(p, "model.modelID"))
-    opened = e.where("event = 'chat.message'").select("session_id", "sid", (F.col("seq") * 10 + 2).alias("op_seq"), F.lit("insert").alias("op"), _id("turn", F.col("sid"), _text(F.col("turn"))).alias("span_id"), F.array(_id("session", F.col("sid"))).alias("parent_span_ids"), F.concat(F.lit("Turn "), _text(F.col("turn"))).alias("name"), F.lit("task").alias("span_type"), F.col("ts_ms").alias("start_ms"), F.when(F.col("asked") != "", S.quoted(F.col("asked"))).alias("input"), S.known_entries(turn_number=_text(F.col("turn")), model=model, loaded_skill_names=skills).alias("metadata"))
+    opened = e.where("event = 'chat.message'").select(*KEY, (F.col("seq") * 10 + 2).alias("op_seq"), F.lit("insert").alias("op"), _id("turn", F.col("sid"), _text(F.col("turn"))).alias("span_id"), F.array(_id("session", F.col("sid"))).alias("parent_span_ids"), F.concat(F.lit("Turn "), _text(F.col("turn"))).alias("name"), F.lit("task").alias("span_type"), F.col("ts_ms").alias("start_ms"), F.when(F.col("asked") != "", S.quoted(F.col("asked"))).alias("input"), S.known_entries(turn_number=_text(F.col("turn")), model=model, loaded_skill_names=skills).alias("metadata"))
     error = F.when(F.col("event") == "session.error", failure(F.coalesce(S.json_at(p, "properties.error"), S.json_at(p, "error"))))
-    closed = e.where("takes").select("session_id", "sid", (F.col("seq") * 10 + 1).alias("op_seq"), F.lit("merge").alias("op"), _id("turn", F.col("sid"), _text(F.col("was"))).alias("span_id"), F.col("ts_ms").alias("end_ms"), S.quoted(F.col("finished")).alias("output"), error.alias("error"))
+    closed = e.where("takes").select(*KEY, (F.col("seq") * 10 + 1).alias("op_seq"), F.lit("merge").alias("op"), _id("turn", F.col("sid"), _text(F.col("was"))).alias("span_id"), F.col("ts_ms").alias("end_ms"), S.quoted(F.col("finished")).alias("output"), error.alias("error"))
     return opened.unionByName(closed, allowMissingColumns=True)
 
 
@@ -153,7 +156,7 @@ def _messages(e: DataFrame) -> DataFrame:
     asked = F.filter(F.array(*(F.struct(F.lit(r).alias("role"), F.col(c).alias("content")) for r, c in (("system", "system"), ("user", "asked")))), lambda x: x["content"].isNotNull())
     error = S.json_at(i, "error")
     return m.select(
-        "session_id", "sid", (F.col("seq") * 10 + 3).alias("op_seq"), F.lit("insert").alias("op"), _id("llm", F.col("sid"), F.col("mid")).alias("span_id"), F.array(_id("turn", F.col("sid"), _text(F.col("open_turn")))).alias("parent_span_ids"), F.concat_ws("/", provider, model).alias("name"), F.lit("llm").alias("span_type"),
+        *KEY, (F.col("seq") * 10 + 3).alias("op_seq"), F.lit("insert").alias("op"), _id("llm", F.col("sid"), F.col("mid")).alias("span_id"), F.array(_id("turn", F.col("sid"), _text(F.col("open_turn")))).alias("parent_span_ids"), F.concat_ws("/", provider, model).alias("name"), F.lit("llm").alias("span_type"),
         F.coalesce(S.whole_at(i, "time.created"), "ts_ms").alias("start_ms"), F.coalesce(S.whole_at(i, "time.completed"), "ts_ms").alias("end_ms"), F.to_json(asked).alias("input"), F.to_json(F.array(said)).alias("output"),
         S.known_entries(model=S.quoted(model), provider=S.quoted(provider), message_id=S.quoted(F.col("mid"))).alias("metadata"), F.create_map(*(x for k, v in usage.items() for x in (F.lit(k), v.cast("double")))).alias("metrics"), F.when(error.isNotNull(), failure(error)).alias("error"))
 
@@ -189,7 +192,7 @@ def _calls(e: DataFrame) -> DataFrame:
     outcome = F.when(denied, F.lit('"denied"')).when(F.col("broke").isNotNull(), F.lit('"error"')).otherwise('"success"')
     meta = S.known_entries(tool_name=S.quoted(tool), call_id=S.quoted(F.col("call")), tool_outcome=outcome, tool_approval=F.when(denied, F.lit('"denied"')), tool_kind=F.when((tool == "skill") & ~denied, F.lit('"skill"')), skill_name=S.quoted(skill))
     return c.select(
-        "session_id", "sid", (F.col("seq") * 10 + 4).alias("op_seq"), F.lit("insert").alias("op"), _id("tool", F.col("sid"), F.col("call")).alias("span_id"), F.array(_id("turn", F.col("sid"), _text(F.col("open_turn")))).alias("parent_span_ids"), name.alias("name"), F.lit("tool").alias("span_type"),
+        *KEY, (F.col("seq") * 10 + 4).alias("op_seq"), F.lit("insert").alias("op"), _id("tool", F.col("sid"), F.col("call")).alias("span_id"), F.array(_id("turn", F.col("sid"), _text(F.col("open_turn")))).alias("parent_span_ids"), name.alias("name"), F.lit("tool").alias("span_type"),
         F.coalesce("begun", "ts_ms").alias("start_ms"), F.col("ts_ms").alias("end_ms"), F.col("args").alias("input"), F.when(~denied, F.coalesce("gave", S.json_at(p, "result.output"), S.json_at(p, "output"))).alias("output"), F.when(denied, F.lit("Permission denied")).otherwise(F.col("broke")).alias("error"), meta.alias("metadata"))
 
 
@@ -197,13 +200,13 @@ def _closed(e: DataFrame) -> DataFrame:
     p = F.col("payload")
     ended = F.sum(F.when((F.col("event") == "tool.execute.after") & F.col("open_turn").isNotNull(), 1).otherwise(0)).over(Window.partitionBy(*KEY).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
     error = F.when(F.col("event") == "session.error", failure(F.coalesce(S.json_at(p, "properties.error"), S.json_at(p, "error"))))
-    return e.withColumn("tools", ended).where("removes").select("session_id", "sid", (F.col("seq") * 10 + 5).alias("op_seq"), F.lit("merge").alias("op"), _id("session", F.col("sid")).alias("span_id"), F.col("ts_ms").alias("end_ms"), F.create_map(F.lit("total_turns"), _text(F.col("turn")), F.lit("total_tool_calls"), _text(F.col("tools"))).alias("metadata"), error.alias("error"))
+    return e.withColumn("tools", ended).where("removes").select(*KEY, (F.col("seq") * 10 + 5).alias("op_seq"), F.lit("merge").alias("op"), _id("session", F.col("sid")).alias("span_id"), F.col("ts_ms").alias("end_ms"), F.create_map(F.lit("total_turns"), _text(F.col("turn")), F.lit("total_tool_calls"), _text(F.col("tools"))).alias("metadata"), error.alias("error"))
 
 
 def _finals(e: DataFrame) -> list[DataFrame]:
     last = e.groupBy("session_id").agg(F.max("ts_ms").alias("now"))
     tools = F.count_if((F.col("event") == "tool.execute.after") & F.col("open_turn").isNotNull())
     open_ = e.groupBy(*KEY).agg(F.max("seq").alias("seq"), F.max("turn").alias("turn"), F.max_by("mark", "seq").alias("mark"), F.max("removes").alias("gone"), F.max_by("finished", "seq").alias("finished"), F.max_by("takes", "seq").alias("took"), tools.alias("tools")).where("not gone").join(last, "session_id")
-    turns = open_.where("mark > 0").select("session_id", "sid", (F.col("seq") * 10 + 8).alias("op_seq"), F.lit("merge").alias("op"), _id("turn", F.col("sid"), _text(F.col("mark"))).alias("span_id"), F.col("now").alias("end_ms"), F.when(~F.col("took"), S.quoted(F.col("finished"))).alias("output"))
-    roots = open_.select("session_id", "sid", (F.col("seq") * 10 + 9).alias("op_seq"), F.lit("merge").alias("op"), _id("session", F.col("sid")).alias("span_id"), F.col("now").alias("end_ms"), F.create_map(F.lit("total_turns"), _text(F.col("turn")), F.lit("total_tool_calls"), _text(F.col("tools"))).alias("metadata"))
+    turns = open_.where("mark > 0").select(*KEY, (F.col("seq") * 10 + 8).alias("op_seq"), F.lit("merge").alias("op"), _id("turn", F.col("sid"), _text(F.col("mark"))).alias("span_id"), F.col("now").alias("end_ms"), F.when(~F.col("took"), S.quoted(F.col("finished"))).alias("output"))
+    roots = open_.select(*KEY, (F.col("seq") * 10 + 9).alias("op_seq"), F.lit("merge").alias("op"), _id("session", F.col("sid")).alias("span_id"), F.col("now").alias("end_ms"), F.create_map(F.lit("total_turns"), _text(F.col("turn")), F.lit("total_tool_calls"), _text(F.col("tools"))).alias("metadata"))
     return [turns, roots]

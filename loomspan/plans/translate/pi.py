@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ...functions import scalars as S
 from ...functions.ids import span_id
+from ...operators.tables import stored
 from .debug import as_ops
 
 MODELS = ("responseModel", "routedModel", "resolvedModel", "actualModel", "concreteModel", "outputModel", "model")
@@ -144,7 +145,7 @@ def _special(e: DataFrame, root: Column, begin: str, end: str, name: str, tag: s
 def pi_ops(events: DataFrame, finalize: bool = False) -> DataFrame:
     """Span operations of Pi events; finalize closes what is still open at the last event."""
     root = span_id(F.col("session_id"), F.lit("root"))
-    e = prepared(events).persist()
+    e = stored(prepared(events))
     parts = [
         _roots(e, root), _turns(e, root), _answers(e), _tools(e),
         _special(e, root, "session_before_compact", "session_compact", "Compaction", "compaction", F.lit(True), F.lit(True)),
