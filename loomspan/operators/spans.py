@@ -19,13 +19,18 @@ def first_insert(column: str) -> Column:
     return F.min_by(column, F.when((F.col("op") == "insert") & F.col(column).isNotNull(), F.col("op_seq")))
 
 
-def _merged(ops: DataFrame, column: str, dead: Column | None = None) -> DataFrame:
-    """Maps merged key by key, the last value of each key; a null value leaves an older one where `dead` says so."""
-    entries = ops.select("span_id", "op_seq", F.explode(column).alias("k", "v"))
-    if dead is not None:
-        entries = entries.where(~dead)
-    entries = entries.groupBy("span_id", "k").agg(F.max_by("v", "op_seq").alias("v"))
-    return entries.groupBy("span_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias(column))
+def _merged(column: str, keeps_null: bool) -> Column:
+    """An aggregate: maps merged key by key in the order of operations; a null value leaves an older one unless it is to be kept."""
+    maps = F.transform(F.array_sort(F.collect_list(F.when(F.size(column) > 0, F.struct("op_seq", F.map_entries(column).alias("m"))))), lambda x: x["m"])
+
+    def later(old: Column, new: Column) -> Column:
+        given = F.map_from_entries(new)
+        return F.map_zip_with(old, given, lambda k, x, y: F.when(F.map_contains_key(given, k), y).otherwise(x) if keeps_null else F.coalesce(y, x))
+
+    whole = F.aggregate(F.slice(maps, 2, F.greatest(F.size(maps), F.lit(1))), F.map_from_entries(F.get(maps, F.lit(0))), later)
+    if not keeps_null:
+        whole = F.map_filter(whole, lambda k, v: v.isNotNull())
+    return F.when(F.size(maps) > 0, F.map_from_entries(F.array_sort(F.map_entries(whole))))
 
 
 def fold(ops: DataFrame) -> DataFrame:
@@ -35,7 +40,7 @@ def fold(ops: DataFrame) -> DataFrame:
     empty, input, output, error, end and tags are the last given, metadata is merged by key and
     metrics by key among numbers. Folding operations twice changes nothing.
     """
-    rows = ops.groupBy("span_id").agg(
+    return ops.groupBy("span_id").agg(
         F.min("session_id").alias("session_id"),
         F.coalesce(first_insert("root_span_id"), F.min_by("root_span_id", "op_seq")).alias("root_span_id"),
         first_insert("parent_span_ids").alias("parent_span_ids"),
@@ -44,10 +49,10 @@ def fold(ops: DataFrame) -> DataFrame:
         first_insert("start_ms").alias("start_ms"),
         *(last(c).alias(c) for c in ("end_ms", "input", "output", "error")),
         last("tags", F.size("tags") > 0).alias("tags"),
-        F.count_distinct("op_seq").alias("n_ops"),
+        F.size(F.collect_set("op_seq")).cast("long").alias("n_ops"),
+        _merged("metadata", True).alias("metadata"),
+        _merged("metrics", False).alias("metrics"),
     )
-    maps = _merged(ops, "metadata").join(_merged(ops, "metrics", F.col("v").isNull()), "span_id", "full")
-    return rows.join(maps, "span_id", "left")
 
 
 def with_destination(spans: DataFrame, parent: str = "destination_parent", root: str = "destination_root") -> DataFrame:

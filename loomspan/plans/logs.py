@@ -42,13 +42,16 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws("-", "session_id", F.col("seq").cast("string")).alias("id"),
         F.concat(F.lit("p"), (F.length("session_id") % 3).cast("string")).alias("project_id"),
         F.timestamp_millis("ts_ms").alias("created"),
+        F.concat(F.lit("call "), "call_id").alias("input"),
         F.col("event").alias("output"),
+        F.when(F.col("event") == "PostToolUse", F.lit("ok")).alias("expected"),
+        F.create_map(F.lit("tokens"), F.col("seq").cast("double")).alias("metrics"),
         F.create_map(F.lit("model"), F.col("event"), F.lit("test_id"), F.col("session_id")).alias("metadata"),
         F.create_map(F.lit("quality"), F.col("value")).alias("scores"),
     )
 
 
-LOGS = f"{ENV}, logs AS (SELECT session_id || '-' || seq AS id, 'p' || (length(session_id) % 3) AS project_id, ts_ms, make_timestamp(ts_ms * 1000) AS created, event AS output, event AS model, session_id AS test_id, value AS quality FROM env)"
+LOGS = f"{ENV}, logs AS (SELECT session_id || '-' || seq AS id, 'p' || (length(session_id) % 3) AS project_id, ts_ms, make_timestamp(ts_ms * 1000) AS created, 'call ' || call_id AS input, event AS output, CASE WHEN event = 'PostToolUse' THEN 'ok' END AS expected, seq::DOUBLE AS tokens, event AS model, session_id AS test_id, value AS quality FROM env)"
 
 
 @query(f"WITH {LOGS} SELECT epoch_ms(date_trunc('day', created)) AS day_ms, round(avg(quality), 6) AS quality, count(*) AS n FROM logs GROUP BY 1")
@@ -87,6 +90,54 @@ def sql_project_logs(spark, sf_dir):
     return run_sql(spark, logs(spark, sf_dir), "SELECT id, output FROM project_logs('p1')")
 
 
+def fetched(logs: DataFrame, test_id: str | None = None, most: int = 100) -> DataFrame:
+    """The columns that a log query gives, of at most `most` rows, the latest first, of one test if asked; their number is all that a count of them can say."""
+    rows = logs if test_id is None else logs.where(F.col("metadata")["test_id"] == test_id)
+    return rows.select("id", "created", "input", "output", "metadata", "scores").orderBy(F.desc("created"), "id").limit(most)
+
+
+@query(f"WITH {LOGS} SELECT id, ts_ms AS created_ms, input, output, model, quality FROM logs WHERE test_id = 'u7' ORDER BY created DESC, id LIMIT 100")
+def sql_latest_of_test(spark, sf_dir):
+    return fetched(logs(spark, sf_dir), "u7").select("id", F.unix_millis(F.col("created").cast("timestamp")).alias("created_ms"), "input", "output", F.col("metadata")["model"].alias("model"), F.col("scores")["quality"].alias("quality"))
+
+
+def clauses(logs: DataFrame, select: list[str] | None = None, filter: str | None = None, dimensions: list[str] | None = None, measures: list[str] | None = None, sort: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """A query given by its clauses: columns, or dimensions with measures, each an expression of the log dialect."""
+    rows = logs.where(facade(filter)) if filter else logs
+    if measures:
+        keys = [F.expr(facade(d)) for d in dimensions or ()]
+        rows = rows.groupBy(*keys).agg(*(F.expr(facade(m)) for m in measures))
+    elif select:
+        rows = rows.select(*(F.expr(facade(c)) for c in select))
+    if sort:
+        rows = rows.orderBy(*(F.expr(s.removesuffix(" desc")).desc() if s.endswith(" desc") else F.expr(s) for s in sort))
+    return rows if limit is None else rows.limit(limit)
+
+
+@query(f"WITH {LOGS} SELECT model, round(avg(tokens), 6) AS tokens, count(*) AS n, count(expected) AS checked FROM logs WHERE quality > 20 GROUP BY 1 ORDER BY n DESC, model LIMIT 3")
+def clause_query(spark, sf_dir):
+    """The same surface by clauses."""
+    return clauses(logs(spark, sf_dir), filter="scores.quality > 20", dimensions=["metadata.model AS model"], measures=["round(avg(metrics.tokens), 6) AS tokens", "count() AS n", "count(expected) AS checked"], sort=["n desc", "model"], limit=3)
+
+
+def updated(rows: DataFrame, changes: DataFrame, key: str = "id", at: str = "at") -> DataFrame:
+    """rows with changes of the same id merged in, column by column: the latest value given counts, null leaves what was; ids that are new are added."""
+    columns = [c for c in rows.columns if c != key]
+    given = changes.groupBy(key).agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col(at))).alias(f"_{c}") for c in columns if c in changes.columns))
+    both = rows.join(given, key, "full")
+    return both.select(key, *(F.coalesce(f"_{c}", c).alias(c) if c in changes.columns else F.col(c) for c in columns))
+
+
+@query("""WITH c AS (SELECT doc_id % 300 AS id, doc_id AS n, CASE WHEN doc_id % 2 = 0 THEN lang END AS lang, CASE WHEN doc_id % 3 = 0 THEN source END AS source FROM documents WHERE doc_id >= 100),
+g AS (SELECT id, arg_max(lang, n) FILTER (lang IS NOT NULL) AS lang, arg_max(source, n) FILTER (source IS NOT NULL) AS source FROM c GROUP BY 1), r AS (SELECT doc_id AS id, lang, source FROM documents WHERE doc_id < 250)
+SELECT coalesce(r.id, g.id) AS id, coalesce(g.lang, r.lang) AS lang, coalesce(g.source, r.source) AS source FROM r FULL JOIN g ON r.id = g.id""")
+def dataset_update(spark, sf_dir):
+    """Rows of a dataset after updates by id."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    changes = d.where("doc_id >= 100").select((F.col("doc_id") % 300).alias("id"), F.col("doc_id").alias("at"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("lang"), F.when(F.col("doc_id") % 3 == 0, F.col("source")).alias("source"))
+    return updated(d.where("doc_id < 250").select(F.col("doc_id").alias("id"), "lang", "source"), changes)
+
+
 def summarize(rows: DataFrame, baseline: DataFrame, by: str, score: str) -> DataFrame:
     """Mean scores of an experiment beside those of its baseline."""
     mine = rows.groupBy(by).agg(F.avg(score).alias("score"), F.count("*").alias("n"))
@@ -116,5 +167,9 @@ def manual_log_row(spark, sf_dir):
 
 
 def manual_rows(rows: DataFrame) -> DataFrame:
-    """rows (id, tags, scores): each its own span and root."""
-    return rows.select("id", F.col("id").alias("span_id"), F.col("id").alias("root_span_id"), F.filter(F.transform(F.split("tags", ","), lambda t: F.trim(t)), lambda t: t != "").alias("tags"), F.from_json("scores", "map<string,double>").alias("scores"))
+    """rows (id, tags, scores and, where given, input, output, expected, metadata): each its own span and root. Scores or metadata that aren't JSON give a problem; empty texts count as not given."""
+    texts = [F.when(F.col(c) != "", F.col(c)).alias(c) for c in ("input", "output", "expected") if c in rows.columns]
+    kinds = {c: (F.col(c) != "") & F.try_parse_json(c).isNull() for c in ("scores", "metadata") if c in rows.columns}
+    problem = F.coalesce(*(F.when(bad, F.lit(f"Error: {c} must be valid JSON")) for c, bad in kinds.items()), F.lit(None).cast("string"))
+    more = [F.from_json("metadata", "map<string,string>").alias("metadata")] if "metadata" in kinds else []
+    return rows.select("id", F.col("id").alias("span_id"), F.col("id").alias("root_span_id"), *texts, F.filter(F.transform(F.split("tags", ","), lambda t: F.trim(t)), lambda t: t != "").alias("tags"), F.from_json("scores", "map<string,double>").alias("scores"), *more, problem.alias("problem"))
