@@ -5,6 +5,7 @@ JSON arguments are text columns. A JSON value that is absent, null or of another
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -13,10 +14,20 @@ from pyspark.sql import functions as F
 TRAILING = r"[,).;]+$"
 
 
+def text_in(value: Column, path: str) -> Column:
+    """A string at a dotted path of a variant; empty strings are values, other types are null."""
+    v = F.try_variant_get(value, f"$.{path}", "variant")
+    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+
+
 def text_at(doc: Column, path: str) -> Column:
     """A JSON string at a dotted path; empty strings are values, other types are null."""
-    v = F.try_variant_get(F.try_parse_json(doc), f"$.{path}", "variant")
-    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    return text_in(F.try_parse_json(doc), path)
+
+
+def parsed_once(doc: Column, use: Callable[[Column], Column]) -> Column:
+    """What `use` makes of the variant of a JSON text, which is parsed a single time."""
+    return F.get(F.transform(F.array(F.try_parse_json(doc)), use), F.lit(0))
 
 
 def text_or_number_at(doc: Column, path: str) -> Column:
@@ -34,11 +45,15 @@ def number_at(doc: Column, path: str) -> Column:
     return F.when(~F.isnan(n) & (F.abs(n) < float("inf")), n)
 
 
-def true_at(doc: Column, path: str) -> Column:
-    v = F.try_variant_get(F.try_parse_json(doc), f"$.{path}", "variant")
+def true_in(value: Column, path: str) -> Column:
+    v = F.try_variant_get(value, f"$.{path}", "variant")
     return F.coalesce((F.schema_of_variant(v) == "BOOLEAN") & F.try_variant_get(v, "$", "boolean"), F.lit(False))
 
 
+def true_at(doc: Column, path: str) -> Column:
+    return true_in(F.try_parse_json(doc), path)
+
+
 def first_line(text: Column) -> Column:
     return F.regexp_replace(F.substring_index(text, "\n", 1), r"\r$", "")
 
@@ -108,22 +123,29 @@ def prefixed_skills(text: Column, *prefixes: str) -> Column:
     return F.filter(F.transform(words, rest), lambda w: w != "")
 
 
+def _short_error(value: Column, fallback: Column) -> Column:
+    whole = F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+    return F.coalesce(first_line(F.coalesce(whole, *(text_in(value, k) for k in ("error", "message", "stderr", "output", "result")))), fallback)
+
+
 def short_error(doc: Column, fallback: Column) -> Column:
     """The first line of a JSON string, or of an object's error, message, stderr, output or result."""
-    whole = F.when(F.schema_of_variant(F.try_parse_json(doc)) == "STRING", F.try_variant_get(F.try_parse_json(doc), "$", "string"))
-    return F.coalesce(first_line(F.coalesce(whole, *(text_at(doc, k) for k in ("error", "message", "stderr", "output", "result")))), fallback)
+    return parsed_once(doc, lambda v: _short_error(v, fallback))
 
 
 def output_error(doc: Column) -> Column:
     """Why a tool's JSON output counts as failed, or null."""
-    value = F.try_parse_json(doc)
+    return parsed_once(doc, _output_error)
+
+
+def _output_error(value: Column) -> Column:
     kind = F.schema_of_variant(value)
-    failed = true_at(doc, "is_error") | true_at(doc, "isError") | F.coalesce(text_at(doc, "status").isin("error", "failed"), F.lit(False))
+    failed = true_in(value, "is_error") | true_in(value, "isError") | F.coalesce(text_in(value, "status").isin("error", "failed"), F.lit(False))
     error = F.try_variant_get(value, "$.error", "variant")
     code = F.coalesce(F.try_variant_get(value, "$.exit_code", "variant"), F.try_variant_get(value, "$.exitCode", "variant"))
     number = F.when(F.schema_of_variant(code) == "BIGINT", F.try_variant_get(code, "$", "long"))
     generic = F.lit("Tool execution failed")
-    of_object = F.when(failed, short_error(doc, generic)).when(error.isNotNull(), short_error(F.to_json(error), generic)).when(number != 0, short_error(doc, F.concat(F.lit("Exit code "), number.cast("string"))))
+    of_object = F.when(failed, _short_error(value, generic)).when(error.isNotNull(), _short_error(error, generic)).when(number != 0, _short_error(value, F.concat(F.lit("Exit code "), number.cast("string"))))
     line = first_line(F.try_variant_get(value, "$", "string"))
     of_text = F.when(F.startswith(F.lower(line), F.lit("error:")) | F.coalesce(F.regexp_extract(line, r"^Exit code ([+-]?\d+)(?=\s|$)", 1).try_cast("long") != 0, F.lit(False)), line)
     return F.when(kind.startswith("OBJECT"), of_object).when(kind == "STRING", of_text)
@@ -131,9 +153,13 @@ def output_error(doc: Column) -> Column:
 
 def tool_error(payload: Column) -> Column:
     """The first line of the first error or message of a tool event, or a general one if its response says that it failed."""
-    texts = [text_at(payload, k) for k in ("error", "message", "tool_response.error", "tool_response.stderr", "tool_response.message")]
-    flagged = true_at(payload, "tool_response.interrupted") | true_at(payload, "tool_response.is_error") | true_at(payload, "tool_response.isError") | F.coalesce(text_at(payload, "tool_response.status").isin("error", "failed"), F.lit(False))
-    return F.coalesce(*(first_line(_if_any(t)) for t in texts), F.when(flagged, F.lit("Tool execution failed")))
+
+    def found(value: Column) -> Column:
+        texts = [text_in(value, k) for k in ("error", "message", "tool_response.error", "tool_response.stderr", "tool_response.message")]
+        flagged = true_in(value, "tool_response.interrupted") | true_in(value, "tool_response.is_error") | true_in(value, "tool_response.isError") | F.coalesce(text_in(value, "tool_response.status").isin("error", "failed"), F.lit(False))
+        return F.coalesce(*(first_line(_if_any(t)) for t in texts), F.when(flagged, F.lit("Tool execution failed")))
+
+    return parsed_once(payload, found)
 
 
 def tool_name(tool: Column, args: Column) -> Column:

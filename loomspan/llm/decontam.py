@@ -105,14 +105,14 @@ def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     seen = fingerprints(texts.select("k1", "k2", folded(F.col("text")).alias("folded")), lengths, gram)
     seen = seen.select("k1", "k2", F.explode(F.array(*(F.struct(F.lit(n).alias("n"), F.array_distinct(f"fp_{n}").alias("fps")) for n in lengths))).alias("x")).select("k1", "k2", "x.n", F.explode("x.fps").alias("fp"))
     found = stored(seen.join(known, ["n", "fp"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("n", "fp")).alias("shared")))
-    near = small(found, found.count(), BROADCAST_ROWS)
+    near = small(found, found.count(), BROADCAST_ROWS, wide=True)
     hit = texts.join(near, ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("text").alias("text"), F.first("shared").alias("shared"))
     hit = fingerprints(hit.select("k1", "k2", "shared", words(F.col("text")).alias("words"), folded(F.col("text")).alias("folded")), lengths, gram)
     for n in lengths:
         hit = hit.withColumn(f"_own{n}", F.transform(F.filter("shared", _has_length(n)), lambda x: x.fp)).withColumn(f"_at{n}", F.filter(F.transform(f"fp_{n}", _start_if_in(f"_own{n}", n)), lambda x: x.s.isNotNull()))
     spans = hit.select("k1", "k2", "words", F.explode(F.concat(*(f"_at{n}" for n in lengths))).alias("x"))
     spans = spans.select("k1", "k2", "x.n", "x.s", F.array_join(F.slice("words", F.col("x.s") + 1, F.col("x.n")), " ").alias("gram"))
-    exact = spans.join(small(bench.select("n", "gram", "item").distinct(), size, BROADCAST_ROWS), ["n", "gram"])
+    exact = spans.join(small(bench.select("n", "gram", "item").distinct(), size, BROADCAST_ROWS, wide=True), ["n", "gram"])
     start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
     covered = F.aggregate(
         F.array_sort("spans"),
@@ -141,7 +141,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", **more) -> D
     docs = docs.drop("n_words", "n_hit", "items")
     found = stored(hits(docs, benchmark, text, **more))
     one, two, n_hit, items = unused(docs, "k1", "k2", "n_hit", "items")
-    found = small(found, found.count(), BROADCAST_ROWS).toDF(one, two, n_hit, items)
+    found = small(found, found.count(), BROADCAST_ROWS, wide=True).toDF(one, two, n_hit, items)
     others = [c for c in docs.columns if c != text]
     keyed = docs.select(*others, count_words(F.col(text)).alias("n_words"), *(k.alias(n) for k, n in zip(key(text), (one, two), strict=True)))
     return keyed.join(found, [one, two], "left").select(*others, "n_words", F.coalesce(n_hit, F.lit(0).cast("long")).alias("n_hit"), F.coalesce(items, F.array().cast("array<string>")).alias("items"))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import stored, unused
 
 #: Buckets in which a shard's rows are numbered.
 BUCKETS = 1024
@@ -35,13 +35,15 @@ def shard_of(key: Column, weights: list[float]) -> Column:
 
 
 def slots(rows: DataFrame, shard: str = "shard", buckets: int = BUCKETS) -> DataFrame:
-    """rows with a slot for each: 0, 1, ... in its shard."""
-    columns = [F.col(c) for c in rows.columns]
-    placed = stored(rows.withColumn("_bucket", F.pmod(F.xxhash64(*columns, F.monotonically_increasing_id()), F.lit(buckets)).cast("int")))
-    sizes = placed.groupBy(shard, "_bucket").agg(F.count("*").alias("_n"))
-    starts = sizes.withColumn("_start", F.sum("_n").over(Window.partitionBy(shard).orderBy("_bucket")) - F.col("_n")).drop("_n")
-    number = F.row_number().over(Window.partitionBy(shard, "_bucket").orderBy(*columns))
-    return placed.withColumn("_i", number).join(starts, [shard, "_bucket"]).withColumn("slot", F.col("_start") + F.col("_i") - 1).drop("_bucket", "_i", "_start")
+    """rows with a slot for each: 0, 1, ... in its shard. A column of rows named slot is replaced."""
+    rows = rows.drop("slot")
+    columns = [F.col(f"`{c}`") for c in rows.columns]
+    bucket, n, start, i = unused(rows, "_bucket", "_n", "_start", "_i")
+    placed = stored(rows.withColumn(bucket, F.pmod(F.xxhash64(*columns, F.monotonically_increasing_id()), F.lit(buckets)).cast("int")))
+    sizes = placed.groupBy(shard, bucket).agg(F.count("*").alias(n))
+    starts = sizes.withColumn(start, F.sum(n).over(Window.partitionBy(shard).orderBy(bucket)) - F.col(n)).drop(n)
+    number = F.row_number().over(Window.partitionBy(shard, bucket).orderBy(*columns))
+    return placed.withColumn(i, number).join(starts, [shard, bucket]).withColumn("slot", F.col(start) + F.col(i) - 1).select(*columns, "slot")
 
 
 def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", weights: list[float] | None = None) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.tables import stored
+
+__all__ = ["by_blocks", "read", "small", "spread_join", "stored", "unused"]
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -17,27 +18,20 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 HOT, LEAST_HOT = 1000, 1000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset and Spark runs in one process."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+#: Bytes, written as JSON, up to which a side with texts or lists is broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written once as a table in the shared folder and read again: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/t-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def small(df: DataFrame, rows: int, most: int, wide: bool = False) -> DataFrame:
+    """df with a broadcast hint where its counted rows are at most `most`; beyond it the planner's shuffle join serves.
 
-
-def small(df: DataFrame, rows: int, most: int) -> DataFrame:
-    """df with a broadcast hint where its counted rows are at most `most`; beyond it the planner's shuffle join serves."""
-    return F.broadcast(df) if rows <= most else df
+    wide: rows hold texts or lists of any length, so that their bytes are added up as well.
+    """
+    if rows > most:
+        return df
+    if wide and (df.agg(F.sum(F.length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)))))).first()[0] or 0) > BROADCAST_BYTES:
+        return df
+    return F.broadcast(df)
 
 
 def spread_join(many: DataFrame, one: DataFrame, key: str, rows: str, total: int) -> DataFrame:

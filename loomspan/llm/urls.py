@@ -82,7 +82,7 @@ def judge(pages: DataFrame, listed: DataFrame, url: str = "url") -> DataFrame:
     probe = keys.select("h", "p", "host", "path", *_bits("host", "path", blocks)).join(small(filters, min(size, blocks), BROADCAST_ROWS), "block")
     for w in range(WORDS):
         probe = probe.where(F.col(f"f{w}").bitwiseAND(F.col(f"w{w}")) == F.col(f"w{w}"))
-    hits = probe.select("h", "p", "host", "path").join(small(rules, size, BROADCAST_ROWS), ["host", "path"])
+    hits = probe.select("h", "p", "host", "path").join(small(rules, size, BROADCAST_ROWS, wide=True), ["host", "path"])
     longest = F.struct(F.length("host") + F.length("path"), F.length("host"), F.concat("host", "path").alias("rule"), "verdict")
     best = hits.groupBy("h", "p").agg(F.max(longest).alias("best")).select("h", "p", "best.rule", "best.verdict").toDF(h, p, rule, verdict)
     out = out.join(best, (out[host] == best[h]) & (out[path] == best[p]), "left").drop(h, p)
