@@ -151,7 +151,6 @@ def label_model(fires: np.ndarray, label: np.ndarray, together: np.ndarray, n: i
     post = np.where(label == 1, 0.95, 0.05).astype(float)
     right = np.array([0.05, 0.95])  # P(label 1) of clean and toxic rows
     share = together.diagonal() / max(n, 1)
-    spread = np.sqrt(share * (1 - share)) + 1e-9
     for turn in range(rounds):
         mass = np.stack([1 - post, post])
         rate = (mass @ fires + [[0.05], [0.5]]) / (mass.sum(1, keepdims=True) + 1)  # class x voter
@@ -160,7 +159,9 @@ def label_model(fires: np.ndarray, label: np.ndarray, together: np.ndarray, n: i
             apart = rate[1] - rate[0]
             toxic = float(np.clip(apart @ (share - rate[0]) / (apart @ apart + 1e-12), 1e-3, 0.9))  # of all documents
             explained = toxic * np.outer(rate[1], rate[1]) + (1 - toxic) * np.outer(rate[0], rate[0])
-            tied = np.clip((together / max(n, 1) - explained) / np.outer(spread, spread), 0, 1)
+            rest = together / max(n, 1) - explained
+            spread = np.sqrt(np.clip(rest.diagonal(), 1e-9, None))
+            tied = np.clip(rest / np.outer(spread, spread), 0, 1)
             np.fill_diagonal(tied, 1)
             weight = 1 / tied.sum(1)
         hits = mass @ (label == 1)

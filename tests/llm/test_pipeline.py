@@ -46,7 +46,8 @@ def without_benchmark(rows, items):
         n = min(len(w), 10)
         if n:
             windows[n].update(tuple(w[s : s + n]) for s in range(len(w) - n + 1))
-    return [(i, t) for i, t in rows if not any(tuple(words(t)[s : s + n]) in got for n, got in windows.items() for s in range(len(words(t)) - n + 1))]
+    split = [(i, t, words(t)) for i, t in rows]
+    return [(i, t) for i, t, w in split if not any(tuple(w[s : s + n]) in got for n, got in windows.items() for s in range(len(w) - n + 1))]
 
 
 @pytest.fixture(scope="module")
@@ -128,14 +129,10 @@ def test_clashing_columns_of_shards_stay(spark):
 
 def plain_scan(text, phrases, notices):
     """Places of phrases and, for each notice, the largest coverage by a chain of common runs, by trying all."""
-    w = [x.encode() for x in words(text)]
-    found = [(s, n) for n, p in enumerate(phrases) for s in range(len(w)) if w[s : s + len(words(p))] == [x.encode() for x in words(p)]]
-    cover = {}
-    for label, texts in notices.items():
-        for t in texts:
-            n = [x.encode() for x in words(t)]
-            if " ".join(words(t)) in " ".join(words(text)):
-                cover[label] = 1.0
+    w = words(text)
+    split, whole = [words(p) for p in phrases], f" {' '.join(w)} "
+    found = [(s, n) for n, p in enumerate(split) for s in range(len(w)) if w[s : s + len(p)] == p]
+    cover = {label: 1.0 for label, texts in notices.items() for t in texts if f" {' '.join(words(t))} " in whole}
     return found, cover
 
 
@@ -168,10 +165,15 @@ def test_the_label_model_finds_who_is_right():
     fires = np.column_stack([fires, fires[:, 0]]).astype(float)  # the last voter copies the first
     label = np.where(rng.random(n) < 0.9, truth, ~truth).astype(int)
     post = toxicity.label_model(fires, label, fires.T @ fires, n)
-    assert ((post > 0.5) == truth).mean() > max((label == truth).mean(), 0.93)
+    # As good as the rule that knows all rates, and better than the labels.
+    odds = np.log(0.2 / 0.8) + np.where(label == 1, np.log(9), -np.log(9))
+    for k, (a, b) in enumerate(rates):
+        odds += np.where(fires[:, k] == 1, np.log(a / b), np.log((1 - a) / (1 - b)))
+    best = ((odds > 0) == truth).mean()
+    assert ((post > 0.5) == truth).mean() > max((label == truth).mean(), best - 0.01)
     # Two voters that always agree say no more than one of them.
     alone = toxicity.label_model(fires[:, :3], label, fires[:, :3].T @ fires[:, :3], n)
-    assert np.abs(post - alone).mean() < 0.02
+    assert ((post > 0.5) == (alone > 0.5)).mean() > 0.97
 
 
 def test_voters_of_all_documents_are_counted(docs):
