@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from .decontam import key
 from .shared import stored, unused
 
+#: Correlation, beyond what the classes explain, from which voters share their weight.
+TIED = 0.2
 #: Labelled rows of the fitted sample, about.
 SAMPLE = 20_000
 #: Lengths of word beginnings, in bytes; a whole word of any length ends with a full stop.
@@ -155,13 +157,14 @@ def label_model(fires: np.ndarray, label: np.ndarray, together: np.ndarray, n: i
         mass = np.stack([1 - post, post])
         rate = (mass @ fires + [[0.05], [0.5]]) / (mass.sum(1, keepdims=True) + 1)  # class x voter
         rate = np.clip(rate, 1e-6, 1 - 1e-6)
-        if turn and turn % 10 == 0 and voters > 1:
+        if turn == rounds // 2 and voters > 1:
             apart = rate[1] - rate[0]
             toxic = float(np.clip(apart @ (share - rate[0]) / (apart @ apart + 1e-12), 1e-3, 0.9))  # of all documents
             explained = toxic * np.outer(rate[1], rate[1]) + (1 - toxic) * np.outer(rate[0], rate[0])
             rest = together / max(n, 1) - explained
             spread = np.sqrt(np.clip(rest.diagonal(), 1e-9, None))
             tied = np.clip(rest / np.outer(spread, spread), 0, 1)
+            tied[tied < TIED] = 0
             np.fill_diagonal(tied, 1)
             weight = 1 / tied.sum(1)
         hits = mass @ (label == 1)
