@@ -4,6 +4,8 @@ Each micro-batch is written under its number and so are the spans of the session
 made by the same plan as in batch from all that these sessions have sent. A batch that runs again
 overwrites what it wrote, and the newest batch of a session counts, so a restart or a repeated
 delivery changes nothing. Late events are never dropped.
+
+Events lie in BUCKETS folders of a batch, by session, so that a batch reads again only the buckets of the sessions that it touches.
 """
 
 from __future__ import annotations
@@ -24,8 +26,11 @@ def landed(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataF
     return spark.readStream.schema(LANDED).option("maxFilesPerTrigger", files_per_batch).json(path)
 
 
-def _seen(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.read.schema(schema).parquet(path)
+BUCKETS = 256
+
+
+def _seen(spark: SparkSession, events: str, path: str, schema) -> DataFrame:
+    return spark.read.schema(f"{schema.simpleString()[7:-1]}, bucket: int".replace(":", " ")).option("basePath", events).parquet(path)
 
 
 def keep_spans(stream: DataFrame, translate: Callable[[DataFrame], DataFrame], events: str, spans: str, checkpoint: str, **trigger) -> StreamingQuery:
@@ -33,10 +38,12 @@ def keep_spans(stream: DataFrame, translate: Callable[[DataFrame], DataFrame], e
 
     def put(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.dropDuplicates(["session_id", "seq"]).write.mode("overwrite").parquet(f"{events}/batch={number}")
-        now = _seen(spark, f"{events}/batch={number}", batch.schema)
-        touched = now.select("session_id").distinct()
-        every = _seen(spark, events, batch.schema).join(touched, "session_id", "left_semi").dropDuplicates(["session_id", "seq"])
+        dealt = batch.dropDuplicates(["session_id", "seq"]).withColumn("bucket", F.pmod(F.xxhash64("session_id"), F.lit(BUCKETS)).cast("int"))
+        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{events}/batch={number}")
+        touched = _seen(spark, events, f"{events}/batch={number}", batch.schema).select("session_id", "bucket").distinct()
+        buckets = [r.bucket for r in touched.select("bucket").distinct().collect()]  # at most BUCKETS
+        every = _seen(spark, events, events, batch.schema).where(F.col("bucket").isin(buckets)).join(touched, ["session_id", "bucket"], "left_semi")
+        every = every.select(*batch.columns).dropDuplicates(["session_id", "seq"])
         fold(translate(every)).write.mode("overwrite").parquet(f"{spans}/batch={number}")
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
