@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, embeddings, html, licenses, lm, minhash, sharding, toxicity, urls
+from . import bpe, decontam, embeddings, filters, html, licenses, lm, minhash, negatives, secrets, sharding, toxicity, urls
 from .shared import read
 
 
@@ -64,6 +64,30 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    got = secrets.scan(docs, secrets.fit(docs))
+
+    def counted(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    base = F.filter("spans", lambda x: x["kind"] != "random")
+    return got.select("doc_id", *map(counted, secrets.KINDS[:3]), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), counted("random"))
+
+
+def op12_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = filters.histograms(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return filters.audit(counts, "".join(filters.CHECKS) + filters.COPIES)
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(read(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, label=label)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_urls": op2_urls,
@@ -75,6 +99,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontam": op8_decontam,
     "op9_toxicity": op9_toxicity,
     "op10_minhash": op10_minhash,
+    "op11_secrets": op11_secrets,
+    "op12_filters": op12_filters,
+    "op13_negatives": op13_negatives,
 }
 
 #: Operators that SQL can express; the others are tested against brute force.
@@ -119,5 +146,28 @@ f AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, f.b FROM r JOIN f ON r.b = f.a),
 m AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d LEFT JOIN n USING (doc_id) JOIN m ON m.a = d.doc_id
+""",
+    "op12_filters": r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, part, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, doc_id > min(doc_id) OVER (PARTITION BY t) AS again FROM d),
+m AS (SELECT doc_id, part, (CASE WHEN len(w) < 200 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END) + (CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t) THEN 4 ELSE 0 END)
+  + (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END) + (CASE WHEN again THEN 16 ELSE 0 END) AS mask FROM w),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
+h AS (SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(bad), 0) AS bad FROM m LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+x AS (SELECT unnest([0, 1, 2, 3, 4]) AS b),
+o AS (SELECT [v.b, w.b, x.b, y.b, z.b] AS bits FROM x v, x w, x, x y, x z WHERE len(list_distinct([v.b, w.b, x.b, y.b, z.b])) = 5),
+s AS (SELECT array_to_string(list_transform(bits, lambda b: chr(65 + b::INT)), '') AS filter_order, step, bits[step] AS b, list_sum(list_transform(bits[1 : step - 1], lambda b: (1 << b)::INT)) AS before FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+c AS (SELECT part, filter_order, step, b, h.*, (mask & (1 << b)::INT) <> 0 AS fails, (mask & coalesce(before, 0)::INT) <> 0 AS gone FROM s, h),
+g AS (SELECT part, filter_order, step, b, sum(CASE WHEN NOT fails AND NOT gone THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN fails AND NOT gone THEN n ELSE 0 END)::BIGINT AS removed, sum(CASE WHEN fails AND gone THEN n ELSE 0 END)::BIGINT AS redundant,
+  sum(CASE WHEN mask = (1 << b)::INT THEN n ELSE 0 END)::BIGINT AS unique_fails, sum(CASE WHEN fails AND NOT gone THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN fails AND NOT gone THEN bad ELSE 0 END)::BIGINT AS toxic_lost FROM c GROUP BY part, filter_order, step, b)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, b)::BIGINT AS shapley FROM g
+""",
+    "op13_negatives": r"""
+WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT a.id AS a, a.label, b.id AS b, b.label = a.label AS same, list_dot_product(a.e, b.e)::BIGINT AS s FROM v a JOIN v b ON a.id % 50 = 0 AND a.id <> b.id),
+k AS (SELECT a, b, s FROM p WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+SELECT k.a AS anchor_id, k.b AS positive_id, row_number() OVER (PARTITION BY k.a, k.b ORDER BY n.s DESC, n.b)::INTEGER AS rank, n.b AS negative_id, k.s AS positive_score, n.s AS negative_score
+FROM k JOIN p n ON n.a = k.a AND NOT n.same AND 50 * k.s <= 100 * n.s AND 100 * n.s <= 95 * k.s QUALIFY rank <= 3
 """,
 }
