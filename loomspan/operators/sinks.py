@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -22,9 +22,9 @@ def append_journal(envelopes: DataFrame, path: str) -> None:
     redacted(envelopes).write.mode("append").partitionBy("source").parquet(path)
 
 
-def expired(files: DataFrame, now_ms: int, days: int = 7) -> DataFrame:
+def expired(files: DataFrame, now_ms: int | Column, days: float = 7) -> DataFrame:
     """Files (path, mtime_ms) that retention removes."""
-    return files.where(F.col("mtime_ms") < now_ms - days * 86_400_000)
+    return files.where(F.col("mtime_ms") < now_ms - int(days * 86_400_000))
 
 
 def status(live: DataFrame, errors: DataFrame) -> DataFrame:

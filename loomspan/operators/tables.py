@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,3 +25,8 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/t-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fitting(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """A dimension of narrow rows, hinted for broadcast if it has no more than `most`; else a join shuffles it."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import sinks
 from ..operators import turns as T
 from ..sources.stand_ins import ENV, TRX, envelopes, table, transcripts
 from .registry import query
@@ -105,8 +106,8 @@ SELECT session_id, events, last_ms, last_error, true AS live FROM live UNION ALL
 def status_view(spark, sf_dir):
     e = envelopes(spark, sf_dir)
     live = e.where(~stop()).groupBy("session_id").agg(F.count("*").alias("events"), F.max("ts_ms").alias("last_ms"), F.max_by("event", F.when(F.col("event") == "PostToolUseFailure", F.col("seq"))).alias("last_error"), F.lit(True).alias("live"))
-    failed = e.where(stop()).select("session_id").distinct().join(live, "session_id", "left_anti")
-    return live.unionByName(failed.select("session_id", F.lit(0).cast("long").alias("events"), F.lit(None).cast("long").alias("last_ms"), F.lit("not authorised").alias("last_error"), F.lit(False).alias("live")))
+    failed = e.where(stop()).select("session_id").distinct()
+    return sinks.status(live, failed.select("session_id", F.lit(0).cast("long").alias("events"), F.lit("not authorised").alias("last_error"), F.lit(False).alias("live")))
 
 
 @query(f"""WITH {ENV}, {TURNS} SELECT session_id, open_turn::BIGINT AS turn, min(ts_ms) FILTER (event = 'UserPromptSubmit') AS start_ms, min(ts_ms) FILTER (event = 'PreToolUse') AS first_ms,
@@ -251,8 +252,8 @@ def transcript_offsets(spark, sf_dir):
 SELECT session_id, mtime FROM b, n WHERE mtime < now - 6 * 3600000""")
 def retention(spark, sf_dir):
     """Journals untouched for six hours before the newest (in production, seven days)."""
-    b = envelopes(spark, sf_dir).groupBy("session_id").agg(F.max("ts_ms").alias("mtime"))
-    return b.where(F.col("mtime") < b.agg(F.max("mtime")).scalar() - 6 * 3_600_000)
+    b = envelopes(spark, sf_dir).groupBy("session_id").agg(F.max("ts_ms").alias("mtime_ms"))
+    return sinks.expired(b, b.agg(F.max("mtime_ms")).scalar(), days=0.25).select("session_id", F.col("mtime_ms").alias("mtime"))
 
 
 @query(f"""WITH {ENV} SELECT DISTINCT call_id FROM env WHERE event = 'PreToolUse' EXCEPT SELECT call_id FROM env WHERE event = 'PostToolUseFailure' AND value > 150""")

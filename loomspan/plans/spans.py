@@ -10,6 +10,7 @@ from ..operators.spans import fold
 from ..operators.tables import stored
 from ..sources.stand_ins import ENV, envelopes, span_sql, table, transcripts, TRX
 from .registry import query
+from .translate.git import enriched
 
 
 @query(f"WITH {ENV} SELECT session_id, seq, {span_sql('session_id', chr(39) + 'event:' + chr(39) + ' || seq')} AS span_id FROM env")
@@ -88,9 +89,13 @@ def tree_counts(spark, sf_dir):
 
 @query("""WITH e AS (SELECT c_custkey, c_name, c_nationkey FROM customer) SELECT c_custkey AS session_id, c_name AS cwd, n_name AS repository, n_regionkey::BIGINT AS branch FROM e LEFT JOIN nation ON n_nationkey = c_nationkey""")
 def git_enrich(spark, sf_dir):
-    """Rows with what a small dimension knows of their folder."""
+    """Spans with what a dimension knows of their folder."""
     c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
-    return c.join(F.broadcast(n), c["c_nationkey"] == n["n_nationkey"], "left").select(F.col("c_custkey").alias("session_id"), F.col("c_name").alias("cwd"), F.col("n_name").alias("repository"), F.col("n_regionkey").cast("long").alias("branch"))
+    none = F.create_map().cast("map<string,string>")
+    ops = c.select(F.col("c_custkey").alias("session_id"), F.lit("insert").alias("op"), F.col("c_name").alias("folder"), none.alias("metadata"), F.col("c_nationkey").cast("string").alias("cwd"))
+    git = n.select(F.col("n_nationkey").cast("string").alias("cwd"), F.create_map(F.lit("repository"), F.col("n_name"), F.lit("branch"), F.col("n_regionkey").cast("string")).alias("git"))
+    made = enriched(ops, git)
+    return made.select("session_id", F.col("folder").alias("cwd"), F.col("metadata")["repository"].alias("repository"), F.col("metadata")["branch"].cast("long").alias("branch"))
 
 
 def depths(parents: DataFrame, key: list[str], node: str, parent: str) -> DataFrame:

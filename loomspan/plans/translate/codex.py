@@ -4,7 +4,7 @@ events: session_id, seq, event, ts_ms, payload. records: session_id, scope (`mai
 
 A scope is one ordered stream: records by place and, after all that are no later, the hooks that end something in it. State is expressed as windows over it:
 
-- starts and ends of turns are few; a fold over them alone says which turns are open after each, and that is carried forward to the records between;
+- starts and ends of turns are few; one pass over them alone, in their order, says which turn each opens or ends and which is the latest open one after it, and that is carried forward to the records between;
 - a model call runs from the first output after the one before it was cut off (by a token count, by a compaction or with its turn) to the next cut;
 - a call starts where the latest child of its turn ended, a running maximum, or with its turn;
 - a tool call is joined with the first output of its id, or ends with its turn;
@@ -19,8 +19,10 @@ records before the first turn belong to none; malformed records are skipped; a s
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,7 @@ from ...functions import scalars as S
 from ...functions.ids import span_id
 from ...operators.tables import stored
 from .debug import as_ops
+from .git import enriched
 from .pi import _text
 
 #: Records of a tool call and of its output (fixed values).
@@ -37,6 +40,12 @@ SPAWN = "spawn_agent"
 MISSING = "Tool output missing before turn ended"
 #: Why a call has no usage (fixed values).
 NO_USAGE, ODD_USAGE, NO_COUNT = "codex_token_count_missing_usage", "codex_token_count_unrecognized_usage", "codex_transcript_missing_token_count"
+#: Where paths stand in arguments, and which of them lead to a skill (fixed values).
+PLACES = ("path", "file_path", "filePath", "file", "command", "cmd", "resource")
+SKILL_DOC = r"""(?i)([^\s"']*SKILL\.md)"""
+SKILL_SCRIPT = r"""(?i)([^\s"']*[\\/]scripts[\\/][^\s"']+)"""
+#: What stands for a summary that a compaction doesn't give (fixed values).
+NO_HISTORY, SEALED, NO_SUMMARY = "[unavailable]", "[summary unavailable — encrypted by Codex]", "[no summary]"
 
 SCOPE = ["session_id", "scope"]
 TURN = [*SCOPE, "tid"]
@@ -80,37 +89,62 @@ def stream(events: DataFrame, records: DataFrame) -> DataFrame:
     return out.withColumn("ts_ms", F.coalesce("ts_ms", F.when(F.col("at") >= 0, F.col("at")), F.lit(0)))
 
 
+def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Marks of scopes, each in order, with what they do: `open` or `close` a turn, or `ask` for one that is open; and the latest open turn after them.
+
+    One pass: open turns are kept in the order in which they were opened, and each is found by its id.
+    """
+    scope, running = None, {}
+    for batch in batches:
+        rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+        out: list[tuple] = []
+        for session, name, at, what, tid, ts, said in rows:
+            if (session, name) != scope:
+                scope, running = (session, name), {}
+            if what == "open" and tid not in running:
+                running[tid] = True
+                acts = [tid]
+            elif what == "all":
+                acts, running = list(running), {}
+            elif what == "close" and running and (tid is None or tid in running):
+                gone = next(reversed(running)) if tid is None else tid
+                del running[gone]
+                acts = [gone]
+            else:
+                acts = [tid] if what == "ask" and tid in running else []
+            now = next(reversed(running), None)
+            out += [(session, name, at, "close" if what == "all" else what, t, what == "all", ts, said if what == "close" else None, now) for t in acts]
+        columns = [*zip(*out, strict=True)] if out else [()] * len(MATCHED)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, MATCHED.values(), strict=True)], names=list(MATCHED))
+
+
+MATCHED = {"session_id": pa.string(), "scope": pa.string(), "ord": pa.int64(), "what": pa.string(), "tid": pa.string(), "every": pa.bool_(), "ts_ms": pa.int64(), "said": pa.string(), "now": pa.string()}
+
+
 def _marks(s: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Turns (tid, o, c, start_ms, end_ms, said), and which are open after each start and end (ord, open)."""
+    """Turns (tid, o, c, start_ms, end_ms, said), and of each mark (ord): the latest open turn after it (state.now), and the turn that a call asked for, if it is open (asked_for)."""
     begins = (F.col("kind") == "event_msg") & (F.col("sub") == "task_started")
     ends = ((F.col("kind") == "event_msg") & (F.col("sub") == "task_complete")) | F.col("sub").isin("Stop", "PostCompact")
-    given = S.text_at(F.col("p"), "turn_id")
-    nameless = F.sum(F.when(begins & given.isNull(), 1).otherwise(0)).over(_now(*SCOPE))
+    asks = (F.col("kind") == "response_item") & F.col("sub").isin(*CALLS)
+    given = F.when(asks, S.text_at(F.col("p"), "metadata.turn_id")).otherwise(S.text_at(F.col("p"), "turn_id"))
     said = F.coalesce(S.text_at(F.col("p"), "last_agent_message"), S.text_at(F.col("p"), "last_assistant_message"))
-    m = s.withColumn("tid", F.coalesce(given, F.when(begins, F.concat(F.lit("turn-"), _text(nameless))))).where(F.coalesce(begins | ends, F.lit(False)) | (F.col("sub") == "SubagentStop"))
-    what = F.when(begins, "open").when(F.col("sub") == "SubagentStop", "all").otherwise("close")
-    m = m.groupBy(*SCOPE).agg(F.array_sort(F.collect_list(F.struct("ord", what.alias("what"), "tid", "ts_ms", F.when(what == "close", said).alias("said")))).alias("marks"))
-    none = "cast(array() as array<{}>)"
-    start = F.struct(F.expr(none.format("string")).alias("open"), F.expr(none.format("struct<ord:bigint,tid:string,opens:boolean,every:boolean,ts_ms:bigint,said:string,open:array<string>>")).alias("done"))
-
-    def step(a: Column, x: Column) -> Column:
-        opens = (x["what"] == "open") & ~F.array_contains(a["open"], x["tid"])
-        target = F.when(x["what"] == "close", F.when(x["tid"].isNotNull(), F.when(F.array_contains(a["open"], x["tid"]), x["tid"])).otherwise(F.try_element_at(a["open"], F.lit(-1))))
-        left = F.when(opens, F.array_append(a["open"], x["tid"])).when(target.isNotNull(), F.array_remove(a["open"], target)).when(x["what"] == "all", F.expr(none.format("string"))).otherwise(a["open"])
-        gone = F.when(x["what"] == "all", a["open"]).when(target.isNotNull(), F.array(target)).otherwise(F.expr(none.format("string")))
-        acts = F.when(opens, F.array(x["tid"])).otherwise(gone)
-        rows = F.transform(acts, lambda t: F.struct(x["ord"].alias("ord"), t.alias("tid"), opens.alias("opens"), (x["what"] == "all").alias("every"), x["ts_ms"].alias("ts_ms"), F.when(x["what"] == "close", x["said"]).alias("said"), left.alias("open")))
-        return F.struct(left.alias("open"), F.concat(a["done"], rows).alias("done"))
-
-    done = m.select(*SCOPE, F.explode(F.aggregate("marks", start, step)["done"]).alias("d")).select(*SCOPE, "d.*")
-    n = F.row_number().over(Window.partitionBy(*TURN, "opens").orderBy("ord"))
+    what = F.when(begins, "open").when(F.col("sub") == "SubagentStop", "all").when(ends, "close").when(asks & given.isNotNull(), "ask")
+    m = s.withColumns({"what": what, "given": given}).where("what is not null")
+    nameless = F.sum(F.when((F.col("what") == "open") & F.col("given").isNull(), 1).otherwise(0)).over(_now(*SCOPE))
+    tid = F.coalesce("given", F.when(F.col("what") == "open", F.concat(F.lit("turn-"), _text(nameless))))
+    m = m.select(*SCOPE, "ord", "what", tid.alias("tid"), "ts_ms", F.when(F.col("what") == "close", said).alias("said"))
+    done = m.repartition(*SCOPE).sortWithinPartitions(*SCOPE, "ord").mapInArrow(_matched, "session_id string, scope string, ord long, what string, tid string, every boolean, ts_ms long, said string, now string")
+    done = stored(done)
+    acts = done.where("what <> 'ask'")
+    n = F.row_number().over(Window.partitionBy(*TURN, "what").orderBy("ord"))
     # What ends with its scope ends when the scope's last turn did.
-    last = F.last(F.when(~F.col("opens") & ~F.col("every"), F.col("ts_ms")), ignorenulls=True).over(_past(*SCOPE))
-    done = done.withColumns({"n": n, "ts_ms": F.when(F.col("every"), F.coalesce(last, "ts_ms")).otherwise(F.col("ts_ms"))})
-    opened = done.where("opens").select(*TURN, "n", F.col("ord").alias("o"), F.col("ts_ms").alias("start_ms"))
-    closed = done.where("not opens").select(*TURN, "n", F.col("ord").alias("c"), F.col("ts_ms").alias("end_ms"), "said")
+    last = F.last(F.when((F.col("what") == "close") & ~F.col("every"), F.col("ts_ms")), ignorenulls=True).over(_past(*SCOPE))
+    acts = acts.withColumns({"n": n, "ts_ms": F.when(F.col("every"), F.coalesce(last, "ts_ms")).otherwise(F.col("ts_ms"))})
+    opened = acts.where("what = 'open'").select(*TURN, "n", F.col("ord").alias("o"), F.col("ts_ms").alias("start_ms"))
+    closed = acts.where("what = 'close'").select(*TURN, "n", F.col("ord").alias("c"), F.col("ts_ms").alias("end_ms"), "said")
+    after = done.groupBy(*SCOPE, "ord").agg(F.first(F.when(F.col("what") != "ask", F.struct("now")), ignorenulls=True).alias("state"), F.first(F.when(F.col("what") == "ask", F.col("tid")), ignorenulls=True).alias("asked_for"))
     # Only the first life of an id has children of its own; a later one merges into the same span.
-    return opened.join(closed, [*TURN, "n"], "left").where("n = 1").drop("n"), done.groupBy(*SCOPE, "ord").agg(F.first("open").alias("open"))
+    return opened.join(closed, [*TURN, "n"], "left").where("n = 1").drop("n"), after
 
 
 def _arguments(p: Column) -> Column:
@@ -133,10 +167,8 @@ def skill_of(tool: Column, args: Column) -> tuple[Column, Column, Column]:
     """Whether a call loads a skill, the skill's name and its path: by `skills.read`, a SKILL.md or a file in a `scripts` folder."""
     whole = F.when(F.startswith(args, F.lit('"')), F.try_variant_get(F.try_parse_json(args), "$", "string"))
     body = as_object(args)
-    # Where paths stand in arguments (fixed values).
-    keys = ("path", "file_path", "filePath", "file", "command", "cmd", "resource")
-    places = F.array_compact(F.array(whole, *(S.text_at(body, k) for k in keys)))
-    found = F.transform(places, lambda x: F.struct(F.regexp_extract(x, r"""(?i)([^\s"']*SKILL\.md)""", 1).alias("doc"), F.regexp_extract(x, r"""(?i)([^\s"']*[\\/]scripts[\\/][^\s"']+)""", 1).alias("script")))
+    places = F.array_compact(F.array(whole, *(S.text_at(body, k) for k in PLACES)))
+    found = F.transform(places, lambda x: F.struct(F.regexp_extract(x, SKILL_DOC, 1).alias("doc"), F.regexp_extract(x, SKILL_SCRIPT, 1).alias("script")))
     first = F.get(F.filter(found, lambda x: (x["doc"] != "") | (x["script"] != "")), F.lit(0))
     path = F.when(first["doc"] != "", first["doc"]).otherwise(F.when(first["script"] != "", first["script"]))
     folder = F.when(first["doc"] != "", S.parent_name(path, 1)).otherwise(S.parent_name(path, 2))
@@ -166,8 +198,7 @@ def prepared(events: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFram
     turns = stored(turns)
     p = F.col("p")
     is_item, is_msg = F.col("kind") == "response_item", F.col("kind") == "event_msg"
-    s = s.join(open_after, [*SCOPE, "ord"], "left").withColumn("open", F.coalesce(F.last("open", ignorenulls=True).over(_past(*SCOPE)), F.expr("cast(array() as array<string>)")))
-    s = s.withColumn("current", F.try_element_at("open", F.lit(-1)))
+    s = s.join(open_after, [*SCOPE, "ord"], "left").withColumn("current", F.last("state", ignorenulls=True).over(_past(*SCOPE))["now"])
     context = F.col("kind") == "turn_context"
     s = s.withColumns({
         "model": F.last(F.when(context, S.text_at(p, "model")), ignorenulls=True).over(_now(*SCOPE)),
@@ -188,8 +219,8 @@ def prepared(events: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFram
     content = F.coalesce(F.when(F.startswith(gave, F.lit('"')), F.try_variant_get(F.try_parse_json(gave), "$", "string")), gave)
     s = s.withColumns({"args": F.when(F.col("is_call"), args), "gave": F.when(F.col("is_output"), F.coalesce(S.json_at(p, "output"), S.json_at(p, "result"))), "item": F.when(F.col("text") != "", F.to_json(F.struct("role", F.col("text").alias("content")))).when(F.col("is_thought") & (F.size(thoughts) > 0), F.to_json(F.struct(F.lit("reasoning").alias("type"), thoughts.alias("summary")))).when(F.col("is_call"), called).when(F.col("is_output"), F.to_json(F.struct(F.lit("tool").alias("role"), content.alias("content"), F.coalesce("call", F.lit("")).alias("tool_call_id"))))})
     # A call's own turn, if it is open; other output belongs to the latest open one.
-    named = F.coalesce(S.text_at(p, "metadata.turn_id"), F.col("current"))
-    own = F.when(F.col("is_call"), F.when(F.col("call").isNotNull() & F.array_contains("open", named), named)).otherwise(F.col("current"))
+    named = F.when(S.text_at(p, "metadata.turn_id").isNotNull(), F.col("asked_for")).otherwise(F.col("current"))
+    own = F.when(F.col("is_call"), F.when(F.col("call").isNotNull(), named)).otherwise(F.col("current"))
     outputs = F.col("is_thought") | ((F.col("role") == "assistant") & (F.col("text") != "")) | (F.col("is_call") & own.isNotNull())
     s = s.withColumns({"tid": own, "speaks": F.coalesce(outputs, F.lit(False))})
     # Epochs of the history.
@@ -201,7 +232,7 @@ def prepared(events: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFram
     said = F.coalesce(S.text_at(p, "message"), S.text_at(p, "text"), S.text_at(p, "prompt"))
     s = s.withColumn("asked", F.when(is_msg & (F.col("sub") == "user_message"), said))
     names = S.mentioned_skills(F.coalesce("asked", F.when(F.col("role") == "user", F.col("text"))))
-    s = s.withColumn("skills", F.array_distinct(F.flatten(F.collect_list(F.when(F.col("current").isNotNull(), names)).over(_now(*SCOPE, "current")))))
+    s = s.withColumn("skills", F.array_distinct(F.flatten(F.collect_list(F.when(F.col("current").isNotNull() & (F.size(names) > 0), names)).over(_now(*SCOPE, "current")))))
     # Where a model call is cut off.
     ends = turns.where("c is not null").select(*SCOPE, F.col("c").alias("ord"), F.col("tid").alias("ended"))
     ends = ends.groupBy(*SCOPE, "ord").agg(F.collect_list("ended").alias("ended"))
@@ -267,8 +298,8 @@ def _turns(s: DataFrame, turns: DataFrame) -> DataFrame:
     return opened.unionByName(closed, allowMissingColumns=True).unionByName(prompts, allowMissingColumns=True)
 
 
-def _models(s: DataFrame, turns: DataFrame, tools: DataFrame, triggers: DataFrame, histories: bool) -> DataFrame:
-    """Model calls: the n-th run of a scope is one, if anything speaks in it or a compaction began it."""
+def _models(s: DataFrame, turns: DataFrame, tools: DataFrame, triggers: DataFrame, histories: bool) -> list[DataFrame]:
+    """Model calls: the n-th run of a scope is one, if anything speaks in it or a compaction began it. Last, those that nothing has ended."""
     run = [*SCOPE, "run"]
     # A compaction's row lies in the run before the one that it begins.
     begins = s.where("compacts").select(*SCOPE, (F.col("run") + 1).alias("run"), F.col("ord").alias("co"), F.col("ts_ms").alias("cts"), F.col("current").alias("ctid"), "p", "replaced", "epoch", "items", F.col("model").alias("cmodel"), F.col("cwd").alias("ccwd"))
@@ -299,21 +330,19 @@ def _models(s: DataFrame, turns: DataFrame, tools: DataFrame, triggers: DataFram
     kept = F.from_json("replaced", "array<string>")
     sealed = F.exists(kept, lambda x: (S.text_at(x, "type") == "compaction") & S.text_at(x, "encrypted_content").isNotNull())
     left = F.filter(kept, lambda x: ~F.coalesce(S.text_at(x, "type") == "compaction", F.lit(False)))
-    summary = F.when(kept.isNull(), F.lit('{"summary":"[unavailable]","kept_messages":[]}')).otherwise(F.concat(F.lit('{"summary":"'), F.when(sealed, F.lit("[summary unavailable — encrypted by Codex]")).otherwise(F.lit("[no summary]")), F.lit('","kept_messages":'), _joined(left), F.lit("}")))
+    summary = F.when(kept.isNull(), F.lit(f'{{"summary":"{NO_HISTORY}","kept_messages":[]}}')).otherwise(F.concat(F.lit('{"summary":"'), F.when(sealed, F.lit(SEALED)).otherwise(F.lit(NO_SUMMARY)), F.lit('","kept_messages":'), _joined(left), F.lit("}")))
     opened = c.select("session_id", _seq(4), F.lit("insert").alias("op"), "span_id", F.array(_id("turn", F.col("tid"))).alias("parent_span_ids"), F.coalesce("model", F.when(is_compaction, "compaction").otherwise("llm")).alias("name"), F.lit("llm").alias("span_type"), "start_ms", given.alias("input"), F.when(is_compaction, summary).alias("output"), S.known_entries(model=S.quoted(F.col("model")), turn_id=S.quoted(F.col("tid")), compaction=F.when(is_compaction, F.lit("true"))).alias("metadata"), "cwd")
     answer = F.when(~is_compaction, F.when(F.size("texts") == 1, F.get("texts", F.lit(0))).otherwise(_joined(F.coalesce("texts", F.expr("cast(array() as array<string>)")))))
     # A call that a compaction replaced is never ended.
     reason = F.when(~F.col("counts"), NO_COUNT).when(F.size(metrics) == 0, F.when(F.coalesce(F.col("usage"), F.lit("{}")).isin("{}", "null") | ~F.startswith("usage", F.lit("{")), NO_USAGE).otherwise(ODD_USAGE))
-    at = F.when(F.col("counts"), F.greatest("spoke_ms", "start_ms")).when(F.col("cut_by") == "SubagentStop", F.coalesce("last_ms", "cut_ms")).otherwise(F.greatest("spoke_ms", F.when(~is_compaction, F.col("start_ms"))))
-    lasts = turns.where("c is not null").groupBy(*SCOPE).agg(F.collect_list(F.struct("c", "end_ms")).alias("ends"))
-    done = c.join(lasts, SCOPE, "left").withColumn("last_ms", F.array_max(F.filter("ends", lambda x: x["c"] < F.col("end_ord")))["end_ms"])
-    done = done.where(F.col("end_ord").isNotNull() & (F.col("cut_by").isNull() | (F.col("cut_by") != "compacted")))
+    at = F.when(F.col("counts"), F.greatest("spoke_ms", "start_ms")).when(F.col("cut_by") == "SubagentStop", F.coalesce(F.when(F.col("turn_c") == F.col("end_ord"), F.col("turn_end")), "cut_ms")).otherwise(F.greatest("spoke_ms", F.when(~is_compaction, F.col("start_ms"))))
+    done = c.where(F.col("end_ord").isNotNull() & (F.col("cut_by").isNull() | (F.col("cut_by") != "compacted")))
     done = done.join(s.where("compacts").select(*SCOPE, F.col("ord").alias("end_ord")), [*SCOPE, "end_ord"], "left_anti")
     closed = done.select("session_id", (F.col("end_ord") * 20 + 6).alias("op_seq"), F.lit("merge").alias("op"), "span_id", at.alias("end_ms"), answer.alias("output"), S.known_entries(usage_unavailable_reason=S.quoted(reason)).alias("metadata"), F.when(F.size(metrics) > 0, metrics).alias("metrics"))
     told = c.where("co is not null").join(triggers, ["session_id", "tid"], "left")
     what = S.known_entries(trigger=S.quoted(F.col("trigger")), replaced_message_count=_text(F.size(F.from_json("replaced", "array<string>"))), window_id=S.json_at(F.col("p"), "window_id"))
     marked = told.select("session_id", _seq(5), F.lit("merge").alias("op"), _id("turn", F.col("tid")).alias("span_id"), F.lit("compaction").alias("name"), S.known_entries(compaction=_object(what)).alias("metadata"), F.array(F.lit("compaction")).alias("tags"), "cwd")
-    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [opened, closed, marked])
+    return [opened, closed, marked, c.where(F.col("end_ord").isNull()).select("session_id", "scope", "ord", "span_id", "spoke_ms", F.when(~is_compaction, answer).alias("output"))]
 
 
 def tool_pairs(s: DataFrame, turns: DataFrame) -> DataFrame:
@@ -340,20 +369,32 @@ def _tools(t: DataFrame) -> DataFrame:
     return opened.unionByName(closed, allowMissingColumns=True)
 
 
-def codex_ops(events: DataFrame, records: DataFrame, git: DataFrame | None = None, histories: bool = False) -> DataFrame:
+def _finals(s: DataFrame, turns: DataFrame, calls: DataFrame, tools: DataFrame) -> list[DataFrame]:
+    """What ends all that is open at the end of the stream."""
+    ended = turns.where("c is not null").groupBy(*SCOPE).agg(F.max_by("end_ms", "c").alias("last_ms"))
+    end = s.groupBy(*SCOPE).agg(F.max("ord").alias("final")).join(ended, SCOPE, "left")
+    step = lambda k: (F.col("final") * 20 + k).alias("op_seq")
+    merge = F.lit("merge").alias("op")
+    models = calls.join(end, SCOPE).select("session_id", step(16), merge, "span_id", F.coalesce("last_ms", "spoke_ms").alias("end_ms"), "output", S.known_entries(usage_unavailable_reason=F.lit(f'"{NO_COUNT}"')).alias("metadata"))
+    shut = tools.where("x is null and c is null").join(end, SCOPE).select("session_id", step(17), merge, _id("tool", F.col("call")).alias("span_id"), F.col("last_ms").alias("end_ms"), S.known_entries(tool_approval=F.lit('"approved"')).alias("metadata"), F.lit(MISSING).alias("error"))
+    left = turns.where("c is null").join(end, SCOPE).select("session_id", step(18), merge, _id("turn", F.col("tid")).alias("span_id"), F.col("last_ms").alias("end_ms"))
+    return [models, shut, left]
+
+
+def codex_ops(events: DataFrame, records: DataFrame, git: DataFrame | None = None, histories: bool = False, finalize: bool = False) -> DataFrame:
     """Span operations of Codex hooks and rollout records.
 
-    git: (cwd, git map of JSON texts), what is known of folders; it is put under each operation's own metadata.
+    git: (cwd, git map of JSON texts), what is known of folders. finalize closes calls, tools and turns that are still open, where the last turn of their scope ended; where none did, they
+    end at no time, but calls with their last output.
     """
     s, turns = prepared(events, records)
     s = stored(s)
     e = F.col("payload")
     triggers = events.where(F.col("event").isin("PreCompact", "PostCompact")).select("session_id", "seq", S.text_at(e, "turn_id").alias("tid"), F.coalesce(S.text_at(e, "trigger"), F.lit("manual")).alias("trigger")).where("tid is not null").groupBy("session_id", "tid").agg(F.min_by("trigger", "seq").alias("trigger"))
     tools = stored(tool_pairs(s, turns))
-    parts = [_roots(events, s, turns), _turns(s, turns), _models(s, turns, tools, triggers, histories), _tools(tools)]
+    calls = _models(s, turns, tools, triggers, histories)
+    parts = [_roots(events, s, turns), _turns(s, turns), *calls[:-1], _tools(tools)]
+    if finalize:
+        parts += _finals(s, turns, calls[-1], tools)
     out = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
-    if git is not None:
-        out = out.join(git.select("cwd", F.col("git").alias("_git")), "cwd", "left")
-        none = F.create_map().cast("map<string,string>")
-        out = out.withColumn("metadata", F.map_zip_with(F.coalesce("_git", none), F.coalesce("metadata", none), lambda k, x, y: F.coalesce(y, x)))
-    return as_ops(out.withColumn("root_span_id", _id("root")))
+    return as_ops(enriched(out, git).withColumn("root_span_id", _id("root")))

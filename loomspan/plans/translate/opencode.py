@@ -14,6 +14,7 @@ from ...functions import scalars as S
 from ...functions.ids import span_id
 from ...operators.tables import stored
 from .debug import as_ops
+from .git import in_folders
 from .pi import _text
 
 KEY = ["session_id", "sid", "life"]
@@ -107,11 +108,11 @@ def _tops(roots: DataFrame) -> DataFrame:
         tops = more.select(*KEY, F.col("u_sid").alias("t_sid"), F.col("u_life").alias("t_life"), ((F.col("u_sid") != F.col("t_sid")) | (F.col("u_life") != F.col("t_life"))).alias("moved"))
 
 
-def opencode_ops(events: DataFrame, finalize: bool = False) -> DataFrame:
-    """Span operations of OpenCode events; finalize closes what is still open at the last event."""
+def opencode_ops(events: DataFrame, finalize: bool = False, git: DataFrame | None = None) -> DataFrame:
+    """Span operations of OpenCode events; finalize closes what is still open at the last event, in no folder. git: (cwd, git map of JSON texts)."""
     e = stored(prepared(events))
     roots = stored(_roots(e))
-    parts = [_opened(roots), _turns(e), _messages(e), _calls(e), _closed(e)]
+    parts = [in_folders(p, events, F.coalesce(S.text_at(F.col("payload"), "directory"), S.text_at(F.col("payload"), "worktree")), git) for p in (_opened(roots), _turns(e), _messages(e), _calls(e), _closed(e))]
     if finalize:
         parts += _finals(e)
     out = parts[0]

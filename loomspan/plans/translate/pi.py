@@ -18,6 +18,7 @@ from ...functions import scalars as S
 from ...functions.ids import span_id
 from ...operators.tables import stored
 from .debug import as_ops
+from .git import in_folders
 
 MODELS = ("responseModel", "routedModel", "resolvedModel", "actualModel", "concreteModel", "outputModel", "model")
 
@@ -142,8 +143,8 @@ def _special(e: DataFrame, root: Column, begin: str, end: str, name: str, tag: s
         F.coalesce("begun.ts", "ts_ms").alias("start_ms"), F.col("ts_ms").alias("end_ms"), F.coalesce("begun.ev", F.lit("null")).alias("input"), F.col("ev").alias("output"), F.create_map(F.lit("event_type"), S.quoted(F.lit(end))).alias("metadata"), F.array(F.lit(tag)).alias("tags"))
 
 
-def pi_ops(events: DataFrame, finalize: bool = False) -> DataFrame:
-    """Span operations of Pi events; finalize closes what is still open at the last event."""
+def pi_ops(events: DataFrame, finalize: bool = False, git: DataFrame | None = None) -> DataFrame:
+    """Span operations of Pi events; finalize closes what is still open at the last event, in no folder. git: (cwd, git map of JSON texts)."""
     root = span_id(F.col("session_id"), F.lit("root"))
     e = stored(prepared(events))
     parts = [
@@ -151,6 +152,7 @@ def pi_ops(events: DataFrame, finalize: bool = False) -> DataFrame:
         _special(e, root, "session_before_compact", "session_compact", "Compaction", "compaction", F.lit(True), F.lit(True)),
         _special(e, root, "session_before_tree", "session_tree", "Branch Summary", "branch-summary", S.true_at(F.col("ev"), "preparation.userWantsSummary"), S.json_at(F.col("ev"), "summaryEntry").isNotNull()),
     ]
+    parts = [in_folders(p, events, S.text_at(F.col("payload"), "cwd"), git) for p in parts]
     if finalize:
         tools = F.count_if((F.col("event") == "tool_execution_end") & F.col("open_turn").isNotNull())
         last = e.groupBy("session_id").agg(F.max("ts_ms").alias("end_ms"), F.max("seq").alias("seq"), F.max("turn").alias("turn"), tools.alias("tools"), F.max_by("mark", "seq").alias("mark"), F.max_by("shutdown", "seq").alias("shutdown"))

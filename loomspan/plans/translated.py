@@ -37,12 +37,12 @@ e AS (SELECT *, CASE WHEN mark > 0 THEN mark END AS own, mk IS NOT NULL AND coal
 r AS (SELECT session_id, arg_min(ts_ms, seq) AS s FROM env GROUP BY 1),
 c AS (SELECT session_id, was AS turn, min(seq) AS c, arg_min(ts_ms, seq) AS c_ms FROM e WHERE closes GROUP BY ALL),
 a AS (SELECT session_id, call_id, min(seq) AS s, arg_min(own, seq) AS own, arg_min(ts_ms, seq) AS s_ms FROM e WHERE event = 'PreToolUse' AND own IS NOT NULL GROUP BY ALL),
-b AS (SELECT session_id, call_id, min(seq) AS x, arg_min(coalesce(own, 0), seq) AS own2, arg_min(ts_ms, seq) AS x_ms FROM e WHERE event IN ('PostToolUse', 'PostToolUseFailure') GROUP BY ALL),
-k AS (SELECT coalesce(a.session_id, b.session_id) AS session_id, coalesce(a.call_id, b.call_id) AS call_id, coalesce(own, nullif(own2, 0)) AS turn, s, s_ms, x, x_ms FROM a FULL JOIN b ON a.session_id = b.session_id AND a.call_id = b.call_id),
+b AS (SELECT session_id, call_id, min(seq) AS x, arg_min(coalesce(own, 0), seq) AS own2, arg_min(ts_ms, seq) AS x_ms, arg_min(event, seq) AS x_event FROM e WHERE event IN ('PostToolUse', 'PostToolUseFailure') GROUP BY ALL),
+k AS (SELECT coalesce(a.session_id, b.session_id) AS session_id, coalesce(a.call_id, b.call_id) AS call_id, coalesce(own, nullif(own2, 0)) AS turn, s, s_ms, x, x_ms, x_event FROM a FULL JOIN b ON a.session_id = b.session_id AND a.call_id = b.call_id),
 l AS (SELECT k.*, c_ms, s IS NOT NULL AND (x IS NULL OR x > coalesce(c, 9e18)) AS late FROM k LEFT JOIN c ON c.session_id = k.session_id AND c.turn = k.turn AND s IS NOT NULL WHERE k.turn IS NOT NULL)
 SELECT {_row("'root'", "'Claude Code: ' || session_id", "task", "s", "NULL", "1", None)} FROM r
 UNION ALL SELECT {_row("'turn:' || turn::BIGINT", "'Turn ' || turn::BIGINT", "task", "ts_ms", "c_ms", "CASE WHEN c_ms IS NULL THEN 1 ELSE 2 END", "'root'")} FROM (SELECT * FROM e WHERE event = 'UserPromptSubmit') p LEFT JOIN c USING (session_id, turn)
-UNION ALL SELECT {_row("'tool:' || call_id", "'Terminal: run ' || call_id", "tool", "coalesce(s_ms, x_ms)", "CASE WHEN late THEN c_ms ELSE x_ms END", "1", "'turn:' || turn::BIGINT", "CASE WHEN late AND c_ms IS NOT NULL THEN 'Turn ended before tool completion' END")} FROM l"""
+UNION ALL SELECT {_row("'tool:' || call_id", "'Terminal: run ' || call_id", "tool", "coalesce(s_ms, x_ms)", "CASE WHEN late THEN c_ms ELSE x_ms END", "1", "'turn:' || turn::BIGINT", "CASE WHEN late AND c_ms IS NOT NULL THEN 'Turn ended before tool completion' WHEN NOT late AND x_event = 'PostToolUseFailure' THEN 'Tool execution failed' END")} FROM l"""
 
 
 @query(CLAUDE)

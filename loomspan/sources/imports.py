@@ -92,13 +92,23 @@ def claude_subagents(files: DataFrame, records: DataFrame) -> DataFrame:
     return out.select("session_id", "agent", "path", F.coalesce("called", record).cast("long").alias("start_pos"), record.cast("long").alias("record_pos"), "agent_type")
 
 
-def last_said(records: DataFrame) -> DataFrame:
-    """(session_id, scope, said, error, codex): the last assistant text and error of Claude records, and the last message that ended a Codex turn."""
-    r = F.col("rec")
-    content = S.json_at(r, "message.content")
+def claude_said(rec: Column) -> tuple[Column, Column]:
+    """The text and the error of an assistant record of Claude, or null."""
+    content = S.json_at(rec, "message.content")
     blocks = F.from_json(F.when(F.startswith(content, F.lit("[")), content), "array<struct<type:string,text:string>>")
     joined = F.array_join(F.transform(F.filter(blocks, lambda b: (b["type"] == "text") & b["text"].isNotNull()), lambda b: b["text"]), "\n")
-    said = F.when(S.text_at(r, "type") == "assistant", F.coalesce(S.text_at(r, "message.content"), F.when(joined != "", joined)))
-    wrong = (S.text_at(r, "type") == "assistant") & S.true_at(r, "isApiErrorMessage")
-    rows = records.withColumns({"said": said, "error": F.when(wrong, F.coalesce(S.text_or_number_at(r, "error"), said, F.lit("Claude API error"))), "codex": F.when(S.text_at(r, "payload.type") == "task_complete", S.json_at(r, "payload.last_agent_message"))})
+    answers = S.text_at(rec, "type") == "assistant"
+    said = F.when(answers, F.coalesce(S.text_at(rec, "message.content"), F.when(joined != "", joined)))
+    return said, F.when(answers & S.true_at(rec, "isApiErrorMessage"), F.coalesce(S.text_or_number_at(rec, "error"), said, F.lit("Claude API error")))
+
+
+def codex_said(rec: Column) -> Column:
+    """The last message that a record which ends a Codex turn names, as JSON."""
+    return F.when(S.text_at(rec, "payload.type") == "task_complete", S.json_at(rec, "payload.last_agent_message"))
+
+
+def last_said(records: DataFrame) -> DataFrame:
+    """(session_id, scope, said, error, codex): the last assistant text and error of Claude records, and the last message that ended a Codex turn."""
+    said, error = claude_said(F.col("rec"))
+    rows = records.withColumns({"said": said, "error": error, "codex": codex_said(F.col("rec"))})
     return rows.groupBy("session_id", "scope").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("pos"))).alias(c) for c in ("said", "error", "codex")))

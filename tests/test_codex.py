@@ -147,9 +147,40 @@ def test_subagents_hang_below_the_turn_that_spawned_them(spans):
 
 def test_folders_enrich_every_insert(spans):
     got = spans["folder"]
-    assert got["codex: git"].metadata["branch"] == got["turn: A"].metadata["branch"] == '"main"' and got["codex: git"].metadata["model"] == '"own"'
+    assert got["codex: git"].metadata["branch"] == got["turn: A"].metadata["branch"] == '"main"'
+    # What git says wins over a span's own metadata.
+    assert got["codex: git"].metadata["model"] == '"overruled"'
 
 
 def test_no_records_and_malformed_ones(spans):
     assert "empty" not in spans
     assert set(spans["malformed"]) == {"codex session"} and spans["malformed"]["codex session"].start_ms == 2
+
+
+def test_a_flush_closes_what_is_open_where_the_last_turn_ended(spark):
+    names = ["numbered", "overlap", "flushed"]
+    SESSIONS["flushed"] = ({"main": [rec("session_meta", 1), msg("task_started", 2, turn_id="A"), msg("task_complete", 3, turn_id="A"), msg("task_started", 4, turn_id="B"), said(5, "x"), item("function_call", 6, call_id="q", name="t", arguments="{}")]}, [])
+    got = folded(spark, names, finalize=True)
+    assert (got["numbered"]["turn: turn-2"].end_ms, got["numbered"]["llm@4"].end_ms) == (3, 3)
+    flushed = got["flushed"]
+    assert (flushed["turn: B"].end_ms, flushed["t"].end_ms, flushed["t"].error, flushed["llm@4"].end_ms) == (3, 3, "Tool output missing before turn ended", 3)
+    assert flushed["llm@4"].metadata["usage_unavailable_reason"] == '"codex_transcript_missing_token_count"' and len(json.loads(flushed["llm@4"].output)) == 2
+    assert flushed["codex session"].end_ms is None
+    assert folded(spark, ["flushed"])["flushed"]["turn: B"].end_ms is None
+
+
+def test_many_turns_of_one_session_are_matched_in_one_pass(spark):
+    """100,000 turns, half of them ended without an id, and 10,000 that nothing ends."""
+    from pyspark.sql import functions as F
+
+    from loomspan.plans.translate import codex
+
+    n = 100_000
+    k = F.col("id")
+    start = F.to_json(F.struct(F.lit("event_msg").alias("type"), F.struct(F.lit("task_started").alias("type"), F.concat(F.lit("t"), k.cast("string")).alias("turn_id")).alias("payload")))
+    ended = F.to_json(F.struct(F.lit("event_msg").alias("type"), F.struct(F.lit("task_complete").alias("type"), F.when(k % 2 == 0, F.concat(F.lit("t"), k.cast("string"))).alias("turn_id")).alias("payload")))
+    rows = spark.range(n).select((k * 2).alias("pos"), start.alias("rec")).unionByName(spark.range(n).where("id % 10 <> 5").select((k * 2 + 1).alias("pos"), ended.alias("rec")))
+    records = rows.select(F.lit("s").alias("session_id"), F.lit("main").alias("scope"), "pos", F.col("pos").alias("ts_ms"), "rec")
+    turns, _ = codex._marks(codex.stream(spark.createDataFrame([], EVENTS), records))
+    got = turns.agg(F.count("*").alias("n"), F.count("c").alias("ended"), F.sum(F.expr("end_ms - start_ms")).alias("length")).first()
+    assert (got.n, got.ended, got.length) == (n, n - n // 10, n - n // 10)
