@@ -14,8 +14,8 @@ SEPARATOR = "\x1f"
 def uuid5(namespace: str, name: Column) -> Column:
     """The version 5 UUID of a name in a name space (32 hex digits)."""
     h = F.sha1(F.concat(F.unhex(F.lit(namespace)), F.encode(name, "UTF-8")))
-    variant = F.substring(F.lit("89ab89ab89ab89ab"), F.conv(F.substring(h, 17, 1), 16, 10).cast("int") + 1, F.lit(1))
-    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+    marked = F.overlay(F.overlay(h, F.lit("5"), 13, 1), F.translate(F.substring(h, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab"), 17, 1)
+    return F.regexp_replace(marked, "^(.{8})(.{4})(.{4})(.{4})(.{12}).*$", "$1-$2-$3-$4-$5")
 
 
 def span_id(session: Column, key: Column) -> Column:

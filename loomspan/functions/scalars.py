@@ -1,6 +1,6 @@
 """Expressions on JSON text, paths, names and errors of agent events. All are built-in functions.
 
-JSON arguments are text columns. A JSON value that is absent, null or of another type gives null.
+JSON arguments are text columns, as columns or by name (which makes shorter work of building large plans). A JSON value that is absent, null or of another type gives null.
 """
 
 from __future__ import annotations
@@ -12,6 +12,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TRAILING = r"[,).;]+$"
+Doc = Column | str
+
+
+def _at(doc: str, path: str) -> str:
+    """SQL of the variant at a dotted path of a JSON text column."""
+    return f"try_variant_get(try_parse_json(`{doc}`), '$.{path}', 'variant')"
+
+
+def _column(doc: Doc) -> Column:
+    return F.col(doc) if isinstance(doc, str) else doc
 
 
 def text_in(value: Column, path: str) -> Column:
@@ -20,26 +30,34 @@ def text_in(value: Column, path: str) -> Column:
     return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
 
 
-def text_at(doc: Column, path: str) -> Column:
+def text_at(doc: Doc, path: str) -> Column:
     """A JSON string at a dotted path; empty strings are values, other types are null."""
+    if isinstance(doc, str):
+        return F.expr(f"CASE WHEN schema_of_variant({_at(doc, path)}) = 'STRING' THEN try_variant_get({_at(doc, path)}, '$', 'string') END")
     return text_in(F.try_parse_json(doc), path)
 
 
-def parsed_once(doc: Column, use: Callable[[Column], Column]) -> Column:
+def parsed_once(doc: Doc, use: Callable[[Column], Column]) -> Column:
     """What `use` makes of the variant of a JSON text, which is parsed a single time."""
-    return F.get(F.transform(F.array(F.try_parse_json(doc)), use), F.lit(0))
+    return F.get(F.transform(F.array(F.try_parse_json(_column(doc))), use), F.lit(0))
 
 
-def text_or_number_at(doc: Column, path: str) -> Column:
+def text_or_number_at(doc: Doc, path: str) -> Column:
     """A JSON string or number as text; empty strings are missing."""
+    if isinstance(doc, str):
+        value = f"try_variant_get({_at(doc, path)}, '$', 'string')"
+        return F.expr(f"CASE WHEN schema_of_variant({_at(doc, path)}) RLIKE '^(STRING|BIGINT|DOUBLE|FLOAT|DECIMAL.*)$' THEN nullif({value}, '') END")
     v = F.try_variant_get(F.try_parse_json(doc), f"$.{path}", "variant")
     kind = F.schema_of_variant(v)
     value = F.try_variant_get(v, "$", "string")
     return F.when((kind == "STRING") | kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"), F.when(value != "", value))
 
 
-def number_at(doc: Column, path: str) -> Column:
+def number_at(doc: Doc, path: str) -> Column:
     """A finite JSON number at a dotted path."""
+    if isinstance(doc, str):
+        n = f"CASE WHEN schema_of_variant({_at(doc, path)}) RLIKE '^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$' THEN try_variant_get({_at(doc, path)}, '$', 'double') END"
+        return F.expr(f"get(filter(array({n}), n -> NOT isnan(n) AND abs(n) < double('infinity')), 0)")
     v = F.try_variant_get(F.try_parse_json(doc), f"$.{path}", "variant")
     n = F.when(F.schema_of_variant(v).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"), F.try_variant_get(v, "$", "double"))
     return F.when(~F.isnan(n) & (F.abs(n) < float("inf")), n)
@@ -50,7 +68,9 @@ def true_in(value: Column, path: str) -> Column:
     return F.coalesce((F.schema_of_variant(v) == "BOOLEAN") & F.try_variant_get(v, "$", "boolean"), F.lit(False))
 
 
-def true_at(doc: Column, path: str) -> Column:
+def true_at(doc: Doc, path: str) -> Column:
+    if isinstance(doc, str):
+        return F.expr(f"coalesce(schema_of_variant({_at(doc, path)}) = 'BOOLEAN' AND try_variant_get({_at(doc, path)}, '$', 'boolean'), false)")
     return true_in(F.try_parse_json(doc), path)
 
 
@@ -128,12 +148,12 @@ def _short_error(value: Column, fallback: Column) -> Column:
     return F.coalesce(first_line(F.coalesce(whole, *(text_in(value, k) for k in ("error", "message", "stderr", "output", "result")))), fallback)
 
 
-def short_error(doc: Column, fallback: Column) -> Column:
+def short_error(doc: Doc, fallback: Column) -> Column:
     """The first line of a JSON string, or of an object's error, message, stderr, output or result."""
     return parsed_once(doc, lambda v: _short_error(v, fallback))
 
 
-def output_error(doc: Column) -> Column:
+def output_error(doc: Doc) -> Column:
     """Why a tool's JSON output counts as failed, or null."""
     return parsed_once(doc, _output_error)
 
@@ -151,7 +171,7 @@ def _output_error(value: Column) -> Column:
     return F.when(kind.startswith("OBJECT"), of_object).when(kind == "STRING", of_text)
 
 
-def tool_error(payload: Column) -> Column:
+def tool_error(payload: Doc) -> Column:
     """The first line of the first error or message of a tool event, or a general one if its response says that it failed."""
 
     def found(value: Column) -> Column:
@@ -162,7 +182,7 @@ def tool_error(payload: Column) -> Column:
     return parsed_once(payload, found)
 
 
-def tool_name(tool: Column, args: Column) -> Column:
+def tool_name(tool: Column, args: Doc) -> Column:
     """What a tool's span is called."""
     skill = F.coalesce(text_or_number_at(args, "name"), text_or_number_at(args, "skill"))
     path = F.coalesce(text_or_number_at(args, "file_path"), text_or_number_at(args, "path"))
@@ -195,7 +215,7 @@ METRICS = {
 }
 
 
-def token_metrics(usage: Column) -> dict[str, Column]:
+def token_metrics(usage: Doc) -> dict[str, Column]:
     """Columns by metric; tokens are prompt and completion together where only these are known."""
     out = {name: F.coalesce(*(number_at(usage, p) for p in paths)) for name, paths in METRICS.items()}
     out["tokens"] = F.coalesce(out["tokens"], out["prompt_tokens"] + out["completion_tokens"])
@@ -225,20 +245,24 @@ def pi_usage(fresh: Column, read: Column, written: Column, written_hour: Column,
     return {"prompt_tokens": prompt, "completion_tokens": output, "reasoning_tokens": reasoning, "tokens": F.coalesce(total, prompt + output + reasoning), "prompt_cached_tokens": read, "prompt_cache_creation_tokens": written + written_hour}
 
 
-def json_at(doc: Column, path: str) -> Column:
+def json_at(doc: Doc, path: str) -> Column:
     """The JSON text of the value at a dotted path."""
+    if isinstance(doc, str):
+        return F.expr(f"to_json({_at(doc, path)})")
     return F.to_json(F.try_variant_get(F.try_parse_json(doc), f"$.{path}", "variant"))
 
 
-def whole_at(doc: Column, path: str) -> Column:
+def whole_at(doc: Doc, path: str) -> Column:
     """A JSON whole number at a dotted path."""
+    if isinstance(doc, str):
+        return F.expr(f"CASE WHEN schema_of_variant({_at(doc, path)}) = 'BIGINT' THEN try_variant_get({_at(doc, path)}, '$', 'long') END")
     v = F.try_variant_get(F.try_parse_json(doc), f"$.{path}", "variant")
     return F.when(F.schema_of_variant(v) == "BIGINT", F.try_variant_get(v, "$", "long"))
 
 
-def quoted(text: Column) -> Column:
+def quoted(text: Doc) -> Column:
     """Text as a JSON string."""
-    return F.when(text.isNotNull(), F.regexp_replace(F.to_json(F.struct(text.alias("v"))), r'(?s)^\{"v":(.*)\}$', "$1"))
+    return F.to_json(_column(text).cast("variant"))
 
 
 def known_entries(**values: Column) -> Column:

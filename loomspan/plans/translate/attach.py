@@ -26,7 +26,7 @@ def attached(ops: DataFrame, sessions: DataFrame) -> DataFrame:
         "session_id", F.col("parent_span_id").alias("_p"),
         F.when(source == PI, F.coalesce("external_root_id", "parent_span_id")).when(source != CODEX, F.col("external_root_id")).alias("_r"),
         F.when(source == CLAUDE, F.map_filter("additional_metadata", lambda k, v: ~F.startswith(k, F.lit(PRIVATE)))).otherwise(F.col("additional_metadata")).alias("_m"),
-        F.when((source == CODEX) & F.col("project").isNotNull(), F.create_map(F.lit("project"), S.quoted(F.col("project")))).alias("_own"))
+        F.when((source == CODEX) & F.col("project").isNotNull(), F.create_map(F.lit("project"), S.quoted("project"))).alias("_own"))
     out = ops.join(a, "session_id", "left")
     top = (F.col("op") == "insert") & (F.col("span_id") == F.col("root_span_id")) & (F.coalesce(F.size("parent_span_ids"), F.lit(0)) <= 0)
     own = F.map_zip_with(F.coalesce("metadata", none), F.coalesce("_own", none), lambda k, x, y: F.coalesce(y, x))

@@ -33,7 +33,7 @@ def _id(*parts: Column | str) -> Column:
 
 def prepared(events: DataFrame) -> DataFrame:
     """Events with agent, tool, call and the turn that is open."""
-    p, kind = F.col("payload"), F.col("event")
+    p, kind = "payload", F.col("event")
     every = Window.partitionBy("session_id").orderBy("seq")
     now, past = every.rowsBetween(Window.unboundedPreceding, 0), every.rowsBetween(Window.unboundedPreceding, -1)
     ends = kind.isin("Stop", "StopFailure", "SessionEnd")
@@ -50,7 +50,7 @@ def prepared(events: DataFrame) -> DataFrame:
 
 
 def _roots(e: DataFrame, records: DataFrame | None, hosts: DataFrame | None) -> DataFrame:
-    p = F.col("payload")
+    p = "payload"
     plugin = "source_version" if "source_version" in e.columns else F.lit(None).cast("string")
     first = e.groupBy("session_id").agg(F.min_by(plugin, "seq").alias("plugin"), F.max_by("cwd", "seq").alias("cwd"), F.min("seq").alias("seq"), F.min_by("payload", "seq").alias("payload"), F.min_by("ts_ms", "seq").alias("start_ms"), F.min_by("ts_ms", F.when(F.col("event") == "SessionEnd", F.col("seq"))).alias("gone_ms"), F.min(F.when(F.col("event") == "SessionEnd", F.col("seq"))).alias("gone_seq"))
     cwd = F.coalesce(S.text_or_number_at(p, "cwd"), F.lit(""))
@@ -58,16 +58,16 @@ def _roots(e: DataFrame, records: DataFrame | None, hosts: DataFrame | None) ->
     if hosts is not None:
         facts = {k: S.quoted(F.col(k)) for k in ("hostname", "username", "os")}
         first = first.join(hosts.select("session_id", *facts), "session_id", "left")
-    meta = S.known_entries(session_id=S.quoted(F.col("session_id")), workspace=S.quoted(cwd), source=F.lit('"claude-code"'), **facts, trace_claude_code_version=S.quoted(F.col("plugin")), session_source=S.quoted(S.text_or_number_at(p, "source")), model=S.quoted(S.text_or_number_at(p, "model")))
+    meta = S.known_entries(session_id=S.quoted("session_id"), workspace=S.quoted(cwd), source=F.lit('"claude-code"'), **facts, trace_claude_code_version=S.quoted("plugin"), session_source=S.quoted(S.text_or_number_at(p, "source")), model=S.quoted(S.text_or_number_at(p, "model")))
     opened = first.select("session_id", (F.col("seq") * 10).alias("op_seq"), F.lit("insert").alias("op"), _id("root").alias("span_id"), F.array().cast("array<string>").alias("parent_span_ids"), F.concat(F.lit("Claude Code: "), S.workspace_name(cwd)).alias("name"), F.lit("task").alias("span_type"), "start_ms", S.quoted(F.concat(F.lit("Session: "), S.workspace_name(cwd))).alias("input"), meta.alias("metadata"), F.coalesce(S.text_or_number_at(p, "cwd"), F.lit("")).alias("cwd"))
     closed = first.where("gone_seq is not null").select("session_id", (F.col("gone_seq") * 10 + 9).alias("op_seq"), F.lit("merge").alias("op"), _id("root").alias("span_id"), F.col("gone_ms").alias("end_ms"))
     out = opened.unionByName(closed, allowMissingColumns=True)
     if records is None:
         return out
     # The version that the transcript names first.
-    version = S.text_or_number_at(F.col("rec"), "version")
+    version = S.text_or_number_at("rec", "version")
     named = records.where("scope = 'main'").groupBy("session_id").agg(F.min_by(version, F.when(version.isNotNull(), F.col("pos"))).alias("version")).where("version is not null")
-    told = first.join(named, "session_id").select("session_id", (F.col("seq") * 10 + 1).alias("op_seq"), F.lit("merge").alias("op"), _id("root").alias("span_id"), S.known_entries(claude_code_version=S.quoted(F.col("version"))).alias("metadata"), "cwd")
+    told = first.join(named, "session_id").select("session_id", (F.col("seq") * 10 + 1).alias("op_seq"), F.lit("merge").alias("op"), _id("root").alias("span_id"), S.known_entries(claude_code_version=S.quoted("version")).alias("metadata"), "cwd")
     return out.unionByName(told, allowMissingColumns=True)
 
 
@@ -76,7 +76,7 @@ def _skills(e: DataFrame, records: DataFrame | None) -> DataFrame:
 
     A name is given with the event, or is that of a command which a listing before the event has. Prompts take what is pending; a stop drops it.
     """
-    p, kind = F.col("payload"), F.col("event")
+    p, kind = "payload", F.col("event")
     past = Window.partitionBy("session_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     clears = (kind == "UserPromptSubmit") | (kind.isin("Stop", "StopFailure") & F.col("closes"))
     e = e.withColumn("stretch", F.coalesce(F.sum(clears.cast("int")).over(past), F.lit(0)))
@@ -86,7 +86,7 @@ def _skills(e: DataFrame, records: DataFrame | None) -> DataFrame:
     x = e.where((kind == "UserPromptExpansion") & asked).select("session_id", "seq", "ts_ms", "stretch", "open_turn", "cwd", S.clean_skill(direct).alias("direct"), S.clean_skill(command).alias("command"), S.text_or_number_at(p, "transcript_path").alias("path"))
     known = F.col("direct")
     if records is not None:
-        listed = records.where("scope = 'main'").select("session_id", F.explode(F.from_json(S.json_at(F.col("rec"), "attachment.names"), "array<string>")).alias("command"), F.coalesce("ts_ms", F.lit(-(1 << 60))).alias("listed"))
+        listed = records.where("scope = 'main'").select("session_id", F.explode(F.from_json(S.json_at("rec", "attachment.names"), "array<string>")).alias("command"), F.coalesce("ts_ms", F.lit(-(1 << 60))).alias("listed"))
         listed = listed.groupBy("session_id", "command").agg(F.min("listed").alias("listed"))
         x = x.join(listed, ["session_id", "command"], "left")
         known = F.coalesce("direct", F.when(F.col("path").isNotNull() & (F.col("listed") <= F.col("ts_ms")), F.col("command")))
@@ -102,7 +102,7 @@ def _loaded(names: Column) -> Column:
 
 
 def _turns(e: DataFrame, records: DataFrame | None) -> DataFrame:
-    p, kind = F.col("payload"), F.col("event")
+    p, kind = "payload", F.col("event")
     skills = _skills(e, records)
     pending = skills.where("prompt_seq is not null").groupBy("session_id", F.col("prompt_seq").alias("seq")).agg(F.max_by("names", "seq").alias("names"))
     opened = e.where("event = 'UserPromptSubmit'").join(pending, ["session_id", "seq"], "left").select("session_id", (F.col("seq") * 10 + 2).alias("op_seq"), F.lit("insert").alias("op"), _id("turn", _text(F.col("turn"))).alias("span_id"), F.array(_id("root")).alias("parent_span_ids"), F.concat(F.lit("Turn "), _text(F.col("turn"))).alias("name"), F.lit("task").alias("span_type"), F.col("ts_ms").alias("start_ms"), S.json_at(p, "prompt").alias("input"), F.when(F.size("names") > 0, _loaded(F.col("names"))).alias("metadata"), "cwd")
@@ -113,25 +113,25 @@ def _turns(e: DataFrame, records: DataFrame | None) -> DataFrame:
 
 
 def _agents(e: DataFrame) -> DataFrame:
-    p = F.col("payload")
+    p = "payload"
     kind = F.coalesce(S.text_or_number_at(p, "agent_type"), F.lit("agent"))
     parent = F.when(F.col("turn") > 0, _id("turn", _text(F.coalesce("open_turn", "turn")))).otherwise(_id("root"))
     first = e.where("agent is not null").withColumn("_n", F.row_number().over(Window.partitionBy("session_id", "agent").orderBy("seq"))).where("_n = 1")
-    opened = first.select("session_id", (F.col("seq") * 10 + 3).alias("op_seq"), F.lit("insert").alias("op"), _id("subagent", F.col("agent")).alias("span_id"), F.array(parent).alias("parent_span_ids"), F.concat(F.lit("subagent: "), kind).alias("name"), F.lit("task").alias("span_type"), F.col("ts_ms").alias("start_ms"), S.known_entries(agent_id=S.quoted(F.col("agent")), agent_type=S.quoted(kind)).alias("metadata"), "cwd")
+    opened = first.select("session_id", (F.col("seq") * 10 + 3).alias("op_seq"), F.lit("insert").alias("op"), _id("subagent", F.col("agent")).alias("span_id"), F.array(parent).alias("parent_span_ids"), F.concat(F.lit("subagent: "), kind).alias("name"), F.lit("task").alias("span_type"), F.col("ts_ms").alias("start_ms"), S.known_entries(agent_id=S.quoted("agent"), agent_type=S.quoted(kind)).alias("metadata"), "cwd")
     closed = e.where("event = 'SubagentStop' and agent is not null").select("session_id", (F.col("seq") * 10 + 5).alias("op_seq"), F.lit("merge").alias("op"), _id("subagent", F.col("agent")).alias("span_id"), F.col("ts_ms").alias("end_ms"), S.json_at(p, "last_assistant_message").alias("output"))
     return opened.unionByName(closed, allowMissingColumns=True)
 
 
 def _tools(e: DataFrame) -> DataFrame:
-    p, kind = F.col("payload"), F.col("event")
+    p, kind = "payload", F.col("event")
     e = e.withColumn("owner", F.coalesce(F.concat(F.lit("a"), F.col("agent")), F.concat(F.lit("t"), _text(F.col("open_turn")))))
     approval = F.when(kind == "PermissionDenied", "denied").otherwise("approved")
     error = F.coalesce(S.tool_error(p), F.when(kind == "PostToolUseFailure", F.coalesce(F.nullif(S.text_at(p, "tool_response.output"), F.lit("")), F.lit("Tool execution failed"))))
     asks = {f"permission_{k}": S.quoted(F.coalesce(S.text_or_number_at(p, f"permission_{k}"), S.text_at(p, f"permission.{k}"))) for k in ("id", "type", "title")}
-    skill = F.when(F.col("tool") == "Skill", F.coalesce(*(S.text_or_number_at(F.col("args"), k) for k in ("name", "skill", "skill_name", "skillName"))))
+    skill = F.when(F.col("tool") == "Skill", F.coalesce(*(S.text_or_number_at("args", k) for k in ("name", "skill", "skill_name", "skillName"))))
     is_skill = F.col("tool") == "Skill"
-    meta = S.known_entries(tool_name=S.quoted(F.col("tool")), tool_approval=S.quoted(approval), tool_call_id=S.quoted(F.col("call")), **asks, tool_kind=F.when(is_skill, F.lit('"skill"')), skill_name=S.quoted(skill), skill_load_trigger=F.when(is_skill, F.lit('"explicit"')))
-    acts = e.where("acts").withColumns({"meta": meta, "error": error, "label": S.tool_name(F.col("tool"), F.col("args")), "gave": F.coalesce(S.json_at(p, "tool_response"), S.json_at(p, "output"), S.json_at(p, "error")), "took": F.coalesce(S.whole_at(p, "duration_ms"), F.lit(0))})
+    meta = S.known_entries(tool_name=S.quoted("tool"), tool_approval=S.quoted(approval), tool_call_id=S.quoted("call"), **asks, tool_kind=F.when(is_skill, F.lit('"skill"')), skill_name=S.quoted(skill), skill_load_trigger=F.when(is_skill, F.lit('"explicit"')))
+    acts = e.where("acts").withColumns({"meta": meta, "error": error, "label": S.tool_name(F.col("tool"), "args"), "gave": F.coalesce(S.json_at(p, "tool_response"), S.json_at(p, "output"), S.json_at(p, "error")), "took": F.coalesce(S.whole_at(p, "duration_ms"), F.lit(0))})
     first = Window.partitionBy("session_id", "call").orderBy("seq")
     pre = acts.where("event = 'PreToolUse' and owner is not null").withColumn("_n", F.row_number().over(first)).where("_n = 1").select("session_id", "call", F.col("seq").alias("s"), "owner", "label", "args", F.col("ts_ms").alias("start_ms"), "meta", "cwd")
     post = acts.where("event <> 'PreToolUse'").withColumn("_n", F.row_number().over(first)).where("_n = 1").select("session_id", "call", F.col("seq").alias("x"), F.col("owner").alias("owner2"), F.col("label").alias("label2"), F.col("args").alias("args2"), F.col("ts_ms").alias("end_ms"), F.col("meta").alias("meta2"), "error", "gave", "took", F.col("cwd").alias("cwd2"))
@@ -150,7 +150,7 @@ def _tools(e: DataFrame) -> DataFrame:
 
 def parsed(records: DataFrame) -> DataFrame:
     """Records with type, blocks, request id and the turn they belong to."""
-    r = F.col("rec")
+    r = "rec"
     content = S.json_at(r, "message.content")
     out = records.withColumns({"type": S.text_at(r, "type"), "blocks": F.when(F.startswith(content, F.lit("[")), F.from_json(content, BLOCKS)), "request_id": F.coalesce(S.text_or_number_at(r, "message.id"), S.text_or_number_at(r, "requestId"), S.text_or_number_at(r, "uuid"))})
     real = (F.col("type") == "user") & ~F.coalesce(F.exists("blocks", lambda b: b["type"] == "tool_result"), F.lit(False))
@@ -164,7 +164,7 @@ def _parent() -> Column:
 
 def calls(records: DataFrame) -> DataFrame:
     """One row for each model call of a transcript."""
-    r = F.col("rec")
+    r = "rec"
     rows = parsed(records).where("type = 'assistant' and request_id is not null")
     wrong = S.true_at(r, "isApiErrorMessage")
     said = F.transform(F.filter("blocks", lambda b: (b["type"] == "text") & b["text"].isNotNull()), lambda b: b["text"])
@@ -194,7 +194,7 @@ def _models(records: DataFrame) -> DataFrame:
     return c.select(
         "session_id", (F.lit(1 << 50) + F.col("pos") * 10).alias("op_seq"), F.lit("insert").alias("op"), _id(F.col("scope"), "llm", F.col("request_id")).alias("span_id"), F.array(_parent()).alias("parent_span_ids"), F.col("model").alias("name"), F.lit("llm").alias("span_type"),
         "start_ms", F.coalesce("last_ms", "start_ms").alias("end_ms"), F.to_json(F.struct("scope", F.col("pos").alias("records_before"))).alias("input"), F.to_json(answer).alias("output"), "error",
-        S.known_entries(model=S.quoted(F.col("model")), request_id=S.quoted(F.col("request_id")), api_error_status=_text(F.col("status"))).alias("metadata"),
+        S.known_entries(model=S.quoted("model"), request_id=S.quoted("request_id"), api_error_status=_text(F.col("status"))).alias("metadata"),
         F.map_filter(F.create_map(*(x for k, v in metrics.items() for x in (F.lit(k), v.cast("double")))), lambda k, v: v.isNotNull()).alias("metrics"), "scope", "turn")
 
 
@@ -216,7 +216,7 @@ def _recovered(e: DataFrame, records: DataFrame, tools: DataFrame) -> DataFrame:
     return t.select(
         "session_id", F.coalesce(F.col("c") * 10 + 6, F.lit(1 << 50) + F.col("pos") * 10 + 1).alias("op_seq"), F.lit("insert").alias("op"), _id("tool", F.col("call")).alias("span_id"), F.array(_parent()).alias("parent_span_ids"), S.tool_name(name, args).alias("name"), F.lit("tool").alias("span_type"),
         start.alias("start_ms"), F.coalesce("shut_ms", "end_ms", start).alias("end_ms"), args.alias("input"), F.to_json(F.col("r.content")).alias("output"), F.coalesce("shut_error", F.when(F.col("r.is_error"), F.lit("Tool execution failed"))).alias("error"),
-        S.known_entries(tool_name=S.quoted(name), tool_approval=F.lit('"approved"'), tool_call_id=S.quoted(F.col("call")), recovered_from_transcript=F.lit("true")).alias("metadata"), "scope", "turn")
+        S.known_entries(tool_name=S.quoted(name), tool_approval=F.lit('"approved"'), tool_call_id=S.quoted("call"), recovered_from_transcript=F.lit("true")).alias("metadata"), "scope", "turn")
 
 
 def _in_turns(ops: DataFrame, e: DataFrame) -> DataFrame:

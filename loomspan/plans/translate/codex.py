@@ -74,11 +74,11 @@ def _joined(texts: Column) -> Column:
 
 def stream(events: DataFrame, records: DataFrame) -> DataFrame:
     """Records and the hooks that end turns or scopes, in one order (ord) of each scope, with what they say."""
-    r, e = F.col("rec"), F.col("payload")
+    r, e = "rec", "payload"
     p = S.json_at(r, "payload")
     high = F.max("ts_ms").over(Window.partitionBy(*SCOPE).orderBy("pos"))
     rows = records.withColumns({"at": F.coalesce(high, F.lit(-1)), "hook": F.lit(0), "kind": S.text_at(r, "type"), "p": p})
-    rows = rows.select(*SCOPE, "at", "hook", "pos", "ts_ms", "kind", F.when(F.col("kind").isin("event_msg", "response_item"), S.text_at(F.col("p"), "type")).alias("sub"), "p").where("kind is not null")
+    rows = rows.select(*SCOPE, "at", "hook", "pos", "ts_ms", "kind", F.when(F.col("kind").isin("event_msg", "response_item"), S.text_at("p", "type")).alias("sub"), "p").where("kind is not null")
     agent = S.text_at(e, "agent_id")
     ends = (F.col("event").isin("Stop", "PostCompact") & agent.isNull()) | ((F.col("event") == "SubagentStop") & agent.isNotNull())
     hooks = events.where(ends).select("session_id", F.coalesce(F.concat(F.lit("subagent:"), agent), F.lit("main")).alias("scope"), F.col("ts_ms").alias("at"), F.lit(1).alias("hook"), F.col("seq").alias("pos"), "ts_ms", F.lit("hook").alias("kind"), F.col("event").alias("sub"), F.col("payload").alias("p"))
@@ -126,8 +126,8 @@ def _marks(s: DataFrame) -> tuple[DataFrame, DataFrame]:
     begins = (F.col("kind") == "event_msg") & (F.col("sub") == "task_started")
     ends = ((F.col("kind") == "event_msg") & (F.col("sub") == "task_complete")) | F.col("sub").isin("Stop", "PostCompact")
     asks = (F.col("kind") == "response_item") & F.col("sub").isin(*CALLS)
-    given = F.when(asks, S.text_at(F.col("p"), "metadata.turn_id")).otherwise(S.text_at(F.col("p"), "turn_id"))
-    said = F.coalesce(S.text_at(F.col("p"), "last_agent_message"), S.text_at(F.col("p"), "last_assistant_message"))
+    given = F.when(asks, S.text_at("p", "metadata.turn_id")).otherwise(S.text_at("p", "turn_id"))
+    said = F.coalesce(S.text_at("p", "last_agent_message"), S.text_at("p", "last_assistant_message"))
     what = F.when(begins, "open").when(F.col("sub") == "SubagentStop", "all").when(ends, "close").when(asks & given.isNotNull(), "ask")
     m = s.withColumns({"what": what, "given": given}).where("what is not null")
     nameless = F.sum(F.when((F.col("what") == "open") & F.col("given").isNull(), 1).otherwise(0)).over(_now(*SCOPE))
@@ -196,7 +196,7 @@ def prepared(events: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFram
     s = stored(stream(events, records))
     turns, open_after = _marks(s)
     turns = stored(turns)
-    p = F.col("p")
+    p = "p"
     is_item, is_msg = F.col("kind") == "response_item", F.col("kind") == "event_msg"
     s = s.join(open_after, [*SCOPE, "ord"], "left").withColumn("current", F.last("state", ignorenulls=True).over(_past(*SCOPE))["now"])
     context = F.col("kind") == "turn_context"
@@ -254,15 +254,15 @@ def _seq(step: int) -> Column:
 
 
 def _roots(events: DataFrame, s: DataFrame, turns: DataFrame) -> DataFrame:
-    p, e = F.col("p"), F.col("payload")
+    p, e = "p", "payload"
     first = s.where("kind = 'session_meta'").withColumn("_n", F.row_number().over(_order(*SCOPE))).where("_n = 1")
     start = events.where("event = 'SessionStart'").groupBy("session_id").agg(F.max_by("payload", "seq").alias("started"))
     path = events.where(S.text_at(e, "agent_id").isNull() & S.text_at(e, "transcript_path").isNotNull()).groupBy("session_id").agg(F.min_by(S.text_at(e, "transcript_path"), "seq").alias("path"))
     m = first.where("scope = 'main'").join(start, "session_id", "left").join(path, "session_id", "left")
     folder = S.text_at(p, "cwd")
     name = F.coalesce(F.concat(F.lit("codex: "), S.base_name(folder)), F.lit("codex session"))
-    meta = S.known_entries(session_id=S.quoted(S.text_at(p, "id")), cwd=S.quoted(folder), cli_version=S.quoted(S.text_at(p, "cli_version")), source=S.quoted(S.text_at(F.col("started"), "source")), permission_mode=S.quoted(S.text_at(F.col("started"), "permission_mode")), transcript_path=S.quoted(F.col("path")), model=S.quoted(F.col("model")))
-    given = F.to_json(F.struct("model", folder.alias("cwd"), S.text_at(F.col("started"), "source").alias("source")), {"ignoreNullFields": "false"})
+    meta = S.known_entries(session_id=S.quoted(S.text_at(p, "id")), cwd=S.quoted(folder), cli_version=S.quoted(S.text_at(p, "cli_version")), source=S.quoted(S.text_at("started", "source")), permission_mode=S.quoted(S.text_at("started", "permission_mode")), transcript_path=S.quoted("path"), model=S.quoted("model"))
+    given = F.to_json(F.struct("model", folder.alias("cwd"), S.text_at("started", "source").alias("source")), {"ignoreNullFields": "false"})
     opened = m.select("session_id", _seq(0), F.lit("insert").alias("op"), _id("root").alias("span_id"), F.expr("cast(array() as array<string>)").alias("parent_span_ids"), name.alias("name"), F.lit("task").alias("span_type"), F.col("ts_ms").alias("start_ms"), given.alias("input"), meta.alias("metadata"), "cwd")
     # Subagents hang below the turn whose call spawned them, if the answer came before they began.
     begun = events.where((F.col("event") == "SubagentStart") & S.text_at(e, "agent_id").isNotNull()).select("session_id", S.text_at(e, "agent_id").alias("agent"), "seq", S.text_at(e, "agent_type").alias("agent_type"), S.text_at(e, "transcript_path").alias("agent_path"))
@@ -273,12 +273,12 @@ def _roots(events: DataFrame, s: DataFrame, turns: DataFrame) -> DataFrame:
     calls = s.where((F.col("tool") == SPAWN) & F.col("tid").isNotNull()).groupBy("session_id", "call").agg(F.min_by("tid", "ord").alias("from_turn"))
     spawned = told.join(calls, ["session_id", "call"]).join(begun.select("session_id", "agent", "seq"), ["session_id", "agent"]).where("told < seq").groupBy("session_id", "agent").agg(F.max_by("from_turn", "told").alias("from_turn"))
     a = first.where("scope <> 'main'").withColumn("agent", F.substring("scope", len("subagent:") + 1, 1 << 20)).join(begun.drop("seq"), ["session_id", "agent"]).join(spawned, ["session_id", "agent"], "left")
-    known = S.known_entries(agent_id=S.quoted(F.col("agent")), agent_type=S.quoted(F.col("agent_type")), transcript_path=S.quoted(F.col("agent_path")))
+    known = S.known_entries(agent_id=S.quoted("agent"), agent_type=S.quoted("agent_type"), transcript_path=S.quoted("agent_path"))
     agents = a.select("session_id", _seq(0), F.lit("insert").alias("op"), _scope_root().alias("span_id"), F.array(F.coalesce(F.when(F.col("from_turn").isNotNull(), _id("turn", F.col("from_turn"))), _id("root"))).alias("parent_span_ids"), F.concat(F.lit("subagent: "), "agent").alias("name"), F.lit("task").alias("span_type"), F.col("ts_ms").alias("start_ms"), known.alias("metadata"), "cwd")
     made = first.select(*SCOPE, F.col("ord").alias("made"), F.when(F.col("scope") == "main", F.struct(folder.alias("cwd"))).alias("main"))
     models = s.where(F.col("kind") == "turn_context").where(S.text_at(p, "model").isNotNull()).join(made, SCOPE).where("ord > made").join(start, "session_id", "left")
-    seen = F.when(F.col("scope") == "main", F.to_json(F.struct("model", F.col("main.cwd").alias("cwd"), S.text_at(F.col("started"), "source").alias("source")), {"ignoreNullFields": "false"})).otherwise(F.to_json(F.struct("model")))
-    changed = models.select("session_id", _seq(1), F.lit("merge").alias("op"), _scope_root().alias("span_id"), seen.alias("input"), S.known_entries(model=S.quoted(F.col("model"))).alias("metadata"), "cwd")
+    seen = F.when(F.col("scope") == "main", F.to_json(F.struct("model", F.col("main.cwd").alias("cwd"), S.text_at("started", "source").alias("source")), {"ignoreNullFields": "false"})).otherwise(F.to_json(F.struct("model")))
+    changed = models.select("session_id", _seq(1), F.lit("merge").alias("op"), _scope_root().alias("span_id"), seen.alias("input"), S.known_entries(model=S.quoted("model")).alias("metadata"), "cwd")
     # The first stop ends the root, a subagent's stop its scope, where their last turn ended.
     last = F.max_by("end_ms", "c")
     stops = s.where((F.col("kind") == "hook") & F.col("sub").isin("Stop", "SubagentStop")).groupBy(*SCOPE).agg(F.min("ord").alias("ord"), F.min_by("ts_ms", "ord").alias("ts_ms")).join(made.select(*SCOPE, "made"), SCOPE).where("made < ord")
@@ -289,12 +289,12 @@ def _roots(events: DataFrame, s: DataFrame, turns: DataFrame) -> DataFrame:
 
 def _turns(s: DataFrame, turns: DataFrame) -> DataFrame:
     at = s.select(*SCOPE, F.col("ord").alias("o"), "model", "cwd")
-    opened = turns.join(at, [*SCOPE, "o"]).select("session_id", (F.col("o") * 20 + 2).alias("op_seq"), F.lit("insert").alias("op"), _id("turn", F.col("tid")).alias("span_id"), F.array(_scope_root()).alias("parent_span_ids"), F.concat(F.lit("turn: "), "tid").alias("name"), F.lit("task").alias("span_type"), "start_ms", S.known_entries(turn_id=S.quoted(F.col("tid")), model=S.quoted(F.col("model"))).alias("metadata"), "cwd")
-    closed = turns.where("c is not null").select("session_id", (F.col("c") * 20 + 8).alias("op_seq"), F.lit("merge").alias("op"), _id("turn", F.col("tid")).alias("span_id"), "end_ms", S.quoted(F.col("said")).alias("output"))
+    opened = turns.join(at, [*SCOPE, "o"]).select("session_id", (F.col("o") * 20 + 2).alias("op_seq"), F.lit("insert").alias("op"), _id("turn", F.col("tid")).alias("span_id"), F.array(_scope_root()).alias("parent_span_ids"), F.concat(F.lit("turn: "), "tid").alias("name"), F.lit("task").alias("span_type"), "start_ms", S.known_entries(turn_id=S.quoted("tid"), model=S.quoted("model")).alias("metadata"), "cwd")
+    closed = turns.where("c is not null").select("session_id", (F.col("c") * 20 + 8).alias("op_seq"), F.lit("merge").alias("op"), _id("turn", F.col("tid")).alias("span_id"), "end_ms", S.quoted("said").alias("output"))
     asks = s.where("current is not null and (asked is not null or (role = 'user' and size(skills) > 0))")
     loaded = F.when(F.size("skills") > 0, F.to_json("skills"))
     each = F.when(F.size("skills") > 0, F.to_json(F.transform("skills", lambda x: F.struct(x.alias("name")))))
-    prompts = asks.select("session_id", _seq(3), F.lit("merge").alias("op"), _id("turn", F.col("current")).alias("span_id"), S.quoted(F.col("asked")).alias("input"), S.known_entries(loaded_skill_names=loaded, loaded_skills=each).alias("metadata"), "cwd")
+    prompts = asks.select("session_id", _seq(3), F.lit("merge").alias("op"), _id("turn", F.col("current")).alias("span_id"), S.quoted("asked").alias("input"), S.known_entries(loaded_skill_names=loaded, loaded_skills=each).alias("metadata"), "cwd")
     return opened.unionByName(closed, allowMissingColumns=True).unionByName(prompts, allowMissingColumns=True)
 
 
@@ -305,7 +305,7 @@ def _models(s: DataFrame, turns: DataFrame, tools: DataFrame, triggers: DataFram
     begins = s.where("compacts").select(*SCOPE, (F.col("run") + 1).alias("run"), F.col("ord").alias("co"), F.col("ts_ms").alias("cts"), F.col("current").alias("ctid"), "p", "replaced", "epoch", "items", F.col("model").alias("cmodel"), F.col("cwd").alias("ccwd"))
     speaks = F.col("speaks") & F.col("item").isNotNull()
     said = s.where("speaks").groupBy(*run).agg(F.min("ord").alias("so"), F.min_by("tid", "ord").alias("stid"), F.max("ts_ms").alias("out_ms"), F.min_by("model", "ord").alias("smodel"), F.min_by("cwd", "ord").alias("scwd"), F.min_by("epoch", "ord").alias("sepoch"), F.min_by("items", "ord").alias("sitems"), F.transform(F.array_sort(F.collect_list(F.when(speaks, F.struct("ord", "item")))), lambda x: x["item"]).alias("texts"))
-    ended = s.where("cut").select(*run, F.col("ord").alias("end_ord"), "counts", F.col("ts_ms").alias("cut_ms"), F.col("sub").alias("cut_by"), F.when(F.col("counts"), S.json_at(F.col("p"), "info.last_token_usage")).alias("usage"))
+    ended = s.where("cut").select(*run, F.col("ord").alias("end_ord"), "counts", F.col("ts_ms").alias("cut_ms"), F.col("sub").alias("cut_by"), F.when(F.col("counts"), S.json_at("p", "info.last_token_usage")).alias("usage"))
     c = said.join(begins, run, "full").join(ended, run, "left")
     c = c.withColumns({"tid": F.coalesce("ctid", "stid"), "ord": F.coalesce("co", "so"), "model": F.when(F.col("co").isNotNull(), F.col("cmodel")).otherwise(F.col("smodel")), "cwd": F.coalesce("ccwd", "scwd"), "spoke_ms": F.greatest("out_ms", "cts")}).where("tid is not null")
     c = c.join(turns.select(*TURN, F.col("start_ms").alias("turn_ms"), F.col("c").alias("turn_c"), F.col("end_ms").alias("turn_end")), TURN)
@@ -317,7 +317,7 @@ def _models(s: DataFrame, turns: DataFrame, tools: DataFrame, triggers: DataFram
     is_compaction = F.col("co").isNotNull()
     n = F.row_number().over(Window.partitionBy(*TURN, is_compaction).orderBy("ord")) - 1
     c = c.withColumn("span_id", F.when(is_compaction, _id("llm", F.col("tid"), "compaction")).otherwise(_id("llm", F.col("tid"), _text(n))))
-    metrics = {k: v.cast("double") for k, v in S.token_metrics(F.col("usage")).items()}
+    metrics = {k: v.cast("double") for k, v in S.token_metrics("usage").items()}
     metrics = F.map_filter(F.create_map(*(x for k, v in metrics.items() for x in (F.lit(k), v))), lambda k, v: v.isNotNull())
     if histories:
         before = s.withColumn("so_far", F.collect_list("item").over(_past(*SCOPE, "epoch"))).select(*SCOPE, "ord", "so_far", "base")
@@ -331,7 +331,7 @@ def _models(s: DataFrame, turns: DataFrame, tools: DataFrame, triggers: DataFram
     sealed = F.exists(kept, lambda x: (S.text_at(x, "type") == "compaction") & S.text_at(x, "encrypted_content").isNotNull())
     left = F.filter(kept, lambda x: ~F.coalesce(S.text_at(x, "type") == "compaction", F.lit(False)))
     summary = F.when(kept.isNull(), F.lit(f'{{"summary":"{NO_HISTORY}","kept_messages":[]}}')).otherwise(F.concat(F.lit('{"summary":"'), F.when(sealed, F.lit(SEALED)).otherwise(F.lit(NO_SUMMARY)), F.lit('","kept_messages":'), _joined(left), F.lit("}")))
-    opened = c.select("session_id", _seq(4), F.lit("insert").alias("op"), "span_id", F.array(_id("turn", F.col("tid"))).alias("parent_span_ids"), F.coalesce("model", F.when(is_compaction, "compaction").otherwise("llm")).alias("name"), F.lit("llm").alias("span_type"), "start_ms", given.alias("input"), F.when(is_compaction, summary).alias("output"), S.known_entries(model=S.quoted(F.col("model")), turn_id=S.quoted(F.col("tid")), compaction=F.when(is_compaction, F.lit("true"))).alias("metadata"), "cwd")
+    opened = c.select("session_id", _seq(4), F.lit("insert").alias("op"), "span_id", F.array(_id("turn", F.col("tid"))).alias("parent_span_ids"), F.coalesce("model", F.when(is_compaction, "compaction").otherwise("llm")).alias("name"), F.lit("llm").alias("span_type"), "start_ms", given.alias("input"), F.when(is_compaction, summary).alias("output"), S.known_entries(model=S.quoted("model"), turn_id=S.quoted("tid"), compaction=F.when(is_compaction, F.lit("true"))).alias("metadata"), "cwd")
     answer = F.when(~is_compaction, F.when(F.size("texts") == 1, F.get("texts", F.lit(0))).otherwise(_joined(F.coalesce("texts", F.expr("cast(array() as array<string>)")))))
     # A call that a compaction replaced is never ended.
     reason = F.when(~F.col("counts"), NO_COUNT).when(F.size(metrics) == 0, F.when(F.coalesce(F.col("usage"), F.lit("{}")).isin("{}", "null") | ~F.startswith("usage", F.lit("{")), NO_USAGE).otherwise(ODD_USAGE))
@@ -340,7 +340,7 @@ def _models(s: DataFrame, turns: DataFrame, tools: DataFrame, triggers: DataFram
     done = done.join(s.where("compacts").select(*SCOPE, F.col("ord").alias("end_ord")), [*SCOPE, "end_ord"], "left_anti")
     closed = done.select("session_id", (F.col("end_ord") * 20 + 6).alias("op_seq"), F.lit("merge").alias("op"), "span_id", at.alias("end_ms"), answer.alias("output"), S.known_entries(usage_unavailable_reason=S.quoted(reason)).alias("metadata"), F.when(F.size(metrics) > 0, metrics).alias("metrics"))
     told = c.where("co is not null").join(triggers, ["session_id", "tid"], "left")
-    what = S.known_entries(trigger=S.quoted(F.col("trigger")), replaced_message_count=_text(F.size(F.from_json("replaced", "array<string>"))), window_id=S.json_at(F.col("p"), "window_id"))
+    what = S.known_entries(trigger=S.quoted("trigger"), replaced_message_count=_text(F.size(F.from_json("replaced", "array<string>"))), window_id=S.json_at("p", "window_id"))
     marked = told.select("session_id", _seq(5), F.lit("merge").alias("op"), _id("turn", F.col("tid")).alias("span_id"), F.lit("compaction").alias("name"), S.known_entries(compaction=_object(what)).alias("metadata"), F.array(F.lit("compaction")).alias("tags"), "cwd")
     return [opened, closed, marked, c.where(F.col("end_ord").isNull()).select("session_id", "scope", "ord", "span_id", "spoke_ms", F.when(~is_compaction, answer).alias("output"))]
 
@@ -361,11 +361,11 @@ def _tools(t: DataFrame) -> DataFrame:
     loads, skill, path = skill_of(F.col("tool"), F.col("args"))
     t = t.withColumns({"loads": loads, "skill": skill, "path": path, "leave": permission_of(F.col("args"))})
     explicit = F.array_contains("skills", F.col("skill"))
-    meta = S.known_entries(tool_name=S.quoted(F.col("tool")), call_id=S.quoted(F.col("call")), turn_id=S.quoted(F.col("tid")), skill_name=F.when(F.col("loads"), S.quoted(F.col("skill"))), skill_load_trigger=F.when(F.col("loads") & explicit, F.lit('"explicit"')), skill_path=F.when(F.col("loads"), S.quoted(F.col("path"))), tool_kind=F.when(F.col("loads"), F.lit('"skill"')), permission=F.col("leave"))
+    meta = S.known_entries(tool_name=S.quoted("tool"), call_id=S.quoted("call"), turn_id=S.quoted("tid"), skill_name=F.when(F.col("loads"), S.quoted("skill")), skill_load_trigger=F.when(F.col("loads") & explicit, F.lit('"explicit"')), skill_path=F.when(F.col("loads"), S.quoted("path")), tool_kind=F.when(F.col("loads"), F.lit('"skill"')), permission=F.col("leave"))
     opened = t.select("session_id", _seq(10), F.lit("insert").alias("op"), _id("tool", F.col("call")).alias("span_id"), F.array(_id("turn", F.col("tid"))).alias("parent_span_ids"), F.coalesce(F.when(F.col("loads"), F.concat(F.lit("skill: "), "skill")), "tool").alias("name"), F.lit("tool").alias("span_type"), F.col("ts_ms").alias("start_ms"), F.col("args").alias("input"), meta.alias("metadata"), F.when(F.col("leave").isNotNull(), F.array(F.lit("permission-request"))).alias("tags"), "cwd")
     approved = S.known_entries(tool_approval=F.lit('"approved"'))
     ended = t.where("x is not null or c is not null")
-    closed = ended.select("session_id", (F.coalesce("x", "c") * 20 + 7).alias("op_seq"), F.lit("merge").alias("op"), _id("tool", F.col("call")).alias("span_id"), F.when(F.col("x").isNotNull(), F.col("out_ms")).otherwise(F.col("turn_end")).alias("end_ms"), "gave", approved.alias("metadata"), F.when(F.col("x").isNotNull(), S.output_error(F.col("gave"))).otherwise(F.lit(MISSING)).alias("error")).withColumnRenamed("gave", "output")
+    closed = ended.select("session_id", (F.coalesce("x", "c") * 20 + 7).alias("op_seq"), F.lit("merge").alias("op"), _id("tool", F.col("call")).alias("span_id"), F.when(F.col("x").isNotNull(), F.col("out_ms")).otherwise(F.col("turn_end")).alias("end_ms"), "gave", approved.alias("metadata"), F.when(F.col("x").isNotNull(), S.output_error("gave")).otherwise(F.lit(MISSING)).alias("error")).withColumnRenamed("gave", "output")
     return opened.unionByName(closed, allowMissingColumns=True)
 
 
@@ -389,7 +389,7 @@ def codex_ops(events: DataFrame, records: DataFrame, git: DataFrame | None = Non
     """
     s, turns = prepared(events, records)
     s = stored(s)
-    e = F.col("payload")
+    e = "payload"
     triggers = events.where(F.col("event").isin("PreCompact", "PostCompact")).select("session_id", "seq", S.text_at(e, "turn_id").alias("tid"), F.coalesce(S.text_at(e, "trigger"), F.lit("manual")).alias("trigger")).where("tid is not null").groupBy("session_id", "tid").agg(F.min_by("trigger", "seq").alias("trigger"))
     tools = stored(tool_pairs(s, turns))
     calls = _models(s, turns, tools, triggers, histories)

@@ -63,7 +63,7 @@ def _numbered(parts: list[DataFrame], source: str) -> DataFrame:
 
 def claude_import(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Events (with the turn they belong to) and records of all sessions that Claude's transcripts hold."""
-    r = F.col("rec")
+    r = "rec"
     owner, agent = F.regexp_extract("path", SUBAGENT, 1), F.regexp_extract("path", SUBAGENT, 2)
     said, error = imports.claude_said(r)
     content = S.json_at(r, "message.content")
@@ -104,7 +104,7 @@ def claude_import(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def codex_import(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Events and records of all sessions that Codex rollouts hold, with the subagents that their spawn calls lead to, over any number of steps."""
-    r = F.col("rec")
+    r = "rec"
     is_meta = S.text_at(r, "type") == "session_meta"
     home = F.regexp_extract("path", HOMES, 1)
     rows = stored(records.select("path", "pos", "ts_ms", "rec", F.when(home != "", home).otherwise(F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).alias("home"), F.when(is_meta, S.text_at(r, "payload.id")).alias("named"), F.when(is_meta, S.text_at(r, "payload.cli_version")).alias("version"), F.when(is_meta, S.json_at(r, "payload.source.subagent").isNotNull()).alias("child"), F.coalesce(S.text_at(r, "payload.type").isin(*BOUNDARIES), F.lit(False)).alias("boundary"), imports.codex_said(r).alias("said")))

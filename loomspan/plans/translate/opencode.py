@@ -38,14 +38,14 @@ def _id(kind: str, *parts: Column) -> Column:
 
 def prepared(events: DataFrame) -> DataFrame:
     """Events with native session, life, open turn and, where they have them, message part, message and call."""
-    p = F.col("payload")
+    p = "payload"
     kind = F.col("event")
     e = events.withColumns({"part": F.coalesce(S.json_at(p, "properties.part"), S.json_at(p, "part")), "info": F.coalesce(S.json_at(p, "properties.info"), S.json_at(p, "info")), "props": F.coalesce(S.json_at(p, "properties"), p)})
     created = kind == "session.created"
     sid = (
-        F.when(created, F.coalesce(S.text_at(F.col("info"), "id"), _native(p)))
-        .when(kind == "message.part.updated", S.text_at(F.col("part"), "sessionID"))
-        .when(kind == "message.updated", S.text_at(F.col("info"), "sessionID"))
+        F.when(created, F.coalesce(S.text_at("info", "id"), _native(p)))
+        .when(kind == "message.part.updated", S.text_at("part", "sessionID"))
+        .when(kind == "message.updated", S.text_at("info", "sessionID"))
         .when(kind.startswith("permission."), _native(F.col("props")))
         .otherwise(_native(p))
     )
@@ -53,7 +53,7 @@ def prepared(events: DataFrame) -> DataFrame:
     whole = Window.partitionBy("session_id", "sid")
     now = whole.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     past = whole.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    e = e.withColumn("parent_sid", F.min_by(S.text_at(F.col("info"), "parentID"), F.when(created, F.col("seq"))).over(whole))
+    e = e.withColumn("parent_sid", F.min_by(S.text_at("info", "parentID"), F.when(created, F.col("seq"))).over(whole))
     e = e.withColumn("removes", kind.isin("session.deleted", "session.error") | ((kind == "session.idle") & F.col("parent_sid").isNotNull()))
     e = e.withColumn("life", F.coalesce(F.sum(F.col("removes").cast("int")).over(past), F.lit(0)))
     life = Window.partitionBy(*KEY)
@@ -69,7 +69,7 @@ def prepared(events: DataFrame) -> DataFrame:
     e = e.withColumn("open_turn", F.when(F.col("mark") > 0, F.col("mark")))
     takes = (chat | F.col("removes") | (kind == "session.idle")) & F.coalesce(F.col("was") > 0, F.lit(False))
     e = e.withColumn("takes", takes).withColumn("taken", F.coalesce(F.sum(takes.cast("int")).over(past), F.lit(0)))
-    finished = F.when((kind == "message.part.updated") & (S.text_at(F.col("part"), "type") == "text") & S.json_at(F.col("part"), "time.end").isNotNull(), S.text_at(F.col("part"), "text"))
+    finished = F.when((kind == "message.part.updated") & (S.text_at("part", "type") == "text") & S.json_at("part", "time.end").isNotNull(), S.text_at("part", "text"))
     e = e.withColumn("finished", F.last(finished, ignorenulls=True).over(Window.partitionBy(*KEY, "taken").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)))
     texts = F.from_json(S.json_at(F.coalesce(S.json_at(p, "output"), p), "parts"), "array<struct<type:string,text:string>>")
     asked = F.when(chat, F.coalesce(F.array_join(F.transform(F.filter(texts, lambda x: (x["type"] == "text") & x["text"].isNotNull()), lambda x: x["text"]), "\n"), F.lit("")))
@@ -79,7 +79,7 @@ def prepared(events: DataFrame) -> DataFrame:
 
 def _roots(e: DataFrame) -> DataFrame:
     """(session_id, sid, life) with the span that opens it, its parents and the root of its tree."""
-    lives = e.where("opens").select(*KEY, F.col("seq").alias("at"), "ts_ms", F.when(F.col("event") == "session.created", F.col("parent_sid")).alias("parent_sid"), F.coalesce(S.text_at(F.col("info"), "title"), F.lit("Subagent")).alias("title"))
+    lives = e.where("opens").select(*KEY, F.col("seq").alias("at"), "ts_ms", F.when(F.col("event") == "session.created", F.col("parent_sid")).alias("parent_sid"), F.coalesce(S.text_at("info", "title"), F.lit("Subagent")).alias("title"))
     # What each child's parent had open when the child was created.
     states = e.select("session_id", "sid", F.col("seq").alias("at"), F.struct(F.when(~F.col("removes"), F.col("life")).alias("life"), "open_turn").alias("state"), F.lit(None).cast("string").alias("child"))
     asks = lives.where("parent_sid is not null").select("session_id", F.col("parent_sid").alias("sid"), "at", F.lit(None).cast(states.schema["state"].dataType).alias("state"), F.col("sid").alias("child"))
@@ -112,7 +112,7 @@ def opencode_ops(events: DataFrame, finalize: bool = False, git: DataFrame | Non
     """Span operations of OpenCode events; finalize closes what is still open at the last event, in no folder. git: (cwd, git map of JSON texts)."""
     e = stored(prepared(events))
     roots = stored(_roots(e))
-    parts = [in_folders(p, events, F.coalesce(S.text_at(F.col("payload"), "directory"), S.text_at(F.col("payload"), "worktree")), git) for p in (_opened(roots), _turns(e), _messages(e), _calls(e), _closed(e))]
+    parts = [in_folders(p, events, F.coalesce(S.text_at("payload", "directory"), S.text_at("payload", "worktree")), git) for p in (_opened(roots), _turns(e), _messages(e), _calls(e), _closed(e))]
     if finalize:
         parts += _finals(e)
     out = parts[0]
@@ -123,26 +123,26 @@ def opencode_ops(events: DataFrame, finalize: bool = False, git: DataFrame | Non
 
 def _opened(roots: DataFrame) -> DataFrame:
     child = F.col("parent_sid").isNotNull()
-    meta = S.known_entries(session_id=S.quoted(F.col("sid")), source=F.lit('"opencode"'), parent_session_id=F.when(child, S.quoted(F.col("parent_sid"))), is_subagent=F.when(child, F.lit("true")))
+    meta = S.known_entries(session_id=S.quoted("sid"), source=F.lit('"opencode"'), parent_session_id=F.when(child, S.quoted("parent_sid")), is_subagent=F.when(child, F.lit("true")))
     return roots.select(*KEY, (F.col("at") * 10).alias("op_seq"), F.lit("insert").alias("op"), "span_id", "parent_span_ids", "name", F.lit("task").alias("span_type"), F.col("ts_ms").alias("start_ms"), meta.alias("metadata"))
 
 
 def _turns(e: DataFrame) -> DataFrame:
-    p = F.col("payload")
+    p = "payload"
     skills = F.to_json(F.coalesce(S.prefixed_skills(F.col("asked"), "/skills:", "/skills"), F.array().cast("array<string>")))
     model = F.coalesce(S.json_at(p, "input.model.modelID"), S.json_at(p, "model.modelID"))
-    opened = e.where("event = 'chat.message'").select(*KEY, (F.col("seq") * 10 + 2).alias("op_seq"), F.lit("insert").alias("op"), _id("turn", F.col("sid"), _text(F.col("turn"))).alias("span_id"), F.array(_id("session", F.col("sid"))).alias("parent_span_ids"), F.concat(F.lit("Turn "), _text(F.col("turn"))).alias("name"), F.lit("task").alias("span_type"), F.col("ts_ms").alias("start_ms"), F.when(F.col("asked") != "", S.quoted(F.col("asked"))).alias("input"), S.known_entries(turn_number=_text(F.col("turn")), model=model, loaded_skill_names=skills).alias("metadata"))
+    opened = e.where("event = 'chat.message'").select(*KEY, (F.col("seq") * 10 + 2).alias("op_seq"), F.lit("insert").alias("op"), _id("turn", F.col("sid"), _text(F.col("turn"))).alias("span_id"), F.array(_id("session", F.col("sid"))).alias("parent_span_ids"), F.concat(F.lit("Turn "), _text(F.col("turn"))).alias("name"), F.lit("task").alias("span_type"), F.col("ts_ms").alias("start_ms"), F.when(F.col("asked") != "", S.quoted("asked")).alias("input"), S.known_entries(turn_number=_text(F.col("turn")), model=model, loaded_skill_names=skills).alias("metadata"))
     error = F.when(F.col("event") == "session.error", failure(F.coalesce(S.json_at(p, "properties.error"), S.json_at(p, "error"))))
-    closed = e.where("takes").select(*KEY, (F.col("seq") * 10 + 1).alias("op_seq"), F.lit("merge").alias("op"), _id("turn", F.col("sid"), _text(F.col("was"))).alias("span_id"), F.col("ts_ms").alias("end_ms"), S.quoted(F.col("finished")).alias("output"), error.alias("error"))
+    closed = e.where("takes").select(*KEY, (F.col("seq") * 10 + 1).alias("op_seq"), F.lit("merge").alias("op"), _id("turn", F.col("sid"), _text(F.col("was"))).alias("span_id"), F.col("ts_ms").alias("end_ms"), S.quoted("finished").alias("output"), error.alias("error"))
     return opened.unionByName(closed, allowMissingColumns=True)
 
 
 def _messages(e: DataFrame) -> DataFrame:
-    i = F.col("info")
+    i = "info"
     done = e.where("event = 'message.updated'").where((S.text_at(i, "role") == "assistant") & S.json_at(i, "time.completed").isNotNull()).withColumn("mid", S.text_at(i, "id")).where("mid is not null")
     first = Window.partitionBy(*KEY, "turn", "mid").orderBy("seq")
     done = done.withColumn("_n", F.row_number().over(first)).where("_n = 1 and open_turn is not null")
-    part = F.col("part")
+    part = "part"
     kind = S.text_at(part, "type")
     seen = e.where("event = 'message.part.updated'").select(*KEY, "turn", F.coalesce(S.text_at(part, "messageID"), F.lit("")).alias("mid"), F.col("seq").alias("p_seq"), kind.alias("kind"), S.text_at(part, "text").alias("text"), F.coalesce(S.text_at(part, "callID"), F.lit("")).alias("call"), F.coalesce(S.text_at(part, "tool"), F.lit("tool")).alias("tool"), S.json_at(part, "state.input").alias("args"))
     near = done.select(*KEY, "turn", "mid", F.col("seq").alias("at")).join(seen, [*KEY, "turn", "mid"]).where("p_seq < at")
@@ -159,11 +159,11 @@ def _messages(e: DataFrame) -> DataFrame:
     return m.select(
         *KEY, (F.col("seq") * 10 + 3).alias("op_seq"), F.lit("insert").alias("op"), _id("llm", F.col("sid"), F.col("mid")).alias("span_id"), F.array(_id("turn", F.col("sid"), _text(F.col("open_turn")))).alias("parent_span_ids"), F.concat_ws("/", provider, model).alias("name"), F.lit("llm").alias("span_type"),
         F.coalesce(S.whole_at(i, "time.created"), "ts_ms").alias("start_ms"), F.coalesce(S.whole_at(i, "time.completed"), "ts_ms").alias("end_ms"), F.to_json(asked).alias("input"), F.to_json(F.array(said)).alias("output"),
-        S.known_entries(model=S.quoted(model), provider=S.quoted(provider), message_id=S.quoted(F.col("mid"))).alias("metadata"), F.create_map(*(x for k, v in usage.items() for x in (F.lit(k), v.cast("double")))).alias("metrics"), F.when(error.isNotNull(), failure(error)).alias("error"))
+        S.known_entries(model=S.quoted(model), provider=S.quoted(provider), message_id=S.quoted("mid")).alias("metadata"), F.create_map(*(x for k, v in usage.items() for x in (F.lit(k), v.cast("double")))).alias("metrics"), F.when(error.isNotNull(), failure(error)).alias("error"))
 
 
 def _calls(e: DataFrame) -> DataFrame:
-    p, q, part = F.col("payload"), F.col("props"), F.col("part")
+    p, q, part = "payload", "props", "part"
     kind = F.col("event")
     reply = F.coalesce(S.text_at(q, "response"), S.text_at(q, "status"))
     denies = kind.isin("permission.asked", "permission.replied") & F.coalesce(reply.isin("reject", "denied", "deny"), F.lit(False)) & F.col("open_turn").isNotNull()
@@ -188,17 +188,17 @@ def _calls(e: DataFrame) -> DataFrame:
     }).where("ends")
     denied = F.col("step") == "deny"
     tool = F.coalesce(F.when(denied, S.text_at(q, "tool")).otherwise(F.coalesce(S.text_at(p, "input.tool"), S.text_at(p, "tool"))), F.lit("tool"))
-    skill = F.when((tool == "skill") & ~denied, S.text_at(F.col("args"), "name"))
+    skill = F.when((tool == "skill") & ~denied, S.text_at("args", "name"))
     name = F.when(denied, tool).when(tool == "skill", F.coalesce(F.concat(F.lit("skill: "), skill), F.lit("skill"))).otherwise(F.coalesce(S.text_at(p, "result.title"), tool))
     outcome = F.when(denied, F.lit('"denied"')).when(F.col("broke").isNotNull(), F.lit('"error"')).otherwise('"success"')
-    meta = S.known_entries(tool_name=S.quoted(tool), call_id=S.quoted(F.col("call")), tool_outcome=outcome, tool_approval=F.when(denied, F.lit('"denied"')), tool_kind=F.when((tool == "skill") & ~denied, F.lit('"skill"')), skill_name=S.quoted(skill))
+    meta = S.known_entries(tool_name=S.quoted(tool), call_id=S.quoted("call"), tool_outcome=outcome, tool_approval=F.when(denied, F.lit('"denied"')), tool_kind=F.when((tool == "skill") & ~denied, F.lit('"skill"')), skill_name=S.quoted(skill))
     return c.select(
         *KEY, (F.col("seq") * 10 + 4).alias("op_seq"), F.lit("insert").alias("op"), _id("tool", F.col("sid"), F.col("call")).alias("span_id"), F.array(_id("turn", F.col("sid"), _text(F.col("open_turn")))).alias("parent_span_ids"), name.alias("name"), F.lit("tool").alias("span_type"),
         F.coalesce("begun", "ts_ms").alias("start_ms"), F.col("ts_ms").alias("end_ms"), F.col("args").alias("input"), F.when(~denied, F.coalesce("gave", S.json_at(p, "result.output"), S.json_at(p, "output"))).alias("output"), F.when(denied, F.lit("Permission denied")).otherwise(F.col("broke")).alias("error"), meta.alias("metadata"))
 
 
 def _closed(e: DataFrame) -> DataFrame:
-    p = F.col("payload")
+    p = "payload"
     ended = F.sum(F.when((F.col("event") == "tool.execute.after") & F.col("open_turn").isNotNull(), 1).otherwise(0)).over(Window.partitionBy(*KEY).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
     error = F.when(F.col("event") == "session.error", failure(F.coalesce(S.json_at(p, "properties.error"), S.json_at(p, "error"))))
     return e.withColumn("tools", ended).where("removes").select(*KEY, (F.col("seq") * 10 + 5).alias("op_seq"), F.lit("merge").alias("op"), _id("session", F.col("sid")).alias("span_id"), F.col("ts_ms").alias("end_ms"), F.create_map(F.lit("total_turns"), _text(F.col("turn")), F.lit("total_tool_calls"), _text(F.col("tools"))).alias("metadata"), error.alias("error"))
@@ -208,6 +208,6 @@ def _finals(e: DataFrame) -> list[DataFrame]:
     last = e.groupBy("session_id").agg(F.max("ts_ms").alias("now"))
     tools = F.count_if((F.col("event") == "tool.execute.after") & F.col("open_turn").isNotNull())
     open_ = e.groupBy(*KEY).agg(F.max("seq").alias("seq"), F.max("turn").alias("turn"), F.max_by("mark", "seq").alias("mark"), F.max("removes").alias("gone"), F.max_by("finished", "seq").alias("finished"), F.max_by("takes", "seq").alias("took"), tools.alias("tools")).where("not gone").join(last, "session_id")
-    turns = open_.where("mark > 0").select(*KEY, (F.col("seq") * 10 + 8).alias("op_seq"), F.lit("merge").alias("op"), _id("turn", F.col("sid"), _text(F.col("mark"))).alias("span_id"), F.col("now").alias("end_ms"), F.when(~F.col("took"), S.quoted(F.col("finished"))).alias("output"))
+    turns = open_.where("mark > 0").select(*KEY, (F.col("seq") * 10 + 8).alias("op_seq"), F.lit("merge").alias("op"), _id("turn", F.col("sid"), _text(F.col("mark"))).alias("span_id"), F.col("now").alias("end_ms"), F.when(~F.col("took"), S.quoted("finished")).alias("output"))
     roots = open_.select(*KEY, (F.col("seq") * 10 + 9).alias("op_seq"), F.lit("merge").alias("op"), _id("session", F.col("sid")).alias("span_id"), F.col("now").alias("end_ms"), F.create_map(F.lit("total_turns"), _text(F.col("turn")), F.lit("total_tool_calls"), _text(F.col("tools"))).alias("metadata"))
     return [turns, roots]

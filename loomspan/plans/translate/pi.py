@@ -31,17 +31,17 @@ def prepared(events: DataFrame) -> DataFrame:
     """Events with their turn, segment, queue and root."""
     every = Window.partitionBy("session_id").orderBy("seq")
     now, past = every.rowsBetween(Window.unboundedPreceding, 0), every.rowsBetween(Window.unboundedPreceding, -1)
-    e = events.withColumn("ev", F.coalesce(S.json_at(F.col("payload"), "event"), F.col("payload")))
+    e = events.withColumn("ev", F.coalesce(S.json_at("payload", "event"), F.col("payload")))
     prompt, shutdown = F.col("event") == "before_agent_start", F.col("event") == "session_shutdown"
-    close = shutdown | ((F.col("event") == "agent_end") & ~S.true_at(F.col("ev"), "willRetry"))
-    message = F.coalesce(S.json_at(F.col("ev"), "message"), F.col("ev"))
+    close = shutdown | ((F.col("event") == "agent_end") & ~S.true_at("ev", "willRetry"))
+    message = F.coalesce(S.json_at("ev", "message"), F.col("ev"))
     e = e.withColumn("turn", F.sum(F.when(prompt, 1).otherwise(0)).over(now).cast("long")).withColumn("segment", F.sum(F.when(prompt | close, 1).otherwise(0)).over(now))
     e = e.withColumn("mark", F.last(F.when(prompt, F.col("turn")).when(close, F.lit(-1)), ignorenulls=True).over(now))
     e = e.withColumn("open_turn", F.when(F.col("mark") > 0, F.col("mark"))).withColumn("was_open", F.last(F.when(prompt, F.col("turn")).when(close, F.lit(-1)), ignorenulls=True).over(past))
     e = e.withColumn("life", F.coalesce(F.sum(F.when(shutdown, 1).otherwise(0)).over(past), F.lit(0)))
-    level = F.when(F.col("event") == "thinking_level_select", F.struct(S.text_at(F.col("ev"), "level").alias("level")))
+    level = F.when(F.col("event") == "thinking_level_select", F.struct(S.text_at("ev", "level").alias("level")))
     e = e.withColumn("level", F.last(level, ignorenulls=True).over(now)["level"]).withColumns({"close": close, "prompt": prompt, "shutdown": shutdown, "message": message})
-    e = e.withColumn("answer", (F.col("event") == "message_end") & F.coalesce(S.text_at(F.col("message"), "role") == "assistant", F.lit(False)) & F.col("open_turn").isNotNull())
+    e = e.withColumn("answer", (F.col("event") == "message_end") & F.coalesce(S.text_at("message", "role") == "assistant", F.lit(False)) & F.col("open_turn").isNotNull())
     queue = Window.partitionBy("session_id", "segment").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     e = e.withColumn("pushed", F.sum(F.when(F.col("event") == "context", 1).otherwise(0)).over(queue)).withColumn("asked", F.sum(F.when(F.col("answer"), 1).otherwise(0)).over(queue))
     e = e.withColumn("failed", F.greatest(F.lit(0), F.max(F.col("asked") - F.col("pushed")).over(queue)))
@@ -51,9 +51,9 @@ def prepared(events: DataFrame) -> DataFrame:
 
 
 def _roots(e: DataFrame, root: Column) -> DataFrame:
-    p = F.col("payload")
+    p = "payload"
     first = e.groupBy("session_id", "life").agg(F.min("seq").alias("seq"), F.min_by("ts_ms", "seq").alias("start_ms"), F.min_by("payload", "seq").alias("payload"), F.min_by("source_version", "seq").alias("version"))
-    meta = S.known_entries(session_id=S.quoted(F.col("session_id")), source=F.lit('"pi"'), pi_version=S.quoted(F.col("version")), extension_version=S.json_at(p, "extension_version"), native_session_id=S.json_at(p, "native_session_id"), session_file=S.json_at(p, "session_file"))
+    meta = S.known_entries(session_id=S.quoted("session_id"), source=F.lit('"pi"'), pi_version=S.quoted("version"), extension_version=S.json_at(p, "extension_version"), native_session_id=S.json_at(p, "native_session_id"), session_file=S.json_at(p, "session_file"))
     opened = first.select("session_id", (F.col("seq") * 10).alias("op_seq"), F.lit("insert").alias("op"), root.alias("span_id"), F.array().cast("array<string>").alias("parent_span_ids"), F.lit("Pi").alias("name"), F.lit("task").alias("span_type"), "start_ms", meta.alias("metadata"))
     tools = Window.partitionBy("session_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     counted = e.withColumn("tools", F.sum(F.when((F.col("event") == "tool_execution_end") & F.col("open_turn").isNotNull(), 1).otherwise(0)).over(tools))
@@ -67,17 +67,17 @@ def _turn_id(turn: Column) -> Column:
 
 
 def _turns(e: DataFrame, root: Column) -> DataFrame:
-    prompt = S.text_at(F.col("ev"), "prompt")
+    prompt = S.text_at("ev", "prompt")
     skills = F.to_json(F.coalesce(S.prefixed_skills(prompt, "/skill:"), F.array().cast("array<string>")))
-    opened = e.where("prompt").select("session_id", (F.col("seq") * 10 + 2).alias("op_seq"), F.lit("insert").alias("op"), _turn_id(F.col("turn")).alias("span_id"), F.array(root).alias("parent_span_ids"), F.concat(F.lit("Turn "), _text(F.col("turn"))).alias("name"), F.lit("task").alias("span_type"), F.col("ts_ms").alias("start_ms"), S.json_at(F.col("ev"), "prompt").alias("input"), S.known_entries(turn_number=_text(F.col("turn")), loaded_skill_names=skills, thinking_level=S.quoted(F.col("level"))).alias("metadata"))
+    opened = e.where("prompt").select("session_id", (F.col("seq") * 10 + 2).alias("op_seq"), F.lit("insert").alias("op"), _turn_id(F.col("turn")).alias("span_id"), F.array(root).alias("parent_span_ids"), F.concat(F.lit("Turn "), _text(F.col("turn"))).alias("name"), F.lit("task").alias("span_type"), F.col("ts_ms").alias("start_ms"), S.json_at("ev", "prompt").alias("input"), S.known_entries(turn_number=_text(F.col("turn")), loaded_skill_names=skills, thinking_level=S.quoted("level")).alias("metadata"))
     closed = e.where("(prompt or close) and was_open > 0").select("session_id", (F.col("seq") * 10 + 1).alias("op_seq"), F.lit("merge").alias("op"), _turn_id(F.col("was_open")).alias("span_id"), F.col("ts_ms").alias("end_ms"))
     return opened.unionByName(closed, allowMissingColumns=True)
 
 
 def _answers(e: DataFrame) -> DataFrame:
     key = ["session_id", "segment", "context"]
-    contexts = e.where("event = 'context'").select("session_id", "segment", F.col("pushed").alias("context"), F.col("ts_ms").alias("asked_ms"), F.coalesce(S.json_at(F.col("ev"), "messages"), F.lit("[]")).alias("waited_for"))
-    kind = F.coalesce(S.text_at(F.col("ev"), "assistantMessageEvent.type"), F.when(S.json_at(F.col("ev"), "assistantMessageEvent.type").isNull(), S.text_at(F.col("ev"), "type")))
+    contexts = e.where("event = 'context'").select("session_id", "segment", F.col("pushed").alias("context"), F.col("ts_ms").alias("asked_ms"), F.coalesce(S.json_at("ev", "messages"), F.lit("[]")).alias("waited_for"))
+    kind = F.coalesce(S.text_at("ev", "assistantMessageEvent.type"), F.when(S.json_at("ev", "assistantMessageEvent.type").isNull(), S.text_at("ev", "type")))
     first = (F.col("event") == "message_update") & kind.isin("text_delta", "thinking_delta", "text", "thinking")
     sides = e.where("event in ('before_provider_request', 'message_update') and pushed > taken").groupBy("session_id", "segment", F.col("pushed").alias("context")).agg(
         F.min(F.when(first, F.col("ts_ms"))).alias("first_ms"), F.max_by("ev", F.when(F.col("event") == "before_provider_request", F.col("seq"))).alias("request"))
@@ -92,7 +92,7 @@ def _answers(e: DataFrame) -> DataFrame:
     return a.select(
         "session_id", (F.col("seq") * 10 + 3).alias("op_seq"), F.lit("insert").alias("op"), span_id(F.col("session_id"), F.concat_ws(":", F.lit("llm"), _text(F.col("turn")), _text(F.col("llm")))).alias("span_id"), F.array(_turn_id(F.col("open_turn"))).alias("parent_span_ids"),
         F.coalesce(model, F.lit("llm")).alias("name"), F.lit("llm").alias("span_type"), F.coalesce("asked_ms", "ts_ms").alias("start_ms"), F.col("ts_ms").alias("end_ms"), F.coalesce("waited_for", F.lit("[]")).alias("input"), assistant(m).alias("output"),
-        S.known_entries(model=S.quoted(model), provider=S.json_at(m, "provider"), api=S.json_at(m, "api"), stop_reason=S.json_at(m, "stopReason"), thinking_level=S.quoted(F.col("level")), provider_request=F.col("request"), response_id=S.json_at(m, "responseId")).alias("metadata"),
+        S.known_entries(model=S.quoted(model), provider=S.json_at(m, "provider"), api=S.json_at(m, "api"), stop_reason=S.json_at(m, "stopReason"), thinking_level=S.quoted("level"), provider_request=F.col("request"), response_id=S.json_at(m, "responseId")).alias("metadata"),
         F.map_filter(F.create_map(*(x for k, v in metrics.items() for x in (F.lit(k), v))), lambda k, v: v.isNotNull()).alias("metrics"), error.alias("error"))
 
 
@@ -111,24 +111,24 @@ def assistant(message: Column) -> Column:
 
 
 def _tools(e: DataFrame) -> DataFrame:
-    t = e.where("event in ('tool_execution_start', 'tool_execution_end')").withColumn("call", S.text_at(F.col("ev"), "toolCallId"))
+    t = e.where("event in ('tool_execution_start', 'tool_execution_end')").withColumn("call", S.text_at("ev", "toolCallId"))
     start = F.col("event") == "tool_execution_start"
     t = t.where(~start | F.col("call").isNotNull()).where(start | F.col("open_turn").isNotNull()).withColumn("call", F.coalesce("call", F.lit("")))
     w = Window.partitionBy("session_id", "segment", "call").orderBy("seq")
-    name = F.coalesce(S.text_at(F.col("ev"), "toolName"), F.lit("tool"))
-    begun = F.when(start, F.struct(F.col("ts_ms").alias("ts"), name.alias("name"), F.coalesce(S.json_at(F.col("ev"), "args"), F.lit("null")).alias("args")))
+    name = F.coalesce(S.text_at("ev", "toolName"), F.lit("tool"))
+    begun = F.when(start, F.struct(F.col("ts_ms").alias("ts"), name.alias("name"), F.coalesce(S.json_at("ev", "args"), F.lit("null")).alias("args")))
     t = t.withColumn("begun", F.lag(begun).over(w)).where(~start)
     tool, args = F.coalesce("begun.name", name), F.coalesce("begun.args", F.lit("null"))
     path = F.coalesce(*(S.text_at(args, k) for k in ("path", "filePath", "file_path")))
     skill = F.when((tool == "read") & F.endswith(F.lower(path), F.lit("/skill.md")), F.element_at(F.split(path, "/"), -2))
-    failed = S.true_at(F.col("ev"), "isError")
-    result = S.json_at(F.col("ev"), "result")
-    whole = F.when(F.startswith(result, F.lit('"')), S.first_line(S.text_at(F.col("ev"), "result")))
-    reason = F.coalesce(whole, S.text_at(F.col("ev"), "result.error"), S.text_at(F.col("ev"), "result.message"), F.lit("Tool execution failed"))
+    failed = S.true_at("ev", "isError")
+    result = S.json_at("ev", "result")
+    whole = F.when(F.startswith(result, F.lit('"')), S.first_line(S.text_at("ev", "result")))
+    reason = F.coalesce(whole, S.text_at("ev", "result.error"), S.text_at("ev", "result.message"), F.lit("Tool execution failed"))
     return t.select(
         "session_id", (F.col("seq") * 10 + 4).alias("op_seq"), F.lit("insert").alias("op"), span_id(F.col("session_id"), F.concat_ws(":", F.lit("tool"), _text(F.col("turn")), F.col("call"))).alias("span_id"), F.array(_turn_id(F.col("open_turn"))).alias("parent_span_ids"),
         F.coalesce(F.concat(F.lit("skill: "), skill), tool).alias("name"), F.lit("tool").alias("span_type"), F.coalesce("begun.ts", "ts_ms").alias("start_ms"), F.col("ts_ms").alias("end_ms"), args.alias("input"), result.alias("output"),
-        S.known_entries(tool_name=S.quoted(F.when(skill.isNotNull(), F.lit("skill")).otherwise(tool)), original_tool_name=S.quoted(tool), tool_call_id=S.quoted(F.col("call")), tool_approval=F.lit('"approved"'), tool_outcome=F.when(failed, F.lit('"error"')).otherwise('"success"'), skill_name=S.quoted(skill)).alias("metadata"),
+        S.known_entries(tool_name=S.quoted(F.when(skill.isNotNull(), F.lit("skill")).otherwise(tool)), original_tool_name=S.quoted(tool), tool_call_id=S.quoted("call"), tool_approval=F.lit('"approved"'), tool_outcome=F.when(failed, F.lit('"error"')).otherwise('"success"'), skill_name=S.quoted(skill)).alias("metadata"),
         F.when(failed, reason).alias("error"))
 
 
@@ -150,9 +150,9 @@ def pi_ops(events: DataFrame, finalize: bool = False, git: DataFrame | None = No
     parts = [
         _roots(e, root), _turns(e, root), _answers(e), _tools(e),
         _special(e, root, "session_before_compact", "session_compact", "Compaction", "compaction", F.lit(True), F.lit(True)),
-        _special(e, root, "session_before_tree", "session_tree", "Branch Summary", "branch-summary", S.true_at(F.col("ev"), "preparation.userWantsSummary"), S.json_at(F.col("ev"), "summaryEntry").isNotNull()),
+        _special(e, root, "session_before_tree", "session_tree", "Branch Summary", "branch-summary", S.true_at("ev", "preparation.userWantsSummary"), S.json_at("ev", "summaryEntry").isNotNull()),
     ]
-    parts = [in_folders(p, events, S.text_at(F.col("payload"), "cwd"), git) for p in parts]
+    parts = [in_folders(p, events, S.text_at("payload", "cwd"), git) for p in parts]
     if finalize:
         tools = F.count_if((F.col("event") == "tool_execution_end") & F.col("open_turn").isNotNull())
         last = e.groupBy("session_id").agg(F.max("ts_ms").alias("end_ms"), F.max("seq").alias("seq"), F.max("turn").alias("turn"), tools.alias("tools"), F.max_by("mark", "seq").alias("mark"), F.max_by("shutdown", "seq").alias("shutdown"))
