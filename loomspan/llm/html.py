@@ -13,7 +13,9 @@ Scripts, styles, menus, footers, sidebars in elements of that meaning, and hidde
 mark as something else (forms, headers of the page, adverts, notices, comments) neither give nor keep
 text, but a mark is only a discount: where an element so marked outweighs all that is unmarked, as LIFTED says for each mark,
 the mark is lifted (that of reader comments only where nothing else has text). So a name of the layout, or a form, around
-the whole page empties no page. Words that follow `has`, `no` or `with` in a name are no marks.
+the whole page empties no page. Words that follow `has`, `no` or `with` in a name are no marks. A name that also has words which are neither marks nor of the layout
+(`related-work`, `form-of-government`) marks its element only where that holds little text or mostly links; articles are marked as comments only; and a paragraph in an article isn't
+marked by words that articles use themselves (`alert`, `legal`).
 
 Character references are decoded, white space inside a block becomes one space, and blocks are joined by line
 feeds. Defined cases: a null or empty page, and one without text, gives an empty text; if no paragraph has points, all unmarked text is kept; ties go to the outermost
@@ -54,6 +56,18 @@ HEADERS = frozenset("header".split())
 #: Words before a marked one that make a name one of the layout, those after it, and those before `header` that make it the article's.
 STATES, SWITCHES = frozenset("has have no not with without is hide show".split()), frozenset("enabled disabled".split())
 OWN = frozenset("article post entry story".split())
+#: Words of a layout that say nothing of what an element is for.
+LAYOUT = frozenset(
+    """box block blocks container wrapper wrap list lists bar section sections area areas panel panels link links inner outer item items content contents left right top bottom center middle main site page pages global local primary secondary
+    first last next prev previous js btn button buttons icon icons row rows col cols column columns group groups grid slot slots unit units module modules component view card cards text title titles heading label labels body base
+    user users reader readers author date meta avatar thread count number id ui app web html default custom plugin div span sticky fixed floating inline mobile desktop small medium large big mini wide full half fluid clear clearfix media post article entry story articles posts stories
+    mailing email print tools tool settings policy privacy bottombar topnav subnav"""
+    .split()
+)
+#: Marks that are words of articles as well.
+SOFT = frozenset("alert notice notices notification legal form search follow related recommended recommendations social share sharing rail skip banner overlay popup discussion respond reply".split())
+#: Points with which an element is kept whose name only contains a mark, in an article and elsewhere.
+OUTWEIGHS = (1.0, 3.0)
 #: Elements that no class marks.
 NEVER = frozenset("main html body h1 h2 h3 h4 h5 h6".split())
 LEAST, COMMA, LENGTH, MOST = 25, 1.0, 100, 3.0
@@ -70,40 +84,45 @@ _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I) for tag in RA
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def _of_name(name: str) -> int:
-    """What the words of one class or id say."""
+def _of_name(name: str) -> tuple[int, bool, bool]:
+    """What the words of one class or id say; whether other words stand beside them, and whether articles use them."""
     parts = [x.lower() for x in _PART.findall(name)]
+    mark, soft, strange = FREE, True, False
     for i, part in enumerate(parts):
         if i and parts[i - 1] in STATES or i + 1 < len(parts) and parts[i + 1] in SWITCHES:
             continue
-        if part in COMMENTS:
-            return COMMENT
-        if part in MARKED:
-            return OTHER
-        if part in HEADERS and not OWN.intersection(parts[:i]):
-            return HEADER
-    return FREE
-
-
-def _marked(tag: str, attributes: str) -> tuple[int, bool, str]:
-    """What class, id, role and tag say of an element, whether it is hidden, and its class."""
-    mark, hidden, kind = FREE, False, ""
+        found = COMMENT if part in COMMENTS else OTHER if part in MARKED else HEADER if part in HEADERS and not OWN.intersection(parts[:i]) else FREE
+        mark = max(mark, found)
+        soft = soft and (not found or part in SOFT)
+        strange = strange or not (found or len(part) == 1 or part.isdigit() or part in LAYOUT or part in HEADERS or part in STATES or part in SWITCHES)
+    return mark, strange and mark > HEADER, soft and mark > HEADER
+
+
+def _marked(tag: str, attributes: str, inside: bool) -> tuple[int, bool, bool, str]:
+    """What class, id, role and tag say of an element, whether that only stands beside other words, whether it is hidden, and its class. inside: in an article."""
+    mark, weak, hidden, kind = FREE, False, False, ""
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "role":
-            mark = mark or OTHER * (value.lower() in ROLES)
+            if value.lower() in ROLES:
+                mark, weak = max(mark, OTHER), False
         elif name == "style":
             hidden = hidden or bool(_UNSEEN.search(value))
         elif name == "hidden" or name == "aria-hidden":
             hidden = hidden or name == "hidden" or value.lower() == "true"
         elif tag not in NEVER:
-            mark = max(mark, *map(_of_name, value.split()), FREE)
+            for found, strange, soft in map(_of_name, value.split()):
+                if tag == "article" and (found != COMMENT or strange) or inside and soft and tag in PARAGRAPHS:
+                    continue
+                # A name that says it outright counts more than one that has other words.
+                if found and (not mark or weak and not strange or weak == strange and found > mark):
+                    mark, weak = found, strange
             kind = value if name == "class" else kind
-    if tag == "form":
-        mark = max(mark, FORM)
+    if tag == "form" and (mark < FORM or weak):
+        mark, weak = max(mark, FORM), False
     if tag == "header":
         mark = max(mark, HEADER)
-    return mark, hidden, kind
+    return mark, weak, hidden, kind
 
 
 class Page:
@@ -112,6 +131,7 @@ class Page:
     def __init__(self, html: str):
         self.parent, self.tag, self.mark, self.kind = [-1], ["#"], [FREE], [""]
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters of it in links
+        self.weak: dict[int, bool] = {}  # elements whose name only contains a mark, and whether they lie in an article
         self.barred: set[int] = set()  # elements with a menu, footer or sidebar among their children
         self._stack = [(0, "#", False, 0)]  # element, tag, hidden, nearest block
         self._held: list[tuple[str, bool]] = []
@@ -161,11 +181,16 @@ class Page:
             self._text(" ")
         if tag in VOID:
             return
-        mark, hidden, kind = _marked(tag, attributes)
+        inside = self._open_tags["article"] + self._open_tags["main"] > 0
+        mark, weak, hidden, kind = _marked(tag, attributes, inside)
         up, _, unseen, block = self._stack[-1]
-        if mark == HEADER and self._open_tags["article"] + self._open_tags["main"]:
+        if mark == HEADER and inside:
             mark = FREE
-        if tag in ("nav", "footer", "aside") or mark == OTHER:
+        if weak:
+            self.weak[len(self.tag)] = inside
+        elif mark == OTHER:
+            self.barred.add(up)
+        if tag in ("nav", "footer", "aside"):
             self.barred.add(up)
         self.parent.append(up)
         self.tag.append(tag)
@@ -230,8 +255,25 @@ class Page:
                 up = self.parent[n]
                 self.mark[n] = FREE if n in titled and up not in self.barred and self.tag[up] not in ("body", "html", "#") else OTHER
 
+    def _weigh(self, points: list[float]) -> None:
+        """Elements whose name only contains a mark, and that hold text of their own, aren't marked; comments outside articles are."""
+        if not self.weak:
+            return
+        got, size, linked = [0.0] * len(self.tag), [0] * len(self.tag), [0] * len(self.tag)
+        for (node, text, links), own in zip(self.blocks, points, strict=True):
+            got[node] += own
+            size[node] += len(text)
+            linked[node] += links
+        for n in range(len(self.tag) - 1, 0, -1):
+            for sums in (got, size, linked):
+                sums[self.parent[n]] += sums[n]
+        for n, inside in self.weak.items():
+            if got[n] >= OUTWEIGHS[not inside] and 2 * linked[n] < size[n] and (inside or self.mark[n] != COMMENT):
+                self.mark[n] = FREE
+
     def unmarked(self, points: list[float]) -> list[bool]:
         """Which elements lie in no marked one, after marks that outweigh all else have been lifted."""
+        self._weigh(points)
         self._headers()
         near = [0] * len(self.tag)  # the nearest element with a mark
         for n in range(1, len(self.tag)):

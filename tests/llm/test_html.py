@@ -138,3 +138,49 @@ def test_random_trees_are_scored_as_said():
                 assert got == want
                 compared += 1
     assert compared > 100
+
+
+COUNCIL = "The council met on Monday, and after long talks, it agreed on the plan for the river, the bridge and the road."
+FURTHER = "Another paragraph follows here, with more words, commas, and a reasonable length to count as text of the page."
+
+#: Names of topics that hold a word of layouts: nothing in them may be lost.
+TOPICS = [
+    f'<article><h1>T</h1><p>{COUNCIL}</p><section id="related-work"><p>{FURTHER}</p></section></article>',
+    f'<article><h1>T</h1><p>{COUNCIL}</p><section class="form-of-government"><p>{FURTHER}</p></section></article>',
+    f'<article><h1>T</h1><p>{COUNCIL}</p><p class="alert">{FURTHER}</p></article>',
+    f'<article class="legal-analysis"><h1>T</h1><p>{COUNCIL}</p><p>{FURTHER}</p></article><div class="blurb"><p>Short words, few.</p><p>Short words, more.</p><p>Short words, end, now, here.</p></div>',
+    f'<div class="intro"><p>Short intro, some words, in a line that is long enough.</p></div><article class="post category-social"><h1>T</h1><p>{COUNCIL}</p><p>{FURTHER}</p></article>',
+    f'<main><p>{COUNCIL}</p><div class="discussion-of-results"><p>{FURTHER}</p></div></main>',
+    f'<main><p>{COUNCIL}</p><section id="search-for-meaning"><p>{FURTHER}</p></section></main>',
+    f'<article class="tag-advertising topic-cookies"><p>{COUNCIL}</p><p>{FURTHER}</p></article>',
+    f'<article class="newsletter-edition-4"><p>{COUNCIL}</p><blockquote class="legal">{FURTHER}</blockquote></article>',
+    f'<article><p>{COUNCIL}</p><div class="banner-headline-story"><p>{FURTHER}</p></div></article>',
+    f'<article><p>{COUNCIL}</p><table><tr><td class="notice">{FURTHER}</td></tr></table></article>',
+    f'<article><p>{COUNCIL}</p><ul><li class="follow">{FURTHER}</li></ul></article>',
+    f'<div id="content"><h1>T</h1><p>{COUNCIL}</p><div class="menu-engineering"><p>{FURTHER} {COUNCIL}</p><p>{COUNCIL}</p></div></div>',
+    f'<article><p>{COUNCIL}</p><section class="sharing-economy"><p>{FURTHER}</p></section></article>',
+    f'<article class="sponsor-profile"><p>{COUNCIL}</p><section class="copyright-law"><p>{FURTHER}</p></section></article>',
+]
+#: The same words where they do mark: what they hold goes.
+CHROME = [
+    f'<article><p>{COUNCIL}</p><div class="share-buttons"><a href="/x">{FURTHER}</a></div></article>',
+    f'<article><p>{COUNCIL}</p><div class="newsletter-signup-box"><p>{FURTHER}</p></div></article>',
+    f'<article><p>{COUNCIL}</p><div class="ad-slot-3"><p>{FURTHER}</p></div></article>',
+    f'<article><p>{COUNCIL}</p><p>{COUNCIL}</p></article><article class="comment"><p>{FURTHER}</p></article>',
+    f'<div><p>{COUNCIL}</p><p>{COUNCIL}</p></div><div class="user-comments-area"><p>{FURTHER}</p></div>',
+    f'<div><p>{COUNCIL}</p><p>{COUNCIL}</p></div><div class="acme-cookie-consent"><p>Short notice, few words.</p></div>'.replace("Short notice, few words.", FURTHER[:40]),
+    f'<article><p>{COUNCIL}</p><section class="related-articles-more"><ul><li><a href="/a">{FURTHER}</a></li></ul></section></article>',
+    f'<article><p>{COUNCIL}</p><p class="advert">{FURTHER}</p></article>',
+]
+
+
+@pytest.mark.parametrize("page", TOPICS)
+def test_no_text_is_lost_to_a_word_in_a_name(page):
+    got = html.main_text(f"<html><body>{page}</body></html>")
+    assert COUNCIL in got and FURTHER in got
+
+
+@pytest.mark.parametrize("page", CHROME)
+def test_names_of_the_layout_still_mark(page):
+    got = html.main_text(f"<html><body>{page}</body></html>")
+    assert COUNCIL in got and FURTHER[:40] not in got
