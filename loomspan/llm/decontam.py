@@ -104,14 +104,15 @@ def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     texts = docs.select(F.col(text).alias("text"), *key(text)).where(F.col("text") != "")
     seen = fingerprints(texts.select("k1", "k2", folded(F.col("text")).alias("folded")), lengths, gram)
     seen = seen.select("k1", "k2", F.explode(F.array(*(F.struct(F.lit(n).alias("n"), F.array_distinct(f"fp_{n}").alias("fps")) for n in lengths))).alias("x")).select("k1", "k2", "x.n", F.explode("x.fps").alias("fp"))
-    found = stored(seen.join(known, ["n", "fp"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("n", "fp")).alias("shared")))
-    near = small(found, found.count(), BROADCAST_ROWS, wide=True)
-    hit = texts.join(near, ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("text").alias("text"), F.first("shared").alias("shared"))
-    hit = fingerprints(hit.select("k1", "k2", "shared", words(F.col("text")).alias("words"), folded(F.col("text")).alias("folded")), lengths, gram)
-    for n in lengths:
-        hit = hit.withColumn(f"_own{n}", F.transform(F.filter("shared", _has_length(n)), lambda x: x.fp)).withColumn(f"_at{n}", F.filter(F.transform(f"fp_{n}", _start_if_in(f"_own{n}", n)), lambda x: x.s.isNotNull()))
-    spans = hit.select("k1", "k2", "words", F.explode(F.concat(*(f"_at{n}" for n in lengths))).alias("x"))
-    spans = spans.select("k1", "k2", "x.n", "x.s", F.array_join(F.slice("words", F.col("x.s") + 1, F.col("x.n")), " ").alias("gram"))
+    found = stored(seen.join(known, ["n", "fp"]).select("k1", "k2").distinct())
+    near = small(found, found.count(), BROADCAST_ROWS)
+    hit = stored(texts.join(near, ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("text").alias("text")))
+    # Where fingerprints of the benchmark stand: each place is looked up once, and only such places become words again.
+    places = fingerprints(hit.select("k1", "k2", folded(F.col("text")).alias("folded")), lengths, gram)
+    places = places.select("k1", "k2", F.explode(F.concat(*(F.transform(f"fp_{n}", _placed(n)) for n in lengths))).alias("x")).select("k1", "k2", "x.n", "x.s", "x.fp")
+    at = places.join(known, ["n", "fp"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("n", "s")).alias("at"))
+    spans = hit.join(at, ["k1", "k2"]).select("k1", "k2", words(F.col("text")).alias("words"), "at")
+    spans = spans.select("k1", "k2", F.explode(F.transform("at", lambda x: F.struct(x.n.alias("n"), x.s.alias("s"), F.array_join(F.slice("words", x.s + 1, x.n), " ").alias("gram")))).alias("x")).select("k1", "k2", "x.n", "x.s", "x.gram")
     exact = spans.join(small(bench.select("n", "gram", "item").distinct(), size, BROADCAST_ROWS, wide=True), ["n", "gram"])
     start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
     covered = F.aggregate(
@@ -123,12 +124,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     return exact.groupBy("k1", "k2").agg(F.collect_set(F.struct("s", "n")).alias("spans"), F.array_sort(F.collect_set("item")).alias("items")).select("k1", "k2", covered.alias("n_hit"), "items")
 
 
-def _has_length(n: int):
-    return lambda x: x.n == n
-
-
-def _start_if_in(own: str, n: int):
-    return lambda fp, i: F.struct(F.lit(n).alias("n"), F.when(F.array_contains(own, fp), i).alias("s"))
+def _placed(n: int):
+    return lambda fp, i: F.struct(F.lit(n).alias("n"), i.alias("s"), fp.alias("fp"))
 
 
 def key(text: str) -> list[Column]:
