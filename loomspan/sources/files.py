@@ -11,15 +11,22 @@ ENVELOPE = "seq long, source string, source_version string, plugin_version strin
 
 
 def lines(spark: SparkSession, path: str, suffix: str = ".jsonl") -> DataFrame:
-    """(path, pos, line, end_offset) of files below a folder: a blank line takes its place but is dropped.
+    """(path, pos, line, end_offset, complete) of files below a folder: a blank line takes its place but is dropped.
 
+    Files are read in blocks, by many tasks where they are large; lines are numbered in their block, and blocks by what comes before them.
     complete says whether a line ends with a line feed; a reader of growing files leaves the last one until it does.
     """
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=f"*{suffix}").select(F.col("_metadata.file_path").alias("path"), F.col("value"))
-    cut = files.select("path", F.endswith("value", F.lit("\n")).alias("closed"), F.posexplode(F.split("value", "\n")).alias("pos", "line"))
-    order = Window.partitionBy("path").orderBy("pos")
-    placed = cut.withColumn("end_offset", F.sum(F.octet_length("line") + 1).over(order).cast("long")).withColumn("complete", F.lead("pos").over(order).isNotNull())
-    return placed.where(F.trim(F.regexp_replace("line", r"\s+", " ")) != "").select("path", F.col("pos").cast("long").alias("pos"), "line", "end_offset", "complete")
+    meta = F.col("_metadata")
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").option("lineSep", "\n").text(path)
+    rows = rows.select(meta["file_path"].alias("path"), meta["file_block_start"].alias("block"), meta["file_size"].alias("size"), F.col("value").alias("line"), F.monotonically_increasing_id().alias("at"))
+    inside = Window.partitionBy("path", "block").orderBy("at")
+    rows = rows.withColumns({"n": F.row_number().over(inside).cast("long"), "bytes": F.sum(F.octet_length("line") + 1).over(inside).cast("long")})
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("path", "block").agg(F.max("n").alias("lines"), F.max("bytes").alias("length"))
+    blocks = blocks.select("path", "block", F.coalesce(F.sum("lines").over(earlier), F.lit(0)).alias("lines"), F.coalesce(F.sum("length").over(earlier), F.lit(0)).alias("length"))
+    placed = rows.join(blocks, ["path", "block"]).withColumn("end", F.col("length") + F.col("bytes"))
+    placed = placed.select("path", (F.col("lines") + F.col("n") - 1).alias("pos"), "line", F.least("end", "size").alias("end_offset"), (F.col("end") <= F.col("size")).alias("complete"))
+    return placed.where(F.trim(F.regexp_replace("line", r"\s+", " ")) != "")
 
 
 def journal(spark: SparkSession, path: str, through: int | None = None) -> DataFrame:
@@ -37,14 +44,18 @@ def journal(spark: SparkSession, path: str, through: int | None = None) -> DataF
     return read.select("path", *((F.col("pos") + 1).alias(n) if n == "seq" else field(n, k) for n, k in fields))
 
 
-def records(spark: SparkSession, path: str, cutoff_ms: int | None = None, through: int | None = None, skip_broken: bool = True) -> DataFrame:
+def records(spark: SparkSession, path: str, cutoff_ms: int | None = None, through: int | None = None, skip_broken: bool = True, since: int | None = None) -> DataFrame:
     """(path, file, pos, end_offset, ts_ms, rec) of transcripts.
 
     cutoff_ms: reading stops before the first record with a later time, though earlier times may follow;
-    through: only lines that end by this offset, which is exact where times aren't in order. A broken line is skipped, or else kept with a null record.
+    through: only lines that end by this offset, which is exact where times aren't in order; since: only lines that start at this offset or later, in files that are at least as long, all
+    of shorter ones. A broken line is skipped, or else kept with a null record.
     """
     read = lines(spark, path).withColumn("rec", F.try_parse_json("line"))
     read = read.withColumn("ts_ms", F.unix_millis(F.try_to_timestamp(F.try_variant_get("rec", "$.timestamp", "string"))))
+    if since is not None:
+        length = F.max("end_offset").over(Window.partitionBy("path"))
+        read = read.withColumn("length", length).where((F.col("end_offset") > since) | (F.col("length") < since)).drop("length")
     if through is not None:
         read = read.where(F.col("end_offset") <= through)
     if cutoff_ms is not None:
@@ -56,10 +67,19 @@ def records(spark: SparkSession, path: str, cutoff_ms: int | None = None, throug
 
 
 def sessions(records: DataFrame) -> DataFrame:
-    """(session_id, path, files): the session of each transcript, named by its first record that has one; files > 1 is an error of the caller's data."""
-    found = records.groupBy("path").agg(F.min_by(F.get_json_object("rec", "$.sessionId"), F.when(F.get_json_object("rec", "$.sessionId").isNotNull(), F.col("pos"))).alias("claude"), F.min_by(F.get_json_object("rec", "$.payload.id"), F.when(F.get_json_object("rec", "$.type") == "session_meta", F.col("pos"))).alias("codex"), F.max(F.get_json_object("rec", "$.payload.source.subagent").isNotNull()).alias("child"))
-    named = found.where("not coalesce(child, false)").select("path", F.coalesce("claude", "codex").alias("session_id")).where("session_id is not null")
-    return named.withColumn("files", F.count("*").over(Window.partitionBy("session_id")))
+    """(session_id, path, files, fits): the session of each transcript, named by its first record that has one; files > 1 is an error of the caller's data.
+
+    fits says whether the id has only letters, digits, `_` and `-`, and the file's name is the id (Claude) or ends with it (Codex); only such transcripts are imported by discovery. Subagents' have no row.
+    """
+    r = "rec"
+    claude, codex = F.get_json_object(r, "$.sessionId"), F.get_json_object(r, "$.payload.id")
+    meta = F.get_json_object(r, "$.type") == "session_meta"
+    found = records.groupBy("path").agg(F.min_by(claude, F.when(claude.isNotNull(), F.col("pos"))).alias("claude"), F.min_by(codex, F.when(meta, F.col("pos"))).alias("codex"), F.max(F.get_json_object(r, "$.payload.source.subagent").isNotNull()).alias("child"))
+    named = found.where("not coalesce(child, false)").withColumn("session_id", F.coalesce("claude", "codex")).where("session_id is not null")
+    name = base_name(F.col("path"))
+    own = F.concat("session_id", F.lit(".jsonl"))
+    fits = F.col("session_id").rlike(r"\A[A-Za-z0-9_-]+\z") & F.when(F.col("claude").isNotNull(), name == own).otherwise(F.endswith(name, own))
+    return named.select("path", "session_id", F.count("*").over(Window.partitionBy("session_id")).alias("files"), fits.alias("fits"))
 
 
 def preferred(mirror: DataFrame, snapshot: DataFrame, live: DataFrame) -> DataFrame:
