@@ -33,14 +33,14 @@ def _merged(column: str, keeps_null: bool) -> Column:
     return F.when(F.size(maps) > 0, F.map_from_entries(F.array_sort(F.map_entries(whole))))
 
 
-def fold(ops: DataFrame) -> DataFrame:
-    """One row for each span: the upsert of all its operations.
+def fold(ops: DataFrame, *keys: str) -> DataFrame:
+    """One row for each span (of each of the further keys): the upsert of all its operations.
 
     Type, parents, root and start come from the first insert, the name is the last that isn't
     empty, input, output, error, end and tags are the last given, metadata is merged by key and
     metrics by key among numbers. Folding operations twice changes nothing.
     """
-    return ops.groupBy("span_id").agg(
+    return ops.groupBy(*keys, "span_id").agg(
         F.min("session_id").alias("session_id"),
         F.coalesce(first_insert("root_span_id"), F.min_by("root_span_id", "op_seq")).alias("root_span_id"),
         first_insert("parent_span_ids").alias("parent_span_ids"),

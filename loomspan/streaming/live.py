@@ -16,9 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators import sinks, upserts
 from ..operators.spans import fold
+from . import stateful
 
 LANDED = "source string, session_id string, seq long, event string, ts_ms long, payload string, source_version string"
+LANDED_COLUMNS = [c.split(" ")[0] for c in LANDED.split(", ")]
 
 
 def landed(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -65,3 +68,13 @@ def active(stream: DataFrame, gap: str = "30 seconds") -> DataFrame:
     """Stretches of activity of each session; one ends after a gap."""
     timed = stream.withColumn("time", F.timestamp_millis("ts_ms")).withWatermark("time", gap)
     return timed.groupBy("session_id", F.session_window("time", gap)).agg(F.count("*").alias("events"))
+
+
+def keep_operations(events: DataFrame, folder: str, checkpoint: str, patient: int = stateful.PATIENT, buckets: int = upserts.BUCKETS, **trigger) -> StreamingQuery:
+    """Starts a query that translates events one by one (see stateful) and adds the operations to a table (see upserts) that upserts.current reads.
+
+    events: as LANDED, and a route (JSON text, null for none). The state store must be RocksDB, which transformWithState needs.
+    """
+    routed = sinks.deliveries(events).drop("route").withColumn("seq", F.col("seq").cast("long"))
+    ops = stateful.translated(routed, patient)
+    return ops.writeStream.foreachBatch(lambda batch, number: upserts.put(batch, folder, number, buckets)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
