@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.ids import mirror_name, uuid5_sql
 from ..operators import routing
 from ..operators.spans import with_destination
-from ..sources import imports
+from ..sources import files, imports
 from ..sources.stand_ins import ENV, TRX, envelopes, span_sql, table, transcripts
 from .registry import query
+from .translate import claude
 
 #: Made paths: a folder, a name that some share, an extension.
 FILES = """files AS (SELECT '/logs/' || (page_id % 7) || '/roll-' || (page_id % 150) || CASE WHEN page_id % 3 = 0 THEN '.txt' ELSE '.jsonl' END AS path FROM pages),
@@ -135,3 +136,27 @@ def mirror_plan(spark, sf_dir):
     """Which bytes of each transcript its mirror lacks; a transcript that is shorter than its mirror is copied anew."""
     m = envelopes(spark, sf_dir).groupBy("session_id").agg((F.max("seq") * 10).alias("size"), ((F.max("seq") * 7 + F.length(F.first("session_id")) * 20) % 90).alias("mirrored"))
     return routing.mirrored(m)
+
+
+@query(f"""WITH {TRX}, p AS (SELECT session_id, count(*) AS n, CASE WHEN session_id LIKE '%3' THEN 'mirror' WHEN session_id LIKE '%5' OR session_id LIKE '%3' THEN 'snapshot' ELSE 'live' END AS origin FROM trx GROUP BY 1)
+SELECT '/p/' || session_id AS path, origin, n FROM p""")
+def source_preference(spark, sf_dir):
+    """Where each transcript is read: in its mirror, else in what the event brought along, else in the live file."""
+    rows = transcripts(spark, sf_dir).select(F.concat(F.lit("/p/"), "session_id").alias("path"), "pos")
+    in_mirror, in_snapshot = F.endswith("path", F.lit("3")), F.endswith("path", F.lit("5")) | F.endswith("path", F.lit("3"))
+    best = files.preferred(*(rows.where(has).withColumn("origin", F.lit(name)) for name, has in (("mirror", in_mirror), ("snapshot", in_snapshot), ("live", F.lit(True)))))
+    return best.groupBy("path", "origin").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {TRX}, x AS (SELECT session_id, pos AS seq, 'cmd' || (pos % 4) AS name FROM trx WHERE role = 'user'), l AS (SELECT session_id, 'cmd' || ((pos + 1) % 4) AS name, min(pos) AS listed FROM trx WHERE role = 'assistant' GROUP BY ALL),
+k AS (SELECT x.* FROM x JOIN l USING (session_id, name) WHERE listed <= seq), f AS (SELECT session_id, name, min(seq) AS first FROM k GROUP BY ALL)
+SELECT k.session_id, k.seq, string_agg(f.name, ',' ORDER BY f.first) AS names FROM k JOIN f ON f.session_id = k.session_id AND f.first <= k.seq GROUP BY ALL""")
+def listed_skills(spark, sf_dir):
+    """Commands of prompts that an earlier listing of the transcript has as skills, with those before them."""
+    t = transcripts(spark, sf_dir)
+    pos = F.col("pos")
+    asked = F.to_json(F.struct(F.concat(F.lit("/cmd"), (pos % 4).cast("string")).alias("command_name"), F.lit("/t").alias("transcript_path")))
+    events = t.where("role = 'user'").select("session_id", pos.alias("seq"), F.lit("UserPromptExpansion").alias("event"), (pos * 10).alias("ts_ms"), asked.alias("payload"))
+    names = F.to_json(F.struct(F.struct(F.array(F.concat(F.lit("cmd"), ((pos + 1) % 4).cast("string"))).alias("names")).alias("attachment")))
+    records = t.where("role = 'assistant'").select("session_id", F.lit("main").alias("scope"), "pos", (pos * 10).alias("ts_ms"), names.alias("rec"))
+    return claude.skills(claude.prepared(events), records).select("session_id", "seq", F.array_join("names", ",").alias("names"))

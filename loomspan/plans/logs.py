@@ -7,7 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.stand_ins import ENV, envelopes
+from ..operators import schemas
+from ..sources.stand_ins import ENV, envelopes, table
 from .registry import query
 
 _QUOTED = re.compile(r"('(?:[^']|'')*')")
@@ -173,3 +174,38 @@ def manual_rows(rows: DataFrame) -> DataFrame:
     problem = F.coalesce(*(F.when(bad, F.lit(f"Error: {c} must be valid JSON")) for c, bad in kinds.items()), F.lit(None).cast("string"))
     more = [F.from_json("metadata", "map<string,string>").alias("metadata")] if "metadata" in kinds else []
     return rows.select("id", F.col("id").alias("span_id"), F.col("id").alias("root_span_id"), *texts, F.filter(F.transform(F.split("tags", ","), lambda t: F.trim(t)), lambda t: t != "").alias("tags"), F.from_json("scores", "map<string,double>").alias("scores"), *more, problem.alias("problem"))
+
+
+@query("""WITH d AS (SELECT json_extract_string(props, '$.k')::BIGINT AS k, event_id % 3 AS m, value FROM events), n AS (SELECT count(*) AS n, count(*) FILTER (m = 0) AS n0, count(*) FILTER (m = 1) AS n1, count(*) FILTER (m = 2) AS n2 FROM d)
+SELECT u.path, u.type, u.c AS n, u.nulls, u.kinds FROM (SELECT unnest([{'path': '$', 'type': 'object', 'c': n.n, 'nulls': 0, 'kinds': 'object'}, {'path': 'props', 'type': 'object', 'c': n.n, 'nulls': 0, 'kinds': 'object'}, {'path': 'props.k', 'type': 'integer', 'c': n.n, 'nulls': 0, 'kinds': 'integer'},
+{'path': 'mark', 'type': 'mixed', 'c': n.n, 'nulls': n0, 'kinds': 'null,integer,string'}, {'path': 'list', 'type': 'array', 'c': n.n, 'nulls': 0, 'kinds': 'array'}, {'path': 'list[]', 'type': 'number', 'c': 2 * n.n, 'nulls': 0, 'kinds': 'integer,number'}]) AS u FROM n)""")
+def log_schema(spark, sf_dir):
+    """Paths of JSON rows with the types of their values."""
+    e = table(spark, sf_dir, "events")
+    m = F.col("event_id") % 3
+    mark = F.when(m == 1, F.lit("1")).when(m == 2, F.lit('"x"')).otherwise("null")
+    doc = F.concat(F.lit('{"props":'), "props", F.lit(',"mark":'), mark, F.lit(',"list":[1,0.5]}'))
+    got = schemas.inferred(e, doc)
+    return got.select("path", "type", "n", "nulls", F.array_join("kinds", ",").alias("kinds"))
+
+
+#: Rows that lists of projects and of experiments show if no number is asked for.
+PROJECTS, EXPERIMENTS = 10, 100
+
+
+def listed(rows: DataFrame, by: str, limit: int = PROJECTS, **equal: str) -> DataFrame:
+    """The first rows of a list in the order of a column, of those with the given values."""
+    for column, value in equal.items():
+        rows = rows.where(F.col(column) == value)
+    return rows.orderBy(by).limit(limit)
+
+
+@query("SELECT s_suppkey AS id, s_name AS name FROM supplier ORDER BY s_suppkey LIMIT 10")
+def project_list(spark, sf_dir):
+    return listed(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), "id")
+
+
+@query("SELECT o_orderkey AS id, o_orderpriority AS name, o_orderstatus AS project_id FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 100")
+def experiment_list(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("name"), F.col("o_orderstatus").alias("project_id"))
+    return listed(o, "id", EXPERIMENTS, project_id="F")

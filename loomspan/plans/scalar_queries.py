@@ -31,10 +31,10 @@ def basename(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", S.base_name(F.col("url")).alias("base"), S.workspace_name(F.col("url")).alias("workspace"))
 
 
-@query(f"""WITH {ENV} SELECT session_id, seq, CASE seq % 6 WHEN 0 THEN 'Exit code ' || call_id WHEN 1 THEN 'bad' WHEN 2 THEN 'ERROR: ' || call_id WHEN 3 THEN 'Tool execution failed' WHEN 4 THEN NULL ELSE 'oops' END AS error FROM env WHERE call_id <> '0'""")
+@query(f"""WITH {ENV} SELECT session_id, seq, CASE seq % 6 WHEN 0 THEN CASE WHEN call_id <> '0' THEN 'Exit code ' || call_id END WHEN 1 THEN 'bad' WHEN 2 THEN 'ERROR: ' || call_id WHEN 3 THEN 'Tool execution failed' WHEN 4 THEN NULL ELSE 'oops' END AS error FROM env""")
 def error_classify(spark, sf_dir):
     """Outputs of six kinds and what counts as their error."""
-    e = envelopes(spark, sf_dir).where("call_id <> '0'")
+    e = envelopes(spark, sf_dir)
     kinds = ['{"exit_code": @}', '{"is_error": true, "message": "bad\\\\nmore"}', '"ERROR: @\\\\nmore"', '{"status": "failed", "code": 1}', '{"output": "fine", "exit_code": 0}', '{"error": "oops"}']
     doc = F.replace(F.element_at(F.array(*(F.lit(k) for k in kinds)), (F.col("seq") % 6 + 1).cast("int")), F.lit("@"), F.col("call_id"))
     doc = F.replace(doc, F.lit("\\\\"), F.lit("\\"))

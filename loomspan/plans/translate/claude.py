@@ -71,7 +71,7 @@ def _roots(e: DataFrame, records: DataFrame | None, hosts: DataFrame | None) ->
     return out.unionByName(told, allowMissingColumns=True)
 
 
-def _skills(e: DataFrame, records: DataFrame | None) -> DataFrame:
+def skills(e: DataFrame, records: DataFrame | None) -> DataFrame:
     """(session_id, seq, stretch, was_open, names): prompt expansions that name a skill, with all names since what was pending was last taken or dropped, in order, each once.
 
     A name is given with the event, or is that of a command which a listing before the event has. Prompts take what is pending; a stop drops it.
@@ -103,12 +103,12 @@ def _loaded(names: Column) -> Column:
 
 def _turns(e: DataFrame, records: DataFrame | None) -> DataFrame:
     p, kind = "payload", F.col("event")
-    skills = _skills(e, records)
-    pending = skills.where("prompt_seq is not null").groupBy("session_id", F.col("prompt_seq").alias("seq")).agg(F.max_by("names", "seq").alias("names"))
+    named_skills = skills(e, records)
+    pending = named_skills.where("prompt_seq is not null").groupBy("session_id", F.col("prompt_seq").alias("seq")).agg(F.max_by("names", "seq").alias("names"))
     opened = e.where("event = 'UserPromptSubmit'").join(pending, ["session_id", "seq"], "left").select("session_id", (F.col("seq") * 10 + 2).alias("op_seq"), F.lit("insert").alias("op"), _id("turn", _text(F.col("turn"))).alias("span_id"), F.array(_id("root")).alias("parent_span_ids"), F.concat(F.lit("Turn "), _text(F.col("turn"))).alias("name"), F.lit("task").alias("span_type"), F.col("ts_ms").alias("start_ms"), S.json_at(p, "prompt").alias("input"), F.when(F.size("names") > 0, _loaded(F.col("names"))).alias("metadata"), "cwd")
     said = F.when(kind.isin("Stop", "StopFailure"), F.coalesce(S.json_at(p, "last_assistant_message"), S.json_at(p, "output")))
     closed = e.where("closes").select("session_id", (F.col("seq") * 10 + 1).alias("op_seq"), F.lit("merge").alias("op"), _id("turn", _text(F.col("was"))).alias("span_id"), F.col("ts_ms").alias("end_ms"), said.alias("output"), F.when(kind == "StopFailure", F.coalesce(S.tool_error(p), F.lit("Claude Code turn failed"))).alias("error"))
-    named = skills.where("open_turn is not null").select("session_id", (F.col("seq") * 10 + 3).alias("op_seq"), F.lit("merge").alias("op"), _id("turn", _text(F.col("open_turn"))).alias("span_id"), _loaded(F.col("names")).alias("metadata"), "cwd")
+    named = named_skills.where("open_turn is not null").select("session_id", (F.col("seq") * 10 + 3).alias("op_seq"), F.lit("merge").alias("op"), _id("turn", _text(F.col("open_turn"))).alias("span_id"), _loaded(F.col("names")).alias("metadata"), "cwd")
     return opened.unionByName(closed, allowMissingColumns=True).unionByName(named, allowMissingColumns=True)
 
 

@@ -44,6 +44,17 @@ def journal(spark: SparkSession, path: str, through: int | None = None) -> DataF
     return read.select("path", *((F.col("pos") + 1).alias(n) if n == "seq" else field(n, k) for n, k in fields))
 
 
+def replay(spark: SparkSession, path: str, session_id: str, route: str | None, through: int) -> DataFrame:
+    """The envelopes of one session and route in a journal, up to the byte offset that was noted when the replay was asked for, in order and numbered anew; what was journaled later is delivered live.
+
+    Routes are equal if they are so as JSON values. Envelopes that were journaled more than once (by session, event, time and payload) stay as often as they are there.
+    """
+    canonical = F.coalesce(F.to_json(F.try_parse_json("route")), F.lit("{}"))
+    wanted = F.coalesce(F.to_json(F.try_parse_json(F.lit(route))), F.lit("{}"))
+    mine = journal(spark, path, through).where((F.col("session_id") == session_id) & (canonical == wanted))
+    return mine.withColumn("seq", F.row_number().over(Window.partitionBy("session_id").orderBy("path", "seq")).cast("long"))
+
+
 def records(spark: SparkSession, path: str, cutoff_ms: int | None = None, through: int | None = None, skip_broken: bool = True, since: int | None = None) -> DataFrame:
     """(path, file, pos, end_offset, ts_ms, rec) of transcripts.
 

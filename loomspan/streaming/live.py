@@ -15,8 +15,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..operators import sinks, upserts
+from ..operators import sinks, tables, upserts
 from ..operators.spans import fold
 from . import stateful
 
@@ -33,7 +34,7 @@ BUCKETS = 256
 
 
 def _seen(spark: SparkSession, events: str, path: str, schema) -> DataFrame:
-    return spark.read.schema(f"{schema.simpleString()[7:-1]}, bucket: int".replace(":", " ")).option("basePath", events).parquet(path)
+    return spark.read.schema(StructType([*schema.fields, StructField("bucket", IntegerType())])).option("basePath", events).parquet(path)
 
 
 def keep_spans(stream: DataFrame, translate: Callable[[DataFrame], DataFrame], events: str, spans: str, checkpoint: str, **trigger) -> StreamingQuery:
@@ -47,7 +48,8 @@ def keep_spans(stream: DataFrame, translate: Callable[[DataFrame], DataFrame], e
         buckets = [r.bucket for r in touched.select("bucket").distinct().collect()]  # at most BUCKETS
         every = _seen(spark, events, events, batch.schema).where(F.col("bucket").isin(buckets)).join(touched, ["session_id", "bucket"], "left_semi")
         every = every.select(*batch.columns).dropDuplicates(["session_id", "seq"])
-        fold(translate(every)).write.mode("overwrite").parquet(f"{spans}/batch={number}")
+        with tables.scope(spark):
+            fold(translate(every)).write.mode("overwrite").parquet(f"{spans}/batch={number}")
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

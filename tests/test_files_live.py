@@ -49,3 +49,19 @@ def test_live_spans_are_those_of_a_batch_and_a_rerun_changes_nothing(spark, tmp_
         query = live.keep_spans(live.landed(spark, f"{landing}/*"), debug_ops, f"{store}/events", f"{store}/spans", f"{store}/checkpoint")
         query.awaitTermination()
     assert {r.span_id: r for r in live.current(spark, f"{store}/spans").select(*next(iter(want.values())).__fields__).collect()} == want
+
+
+def test_tables_stored_in_a_scope_go_with_it(spark):
+    import os
+
+    from loomspan.operators import tables
+
+    folder = tables.shared_dir(spark)
+    before = set(os.listdir(folder))
+    kept = tables.stored(spark.range(3))
+    with tables.scope(spark):
+        outer = tables.stored(spark.range(4))
+        with tables.scope(spark):
+            assert tables.stored(outer).count() == 4
+        assert outer.count() == 4
+    assert len(set(os.listdir(folder)) - before) == 1 and kept.count() == 3
