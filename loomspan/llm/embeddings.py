@@ -24,6 +24,7 @@ are allowed; an empty table gives no rows.
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Iterator
 from functools import partial
@@ -34,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import by_blocks, spread_join, stored
+from .shared import by_blocks, small, spread_join, stored
 
 THRESHOLD, K, WIDEST = 0.93, 10, 40
 #: Most bits of a bucket's code, aimed rows of a bucket, rows beyond which one is split, and how often a pair at the threshold may meet in no bucket.
@@ -42,8 +43,11 @@ BITS, BUCKET, SPLIT, MISS = 24, 24, 64, 0.05
 ROUNDS, SEARCHES, LEAST_RECALL = 8, 3, 0.9
 #: Vectors of a block, and of one of a group of more than BLOCK * BLOCK.
 BLOCK, LARGE_BLOCK = 256, 2048
-#: Copies of the audited nodes, so that one label's work is dealt over tasks.
-COPIES = 16
+#: Blocks of a label that the audit compares under one key.
+TOGETHER = 64
+#: Labels and dimensions up to which their sizes are broadcast.
+BROADCAST_ROWS = 500_000
+_LOG = logging.getLogger(__name__)
 
 
 def _unit(values: np.ndarray, dim: int) -> np.ndarray:
@@ -121,6 +125,8 @@ class Search:
         sizes = sizes.withColumn("bits", F.least(F.lit(BITS), F.greatest(F.lit(0), F.ceil(F.log2(F.col("rows") / BUCKET)))).cast("int"))
         enough = [tables_for(b, threshold, miss) for b in range(BITS + 1)]
         self.sizes = stored(sizes.withColumn("tables", F.element_at(F.array(*map(F.lit, enough)), F.col("bits") + 1)))
+        #: The same with a broadcast hint where that is small: a row for each label and dimension.
+        self.near_sizes = small(self.sizes, self.sizes.count(), BROADCAST_ROWS)
         self.tables = self.sizes.agg(F.max("tables")).first()[0] or 1
         self.graph: DataFrame | None = None
         #: Members (key, node) of buckets that were not compared whole.
@@ -141,7 +147,7 @@ class Search:
         """Lists of nodes that share a bucket of one of the tables; of larger buckets, random parts."""
         vec = self.nodes.schema["vec"].dataType.simpleString()
         coded = self.nodes.select("node", "label", "dim", "vec").mapInArrow(partial(_coded, seed=seed, tables=self.tables), f"node string, label string, dim int, vec {vec}, codes array<long>")
-        dealt = coded.join(F.broadcast(self.sizes), ["label", "dim"])  # a row for each label and dimension
+        dealt = coded.join(self.near_sizes, ["label", "dim"])
         dealt = dealt.select("node", "label", "dim", "vec", "bits", "tables", F.posexplode("codes").alias("t", "code")).where(F.col("t") < F.col("tables"))
         key = F.concat_ws(" ", F.lit(str(seed)), "dim", "t", F.expr(f"shiftright(code, {BITS} - bits)"), "label")
         dealt = stored(dealt.select(F.xxhash64(key).alias("key"), "node", "vec"))
@@ -261,10 +267,14 @@ def audit(search: Search, degrees: DataFrame) -> float:
     step = max(1, int(n / (200 + 4 * math.sqrt(n)))) if n else 1
     sampled = nodes.where(F.pmod(F.xxhash64("node", F.lit(5)), F.lit(step)) == 0).select("node", "label", "dim", "vec", "n")
     key = ["label", "dim"]
-    mine = sampled.withColumn("q", F.pmod(F.xxhash64("node"), F.ceil(F.lit(n) / step / BLOCK))).groupBy(*key, "q").agg(F.collect_list(F.struct("node", "vec", "n")).alias("mine"))
-    mine = mine.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
-    blocks = nodes.join(F.broadcast(search.sizes), key).withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("rows") / LARGE_BLOCK)))
-    other = blocks.groupBy(*key, "block").agg(F.collect_list(F.struct("node", "vec", "n")).alias("other")).withColumn("copy", F.pmod("block", F.lit(COPIES)).cast("int"))
+    parts = max(1, math.ceil(n / step / BLOCK))
+    mine = sampled.withColumn("q", F.pmod(F.xxhash64("node"), F.lit(parts))).groupBy(*key, "q").agg(F.collect_list(F.struct("node", "vec", "n")).alias("mine"))
+    many = F.ceil(F.col("rows") / LARGE_BLOCK)
+    # A label's blocks are dealt over as many keys as it takes for TOGETHER of them in each; only the audited nodes are copied to all.
+    copies = F.ceil(many / TOGETHER)
+    blocks = nodes.join(search.near_sizes, key).withColumn("block", F.pmod(F.xxhash64("node"), many)).withColumn("copy", F.pmod("block", copies))
+    other = blocks.groupBy(*key, "copy", "block").agg(F.collect_list(F.struct("node", "vec", "n")).alias("other"))
+    mine = mine.join(search.near_sizes, key).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))).select(*key, "copy", "mine")
     truth = mine.join(other, [*key, "copy"]).select("mine", "other").mapInArrow(partial(_counted, threshold=search.threshold), "node string, links long").groupBy("node").agg(F.sum("links").alias("truth"))
     share = truth.where("truth > 0").join(degrees, "node", "left").agg(F.avg(F.coalesce("links", F.lit(0)) / F.col("truth"))).first()[0]
     return 1.0 if share is None else share
@@ -288,6 +298,7 @@ def linked(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
             roots = stored(components(links.unionByName(bridged)))
         degrees = stored(_degrees(search, links, roots, bridged))
         recall = audit(search, degrees)
+        _LOG.info("search %d: recall %.4f of sampled links", seed + 1, recall)
         if recall == 1:
             break
     if recall < LEAST_RECALL:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -121,6 +122,27 @@ def test_shards_are_those_of_the_highest_score(docs):
                 assert r.shard == wide[r.doc_id, r.text_crc32]
 
 
+def test_the_shard_of_a_key_is_that_of_the_highest_weighted_score(docs):
+    """Scores worked out again from the hash: -weight / ln(u)."""
+    xxhash = pytest.importorskip("xxhash")
+
+    def shard(key, weights):
+        text = "null" if key is None else f"k{key}"
+        best = []
+        for s, w in enumerate(weights):
+            h = xxhash.xxh64(text.encode(), seed=42).intdigest()
+            h = xxhash.xxh64(s.to_bytes(4, "little"), seed=h).intdigest()
+            best.append((-w / math.log(((h >> 11) + 0.5) / (1 << 53)), -s))
+        return -max(best)[1]
+
+    keys = [None, 0, -5, *range(1, 400), 10**15]
+    for weights in ([1.0] * 16, [1.0, 3.0, 0.5]):
+        got = {r.doc_id: (r.shard, r.grown_shard) for r in sharding.assign(docs([(k, "x") for k in keys]), weights=weights).collect()}
+        assert got == {k: (shard(k, weights), shard(k, [*weights, weights[-1]])) for k in keys}
+    long = sharding.assign(docs([(1, "é" * 3_000_000)])).first()
+    assert (long["size"], long.text_crc32) == (6_000_001, zlib.crc32("é".encode() * 3_000_000))
+
+
 def test_clashing_columns_of_shards_stay(spark):
     rows = spark.createDataFrame([(1, 0, "kept", "kept too"), (2, 0, "b", "c")], "id long, shard int, _bucket string, _start string")
     got = sharding.slots(rows, "shard").orderBy("id").collect()
