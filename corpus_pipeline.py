@@ -1,6 +1,10 @@
 """The corpus pipeline: toxic documents go, one of each group of near-duplicates stays, documents with benchmark passages go, and what is left is encoded.
 
 Each stage reads what the one before wrote. Near-duplicates are found on shingles of five words, at a similarity of 0.8 or more.
+
+Defined cases, in all stages: a null or empty text isn't toxic, is no copy of another and holds no benchmark passage, so it stays and has no tokens; rows with a null id are judged by their text like others, but have no
+labels; of repeated rows, and of copies, the one with the smallest id stays; texts of any length are taken whole, each by one task; further columns pass
+through all stages but the last; empty tables give empty tables with the same columns.
 """
 
 from __future__ import annotations
