@@ -158,6 +158,50 @@ def plain_scan(text, phrases, notices):
     return found, cover
 
 
+def plain_coverage(w, templates):
+    """The largest share of each template in a chain of common runs: matching statistics by trying all lengths, chains by trying all runs before."""
+    factors = {tuple(t[a:b]): [] for t in templates for a in range(len(t)) for b in range(a + 1, len(t) + 1)}
+    for n, t in enumerate(templates):
+        for a in range(len(t)):
+            for b in range(a + 1, len(t) + 1):
+                factors[tuple(t[a:b])].append((n, b - 1))
+    longest = [next((k for k in range(i + 1, 0, -1) if tuple(w[i - k + 1 : i + 1]) in factors), 0) for i in range(len(w))]
+    runs = [(i, k) for i, k in enumerate(longest) if k >= licenses.LEAST_RUN and (i + 1 == len(w) or longest[i + 1] != k + 1)]
+    out = {}
+    seen = []
+    for place, length in runs:
+        new = []
+        for n, end in factors[tuple(w[place - length + 1 : place + 1])]:
+            value = length
+            for m, last, at, had in seen:
+                more = min(length, end - last, place - at)
+                if m == n and place - length - at < licenses.GAP and more > 0:
+                    value = max(value, had + more)
+            new.append((n, end, place, value))
+            out[n] = max(out.get(n, 0), value / len(templates[n]))
+        seen += new
+    return out
+
+
+def test_license_scores_are_those_of_the_best_chain_of_runs():
+    rng = random.Random(31)
+    notices = {"one": ["a b c d e f g h i j k l m n", "p q a b c r s t"], "two": ["c d e f x y z a b c d", "b c d b c d b c d e"]}
+    scanner = licenses.Scanner({}, notices)
+    templates = [words(t) for ts in notices.values() for t in ts]
+    partly = 0
+    for _ in range(400):
+        w = []
+        for _ in range(rng.randrange(1, 7)):
+            t = rng.choice(templates)
+            a = rng.randrange(len(t))
+            w += rng.choice([t[a : a + rng.randrange(1, 9)], rng.choices("abcdxyz", k=rng.randrange(14))])
+        got = {n: span[0] for n, span in scanner([x.encode() for x in w])[1].items()}
+        want = plain_coverage(w, templates)
+        assert got == pytest.approx(want)
+        partly += any(0.3 < v < 1 for v in want.values())
+    assert partly > 100
+
+
 def test_license_scans_find_what_stands_there(docs):
     rng = random.Random(13)
     filler = ["the", "code", "cc", "by", "rights", "general", "license", "é"]
