@@ -42,6 +42,9 @@ def prepared(events: DataFrame) -> DataFrame:
     e = e.withColumn("mark", F.last(mark, ignorenulls=True).over(now)).withColumn("was", F.last(mark, ignorenulls=True).over(past))
     e = e.withColumn("open_turn", F.when(F.col("mark") > 0, F.col("mark"))).withColumn("closes", (ends | (kind == "UserPromptSubmit")) & F.coalesce(F.col("was") > 0, F.lit(False)))
     e = e.withColumn("cwd", F.last(S.text_or_number_at(p, "cwd"), ignorenulls=True).over(now))
+    # Between places where pending skills are taken or dropped.
+    clears = (kind == "UserPromptSubmit") | (kind.isin("Stop", "StopFailure") & F.col("closes"))
+    e = e.withColumn("stretch", F.coalesce(F.sum(clears.cast("int")).over(past), F.lit(0)))
     e = e.withColumns({"agent": S.text_or_number_at(p, "agent_id"), "tool": S.text_or_number_at(p, "tool_name"), "args": F.coalesce(S.json_at(p, "tool_input"), F.lit("{}"))})
     acts = kind.isin("PreToolUse", "PostToolUse", "PostToolUseFailure", "PermissionDenied") & F.col("tool").isNotNull()
     given = S.text_or_number_at(p, "tool_use_id")
@@ -77,9 +80,6 @@ def skills(e: DataFrame, records: DataFrame | None) -> DataFrame:
     A name is given with the event, or is that of a command which a listing before the event has. Prompts take what is pending; a stop drops it.
     """
     p, kind = "payload", F.col("event")
-    past = Window.partitionBy("session_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    clears = (kind == "UserPromptSubmit") | (kind.isin("Stop", "StopFailure") & F.col("closes"))
-    e = e.withColumn("stretch", F.coalesce(F.sum(clears.cast("int")).over(past), F.lit(0)))
     asked = F.coalesce(S.text_or_number_at(p, "expansion_type"), S.text_or_number_at(p, "type"), F.lit("slash_command")) == "slash_command"
     direct = F.coalesce(S.text_or_number_at(p, "skill_name"), S.text_or_number_at(p, "skillName"), S.text_at(p, "skill.name"), S.text_or_number_at(p, "skill"))
     command = F.coalesce(*(S.text_or_number_at(p, k) for k in ("command_name", "command", "slash_command", "name")))
