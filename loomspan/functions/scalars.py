@@ -12,6 +12,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TRAILING = r"[,).;]+$"
+# How prompts name skills (as words, by path, as an input, in a tag), and how a tag names its own.
+SKILL_WORDS = (r"\$([A-Za-z0-9_.:-]+)", r"(?:^|\s)/skills\s+([A-Za-z0-9_.:-]+)", r"skill://([A-Za-z0-9_.:-]+)")
+SKILL_PATH = r"""(?i)(?:^|[\s"'])([^\s"']*SKILL\.md)(?=$|[\s"'])"""
+SKILL_INPUT = r"""UserInput::Skill\([^)]*(?:name|skill|id)\s*[:=]\s*["']?([A-Za-z0-9_.:-]+)"""
+SKILL_TAG = r"(?is)(<skill\b[^>]*>.*?</skill>)"
+TAG_NAME = r"""(?is)^<skill\b[^>]*?(?:name|id)=["']([^"']+)["']"""
+FRONT_NAME = r"(?:^|\n|>)name:\s*([A-Za-z0-9_.:-]+)"
 Doc = Column | str
 
 
@@ -112,9 +119,6 @@ def clean_skill(name: Column) -> Column:
 
 def mentioned_skills(text: Column) -> Column:
     """Skills that a prompt names, in order of form and place, each once."""
-    named = [r"\$([A-Za-z0-9_.:-]+)", r"(?:^|\s)/skills\s+([A-Za-z0-9_.:-]+)", r"skill://([A-Za-z0-9_.:-]+)"]
-    inline = r"""UserInput::Skill\([^)]*(?:name|skill|id)\s*[:=]\s*["']?([A-Za-z0-9_.:-]+)"""
-    paths = r"""(?i)(?:^|[\s"'])([^\s"']*SKILL\.md)(?=$|[\s"'])"""
 
     def found(pattern: str) -> Column:
         return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
@@ -122,9 +126,9 @@ def mentioned_skills(text: Column) -> Column:
     def bare(names: Column) -> Column:
         return F.transform(names, lambda x: F.regexp_replace(x, TRAILING, ""))
 
-    folders = F.transform(found(paths), lambda x: F.when(F.instr(F.regexp_replace(x, r"\\", "/"), "/") > 0, parent_name(x)).otherwise(x))
-    tags = F.transform(found(r"(?is)(<skill\b[^>]*>.*?</skill>)"), lambda x: F.coalesce(_if_any(F.regexp_extract(x, r"""(?is)^<skill\b[^>]*?(?:name|id)=["']([^"']+)["']""", 1)), _if_any(F.regexp_extract(x, r"(?:^|\n|>)name:\s*([A-Za-z0-9_.:-]+)", 1)), F.lit("")))
-    every = F.concat(*(bare(found(p)) for p in named), folders, bare(found(inline)), tags)
+    folders = F.transform(found(SKILL_PATH), lambda x: F.when(F.instr(F.regexp_replace(x, r"\\", "/"), "/") > 0, parent_name(x)).otherwise(x))
+    tags = F.transform(found(SKILL_TAG), lambda x: F.coalesce(_if_any(F.regexp_extract(x, TAG_NAME, 1)), _if_any(F.regexp_extract(x, FRONT_NAME, 1)), F.lit("")))
+    every = F.concat(*(bare(found(p)) for p in SKILL_WORDS), folders, bare(found(SKILL_INPUT)), tags)
     return F.array_distinct(F.filter(every, lambda x: x != ""))
 
 
