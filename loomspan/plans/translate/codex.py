@@ -10,8 +10,8 @@ A scope is one ordered stream: records by place and, after all that are no later
 - a tool call is joined with the first output of its id, or ends with its turn;
 - a compaction begins a new epoch of the history: calls then see its replacement and what follows.
 
-A call's input names its scope, epoch and the items of the history before it; histories=True writes them out, which grows with the square
-of an epoch. One turn of a session is one task's window, as order demands.
+A call's input names its scope, epoch and the items of the history before it. codex_inputs gives these inputs in bounded pieces of items that are stored once;
+histories=True writes them into the spans, which grows with the square of an epoch. One turn of a session is one task's window, as order demands.
 
 Defined cases: a turn id that is started again while it is open counts once; a turn end without id ends the latest open turn, one with an id that isn't open ends none;
 records before the first turn belong to none; malformed records are skipped; a scope of a subagent that no hook announced is skipped; no events give no operations but those of records.
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ...functions import scalars as S
 from ...functions.ids import span_id
+from ...operators.histories import PIECE, numbered, pieces
 from ...operators.tables import stored
 from .debug import as_ops
 from .git import enriched
@@ -298,6 +299,20 @@ def _turns(s: DataFrame, turns: DataFrame) -> DataFrame:
     return opened.unionByName(closed, allowMissingColumns=True).unionByName(prompts, allowMissingColumns=True)
 
 
+def _calls(c: DataFrame) -> DataFrame:
+    """Model calls with the epoch and the number of items that they had before them."""
+    return c.select(*SCOPE, "run", "span_id", F.coalesce("epoch", "sepoch").alias("epoch"), F.coalesce("items", "sitems").cast("long").alias("items_before"))
+
+
+def _pieces(calls: DataFrame, s: DataFrame, piece: int) -> DataFrame:
+    """Histories of calls in pieces: an epoch's items are what the compaction before it kept, and then what was said."""
+    said = s.where("item is not null").select(*SCOPE, "epoch", "ord", F.lit(0).alias("k"), "item")
+    kept = s.where("replaced is not null").select(*SCOPE, (F.col("epoch") + 1).alias("epoch"), "ord", F.posexplode(F.from_json("replaced", "array<string>")).alias("k", "item"))
+    # A null among the kept is an item as well.
+    items = numbered(said.unionByName(kept.withColumn("item", F.coalesce("item", F.lit("null")))), "item", [*SCOPE, "epoch"], ["ord", "k"], piece)
+    return pieces(calls, items, "item", [*SCOPE, "epoch"])
+
+
 def _models(s: DataFrame, turns: DataFrame, tools: DataFrame, triggers: DataFrame, histories: bool) -> list[DataFrame]:
     """Model calls: the n-th run of a scope is one, if anything speaks in it or a compaction began it. Last, those that nothing has ended."""
     run = [*SCOPE, "run"]
@@ -320,10 +335,9 @@ def _models(s: DataFrame, turns: DataFrame, tools: DataFrame, triggers: DataFram
     metrics = {k: v.cast("double") for k, v in S.token_metrics("usage").items()}
     metrics = F.map_filter(F.create_map(*(x for k, v in metrics.items() for x in (F.lit(k), v))), lambda k, v: v.isNotNull())
     if histories:
-        before = s.withColumn("so_far", F.collect_list("item").over(_past(*SCOPE, "epoch"))).select(*SCOPE, "ord", "so_far", "base")
-        c = c.join(before, [*SCOPE, "ord"], "left")
-        inner = F.when(F.length("base") > 2, F.substring("base", F.lit(2), F.length("base") - 2))
-        past = F.concat(F.lit("["), F.concat_ws(",", inner, F.when(F.size("so_far") > 0, F.array_join("so_far", ","))), F.lit("]"))
+        whole = _pieces(_calls(c), s, PIECE).groupBy(*run).agg(F.array_sort(F.collect_list(F.struct("piece", "text"))).alias("told"))
+        c = c.join(whole, run, "left")
+        past = _joined(F.coalesce(F.transform("told", lambda x: x["text"]), F.expr("cast(array() as array<string>)")))
     else:
         past = F.to_json(F.struct("scope", F.coalesce("epoch", "sepoch").alias("epoch"), F.coalesce("items", "sitems").alias("items_before")))
     given = F.when(is_compaction, F.concat(F.lit('{"messages_before_compaction":'), _text(F.col("items")), F.lit(',"history":'), past, F.lit("}"))).otherwise(past)
@@ -342,7 +356,7 @@ def _models(s: DataFrame, turns: DataFrame, tools: DataFrame, triggers: DataFram
     told = c.where("co is not null").join(triggers, ["session_id", "tid"], "left")
     what = S.known_entries(trigger=S.quoted("trigger"), replaced_message_count=_text(F.size(F.from_json("replaced", "array<string>"))), window_id=S.json_at("p", "window_id"))
     marked = told.select("session_id", _seq(5), F.lit("merge").alias("op"), _id("turn", F.col("tid")).alias("span_id"), F.lit("compaction").alias("name"), S.known_entries(compaction=_object(what)).alias("metadata"), F.array(F.lit("compaction")).alias("tags"), "cwd")
-    return [opened, closed, marked, c.where(F.col("end_ord").isNull()).select("session_id", "scope", "ord", "span_id", "spoke_ms", F.when(~is_compaction, answer).alias("output"))]
+    return [opened, closed, marked, _calls(c), c.where(F.col("end_ord").isNull()).select("session_id", "scope", "ord", "span_id", "spoke_ms", F.when(~is_compaction, answer).alias("output"))]
 
 
 def tool_pairs(s: DataFrame, turns: DataFrame) -> DataFrame:
@@ -381,6 +395,20 @@ def _finals(s: DataFrame, turns: DataFrame, calls: DataFrame, tools: DataFrame)
     return [models, shut, left]
 
 
+def _triggers(events: DataFrame) -> DataFrame:
+    e = "payload"
+    asked = events.where(F.col("event").isin("PreCompact", "PostCompact")).select("session_id", "seq", S.text_at(e, "turn_id").alias("tid"), F.coalesce(S.text_at(e, "trigger"), F.lit("manual")).alias("trigger"))
+    return asked.where("tid is not null").groupBy("session_id", "tid").agg(F.min_by("trigger", "seq").alias("trigger"))
+
+
+def codex_inputs(events: DataFrame, records: DataFrame, piece: int = PIECE) -> DataFrame:
+    """What model calls were given: a row (session_id, scope, span_id, epoch, items_before, piece, n_items, text) for each call and block of about `piece` bytes of its history, items joined by commas."""
+    s, turns = prepared(events, records)
+    s = stored(s)
+    calls = _models(s, turns, stored(tool_pairs(s, turns)), _triggers(events), False)[-2]
+    return _pieces(stored(calls.drop("run")), s, piece).select(*SCOPE, "span_id", "epoch", "items_before", "piece", "n_items", "text")
+
+
 def codex_ops(events: DataFrame, records: DataFrame, git: DataFrame | None = None, histories: bool = False, finalize: bool = False) -> DataFrame:
     """Span operations of Codex hooks and rollout records.
 
@@ -389,11 +417,10 @@ def codex_ops(events: DataFrame, records: DataFrame, git: DataFrame | None = Non
     """
     s, turns = prepared(events, records)
     s = stored(s)
-    e = "payload"
-    triggers = events.where(F.col("event").isin("PreCompact", "PostCompact")).select("session_id", "seq", S.text_at(e, "turn_id").alias("tid"), F.coalesce(S.text_at(e, "trigger"), F.lit("manual")).alias("trigger")).where("tid is not null").groupBy("session_id", "tid").agg(F.min_by("trigger", "seq").alias("trigger"))
+    triggers = _triggers(events)
     tools = stored(tool_pairs(s, turns))
     calls = _models(s, turns, tools, triggers, histories)
-    parts = [_roots(events, s, turns), _turns(s, turns), *calls[:-1], _tools(tools)]
+    parts = [_roots(events, s, turns), _turns(s, turns), *calls[:-2], _tools(tools)]
     if finalize:
         parts += _finals(s, turns, calls[-1], tools)
     out = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)

@@ -108,9 +108,8 @@ UNION ALL SELECT {_row("'tool:k' || pos", "'shell'", "tool", "pos * 1000 + 5", "
 UNION ALL SELECT {_call(0)} FROM a UNION ALL SELECT {_call(1)} FROM a"""
 
 
-@query(CODEX)
-def codex_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user record ends the turn before and starts one; each assistant record is a call of a tool, its output and an answer, with counts of tokens after each."""
+def codex_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rollouts: each user record ends the turn before and starts one; each assistant record is a call of a tool, its output and an answer, with counts of tokens after each."""
     t = transcripts(spark, sf_dir)
     pos = F.col("pos")
 
@@ -131,6 +130,12 @@ def codex_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.filter(first, lambda x: F.lit(False))
     begin = t.groupBy("session_id").agg(F.min("pos").alias("begin"))
     rows = t.join(begin, "session_id").select("session_id", "pos", F.explode(F.concat(F.when(pos == F.col("begin"), first).otherwise(none), F.when(F.col("role") == "user", user).when(F.col("role") == "assistant", assistant).otherwise(none))).alias("r"))
-    records = rows.select("session_id", F.lit("main").alias("scope"), (pos * 10 + F.col("r.k")).alias("pos"), (pos * 1000 + F.col("r.k")).alias("ts_ms"), "r.rec")
+    return rows.select("session_id", F.lit("main").alias("scope"), (pos * 10 + F.col("r.k")).alias("pos"), (pos * 1000 + F.col("r.k")).alias("ts_ms"), "r.rec")
+
+
+@query(CODEX)
+def codex_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of the rollouts, without hooks."""
+    records = codex_records(spark, sf_dir)
     events = spark.createDataFrame([], "session_id string, seq long, event string, ts_ms long, payload string")
     return _spans(codex_ops(events, records), F.col("metrics")["prompt_tokens"].alias("prompt_tokens"))
