@@ -26,6 +26,15 @@ def at(value: Json, path: str) -> Json:
     return value
 
 
+def told(value: Json, path: str) -> str | None:
+    """The JSON text of what stands at a path; a null there is a value."""
+    for part in path.split("."):
+        if not isinstance(value, dict) or part not in value:
+            return None
+        value = value[part]
+    return dump(value)
+
+
 def text(value: Json, path: str) -> str | None:
     found = at(value, path)
     return found if isinstance(found, str) else None
@@ -226,5 +235,194 @@ class Pi(Machine):
         return [self.op(n, "insert", self.id(*key), parent_span_ids=[self.id("root")], name=name, span_type="task", start_ms=begun[0] if begun else ts, end_ms=ts, input=begun[1] if begun else "null", output=dump(ev), metadata={"event_type": dump(event)}, tags=[tag])]
 
 
+class OpenCode(Machine):
+    """Native sessions of one session, each with at most one life at a time. An idle session is a child's only from its creation on."""
+
+    OUTLINE = {"turn": 0, "open": None, "asked": None, "system": None, "finished": None, "told": [], "parts": {}, "calls": {}, "tools": 0}
+
+    def fresh(self):
+        return {"natives": {}, "last_ms": None}
+
+    @staticmethod
+    def _first(value: Json, *paths: str) -> str | None:
+        return next((t for p in paths if (t := text(value, p)) is not None), None)
+
+    @staticmethod
+    def _either(value: Json, path: str) -> Json:
+        """What stands below `properties`, or else at the top."""
+        return at(value, path if told(value, "properties." + path) is None else "properties." + path)
+
+    @classmethod
+    def _native(cls, value: Json) -> str | None:
+        return cls._first(value, "input.sessionID", "sessionID", "properties.sessionID", "properties.info.id", "part.sessionID")
+
+    @classmethod
+    def _failure(cls, doc: str | None) -> str:
+        value = None if doc is None else json.loads(doc)
+        if isinstance(value, str):
+            return value.split("\n")[0].removesuffix("\r")
+        name = cls._first(value, "name")
+        name = "UnknownError" if name is None else name
+        message = cls._first(value, "data.message", "message")
+        return "UnknownError" if doc is None else f"{name if message is None else message}\n\ntype: {name}"
+
+    def on(self, seq, source, event, ts, payload, version):
+        try:
+            given = json.loads(payload) if payload is not None else None
+        except ValueError:
+            given = None
+        info, part, props = self._either(given, "info"), self._either(given, "part"), at(given, "properties")
+        props, sid = given if told(given, "properties") is None else props, self._native(given)
+        if event == "session.created":
+            sid = text(info, "id") if text(info, "id") is not None else sid
+        elif event in ("message.part.updated", "message.updated"):
+            sid = text(part if event == "message.part.updated" else info, "sessionID")
+        elif event.startswith("permission."):
+            sid = self._native(props)
+        if sid is None:
+            return []
+        n, created, chat = self.state["natives"].setdefault(sid, {"parent": None, "created": False, "life": None}), event == "session.created", event == "chat.message"
+        if created and not n["created"]:
+            n.update(created=True, parent=text(info, "parentID"))
+        out = []
+        if n["life"] is None:
+            if not created and not chat:
+                return []
+            out.append(self._opened(seq, ts, sid, n, text(info, "title") if created else None, created))
+        life = n["life"]
+        life["last"] = seq
+        self.state["last_ms"] = ts if self.state["last_ms"] is None else max(ts, self.state["last_ms"])
+        removes = event in ("session.deleted", "session.error") or event == "session.idle" and n["parent"] is not None
+        broken = self._failure(told(given, "properties.error") or told(given, "error")) if event == "session.error" else None
+        if life["open"] and (chat or removes or event == "session.idle"):
+            out.append(self._turned(seq * self.step + 1, sid, life, ts, error=broken))
+        if chat:
+            out.append(self._asked(seq, ts, sid, life, given))
+        elif event == "experimental.chat.system.transform":
+            lines = at(given, "output.system")
+            life["system"] = "\n\n".join(x if isinstance(x, str) else dump(x) for x in lines if x is not None) if isinstance(lines, list) else None
+        elif event == "message.part.updated":
+            self._part(life, part)
+        elif event == "message.updated":
+            out += self._answer(seq, ts, sid, life, info)
+        out += self._call(seq, event, ts, sid, life, given, part, props)
+        if removes:
+            out.append(self._gone(seq * self.step + 5, sid, life, ts, error=broken))
+            n["life"] = None
+        return out
+
+    def finish(self, seq):
+        out = []
+        for sid, n in self.state["natives"].items():
+            if life := n["life"]:
+                at_, now = life["last"] * self.step, self.state["last_ms"]
+                out += ([self._turned(at_ + 8, sid, life, now)] if life["open"] else []) + [self._gone(at_ + 9, sid, life, now)]
+                n["life"] = None
+        return out
+
+    def _opened(self, seq: int, ts: int, sid: str, n: dict, title: str | None, created: bool) -> dict:
+        parent = n["parent"] if created else None
+        above = self.state["natives"].get(parent, {}).get("life") if parent is not None else None
+        n["life"] = life = json.loads(json.dumps(self.OUTLINE)) | {"root": above["root"] if above else self.id("session", sid), "last": seq}
+        name = "OpenCode" if parent is None else "Subagent"
+        if above:
+            name = "Subagent" if title is None else title
+            task, mark, agent = name.partition(" (@")
+            name = f"{agent.removesuffix(' subagent)')}: {task}" if mark else name
+        meta = known(session_id=sid, source="opencode", parent_session_id=parent, is_subagent=None if parent is None else True)
+        return self._own(life, seq * self.step, "insert", self.id("session", sid), parent_span_ids=[self.id("turn", parent, above["open"])] if above and above["open"] else [], name=name, span_type="task", start_ms=ts, metadata=meta)
+
+    def _own(self, life: dict, n: int, op: str, span: str, **more) -> dict:
+        return self.op(n, op, span, **more) | {"root_span_id": life["root"]}
+
+    def _turned(self, n: int, sid: str, life: dict, ts: int, **more) -> dict:
+        turn, said = life["open"], life["finished"]
+        life.update(open=None, finished=None)
+        return self._own(life, n, "merge", self.id("turn", sid, turn), end_ms=ts, output=None if said is None else dump(said), **more)
+
+    def _gone(self, n: int, sid: str, life: dict, ts: int, **more) -> dict:
+        return self._own(life, n, "merge", self.id("session", sid), end_ms=ts, metadata={"total_turns": str(life["turn"]), "total_tool_calls": str(life["tools"])}, **more)
+
+    def _asked(self, seq: int, ts: int, sid: str, life: dict, given: Json) -> dict:
+        parts = at(given if told(given, "output") is None else at(given, "output"), "parts")
+        asked = "\n".join(p["text"] for p in parts if isinstance(p, dict) and p.get("type") == "text" and isinstance(p.get("text"), str)) if isinstance(parts, list) else ""
+        life["turn"] += 1
+        life.update(open=life["turn"], asked=asked, told=[], parts={})
+        words = [w for w in re.split(r"\s+", asked) if w.startswith("/skills")]
+        skills = [x for w in words if (x := w.removeprefix("/skills:" if w.startswith("/skills:") else "/skills").lstrip(",).;").rstrip(",).;"))]
+        model = told(given, "input.model.modelID") or told(given, "model.modelID")
+        meta = known(turn_number=life["turn"], loaded_skill_names=skills) | ({} if model is None else {"model": model})
+        return self._own(life, seq * self.step + 2, "insert", self.id("turn", sid, life["turn"]), parent_span_ids=[self.id("session", sid)], name=f"Turn {life['turn']}", span_type="task", start_ms=ts, input=dump(asked) if asked else None, metadata=meta)
+
+    @staticmethod
+    def _part(life: dict, part: Json) -> None:
+        kind, said = text(part, "type"), text(part, "text")
+        seen = life["parts"].setdefault(text(part, "messageID") or "", {"text": None, "reasoning": None, "calls": {}})
+        if kind in ("text", "reasoning") and said is not None:
+            seen[kind] = said
+            if kind == "text" and told(part, "time.end") is not None:
+                life["finished"] = said
+        args = told(part, "state.input")
+        if kind == "tool" and args is not None:
+            tool = text(part, "tool")
+            seen["calls"][text(part, "callID") or ""] = ["tool" if tool is None else tool, args]
+
+    def _answer(self, seq: int, ts: int, sid: str, life: dict, info: Json) -> list[dict]:
+        mid = text(info, "id")
+        if text(info, "role") != "assistant" or told(info, "time.completed") is None or mid is None or mid in life["told"]:
+            return []
+        life["told"].append(mid)
+        if not life["open"]:
+            return []
+        seen = life["parts"].get(mid, {"text": None, "reasoning": None, "calls": {}})
+        said: dict[str, Json] = {"role": "assistant", "content": seen["text"] or ""}
+        if seen["calls"]:
+            said["tool_calls"] = [{"id": c, "type": "function", "function": {"name": tool, "arguments": args}} for c, (tool, args) in seen["calls"].items()]
+        if seen["reasoning"] is not None:
+            said["reasoning"] = [{"id": "reasoning", "content": seen["reasoning"]}]
+        asked = [{"role": r, "content": c} for r, c in (("system", life["system"]), ("user", life["asked"])) if c is not None]
+        fresh, read, written, output, thought = (whole(info, "tokens." + k) for k in ("input", "cache.read", "cache.write", "output", "reasoning"))
+        prompt = fresh + read + written
+        metrics = {"prompt_tokens": prompt, "completion_tokens": output, "tokens": prompt + output + thought, "prompt_cached_tokens": read, "prompt_cache_creation_tokens": written, "reasoning_tokens": thought}
+        provider, model = (("unknown" if (x := text(info, k)) is None else x) for k in ("providerID", "modelID"))
+        begun, done, error = at(info, "time.created"), at(info, "time.completed"), told(info, "error")
+        return [self._own(life, seq * self.step + 3, "insert", self.id("llm", sid, mid), parent_span_ids=[self.id("turn", sid, life["open"])], name=f"{provider}/{model}", span_type="llm", start_ms=begun if isinstance(begun, int) else ts, end_ms=done if isinstance(done, int) else ts, input=dump(asked), output=dump([said]), metadata=known(model=model, provider=provider, message_id=mid), metrics={k: float(v) for k, v in metrics.items()}, error=None if error is None else self._failure(error))]
+
+    def _call(self, seq: int, event: str, ts: int, sid: str, life: dict, given: Json, part: Json, props: Json) -> list[dict]:
+        named = self._first(given, "input.callID", "callID")
+        new = {"denied": False, "begun": None, "args": None, "gave": None, "broke": None}
+        if event == "message.part.updated" and text(part, "type") == "tool":
+            held, status, gave = life["calls"].setdefault(text(part, "callID") or "", new), text(part, "state.status"), told(part, "state.output")
+            if status == "completed" and gave is not None:
+                held["gave"] = gave
+            if status == "error":
+                held["broke"] = self._failure(told(part, "state.error"))
+        elif event == "tool.execute.before" and named is not None:
+            args = told(given, "output.args")
+            life["calls"].setdefault(named, new).update({"begun": ts} | ({} if args is None else {"args": args}))
+        elif event == "tool.execute.after":
+            life["tools"] += 1 if life["open"] else 0
+            held = life["calls"].setdefault(named or "", new)
+            if not held["denied"] and life["open"]:
+                return [self._ended(seq, ts, sid, life, named or "", self._first(given, "input.tool", "tool"), given, False)]
+            held["denied"] = False
+        elif event in ("permission.asked", "permission.replied") and life["open"] and self._first(props, "response", "status") in ("reject", "denied", "deny"):
+            call = self._first(props, "callID", "id") or ""
+            life["calls"].setdefault(call, new)
+            out = self._ended(seq, ts, sid, life, call, text(props, "tool"), given, True)
+            life["calls"][call] = new | {"denied": True}
+            return [out]
+        return []
+
+    def _ended(self, seq: int, ts: int, sid: str, life: dict, call: str, tool: str | None, given: Json, denied: bool) -> dict:
+        held, tool = life["calls"].pop(call), "tool" if tool is None else tool
+        learns = tool == "skill" and not denied
+        skill = text(json.loads(held["args"]), "name") if learns and held["args"] is not None else None
+        title = None if denied else "skill" if learns and skill is None else f"skill: {skill}" if learns else text(given, "result.title")
+        meta = known(tool_name=tool, call_id=call, tool_outcome="denied" if denied else "error" if held["broke"] is not None else "success", tool_approval="denied" if denied else None, tool_kind="skill" if learns else None, skill_name=skill)
+        gave = held["gave"] or told(given, "result.output") or told(given, "output")
+        return self._own(life, seq * self.step + 4, "insert", self.id("tool", sid, call), parent_span_ids=[self.id("turn", sid, life["open"])], name=tool if title is None else title, span_type="tool", start_ms=ts if held["begun"] is None else held["begun"], end_ms=ts, input=held["args"], output=None if denied else gave, metadata=meta, error="Permission denied" if denied else held["broke"])
+
+
 #: Sources that are translated event by event; others are by the debug machine.
-MACHINES: dict[str, type[Machine]] = {"pi": Pi}
+MACHINES: dict[str, type[Machine]] = {"opencode": OpenCode, "pi": Pi}

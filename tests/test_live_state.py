@@ -13,8 +13,11 @@ from events import table
 from loomspan.operators import upserts
 from loomspan.operators.spans import fold
 from loomspan.plans.translate.debug import debug_ops
+from loomspan.plans.translate.opencode import opencode_ops
 from loomspan.plans.translate.pi import pi_ops
 from loomspan.streaming import live, machines, recent, stateful
+from test_opencode import SESSION as OPENCODE
+from test_opencode import answer, text
 from test_pi import SESSION, wrapped
 
 SCHEMA = live.LANDED + ", route string"
@@ -66,6 +69,44 @@ def test_the_machine_of_pi_says_what_the_batch_plan_says(spark):
     assert spans(fold(mine).collect()) == spans(fold(pi_ops(every, finalize=True)).collect())
 
 
+def random_opencode(r):
+    """Two native sessions at the top and children of the first, created before anything else is said of them."""
+    sid, call, mid = lambda: r.choice(["t0", "t0", "t1", "c0", "c1"]), lambda: r.choice(["k0", "k1"]), lambda: r.choice(["m0", "m1"])
+    where = lambda **more: {"input": {"sessionID": sid(), "callID": call(), "tool": r.choice(["bash", "skill"])}, **more}
+    born = lambda s, above: ("session.created", {"properties": {"info": {"id": s, "title": r.choice(["dig (@mole subagent)", "plain"])} | ({"parentID": above} if above else {})}})
+    part = lambda **more: ("message.part.updated", {"properties": {"part": {"sessionID": sid(), "messageID": mid(), **more}}})
+    tool = lambda **more: part(type="tool", callID=call(), tool="bash", state=more)
+    choices = [
+        lambda: ("chat.message", text(sid(), r.choice(["/skills:lint, go", "/skillsx. and", ""]))), lambda: ("experimental.chat.system.transform", {"input": {"sessionID": sid()}, "output": {"system": ["a", "b"]}}),
+        lambda: ("tool.execute.before", where(output={"args": r.choice([{"name": "lint"}, {"cmd": 1}])})), lambda: ("tool.execute.after", where(result=r.choice([{"title": "T", "output": "o"}, {"output": [1]}, {}]))),
+        lambda: tool(status="completed", output="done", input={"x": r.randint(0, 3)}), lambda: tool(status="error", error=r.choice(["bad\nworse", {"name": "E", "message": "m"}, {"data": {"message": "d"}}])), lambda: tool(status="running"),
+        lambda: part(type="text", text=r.choice(["half", "full"]), **r.choice([{}, {"time": {"end": 5}}])), lambda: part(type="reasoning", text="hm"),
+        lambda: ("message.updated", answer(sid(), mid(), 5, r.choice([None, 9]), tokens={"input": r.randint(0, 9), "output": 2, "cache": {"read": 1}})), lambda: ("message.updated", answer(sid(), mid(), 6, 8, error={"name": "Slow"})),
+        lambda: ("permission.replied", {"properties": {"sessionID": sid(), "id": call(), "response": r.choice(["reject", "once"]), "tool": "write"}}),
+        lambda: ("session.idle", {"properties": {"sessionID": sid()}}) if r.random() < 0.5 else ("chat.message", text(sid(), "more")), lambda: (r.choice(["session.deleted", "session.error"]), {"properties": {"sessionID": sid(), "error": r.choice([{"name": "Limit"}, "short"])}}) if r.random() < 0.3 else ("other", {}),
+        lambda: born(*r.choice([("c0", "t0"), ("c1", "c0"), ("t1", None)])) if r.random() < 0.5 else ("chat.message", text(sid(), "still")),
+    ]
+    first = [born("t0", None), ("chat.message", text("t0", "go")), born("c0", "t0"), born("c1", "c0"), born("t1", None)]
+    return [(name, 1000 + 10 * i + r.randint(0, 5), payload) for i, (name, payload) in enumerate([*first, *(r.choice(choices)() for _ in range(90))])]
+
+
+def test_the_machine_of_opencode_says_what_the_batch_plan_says(spark):
+    r = random.Random(5)
+    sessions = {"given": OPENCODE, **{f"s{i}": random_opencode(r) for i in range(12)}}
+    every = None
+    for name, events in sessions.items():
+        t = table(spark, "opencode", name, events)
+        every = t if every is None else every.unionByName(t)
+    ops = [o | {"session_id": s} for s, events in sessions.items() for o in made("opencode", s, events, finish=True)]
+    schema = spark.createDataFrame([], stateful.OPS).schema
+    got = spans(fold(spark.createDataFrame([{c: o.get(c) for c in schema.names} for o in ops], schema)).collect())
+    want = spans(fold(opencode_ops(every, finalize=True)).collect())
+    print([(k[1], want[k]["name"], want[k]["span_type"], want[k]["start_ms"]) for k in set(want) - set(got)][:12], [(k[1], got[k]["name"]) for k in set(got) - set(want)][:5])
+    print([{c: (got[k][c], want[k][c]) for c in got[k] if got[k][c] != want[k][c]} for k in set(got) & set(want) if got[k] != want[k]][:5])
+    assert set(got) == set(want)
+    assert [(got[k], want[k]) for k in got if got[k] != want[k]][:1] == []
+
+
 @pytest.fixture(scope="module")
 def rocks(spark):
     key = "spark.sql.streaming.stateStore.providerClass"
