@@ -117,8 +117,8 @@ def rocks(spark):
 
 def test_live_operations_are_those_of_a_batch_whatever_the_order_of_landing(rocks, tmp_path):
     spark = rocks
-    whole = table(spark, "pi", "a", wrapped(SESSION)).unionByName(table(spark, "pi", "b", wrapped(SESSION)[:8])).unionByName(table(spark, "odd", "c", [("x", 5, {"v": 1}), ("y", 7, {}), ("z", 9, {})]))
-    routes = {"a": ['{"p":1}'], "b": ['{"p":1}', '{"q": [2], "p": 1}'], "c": [None]}
+    whole = table(spark, "pi", "a", wrapped(SESSION)).unionByName(table(spark, "pi", "b", wrapped(SESSION)[:8])).unionByName(table(spark, "odd", "c", [("x", 5, {"v": 1}), ("y", 7, {}), ("z", 9, {})])).unionByName(table(spark, "opencode", "d", OPENCODE))
+    routes = {"a": ['{"p":1}'], "b": ['{"p":1}', '{"q": [2], "p": 1}'], "c": [None], "d": ['{"p":1}']}
     rows = [(*r, route) for r in whole.collect() for route in routes[r.session_id]]
     # Four landings out of order, with repetitions; each is a run of its own, as after a restart.
 
@@ -133,7 +133,7 @@ def test_live_operations_are_those_of_a_batch_whatever_the_order_of_landing(rock
         live.keep_operations(stream, f"{store}/table", f"{store}/check", buckets=4).awaitTermination()
     got = spans(upserts.current(spark, f"{store}/table").collect())
     want = {}
-    for r in fold(pi_ops(whole.where("source = 'pi'"))).collect() + fold(debug_ops(whole.where("source = 'odd'"))).collect():
+    for r in fold(pi_ops(whole.where("source = 'pi'"))).collect() + fold(debug_ops(whole.where("source = 'odd'"))).collect() + fold(opencode_ops(whole.where("source = 'opencode'"))).collect():
         for route in routes[r.session_id]:
             want[json.dumps(json.loads(route), separators=(",", ":"), sort_keys=True) if route else "{}", r.session_id, r.span_id] = parsed(r)
     assert got == want
