@@ -1,16 +1,17 @@
 """Hard-negative mining with a vector-approximation file.
 
 Vectors are of integers. The file holds, for each row, the cell of each of its components: a dimension's range in the whole table is cut into CELLS
-cells of equal width. For an anchor, a table gives what each cell of each dimension can add to a score at most; the sum of what a row's cells
-look up there is the upper bound of its score. As all cells of a dimension are equally wide, the lower bound lies a fixed gap below it.
+cells of equal width. With an anchor, the largest score of a row's cells is linear in their numbers, so that the upper bounds of a block of rows with
+a block of anchors are one product of matrices, in floats that hold all its sums exactly. As all cells of a dimension are equally wide, the lower bound lies a fixed gap below it.
 Only rows whose bounds leave them a place are scored exactly:
 
-1. positives: rows of the anchor's label whose upper bound isn't below the k-th best lower bound of the block;
-2. negatives: rows of other labels whose bounds meet a positive's window of scores and whose upper bound isn't below the k-th best lower bound of the rows that surely lie in it.
+1. positives: rows of the anchor's label whose upper bound isn't below the k-th best score so far;
+2. negatives: rows of other labels whose upper bound isn't below the k-th best score so far in one of the positives' windows of scores.
 
-The file is stored in blocks of rows, anchors in blocks of their own; each pair of blocks is one row of a join, dealt by both numbers, so a hot label, or anything else but the number of
-blocks, makes no task larger. A pair of blocks yields at most k rows for an anchor or a window, and a ranking over these, limited before its shuffle, leaves the k best. Work grows as anchors times rows: the anchors are
-a stated query set, against all rows.
+The file is stored in blocks of rows, anchors in blocks of their own; both are split into parts by counted rows, and each task meets a part of the rows with a part of the anchors, read
+from the stored tables (a nested-loop join: neither side is copied to disk once more, however many blocks the other has). So a hot label, or anything else but the number of rows, makes no task larger.
+A task yields at most k rows for an anchor or a window, and a ranking over these leaves the k best. Of the rows of a block with one label and one vector, only the smallest ids that can win a place are met.
+Work grows as anchors times rows: the anchors are a stated query set, against all rows; stored and shuffled bytes grow as the rows, as the file has at most PARTS parts.
 
 Defined cases: rows with a null id, label or vector, or a null or non-finite component, take no part; several rows of one id count once, as the smallest label and then the smallest vector;
 rows are scored with rows of as many components only (an empty vector scores 0); components beyond +-2**24 after scaling count as that, so that scores fit 64 bits; ties go to the smaller id; an empty table, or one without anchors, gives no rows;
@@ -28,9 +29,13 @@ from pyspark.sql import functions as F
 
 from .shared import stored
 
-#: Cells of a dimension; rows and anchors of a block; anchors whose tables are looked up at a time.
+#: Cells of a dimension; rows and anchors of a block; anchors whose bounds are held at a time.
 CELLS = 64
-ROWS, ANCHORS, AT_A_TIME = 8192, 512, 64
+ROWS, ANCHORS, AT_A_TIME = 8192, 4096, 128
+#: Rows of a part of the file, and its parts at most; anchors of a part of theirs. A task meets two parts.
+PART, PARTS, ANCHOR_PART = 1 << 18, 64, 1 << 14
+#: Rows after which the first bounds are tightened; rows scored exactly at a time.
+FIRST, SCORED = 32, 1 << 15
 LARGEST = 1 << 24
 #: More than any sum of bounds.
 FAR = np.int64(1) << np.int64(62)
@@ -56,163 +61,216 @@ def _matrix(lists: pa.Array, dim: int) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), dim)
 
 
-def _blocked(edges: dict[int, tuple[np.ndarray, np.ndarray]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Lists of a block become bytes: ids, labels, cells (a dimension after another), components."""
+def _cut(n: int, size: int) -> list[np.ndarray]:
+    return np.array_split(np.arange(n), max(1, -(-n // size)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(batch.num_rows):
-                dim, i = batch.column(0)[at].as_py(), batch.column(1)[at].as_py()
-                rows = batch.column(2)[at].values
-                v = _matrix(rows.field("v"), dim).astype(np.int32)
-                low, width = edges[dim]
-                cells = ((v - low) // width).astype(np.uint8).T if dim else np.empty((0, len(v)), np.uint8)
-                parts = [rows.field("id").to_numpy(zero_copy_only=False).astype(np.int64), rows.field("label").to_numpy(zero_copy_only=False).astype(np.int64), cells, v]
-                yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([i], pa.int64()), *(pa.array([np.ascontiguousarray(p).tobytes()], pa.binary()) for p in parts)], names=["dim", "i", "ids", "labels", "cells", "v"])
 
-    return run
+def _each_dim(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, pa.StructArray]]:
+    """Blocks of up to size rows whose vectors have as many components, in the order of their labels."""
+    for batch in batches:
+        rows = batch.to_struct_array()
+        dims, labels = np.asarray(batch.column("dim")), np.asarray(batch.column("label"))
+        for dim in np.unique(dims):
+            here = np.flatnonzero(dims == dim)
+            for part in _cut(len(here), size):
+                at = here[part]
+                yield int(dim), rows.take(pa.array(at[np.argsort(labels[at], kind="stable")]))
 
 
-class _Bounds:
-    """Upper bounds of the scores of rows, by their cells, with some anchors; gap: how far below them the lower bounds lie."""
+def _parts(block: pa.StructArray, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, labels and vectors."""
+    return block.field("id").to_numpy(zero_copy_only=False).astype(np.int64), block.field("label").to_numpy(zero_copy_only=False).astype(np.int64), _matrix(block.field("v"), dim).astype(np.int32)
 
-    def __init__(self, anchors: np.ndarray, low: np.ndarray, width: np.ndarray):
-        a = anchors.astype(np.int64)
-        most = int(np.abs(a).sum(axis=1).max(initial=0)) * int(max(np.abs(low).max(initial=0), np.abs(low + width * CELLS).max(initial=0)))
-        self.kind = np.int32 if most < 1 << 30 else np.int64
-        start = low[:, None] + width[:, None] * np.arange(CELLS)[None, :]
-        end = start + width[:, None] - 1
-        q = a.T[:, None, :]
-        self.table = np.where(q >= 0, q * end[:, :, None], q * start[:, :, None]).astype(self.kind)
-        self.gap = (np.abs(a) * (width - 1)[None, :]).sum(axis=1)
 
-    def __call__(self, cells: np.ndarray) -> np.ndarray:
-        out = np.zeros((cells.shape[1], self.table.shape[2]), self.kind)
-        got = np.empty_like(out)
-        for of_dim, at in zip(self.table, cells, strict=True):
-            np.take(of_dim, at, axis=0, out=got, mode="clip")
-            out += got
-        return out
-
-
-def _kth(x: np.ndarray, k: int) -> int:
-    """The k-th largest; below everything where there are fewer."""
-    return int(np.partition(x, len(x) - k)[len(x) - k]) if len(x) >= k else -int(FAR)
+def _packed(dim: int, names: list[str], parts: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), *(pa.array([np.ascontiguousarray(p).tobytes()], pa.binary()) for p in parts)], names=names)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, -scores))[:k]
+def _first_copies(ids: np.ndarray, labels: np.ndarray, v: np.ndarray, most: int) -> np.ndarray:
+    """Which rows are among the `most` smallest ids of their label and vector."""
+    key = np.concatenate([labels[:, None].view(np.uint8).reshape(len(ids), 8), np.ascontiguousarray(v).view(np.uint8).reshape(len(ids), -1)], axis=1)
+    _, same = np.unique(np.ascontiguousarray(key).view(f"V{key.shape[1]}").ravel(), return_inverse=True)
+    order = np.lexsort((ids, same))
+    starts = np.flatnonzero(np.diff(same[order], prepend=-1))
+    rank = np.arange(len(ids)) - np.repeat(starts, np.diff(starts, append=len(ids)))
+    return np.sort(order[rank < most])
 
 
-def _unpacked(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, ...]:
-    """Of a pair of blocks: ids, labels, cells and vectors of the rows; ids, labels and vectors of the anchors."""
-    kinds = {"cells": np.uint8, "v": np.int32, "a_v": np.int32}
-    names = ["ids", "labels", "cells", "v", "a_ids", "a_labels", "a_v"]
-    dim = batch.column(0)[at].as_py()
-    x = {n: np.frombuffer(batch.column(batch.schema.get_field_index(n))[at].as_py(), kinds.get(n, np.int64)) for n in names}
-    shapes = {"cells": (dim, len(x["ids"])), "v": (len(x["ids"]), dim), "a_v": (len(x["a_ids"]), dim)}
-    return tuple(x[n].reshape(shapes[n]) if n in shapes else x[n] for n in names)
+FILE = ["dim", "ids", "labels", "cells", "v"]
+ASKING = ["a_dim", "a_ids", "a_labels", "a_v"]
+WINDOWS = ["p_ids", "p_scores", "lows", "highs"]
 
 
-def _exact(v: np.ndarray, a: np.ndarray) -> np.ndarray:
-    return v.astype(np.int64) @ a.astype(np.int64)
+def _file(edges: dict[int, tuple[np.ndarray, np.ndarray]], size: int, copies: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks of rows as bytes: ids, labels, cells (a dimension after another), components in 16 or 32 bits."""
 
-
-def _positives(edges: dict[int, tuple[np.ndarray, np.ndarray]], k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(batch.num_rows):
-                dim = batch.column(0)[at].as_py()
-                ids, labels, cells, v, a_ids, a_labels, a_v = _unpacked(batch, at)
-                found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-                for label in np.intersect1d(labels, a_labels):
-                    here, asking = np.flatnonzero(labels == label), np.flatnonzero(a_labels == label)
-                    its_cells, its_ids = np.ascontiguousarray(cells[:, here]), ids[here]
-                    for first in range(0, len(asking), AT_A_TIME):
-                        some = asking[first : first + AT_A_TIME]
-                        bounds = _Bounds(a_v[some], *edges[dim])
-                        upper = bounds(its_cells).astype(np.int64)
-                        for j, a in enumerate(some):
-                            u = np.where(its_ids == a_ids[a], -FAR, upper[:, j])
-                            close = np.flatnonzero((u >= _kth(u - bounds.gap[j], k)) & (u > -FAR))
-                            if len(close):
-                                s = _exact(v[here[close]], a_v[a])
-                                top = _best(s, its_ids[close], k)
-                                found.append((np.full(len(top), a_ids[a]), its_ids[close][top], s[top]))
-                columns = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.empty(0, np.int64)] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["anchor_id", "positive_id", "positive_score"])
+        for dim, block in _each_dim(batches, size):
+            ids, labels, v = _parts(block, dim)
+            kept = _first_copies(ids, labels, v, copies)
+            ids, labels, v = ids[kept], labels[kept], v[kept]
+            low, width = edges[dim]
+            cells = ((v - low) // width).astype(np.uint8).T if dim else np.empty((0, len(v)), np.uint8)
+            yield _packed(dim, FILE, [ids, labels, cells, v.astype(np.int16) if np.abs(v).max(initial=0) < 1 << 15 else v])
 
     return run
 
 
-def _negatives(edges: dict[int, tuple[np.ndarray, np.ndarray]], k: int, least: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    names = ["anchor_id", "positive_id", "positive_score", "negative_id", "negative_score"]
+def _asking(size: int, width: int = 0, least: int = 0, most: int = 0) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks of anchors as bytes; with a width, also the windows of that many positives, of which those that are missing have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(batch.num_rows):
-                dim = batch.column(0)[at].as_py()
-                ids, labels, cells, v, a_ids, a_labels, a_v = _unpacked(batch, at)
-                wanted = batch.column(batch.schema.get_field_index("a_positives"))[at].as_py()
-                found: list[list[int]] = []
-                for first in range(0, len(a_ids), AT_A_TIME):
-                    some = slice(first, first + AT_A_TIME)
-                    windows = [[(p["positive_id"], s := p["positive_score"], -(-least * s // 100), most * s // 100) for p in w] for w in wanted[some]]
-                    bounds = _Bounds(a_v[some], *edges[dim])
-                    upper = bounds(cells)
-                    floor, ceiling = np.array([min(x[2] for x in w) for w in windows]), np.array([max(x[3] for x in w) for w in windows])
-                    may = (upper >= floor) & (upper <= ceiling + bounds.gap) & (labels[:, None] != a_labels[some][None, :])
-                    which, rows = np.nonzero(may.T)
-                    ends = np.searchsorted(which, np.arange(len(windows) + 1))
-                    for j, window in enumerate(windows):
-                        here = rows[ends[j] : ends[j + 1]]
-                        if not len(here):
-                            continue
-                        u = upper[here, j].astype(np.int64)
-                        l = u - bounds.gap[j]
-                        close = np.zeros(len(here), bool)
-                        for _, _, lo, hi in window:
-                            sure = l[(l >= lo) & (u <= hi)]
-                            close |= (u >= max(lo, _kth(sure, k))) & (l <= hi)
-                        here = here[close]
-                        s, its = _exact(v[here], a_v[first + j]), ids[here]
-                        for positive, score, lo, hi in window:
-                            inside = np.flatnonzero((s >= lo) & (s <= hi))
-                            found += [[int(a_ids[first + j]), positive, score, int(its[x]), int(s[x])] for x in inside[_best(s[inside], its[inside], k)]]
-                columns = [*zip(*found, strict=True)] if found else [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+        for dim, block in _each_dim(batches, size):
+            parts = [*_parts(block, dim)]
+            if width:
+                of = np.zeros((4, len(block), width), np.int64)
+                of[2:] = np.array([FAR, -FAR])[:, None, None]
+                for i, found in enumerate(block.field("positives").to_pylist()):
+                    for j, p in enumerate(found):
+                        s = p["positive_score"]
+                        of[:, i, j] = p["positive_id"], s, -(-least * s // 100), most * s // 100
+                parts += [*of]
+            yield _packed(dim, [*ASKING, *(WINDOWS if width else [])], parts)
 
     return run
 
 
-def _met(file: DataFrame, n_rows: int, asking: DataFrame, n_anchors: int) -> DataFrame:
-    """Each block of rows with each block of anchors, dealt by both numbers."""
-    left = file.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_anchors - 1).cast("long"))))
-    right = asking.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_rows - 1).cast("long"))))
-    return left.join(right, ["dim", "i", "j"])
+class _Bounds:
+    """Upper bounds of the scores of rows, by their cells, with some anchors; gap: how far below them the lower bounds lie."""
 
+    def __init__(self, anchors: np.ndarray, low: np.ndarray, width: np.ndarray):
+        a = anchors.astype(np.int64)
+        steps = a * width[None, :]
+        most = int(np.abs(steps).sum(axis=1).max(initial=0)) * (CELLS - 1)
+        self.kind, self.exact = next(((kind, 1 << bits) for kind, bits in ((np.float32, 24), (np.float64, 53)) if most < 1 << bits), (np.int64, FAR))
+        self.steps = steps.astype(self.kind)
+        self.base = (a * low[None, :] + np.maximum(a, 0) * (width - 1)[None, :]).sum(axis=1)
+        self.gap = (np.abs(a) * (width - 1)[None, :]).sum(axis=1)
+        self.held: np.ndarray | None = None
+
+    def reaching(self, some: slice, cells: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Places, in a row for each of some anchors, of bounds that aren't below the anchor's least score. cells: of the kind of the bounds."""
+        steps, least = self.steps[some], self._less_base(some, least)
+        n = len(steps) * cells.shape[1]
+        if self.held is None or len(self.held) < n:
+            self.held, self.found = np.empty(n, self.kind), np.empty(n + 8, bool)
+        upper, found = self.held[:n].reshape(len(steps), -1), self.found[: n + -n % 8]
+        np.matmul(steps, cells, out=upper)
+        np.greater_equal(upper, least[:, None], out=found[:n].reshape(upper.shape))
+        found[n:] = False
+        # Few are found: eight at a time are passed over.
+        at = (np.flatnonzero(found.view(np.uint64))[:, None] * 8 + np.arange(8)).ravel()
+        return at[found[at]]
+
+    def _less_base(self, some: slice, scores: np.ndarray) -> np.ndarray:
+        """In the kind of the bounds, in which what is beyond these is infinite."""
+        x = scores - self.base[some]
+        if self.kind is np.int64:
+            return x
+        return np.where(x > self.exact, np.inf, np.where(x < -self.exact, -np.inf, x)).astype(self.kind)
 
-def _block(n: int) -> Column:
-    return F.pmod(F.xxhash64("id"), F.lit(n)).cast("long")
+    def __call__(self, cells: np.ndarray) -> np.ndarray:
+        return ((self.steps @ cells.astype(self.kind)).astype(np.int64) + self.base[:, None]).T
 
 
-def _anchor_blocks(anchors: DataFrame, n: int, *extra: str) -> DataFrame:
-    """Blocks of anchors as bytes, with lists of the extra columns."""
+def _kth(x: np.ndarray, k: int) -> int:
+    """The k-th largest; below everything where there are fewer."""
+    return int(np.partition(x, len(x) - k)[len(x) - k]) if len(x) >= k else -int(FAR)
+
+
+class _Best:
+    """The k best (score, id) of each of n keys so far."""
+
+    def __init__(self, n: int, k: int):
+        self.scores, self.ids = np.full((n, k), -FAR), np.zeros((n, k), np.int64)
+
+    def add(self, keys: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        may = scores >= self.scores[keys, -1]
+        if not may.any():
+            return
+        k, touched = self.scores.shape[1], np.unique(keys[may])
+        keys = np.concatenate([np.repeat(touched, k), keys[may]])
+        scores, ids = np.concatenate([self.scores[touched].ravel(), scores[may]]), np.concatenate([self.ids[touched].ravel(), ids[may]])
+        order = np.lexsort((ids, -scores, keys))
+        top = order[np.searchsorted(keys[order], touched)[:, None] + np.arange(k)]
+        self.scores[touched], self.ids[touched] = scores[top], ids[top]
+
+
+class _Asked:
+    """A block of anchors with the best rows of each of its windows, over the blocks of rows that it meets."""
+
+    def __init__(self, ids: np.ndarray, lows: np.ndarray, highs: np.ndarray, k: int, at_a_time: int):
+        self.ids, self.lows, self.highs, self.at_a_time, self.fresh = ids, lows, highs, at_a_time, True
+        self.best = _Best(lows.size, k)
+
+    def meet(self, rows: tuple[np.ndarray, ...], a_labels: np.ndarray, a_v: np.ndarray, edges: tuple[np.ndarray, np.ndarray], same: bool) -> None:
+        """same: rows of the anchor's label, itself left out; else those of other labels."""
+        bounds, labels = _Bounds(a_v, *edges), rows[1]
+        cells = rows[2].astype(bounds.kind)
+        if same:
+            wanted = np.intersect1d(labels, a_labels)
+            pairs = [(slice(*np.searchsorted(labels, [x, x + 1])), slice(*np.searchsorted(a_labels, [x, x + 1]))) for x in wanted]
+        else:
+            pairs = [(slice(0, len(labels)), slice(0, len(a_labels)))]
+        for here, asking in pairs:
+            first = here.start
+            while first < here.stop:
+                last = min(here.stop, first + max(FIRST, 3 * (first - here.start))) if self.fresh else here.stop
+                piece = np.ascontiguousarray(cells[:, first:last])
+                for a in range(asking.start, asking.stop, self.at_a_time):
+                    some = slice(a, min(asking.stop, a + self.at_a_time))
+                    self._score(bounds, rows, slice(first, last), piece, some, a_labels, a_v, same)
+                first = last
+        self.fresh = False
+
+    def _score(self, bounds: _Bounds, rows: tuple[np.ndarray, ...], here: slice, cells: np.ndarray, some: slice, a_labels: np.ndarray, a_v: np.ndarray, same: bool) -> None:
+        ids, labels, _, v = rows
+        n, width = here.stop - here.start, self.lows.shape[1]
+        worst = self.best.scores[:, -1].reshape(self.lows.shape)[some]
+        lows, highs = self.lows[some], self.highs[some]
+        least = np.where(lows <= highs, np.maximum(lows, worst), FAR).min(axis=1)
+        may = bounds.reaching(some, cells, least)
+        for at in range(0, len(may), SCORED):
+            j, r = np.divmod(may[at : at + SCORED], n)
+            j, r = j + some.start, r + here.start
+            fits = ids[r] != self.ids[j] if same else labels[r] != a_labels[j]
+            j, r = j[fits], r[fits]
+            s = np.einsum("ij,ij->i", v[r].astype(np.int64), a_v[j].astype(np.int64))
+            which, w = np.nonzero((s[:, None] >= self.lows[j]) & (s[:, None] <= self.highs[j]))
+            self.best.add(j[which] * width + w, s[which], ids[r[which]])
+
+
+def _searched(edges: dict[int, tuple[np.ndarray, np.ndarray]], k: int, same: bool, at_a_time: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of pairs of blocks: the k best rows of each window of each anchor. same: positives, whose only window is open; else negatives."""
+    kinds = {"cells": np.uint8, "a_v": np.int32}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked: dict[tuple[int, int], tuple[_Asked, np.ndarray, np.ndarray]] = {}
         for batch in batches:
             for at in range(batch.num_rows):
-                rows = batch.column(2)[at].values
-                v = _matrix(rows.field("v"), batch.column(0)[at].as_py()).astype(np.int32)
-                parts = [rows.field("id").to_numpy(zero_copy_only=False).astype(np.int64), rows.field("label").to_numpy(zero_copy_only=False).astype(np.int64), v]
-                lists = [pa.array([rows.field(c).to_pylist()], schema.field(f"a_{c}").type) for c in extra]
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[at].as_py()], pa.int32()), pa.array([batch.column(1)[at].as_py()], pa.int64()), *(pa.array([np.ascontiguousarray(p).tobytes()], pa.binary()) for p in parts), *lists], names=["dim", "j", "a_ids", "a_labels", "a_v", *(f"a_{c}" for c in extra)])
+                dim = batch.column("dim")[at].as_py()
+                x = {c: batch.column(c)[at].as_buffer() for c in batch.schema.names if c not in ("dim", "a_dim")}
+                got = {c: np.frombuffer(b, kinds.get(c, np.int64)) for c, b in x.items() if c != "v"}
+                n, m = len(got["ids"]), len(got["a_ids"])
+                v = np.frombuffer(x["v"], np.int16 if x["v"].size == 2 * n * dim else np.int32).reshape(n, dim)
+                key = dim, int(got["a_ids"][0])
+                if key not in asked:
+                    of = [np.array(got[c]).reshape(m, -1) for c in WINDOWS] if not same else [np.zeros((m, 1), np.int64)] * 2 + [np.full((m, 1), -FAR), np.full((m, 1), FAR)]
+                    asked[key] = _Asked(np.array(got["a_ids"]), of[2], of[3], k, at_a_time), of[0], of[1]
+                asked[key][0].meet((got["ids"], got["labels"], got["cells"].reshape(dim, n), v), got["a_labels"], got["a_v"].reshape(m, dim), edges[dim], same)
+        for a, p_ids, p_scores in asked.values():
+            key, place = np.nonzero(a.best.scores > -FAR)
+            anchor, found = a.ids[key // a.lows.shape[1]], [a.best.ids[key, place], a.best.scores[key, place]]
+            columns = [anchor, *found] if same else [anchor, p_ids.ravel()[key], p_scores.ravel()[key], *found]
+            names = ["anchor_id", "positive_id", "positive_score", "negative_id", "negative_score"][: len(columns)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+
+    return run
+
 
-    window = pa.list_(pa.list_(pa.struct([("positive_id", pa.int64()), ("positive_score", pa.int64())])))
-    schema = pa.schema([(f"a_{c}", window) for c in extra])
-    grouped = anchors.groupBy(F.size("v").alias("dim"), _block(n).alias("j")).agg(F.collect_list(F.struct("id", "label", "v", *extra)).alias("rows"))
-    kinds = "".join(f", a_{c} array<array<struct<positive_id: bigint, positive_score: bigint>>>" for c in extra)
-    return grouped.mapInArrow(run, f"dim int, j long, a_ids binary, a_labels binary, a_v binary{kinds}")
+def _met(file: DataFrame, asking: DataFrame) -> DataFrame:
+    """Each block of rows with each block of anchors, a part with a part in a task, read from both tables without a shuffle."""
+    return file.join(asking.hint("shuffle_replicate_nl"), F.col("dim") == F.col("a_dim")).drop("a_dim")
 
 
 def mine(rows: DataFrame, is_anchor: Column, vec_id: str = "vec_id", label: Column | None = None, vector: str = "embedding", by: float = 256.0, positives: int = 5, negatives: int = 3, least: int = 50, most: int = 95) -> DataFrame:
@@ -227,20 +285,22 @@ def mine(rows: DataFrame, is_anchor: Column, vec_id: str = "vec_id", label: Colu
     n, n_anchors = ready.count(), asking.count()
     if not n_anchors:
         return spark.createDataFrame([], schema)
-    blocks, anchor_blocks = -(-n // ROWS), -(-n_anchors // ANCHORS)
+    parts = min(PARTS, -(-n // PART))
+    anchor_parts = max(-(-n_anchors // ANCHOR_PART), -(-2 * spark.sparkContext.defaultParallelism // parts))
     ranges = ready.select(F.size("v").alias("dim"), F.posexplode("v").alias("pos", "x")).groupBy("dim", "pos").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("dim", "pos").collect()  # one a dimension
     edges: dict[int, tuple[np.ndarray, np.ndarray]] = {0: (np.empty(0, np.int64), np.empty(0, np.int64))}
     for dim in {r.dim for r in ranges}:
         low, high = (np.array([r[c] for r in ranges if r.dim == dim], np.int64) for c in ("lo", "hi"))
         edges[dim] = low, -(-(high - low + 1) // CELLS)
-    file = ready.groupBy(F.size("v").alias("dim"), _block(blocks).alias("i")).agg(F.collect_list(F.struct("id", "label", "v")).alias("rows"))
-    file = stored(file.mapInArrow(_blocked(edges), "dim int, i long, ids binary, labels binary, cells binary, v binary"))
-    first = _met(file, blocks, _anchor_blocks(asking, anchor_blocks), anchor_blocks)
-    close = first.select("dim", "ids", "labels", "cells", "v", "a_ids", "a_labels", "a_v").mapInArrow(_positives(edges, positives), "anchor_id long, positive_id long, positive_score long")
+    binary = " binary, "
+    file = stored(ready.repartition(parts, "id").select(F.size("v").alias("dim"), "id", "label", "v").mapInArrow(_file(edges, ROWS, max(positives + 1, negatives)), f"dim int, {binary.join(FILE[1:])} binary"))
+    asking = asking.select(F.size("v").alias("dim"), "id", "label", "v")
+    blocks = stored(asking.repartition(anchor_parts, "id").mapInArrow(_asking(ANCHORS), f"a_dim int, {binary.join(ASKING[1:])} binary"))
+    close = _met(file, blocks).mapInArrow(_searched(edges, positives, True, AT_A_TIME), "anchor_id long, positive_id long, positive_score long")
     order = Window.partitionBy("anchor_id").orderBy(F.desc("positive_score"), "positive_id")
     close = close.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= positives)
     chosen = close.groupBy(F.col("anchor_id").alias("id")).agg(F.collect_list(F.struct("positive_id", "positive_score")).alias("positives"))
-    second = _met(file, blocks, _anchor_blocks(asking.join(chosen, "id"), anchor_blocks, "positives"), anchor_blocks)
-    far = second.select("dim", "ids", "labels", "cells", "v", "a_ids", "a_labels", "a_v", "a_positives").mapInArrow(_negatives(edges, negatives, least, most), "anchor_id long, positive_id long, positive_score long, negative_id long, negative_score long")
+    blocks = stored(asking.join(chosen, "id").repartition(anchor_parts, "id").mapInArrow(_asking(ANCHORS, positives, least, most), f"a_dim int, {binary.join([*ASKING[1:], *WINDOWS])} binary"))
+    far = _met(file, blocks).mapInArrow(_searched(edges, negatives, False, AT_A_TIME), "anchor_id long, positive_id long, positive_score long, negative_id long, negative_score long")
     order = Window.partitionBy("anchor_id", "positive_id").orderBy(F.desc("negative_score"), "negative_id")
     return far.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= negatives).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")

@@ -217,3 +217,21 @@ def test_few_rows_are_scored_exactly(spark):
     assert (upper >= exact).all() and (upper - bounds.gap <= exact).all()
     kept = [(upper[:, j] >= negatives._kth(upper[:, j] - bounds.gap[j], 5)).mean() for j in range(20)]
     assert np.mean(kept) < 0.2
+
+
+def test_blocks_meet_without_being_copied(spark, monkeypatch):
+    """Many parts and blocks, a hot vector under two labels: neither side is exploded by the other's blocks, shuffled or broadcast to meet it."""
+    for name, value in {"ROWS": 16, "ANCHORS": 4, "PART": 100, "ANCHOR_PART": 10, "PARTS": 3}.items():
+        monkeypatch.setattr(negatives, name, value, raising=False)
+    r = np.random.default_rng(8)
+    rows = [(i, int(r.integers(0, 3)), [0.25] * 6 if i % 2 else np.abs(r.normal(0, 0.2, 6)).round(2).tolist()) for i in range(400)]
+    got = negatives.mine(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>"), negatives.F.col("id") % 5 == 0)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and not any(x in plan for x in ("Generate", "SortMergeJoin", "BroadcastExchange"))
+    assert {tuple(x) for x in got.collect()} == mine_plain(rows, 5)
+
+
+def test_only_the_first_copies_of_a_block_are_met():
+    ids, labels, v = np.array([9, 4, 7, 1, 2, 3]), np.array([1, 1, 1, 2, 1, 1]), np.array([[5], [5], [5], [5], [6], [5]], np.int32)
+    assert ids[negatives._first_copies(ids, labels, v, 2)].tolist() == [4, 1, 2, 3]
+    assert negatives._first_copies(ids, labels, np.empty((6, 0), np.int32), 6).tolist() == [0, 1, 2, 3, 4, 5]
