@@ -35,7 +35,7 @@ ROWS, ANCHORS, AT_A_TIME = 8192, 4096, 128
 #: Rows of a part of the file, and its parts at most; anchors of a part of theirs. A task meets two parts.
 PART, PARTS, ANCHOR_PART = 1 << 18, 64, 1 << 14
 #: Rows after which the first bounds are tightened; rows scored exactly at a time.
-FIRST, SCORED = 32, 1 << 15
+FIRST, SCORED = 32, 1 << 13
 LARGEST = 1 << 24
 #: More than any sum of bounds.
 FAR = np.int64(1) << np.int64(62)
@@ -244,20 +244,24 @@ def _searched(edges: dict[int, tuple[np.ndarray, np.ndarray]], k: int, same: boo
     """Of pairs of blocks: the k best rows of each window of each anchor. same: positives, whose only window is open; else negatives."""
     kinds = {"cells": np.uint8, "a_v": np.int32}
 
+    def meet(asked: dict[tuple[int, int], tuple[_Asked, np.ndarray, np.ndarray]], batch: pa.RecordBatch, at: int) -> None:
+        dim = batch.column("dim")[at].as_py()
+        x = {c: batch.column(c)[at].as_buffer() for c in batch.schema.names if c not in ("dim", "a_dim")}
+        got = {c: np.frombuffer(b, kinds.get(c, np.int64)) for c, b in x.items() if c != "v"}
+        n, m = len(got["ids"]), len(got["a_ids"])
+        v = np.frombuffer(x["v"], np.int16 if x["v"].size == 2 * n * dim else np.int32).reshape(n, dim)
+        key = dim, int(got["a_ids"][0])
+        if key not in asked:
+            of = [np.array(got[c]).reshape(m, -1) for c in WINDOWS] if not same else [np.zeros((m, 1), np.int64)] * 2 + [np.full((m, 1), -FAR), np.full((m, 1), FAR)]
+            asked[key] = _Asked(np.array(got["a_ids"]), of[2], of[3], k, at_a_time), of[0], of[1]
+        asked[key][0].meet((got["ids"], got["labels"], got["cells"].reshape(dim, n), v), got["a_labels"], got["a_v"].reshape(m, dim), edges[dim], same)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked: dict[tuple[int, int], tuple[_Asked, np.ndarray, np.ndarray]] = {}
         for batch in batches:
             for at in range(batch.num_rows):
-                dim = batch.column("dim")[at].as_py()
-                x = {c: batch.column(c)[at].as_buffer() for c in batch.schema.names if c not in ("dim", "a_dim")}
-                got = {c: np.frombuffer(b, kinds.get(c, np.int64)) for c, b in x.items() if c != "v"}
-                n, m = len(got["ids"]), len(got["a_ids"])
-                v = np.frombuffer(x["v"], np.int16 if x["v"].size == 2 * n * dim else np.int32).reshape(n, dim)
-                key = dim, int(got["a_ids"][0])
-                if key not in asked:
-                    of = [np.array(got[c]).reshape(m, -1) for c in WINDOWS] if not same else [np.zeros((m, 1), np.int64)] * 2 + [np.full((m, 1), -FAR), np.full((m, 1), FAR)]
-                    asked[key] = _Asked(np.array(got["a_ids"]), of[2], of[3], k, at_a_time), of[0], of[1]
-                asked[key][0].meet((got["ids"], got["labels"], got["cells"].reshape(dim, n), v), got["a_labels"], got["a_v"].reshape(m, dim), edges[dim], same)
+                meet(asked, batch, at)
+            del batch  # not held while the next one comes
         for a, p_ids, p_scores in asked.values():
             key, place = np.nonzero(a.best.scores > -FAR)
             anchor, found = a.ids[key // a.lows.shape[1]], [a.best.ids[key, place], a.best.scores[key, place]]
